@@ -13,5 +13,30 @@ def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_trie,)}
+def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityweave.llm.slots import assign
+
+    return assign(table(spark, sf_dir, "documents"))
+
+
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityweave.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityweave.llm.wumanber import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityweave.llm.superkmer import removals
+
+    return removals(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_trie, op4_virtual_slots, op5_warc_revisits, op7_wu_manber, op8_super_kmers)}
 ORACLES: dict[str, str] = {}
