@@ -25,6 +25,12 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityweave.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cityweave.llm.wumanber import contamination
 
@@ -38,5 +44,5 @@ def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_trie, op4_virtual_slots, op5_warc_revisits, op7_wu_manber, op8_super_kmers)}
+QUERIES = {f.__name__: f for f in (op2_simhash_trie, op4_virtual_slots, op5_warc_revisits, op6_best_fit_packing, op7_wu_manber, op8_super_kmers)}
 ORACLES: dict[str, str] = {}
