@@ -44,5 +44,11 @@ def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_trie, op4_virtual_slots, op5_warc_revisits, op6_best_fit_packing, op7_wu_manber, op8_super_kmers)}
+def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityweave.llm.brown import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_trie, op4_virtual_slots, op5_warc_revisits, op6_best_fit_packing, op7_wu_manber, op8_super_kmers, op10_brown_classes)}
 ORACLES: dict[str, str] = {}
