@@ -3,10 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cityweave.llm.base import table
 
 
+def op1_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityweave.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    worst = F.col("offending")[0]
+    found = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"), worst["start"].alias("worst_start"), worst["end"].alias("worst_end"))
+
+
 def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cityweave.llm.simhash import near_duplicates
 
@@ -50,5 +60,5 @@ def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_trie, op4_virtual_slots, op5_warc_revisits, op6_best_fit_packing, op7_wu_manber, op8_super_kmers, op10_brown_classes)}
+QUERIES = {f.__name__: f for f in (op1_noisy_or_toxicity, op2_simhash_trie, op4_virtual_slots, op5_warc_revisits, op6_best_fit_packing, op7_wu_manber, op8_super_kmers, op10_brown_classes)}
 ORACLES: dict[str, str] = {}
