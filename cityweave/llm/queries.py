@@ -12,7 +12,7 @@ def op1_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cityweave.llm.toxicity import fit, score
 
     docs = table(spark, sf_dir, "documents")
-    worst = F.col("offending")[0]
+    worst = F.get("offending", F.lit(0))
     found = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"), worst["start"].alias("worst_start"), worst["end"].alias("worst_end"))
 
