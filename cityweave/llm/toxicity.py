@@ -3,7 +3,8 @@
 Only documents carry labels, and a toxic document is one with at least one toxic sentence. Each sentence gets
 a probability from a logistic model over its words and word beginnings; a document's score is their noisy-or,
 1 - prod(1 - p). The sentence model is trained through the noisy-or on document labels alone, and then names the
-sentences that make a document toxic.
+sentences that make a document toxic. Words that are harmless once and toxic when they recur make the noisy-or too
+cautious, so a logistic curve fitted on the same labels maps its log-odds to the score; the order of scores stays.
 
 Bounds: training reads at most `TRAIN_ROWS` labelled documents (those of the smallest hash of their id), keeps at most
 `FEATURES` features, and broadcasts these. Scoring is one pass over all documents without a shuffle.
@@ -49,9 +50,15 @@ def sentences(text: str | None) -> Iterator[tuple[int, int, set[str]]]:
             yield m.start(), m.end(), words
 
 
+def log_odds(s: np.ndarray | float) -> np.ndarray | float:
+    """Log-odds of 1 - exp(-s), for s the sum of -log(1 - p) over sentences."""
+    s = np.clip(s, 1e-9, 30)
+    return np.log(np.expm1(s))
+
+
 class SentenceModel:
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias, self.memo = weights, bias, {}
+    def __init__(self, weights: dict[str, float], bias: float, curve: tuple[float, float] = (1.0, 0.0)):
+        self.weights, self.bias, self.curve, self.memo = weights, bias, curve, {}
 
     def word(self, w: str) -> float:
         got = self.memo.get(w)
@@ -63,12 +70,13 @@ class SentenceModel:
         return got
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """(noisy-or of the sentences, (start, end, probability) of each sentence)."""
+        """(calibrated noisy-or of the sentences, (start, end, probability) of each sentence)."""
         word = self.word
         z = [(a, b, self.bias + sum(map(word, ws))) for a, b, ws in sentences(text)] or [(0, 0, self.bias)]
         logits = np.array([x[2] for x in z])
         p = 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
-        return float(-np.expm1(-np.logaddexp(0, logits).sum())), [(a, b, q) for (a, b, _), q in zip(z, p.tolist())]
+        doc = self.curve[0] * log_odds(np.logaddexp(0, logits).sum()) + self.curve[1]
+        return float(1 / (1 + np.exp(-np.clip(doc, -40, 40)))), [(a, b, q) for (a, b, _), q in zip(z, p.tolist())]
 
 
 def train_rows(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -126,8 +134,8 @@ def bags(rows: DataFrame, names: list[str], most: int) -> pa.Table:
     return map_batches(rows, each, "y int, n int, flat array<smallint>").limit(2 * most).toArrow()
 
 
-def train(y: np.ndarray, n: np.ndarray, flat: list[list[int]], n_features: int, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias of the sentence model, by Adam on the likelihood of the document labels."""
+def train(y: np.ndarray, n: np.ndarray, flat: list[list[int]], n_features: int, steps: int = STEPS) -> tuple[np.ndarray, float, tuple[float, float]]:
+    """Weights and bias of the sentence model, by Adam on the likelihood of the document labels, and the curve of the scores."""
     size = np.array([len(f) for f in flat])
     ids, doc = np.array([x for f in flat for x in f], np.int64), np.repeat(np.arange(len(y)), size)
     stop = ids < 0
@@ -148,7 +156,20 @@ def train(y: np.ndarray, n: np.ndarray, flat: list[list[int]], n_features: int,
         g[-1] = (g_z.sum() + (down * bare).sum() / (1 + np.exp(-w[-1]))) / len(y)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
+    z = w[-1] + np.bincount(sentence, w[ids], len(owner))
+    s = np.bincount(owner, np.logaddexp(0, z), len(y)) + bare * np.logaddexp(0, w[-1])
+    return w[:-1], float(w[-1]), curve(log_odds(s), y)
+
+
+def curve(x: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, float]:
+    """Slope (positive) and intercept of a logistic curve through (x, y), by damped Newton steps."""
+    a, c = 1.0, 0.0
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a * x + c, -40, 40)))
+        g, h = np.array([((p - y) * x).sum(), (p - y).sum()]), p * (1 - p) + 1e-6
+        step = np.linalg.solve(np.array([[(h * x * x).sum(), (h * x).sum()], [(h * x).sum(), h.sum()]]) + 1e-6 * np.eye(2), g)
+        a, c = float(np.clip(a - np.clip(step[0], -1, 1), 0.05, 10)), float(c - np.clip(step[1], -2, 2))
+    return a, c
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = TRAIN_ROWS, most_features: int = FEATURES) -> SentenceModel:
@@ -159,13 +180,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return SentenceModel({}, float(np.log(rate / (1 - rate))))
     names = select_features(rows, n, n_toxic, most_features)
     t = bags(rows, names, most_rows)
-    w, b = train(t.column("y").to_numpy(), t.column("n").to_numpy(), t.column("flat").to_pylist(), len(names))
-    return SentenceModel(dict(zip(names, w.tolist())), b)
+    w, b, fitted = train(t.column("y").to_numpy(), t.column("n").to_numpy(), t.column("flat").to_pylist(), len(names))
+    return SentenceModel(dict(zip(names, w.tolist())), b, fitted)
 
 
 def score(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id", text_col: str = "text", located_at: float = 0.1) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted, and offending: the sentences (start, end in characters, score) of a predicted document, worst first."""
-    held = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    held = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.curve))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), 0).alias("held_out"), F.col(text_col).alias("text"))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 

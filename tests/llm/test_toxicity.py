@@ -51,5 +51,5 @@ def test_gradient():
     r = np.random.default_rng(1)
     flat = [[int(x) for s in range(3) for x in (*r.integers(0, 4, 2), -1)] for _ in range(50)]
     y = np.array([int(any(f[k] == 0 for k in range(len(f)))) for f in flat])
-    w, b = toxicity.train(y, np.full(50, 5), flat, 4)
+    w, b, _ = toxicity.train(y, np.full(50, 5), flat, 4)
     assert w[0] == max(w) and w[0] + b > 0
