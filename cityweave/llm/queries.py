@@ -23,6 +23,13 @@ def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityweave.llm.rules import fit, judge
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cityweave.llm.slots import assign
 
@@ -60,5 +67,5 @@ def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_noisy_or_toxicity, op2_simhash_trie, op4_virtual_slots, op5_warc_revisits, op6_best_fit_packing, op7_wu_manber, op8_super_kmers, op10_brown_classes)}
+QUERIES = {f.__name__: f for f in (op1_noisy_or_toxicity, op2_simhash_trie, op3_boosted_rules, op4_virtual_slots, op5_warc_revisits, op6_best_fit_packing, op7_wu_manber, op8_super_kmers, op10_brown_classes)}
 ORACLES: dict[str, str] = {}
