@@ -61,11 +61,17 @@ def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(table(spark, sf_dir, "documents"))
 
 
+def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityweave.llm.kneser import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
+
+
 def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cityweave.llm.brown import score
 
     return score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_noisy_or_toxicity, op2_simhash_trie, op3_boosted_rules, op4_virtual_slots, op5_warc_revisits, op6_best_fit_packing, op7_wu_manber, op8_super_kmers, op10_brown_classes)}
+QUERIES = {f.__name__: f for f in (op1_noisy_or_toxicity, op2_simhash_trie, op3_boosted_rules, op4_virtual_slots, op5_warc_revisits, op6_best_fit_packing, op7_wu_manber, op8_super_kmers, op9_kneser_ney_quality, op10_brown_classes)}
 ORACLES: dict[str, str] = {}
