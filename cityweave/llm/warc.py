@@ -71,9 +71,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     n_bytes = pages.agg(F.sum(F.octet_length(html_col) + 500)).first()[0] or 0
     key = urn(F.lit("response"), F.col("id"), F.col("url"), F.col("digest"))
     p = p.withColumn("record", key)
-    dropped = marked.where("best is not null").where(~chosen).select(key.alias("record"))
-    # The one shuffle of payloads; rows of a chosen key that occur more than once: one of them keeps its payload.
-    large = p.where(F.col("n") >= REVISIT_BYTES).repartition(partitions_for(spark, n_bytes, ARCHIVE_BYTES), "record").join(dropped, "record", "left_anti")
+    dropped = marked.where("best is not null").where(~chosen).select(key.alias("record"), F.lit(True).alias("dropped"))
+    # The one shuffle of payloads. (An anti join would be moved below it and bring a second one.)
+    large = p.where(F.col("n") >= REVISIT_BYTES).repartition(partitions_for(spark, n_bytes, ARCHIVE_BYTES), "record").join(dropped, "record", "left").where("dropped is null").drop("dropped")
+    # Rows of a chosen key that occur more than once: one of them keeps its payload.
     large = large.withColumn("copy", F.row_number().over(Window.partitionBy("record").orderBy("n"))).where("copy = 1").drop("copy")
     payload = large.unionByName(p.where(F.col("n") < REVISIT_BYTES))
     text = F.concat(header("response", F.col("id"), F.col("record"), F.col("url"), F.col("digest"), F.col("n") + F.octet_length(http), []), http, F.col("html"))
