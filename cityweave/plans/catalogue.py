@@ -553,3 +553,27 @@ def clear_sky_day(v: Views) -> DataFrame:
     e = v.spark.range(24).where("id NOT IN (6, 18)").select(F.col("id").alias("hour"), F.asin(F.sin(3.141592653589793 * (F.col("id") - 6) / 12)).alias("el"))
     s = solar.clear_sky(F.col("el"))
     return e.select("hour", F.round(s["dni"], 4).alias("dni"), F.round(s["ghi"], 4).alias("ghi"))
+
+
+# kernels: no SQL says the same, tests hold them against invariants and brute force
+@query()
+def flood_run_kernel(v: Views) -> DataFrame:
+    from cityweave.operators.floodsim import run_all
+
+    c = v.cells.where("row < 40").select(F.concat(F.lit("b"), F.floor(F.col("row") / 20)).alias("run_id"), (F.col("row") % 20).cast("int").alias("row"), F.col("col").cast("int").alias("col"), "dem", F.lit(0.03).alias("manning"), (F.col("infil") * 10).alias("infil_mmh"), F.lit("s").alias("storm"))
+    return run_all(c, {"s": [(0.0, 300.0, 60.0)]}, 600.0, 2.0)
+
+
+@query()
+def edge_betweenness(v: Views) -> DataFrame:
+    from cityweave.operators.routing import betweenness
+
+    return betweenness(v.edges.where("(u + v) % 5 < 2"), "length")
+
+
+@query()
+def pareto_routes(v: Views) -> DataFrame:
+    from cityweave.operators.routing import routes
+
+    pairs = v.spark.range(20).select(F.col("id").alias("pair_id"), F.col("id").alias("origin"), (99 - F.col("id")).alias("destination"))
+    return routes(v.edges.where("highway <> 'footway'"), pairs, "length", 3)
