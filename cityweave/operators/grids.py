@@ -146,3 +146,33 @@ def otsu(df: DataFrame, value: str, bins: int = 256) -> float | None:
             if v > best:
                 best, at = v, m
     return at
+
+
+def despeckle(cells: DataFrame, layer: str, threshold: float = 0.5) -> DataFrame:
+    """A value that differs from the median of its 3 x 3 window by more than the threshold becomes that median."""
+    n = shifted(cells, layer, RING)
+    window = F.array_sort(F.array_compact(F.array(layer, *(f"n_{k}" for k in range(8)))))
+    k = F.size(window)
+    lo, hi = F.get(window, F.floor((k - 1) / 2).cast("int")), F.get(window, F.floor(k / 2).cast("int"))
+    median = (lo + hi) / 2
+    return n.select("row", "col", F.when(F.abs(F.col(layer) - median) > threshold, median).otherwise(F.col(layer)).alias(layer))
+
+
+def class_fractions(cells: DataFrame, cls: str, factor: int) -> DataFrame:
+    """row, col (of blocks), class, share of the block's area; only classes that occur."""
+    b = cells.groupBy(F.floor(F.col("row") / factor).alias("row"), F.floor(F.col("col") / factor).alias("col"), F.col(cls).alias("cls")).agg(F.count("*").alias("n"))
+    return b.select("row", "col", "cls", (F.col("n") / float(factor * factor)).alias("share"))
+
+
+def spine(zone: DataFrame, half: int) -> DataFrame:
+    """row, col: median column of each row with two cells or more, smoothed over 2 half + 1 rows; the ends repeat."""
+    from pyspark.sql import Window
+
+    m = zone.groupBy("row").agg(F.median("col").alias("c"), F.count("*").alias("n")).where("n >= 2")
+    w = Window.orderBy("row")  # one row for each grid row
+    full = Window.orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    k, total = F.row_number().over(w), F.count("*").over(full)
+    m = m.withColumn("_k", k).withColumn("_t", total).withColumn("_a", F.first("c").over(full)).withColumn("_z", F.last("c").over(full))
+    s = F.sum("c").over(w.rowsBetween(-half, half))
+    before, after = F.greatest(F.lit(0), half - F.col("_k") + 1), F.greatest(F.lit(0), half - (F.col("_t") - F.col("_k")))
+    return m.select("row", ((s + before * F.col("_a") + after * F.col("_z")) / (2 * half + 1)).alias("col"))

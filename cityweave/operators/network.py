@@ -135,3 +135,84 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
             return new.select("node_id", F.col("c").alias("component"))
         label = new.select("node_id", "c")
     raise RuntimeError(f"labels still change after {most_rounds} rounds")
+
+
+def axis_groups(approaches: DataFrame, node: str, bearing: str, phases: int = 2) -> DataFrame:
+    """phase of each approach: bearings mod 180 in circular order, cut at the phases - 1 largest gaps (ties: the first)."""
+    a = approaches.withColumn("axis", F.pmod(F.col(bearing), F.lit(180.0)))
+    w = Window.partitionBy(node).orderBy("axis", "edge")
+    gap = F.lead("axis").over(w) - F.col("axis")
+    a = a.withColumn("_gap", gap)
+    cut = F.row_number().over(Window.partitionBy(node).orderBy(F.desc_nulls_last("_gap"), "axis", "edge")) <= phases - 1
+    a = a.withColumn("_cut", (cut & F.col("_gap").isNotNull() & (F.col("_gap") > 0)).cast("int"))
+    return a.withColumn("phase", F.coalesce(F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_gap", "_cut")
+
+
+def axis_mean(bearing: Column) -> Column:
+    """Mean of undirected bearings, by doubled angles, in [0, 180)."""
+    a = F.radians(2 * bearing)
+    return F.pmod(F.degrees(F.atan2(F.avg(F.sin(a)), F.avg(F.cos(a)))) / 2 + 180.0, F.lit(180.0))
+
+
+def forbidden_turns(pairs: DataFrame, paths: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """from_path, to_path: segment pairs met through paths' segment ids, and paths whose tag names the turn's direction."""
+    a, b = paths.select(F.col("segment_id").alias("from_segment_id"), F.col("path_id").alias("from_path"), F.col("v").alias("_n")), paths.select(F.col("segment_id").alias("to_segment_id"), F.col("path_id").alias("to_path"), F.col("u").alias("_n"))
+    out = pairs.join(a, "from_segment_id").join(b, ["to_segment_id", "_n"]).select("from_path", "to_path")
+    if tags is not None:
+        from cityweave.functions.motion import turn
+
+        i = paths.select(F.col("path_id").alias("from_path"), F.col("v").alias("_n"), F.col("bearing").alias("_in"))
+        o = paths.select(F.col("path_id").alias("to_path"), F.col("u").alias("_n"), F.col("bearing").alias("_out"))
+        t = tags.join(i, "from_path").join(o, "_n").withColumn("_d", turn(F.col("_in"), F.col("_out")))
+        name = F.regexp_replace("_d", "straight", "straight_on")
+        hit = (F.col("restriction") == F.concat(F.lit("no_"), F.when(F.col("_d").isin("left", "right"), F.concat("_d", F.lit("_turn"))).otherwise(name)))
+        only = F.regexp_extract("restriction", "^only_(left|right|straight|u)", 1)
+        miss = (only != "") & ~F.col("_d").startswith(only)
+        out = out.union(t.where(hit | miss).select("from_path", "to_path"))
+    return out.distinct()
+
+
+def fallback_selection(edges: DataFrame, first: Column, second: Column, least: int = 5) -> DataFrame:
+    """Edges of the first predicate; with fewer than `least`, those of either; with fewer again, all."""
+    n = edges.agg(F.count_if(first).alias("_n1"), F.count_if(first | second).alias("_n2"))
+    pass_ = F.when(F.col("_n1") >= least, first).when(F.col("_n2") >= least, first | second).otherwise(F.lit(True))
+    return edges.crossJoin(F.broadcast(n)).where(pass_).drop("_n1", "_n2")
+
+
+def systematic_sample(rows: DataFrame, order: str, most: int) -> DataFrame:
+    """Every ceil(n / most)-th row in order: at most `most` of them."""
+    n = rows.count()
+    each = max(1, -(-n // most))
+    return rows.withColumn("_k", F.row_number().over(Window.orderBy(order)) - 1).where(F.pmod("_k", F.lit(each)) == 0).drop("_k")
+
+
+def lane_links(lanes: DataFrame) -> DataFrame:
+    """left_id and right_id of the neighbour lanes of the same (u, v, key), -1 if none."""
+    w = Window.partitionBy("u", "v", "key").orderBy("lane_index")
+    return lanes.withColumn("left_id", F.coalesce(F.lag("path_id").over(w), F.lit(-1))).withColumn("right_id", F.coalesce(F.lead("path_id").over(w), F.lit(-1)))
+
+
+def roundabout(nodes: DataFrame, edges: DataFrame, node: int, radius: float, first_id: int, arms: int = 8) -> tuple[DataFrame, DataFrame]:
+    """A node replaced by a one-way ring of `arms` nodes; its edges go to the nearest of them (ties: the smallest id)."""
+    import math
+
+    c = nodes.where(F.col("node_id") == node).first()
+    spark = nodes.sparkSession
+    ring = [(first_id + k, c.x + radius * math.cos(2 * math.pi * k / arms), c.y + radius * math.sin(2 * math.pi * k / arms)) for k in range(arms)]
+    pick = lambda x, y: F.array_min(F.array(*(F.struct(((x - a) * (x - a) + (y - b) * (y - b)).alias("d"), F.lit(i).cast("long").alias("i")) for i, a, b in ring)))["i"]
+    at = nodes.select(F.col("node_id").alias("_o"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    j = edges.withColumn("_o", F.when(F.col("u") == node, F.col("v")).when(F.col("v") == node, F.col("u"))).join(at, "_o", "left").withColumn("_r", pick(F.col("_x"), F.col("_y")))
+    moved = j.withColumn("u", F.when(F.col("u") == node, F.col("_r")).otherwise(F.col("u"))).withColumn("v", F.when(F.col("v") == node, F.col("_r")).otherwise(F.col("v"))).select("u", "v", "length")
+    step = 2 * radius * math.sin(math.pi / arms)
+    circle = spark.createDataFrame([(first_id + k, first_id + (k + 1) % arms, step) for k in range(arms)], "u long, v long, length double")
+    return nodes.where(F.col("node_id") != node).select("node_id", "x", "y").union(spark.createDataFrame(ring, "node_id long, x double, y double")), moved.union(circle)
+
+
+def downstream(start: DataFrame, succ: DataFrame, hops: int = 3) -> DataFrame:
+    """path_id, origin, hop: paths that follow within `hops` successor steps, each by its fewest."""
+    front = start.select(F.col("path_id").alias("origin"), "path_id", F.lit(0).alias("hop"))
+    out = front
+    for k in range(1, hops + 1):
+        front = front.join(succ, F.col("path_id") == F.col("from_path")).select("origin", F.col("to_path").alias("path_id"), F.lit(k).alias("hop")).distinct()
+        out = out.union(front)
+    return out.groupBy("origin", "path_id").agg(F.min("hop").alias("hop"))

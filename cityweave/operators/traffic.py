@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cityweave.functions import emissions as em
 from cityweave.functions.motion import congestion, idm_acceleration
 
 
@@ -86,3 +87,23 @@ def ema(series: DataFrame, by: list[str], order: str, value: str, alpha: float =
     steps = F.array_sort(F.collect_list(F.struct(order, value)))
     fold = F.aggregate("s", F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(alpha * x[value] + (1 - alpha) * F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)))))
     return series.groupBy(*by).agg(steps.alias("s")).withColumn("e", fold).select(*by, F.posexplode(F.arrays_zip("s", "e")).alias("pos", "x")).select(*by, F.col(f"x.s.{order}").alias(order), F.col(f"x.s.{value}").alias(value), F.col("x.e").alias("ema"))
+
+
+def noise_grid(vehicles: DataFrame, cells: DataFrame, reference_db: float) -> DataFrame:
+    """db at each cell (cx, cy) of a small grid from all vehicles (x, y, speed_ms).
+
+    Sound energy falls with the square of the distance (at least 1 m), so the vehicles of one place are added up before
+    they meet the grid, and no logarithm is taken per pair.
+    """
+    energy = F.pow(F.lit(10.0), em.source_level(F.col("speed_ms"), reference_db) / 10)
+    places = vehicles.groupBy("x", "y").agg(F.sum(energy).alias("_e"))
+    dx, dy = F.col("cx") - F.col("x"), F.col("cy") - F.col("y")
+    j = places.crossJoin(F.broadcast(cells))  # a noise grid has 40,000 cells at most
+    return j.groupBy("cx", "cy").agg(em.energy_level(F.sum(F.col("_e") / F.greatest(dx * dx + dy * dy, F.lit(1.0)))).alias("db"))
+
+
+def noise_grid_size(width: float, height: float, cell: float = 25.0, most: int = 40_000) -> float:
+    """Cell size, grown by half until the grid has at most `most` cells."""
+    while (max(width, 1.0) / cell) * (max(height, 1.0) / cell) > most:
+        cell *= 1.5
+    return cell

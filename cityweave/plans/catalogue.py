@@ -62,10 +62,7 @@ def emissions_by_class(v: Views) -> DataFrame:
 
 def noise_cells(v: Views, reference: float) -> DataFrame:
     grid = v.spark.range(400).select((F.col("id") % 20 * 50 + 25).cast("double").alias("cx"), (F.floor(F.col("id") / 20) * 50 + 25).cast("double").alias("cy"))
-    level = em.source_level(F.col("speed_ms"), reference)
-    d = spatial.distance(F.col("cx"), F.col("cy"), F.col("x"), F.col("y"))
-    j = v.veh.crossJoin(F.broadcast(grid))  # the grid has a fixed 400 cells
-    return j.groupBy("cx", "cy").agg(em.energy_level(F.sum(em.received_energy(level, d))).alias("db"))
+    return traffic.noise_grid(v.veh, grid, reference)
 
 
 def _noise_sql(reference: float) -> str:
