@@ -74,4 +74,22 @@ def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_noisy_or_toxicity, op2_simhash_trie, op3_boosted_rules, op4_virtual_slots, op5_warc_revisits, op6_best_fit_packing, op7_wu_manber, op8_super_kmers, op9_kneser_ney_quality, op10_brown_classes)}
-ORACLES: dict[str, str] = {}
+_SPACE = r"'[^\x20\x09-\x0D]+'"
+_LOW = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op5_warc_revisits": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+b AS (SELECT payload_digest, max(page_id) AS best FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest, CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN best <> page_id THEN best END AS refers_to FROM d LEFT JOIN b ON b.payload_digest = d.payload_digest AND payload_bytes >= 1000""",
+    "op7_wu_manber": f"""WITH dw AS (SELECT doc_id, regexp_extract_all({_LOW % "text"}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents), bw AS (SELECT item_id, regexp_extract_all({_LOW % "text"}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+n AS (SELECT item_id, w, least(len(w), 10) AS k FROM bw WHERE len(w) > 0), g AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM n)),
+o AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM g) WHERE len(w) >= k)),
+h AS (SELECT o.doc_id, o.i, o.k, g.item_id FROM o JOIN g ON g.g = o.g AND g.k = o.k),
+c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS x FROM h) GROUP BY 1),
+s AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY 1)
+SELECT dw.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN c ON c.doc_id = dw.doc_id LEFT JOIN s ON s.doc_id = dw.doc_id""",
+    "op8_super_kmers": f"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, {_SPACE}), []) AS w FROM documents), g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS again FROM g), x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM r WHERE again),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d), kept AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.k) AS t, count(*) AS n FROM u LEFT JOIN x ON x.doc_id = u.doc_id AND x.k = u.k WHERE x.k IS NULL GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""",
+}
