@@ -176,3 +176,30 @@ def spine(zone: DataFrame, half: int) -> DataFrame:
     s = F.sum("c").over(w.rowsBetween(-half, half))
     before, after = F.greatest(F.lit(0), half - F.col("_k") + 1), F.greatest(F.lit(0), half - (F.col("_t") - F.col("_k")))
     return m.select("row", ((s + before * F.col("_a") + after * F.col("_z")) / (2 * half + 1)).alias("col"))
+
+
+def bilinear(cells: DataFrame, layer: str, points: DataFrame, categorical: bool = False) -> DataFrame:
+    """point_id, value at fractional (row, col): four neighbours by weight, 0 outside; or the nearest cell."""
+    if categorical:
+        p = points.select("point_id", F.floor(F.col("row") + 0.5).cast("long").alias("row"), F.floor(F.col("col") + 0.5).cast("long").alias("col"))
+        return p.join(cells.select("row", "col", F.col(layer).alias("value")), ["row", "col"], "left").select("point_id", "value")
+    r0, c0 = F.floor("row"), F.floor("col")
+    fr, fc = F.col("row") - r0, F.col("col") - c0
+    near = F.array(*(F.struct((r0 + i).alias("row"), (c0 + j).alias("col"), ((fr if i else 1 - fr) * (fc if j else 1 - fc)).alias("w")) for i in (0, 1) for j in (0, 1)))
+    p = points.select("point_id", F.explode(near).alias("n")).select("point_id", "n.*")
+    return p.join(cells.select("row", "col", F.col(layer).alias("_v")), ["row", "col"], "left").groupBy("point_id").agg(F.sum(F.col("w") * F.coalesce("_v", F.lit(0.0))).alias("value"))
+
+
+def bake(cells: DataFrame, materials: DataFrame, cls: str, deltas: DataFrame | None = None) -> DataFrame:
+    """Cells with their class's infil and manning, the ground lowered by its depression and moved by user deltas (row, col, delta)."""
+    m = materials.select(F.col("cls").alias(cls), F.col("infil").alias("_i"), F.col("manning").alias("_n"), F.col("depression").alias("_d"))
+    out = cells.join(F.broadcast(m), cls, "left").withColumn("infil", F.coalesce("_i", "infil")).withColumn("manning", F.coalesce("_n", "manning")).withColumn("dem", F.col("dem") - F.coalesce("_d", F.lit(0.0)))
+    if deltas is not None:
+        out = out.join(deltas.select("row", "col", "delta"), ["row", "col"], "left").withColumn("dem", F.col("dem") + F.coalesce("delta", F.lit(0.0))).drop("delta")
+    return out.drop("_i", "_n", "_d")
+
+
+def covered_share(cells: DataFrame, by: list[str], points: str) -> DataFrame:
+    """Share of cells with a point or more, in percent, and whether it is short of 95."""
+    g = cells.groupBy(*by).agg((F.avg((F.coalesce(points, F.lit(0)) > 0).cast("double")) * 100).alias("covered_pct"))
+    return g.withColumn("short", F.col("covered_pct") < 95)

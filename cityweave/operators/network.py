@@ -216,3 +216,34 @@ def downstream(start: DataFrame, succ: DataFrame, hops: int = 3) -> DataFrame:
         front = front.join(succ, F.col("path_id") == F.col("from_path")).select("origin", F.col("to_path").alias("path_id"), F.lit(k).alias("hop")).distinct()
         out = out.union(front)
     return out.groupBy("origin", "path_id").agg(F.min("hop").alias("hop"))
+
+
+def bridge(edges: DataFrame, u: int, v: int, length: float, speed_ms: float = 22.2) -> DataFrame:
+    """Edges with a new one in both directions; seq goes on from the largest."""
+    top = edges.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_top"))
+    new = edges.sparkSession.createDataFrame([(1, u, v), (2, v, u)], "k long, u long, v long").crossJoin(top)
+    return edges.select("seq", "u", "v", "length", "speed_ms").unionByName(new.select((F.col("_top") + F.col("k")).alias("seq"), "u", "v", F.lit(length).alias("length"), F.lit(speed_ms).alias("speed_ms")))
+
+
+def resolve_direction(queries: DataFrame, edges: DataFrame) -> DataFrame:
+    """one_way and forward of node pairs (query_id, a, b): an edge one way only, or both ways; null without an edge."""
+    e = edges.select("u", "v").distinct()
+    f = e.select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(True).alias("_f"))
+    r = e.select(F.col("v").alias("a"), F.col("u").alias("b"), F.lit(True).alias("_r"))
+    j = queries.join(f, ["a", "b"], "left").join(r, ["a", "b"], "left")
+    some = F.col("_f").isNotNull() | F.col("_r").isNotNull()
+    return j.select("query_id", F.when(some, F.col("_f").isNull() | F.col("_r").isNull()).alias("one_way"), F.when(some, F.col("_f").isNotNull()).alias("forward"))
+
+
+def drivable_lanes(edges: DataFrame, spacing: float = 3.2, least_length: float = 0.5) -> DataFrame:
+    """One row for each lane of drivable edges: lane_index, lanes, and the offset from the middle of the way."""
+    e = drivable(edges).where((F.col("length") >= least_length) & (F.col("u") != F.col("v")))
+    n = F.greatest(F.lit(1), F.coalesce("lanes", F.lit(1)))
+    return e.withColumn("lanes", n).withColumn("lane_index", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).withColumn("offset_m", (F.col("lane_index") - (F.col("lanes") - 1) / 2.0) * spacing)
+
+
+def scenario_document(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """One row with the graph as a JSON document. Meant for scenarios that one row can hold."""
+    n = nodes.agg(F.array_sort(F.collect_list(F.struct("node_id", "x", "y"))).alias("nodes"))
+    e = edges.agg(F.array_sort(F.collect_list(F.struct("seq", "u", "v", "length", F.coalesce("speed_ms", F.lit(13.89)).alias("speed_ms")))).alias("edges"))
+    return n.crossJoin(e).select(F.to_json(F.struct(F.lit(name).alias("name"), "nodes", "edges")).alias("document"))

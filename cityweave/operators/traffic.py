@@ -107,3 +107,48 @@ def noise_grid_size(width: float, height: float, cell: float = 25.0, most: int =
     while (max(width, 1.0) / cell) * (max(height, 1.0) / cell) > most:
         cell *= 1.5
     return cell
+
+
+def speed_caps(agents: DataFrame, crossings: DataFrame, emergencies: DataFrame) -> DataFrame:
+    """cap_ms: 1.4 within 12 m of a crossing (crossing_id, px, py), 0.5 within 30 m of an emergency (unit_id, px, py), the lower of both."""
+    from cityweave.operators.spatial import within
+
+    a = agents.select("agent_id", "x", "y")
+    slow = within(a, crossings, 12.0, strict=True).select("agent_id").distinct().withColumn("_c", F.lit(1.4))
+    stop = within(a, emergencies, 30.0, strict=True).select("agent_id").distinct().withColumn("_e", F.lit(0.5))
+    return agents.join(slow, "agent_id", "left").join(stop, "agent_id", "left").withColumn("cap_ms", F.least("_c", "_e")).drop("_c", "_e")
+
+
+def recycle_pick(agents: DataFrame, by: list[str], idle: str, selected: str, x: float, y: float) -> DataFrame:
+    """The vehicle to reuse in each group: idle ones first, then the farthest from a point; selected ones never."""
+    d = (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)
+    key = F.struct(F.col(idle).cast("int").alias("i"), d.alias("d"), F.col("agent_id").alias("a"))
+    return agents.where(~F.col(selected)).groupBy(*by).agg(F.max(key).alias("k")).select(*by, F.col("k.a").alias("agent_id"))
+
+
+def kpis(samples: DataFrame, by: list[str], t: str) -> DataFrame:
+    """Per step: running vehicles, arrivals so far, mean time loss and waiting (over at least one vehicle)."""
+    g = samples.groupBy(*by, t).agg(F.count_if(~F.col("arrived")).alias("running"), F.count_if("arrived").alias("_a"), F.try_divide(F.sum("time_loss"), F.greatest(F.count("*"), F.lit(1))).alias("mean_time_loss"), F.try_divide(F.sum("waiting"), F.greatest(F.count("*"), F.lit(1))).alias("mean_waiting"))
+    w = Window.partitionBy(*by).orderBy(t)
+    return g.withColumn("arrived_total", F.sum("_a").over(w)).drop("_a")
+
+
+def safety_totals(events: DataFrame, by: list[str], severe: float = 8.3) -> DataFrame:
+    """injuries, severe ones (from 8.3 m/s), and people exposed of collision events (ped_id, impact)."""
+    hit = F.col("impact").isNotNull()
+    return events.groupBy(*by).agg(F.count_if(hit).alias("injuries"), F.count_if(F.col("impact") >= severe).alias("severe"), F.count_distinct("ped_id").alias("exposed"))
+
+
+def label_counts(rows: DataFrame, cls: str, labels: dict[str, str], order: list[str]) -> DataFrame:
+    """position, label, n: counts by display label (an unknown class keeps its name), labels in a fixed order, then the rest."""
+    from cityweave.functions.parse import lookup
+
+    g = rows.groupBy(F.coalesce(lookup(F.col(cls), labels), F.col(cls)).alias("label")).agg(F.count("*").alias("n"))
+    at = F.coalesce(lookup(F.col("label"), {k: i for i, k in enumerate(order)}), F.lit(len(order)))
+    return g.withColumn("position", F.row_number().over(Window.orderBy(at, "label")))  # one row for each label
+
+
+def rain_intervals(series: DataFrame, by: list[str], t: str, value: str) -> DataFrame:
+    """t0, t1, value of consecutive rows, where the value is positive and lasts over 0.01."""
+    w = Window.partitionBy(*by).orderBy(t)
+    return series.withColumn("t1", F.lead(t).over(w)).where((F.col(value) > 0) & (F.col("t1") - F.col(t) > 0.01)).select(*by, F.col(t).alias("t0"), "t1", F.col(value).alias("value"))
