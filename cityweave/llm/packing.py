@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ END_ID = 2
 OPEN_BINS = 1024
 GROUP = 3500
 #: Distinct cut pieces whose ids a worker remembers, and the longest of them.
-MEMO = 600_000
+MEMO = 900_000
 MEMO_CHARS = 64
 LOOSE = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
@@ -54,7 +56,11 @@ class Memo:
         self.known: dict[str, bytes] = {}
 
     def encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        found = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for a in found:
+                a.byteswap()
+        return [a.tobytes() for a in found]
 
     @staticmethod
     def cut(text: str) -> list[str]:
