@@ -36,9 +36,9 @@ from cityweave.llm.base import NULL_ID, map_batches, partitions_for, text_hash
 WINDOW = 20
 SEED_WORDS = 4
 #: Bytes of packed strings that a task holds before it sends them.
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 32 << 20
 #: Bytes of text whose super-k-mers make up about one bucket, and of those a shuffle partition holds.
-BUCKET_TEXT = 4 << 20
+BUCKET_TEXT = 2 << 20
 PARTITION_TEXT = 8 << 20
 SPAN = -1
 
