@@ -36,7 +36,7 @@ from cityweave.llm.base import map_batches, materialize
 CAPACITY = 1024
 END_ID = 2
 OPEN_BINS = 1024
-GROUP = 3500
+GROUP = 12_000
 #: Distinct cut pieces whose ids a worker remembers, and the longest of them.
 MEMO = 900_000
 MEMO_CHARS = 64
