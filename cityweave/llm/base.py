@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python; whole texts are long, so batches are short.
 BATCH_ROWS = 256
+#: Bytes at which a batch is closed early.
+BATCH_BYTES = 8 << 20
 #: Stands for a null doc_id inside packed arrays: nulls order after every id.
 NULL_ID = 2**63 - 1
 
@@ -20,12 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Arrow batches of whole texts must stay small; a lower setting of the session is kept."""
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS, n_bytes: int = BATCH_BYTES) -> None:
+    """Arrow batches of whole texts must stay small; lower settings of the session are kept."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cityweave.llm.base import fresh_path, partitions_for
+from cityweave.llm.base import fresh_path, map_batches, partitions_for
 
 REVISIT_BYTES = 1000
 #: Payload bytes of an archive, about.
@@ -101,7 +101,6 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
 def read_archives(spark, path: str) -> DataFrame:
     """Records of the archives: page_id, record_id, record_type, url, payload_digest, payload_bytes (null for revisits), refers_to_record."""
     files = spark.read.format("binaryFile").load([f"{path}/responses", f"{path}/revisits"]).select("path", "content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # an archive is a row
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "record_id", "record_type", "url", "payload_digest", "payload_bytes", "refers_to_record"]
@@ -121,7 +120,7 @@ def read_archives(spark, path: str) -> DataFrame:
                     rows.append((int(f["X-Page-ID"]) if f["X-Page-ID"] else None, f["WARC-Record-ID"], f["WARC-Type"], f["WARC-Target-URI"], digest, size, f.get("WARC-Refers-To")))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    return files.mapInArrow(each, "page_id long, record_id string, record_type string, url string, payload_digest string, payload_bytes long, refers_to_record string")
+    return map_batches(files, each, "page_id long, record_id string, record_type string, url string, payload_digest string, payload_bytes long, refers_to_record string")
 
 
 def resolve(records: DataFrame) -> DataFrame:
