@@ -38,7 +38,7 @@ END_ID = 2
 OPEN_BINS = 1024
 GROUP = 12_000
 #: Distinct cut pieces whose ids a worker remembers, and the longest of them.
-MEMO = 900_000
+MEMO = 600_000
 MEMO_CHARS = 64
 LOOSE = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
