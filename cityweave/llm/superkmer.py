@@ -36,9 +36,9 @@ from cityweave.llm.base import NULL_ID, map_batches, partitions_for, text_hash
 WINDOW = 20
 SEED_WORDS = 4
 #: Bytes of packed strings that a task holds before it sends them.
-FLUSH_BYTES = 32 << 20
+FLUSH_BYTES = 48 << 20
 #: Bytes of text whose super-k-mers make up about one bucket, and of those a shuffle partition holds.
-BUCKET_TEXT = 2 << 20
+BUCKET_TEXT = 4 << 20
 PARTITION_TEXT = 8 << 20
 SPAN = -1
 
@@ -107,8 +107,19 @@ SCHEMA = "bucket long, id binary, key binary, lo binary, hi binary, body binary"
 NAMES = ["bucket", "id", "key", "lo", "hi", "body"]
 
 
-def packed_row(bucket: int, ids, keys, lo, hi, body: bytes = b"") -> tuple:
-    return bucket, np.asarray(ids, np.int64).tobytes(), np.asarray(keys, np.int64).tobytes(), np.asarray(lo, np.int32).tobytes(), np.asarray(hi, np.int32).tobytes(), body
+LEVEL = 3
+
+
+def packed_row(bucket: int, ids, keys, lo, hi, codec: zstandard.ZstdCompressor, body: bytes = b"") -> tuple:
+    """A row to send: ids as differences, all but the keys (hashes) compressed."""
+    small = lambda a: codec.compress(a.tobytes())
+    return bucket, small(np.diff(np.asarray(ids, np.int64), prepend=0)), np.asarray(keys, np.int64).tobytes(), small(np.asarray(lo, np.int32)), small(np.asarray(hi, np.int32)), body and codec.compress(body)
+
+
+def unpacked_row(row: tuple, codec: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, keys, lo, hi) of a row."""
+    lo, hi = (np.frombuffer(codec.decompress(row[k]), np.int32).astype(np.int64) for k in (3, 4))
+    return np.cumsum(np.frombuffer(codec.decompress(row[1]), np.int64)), np.frombuffer(row[2], np.int64), lo, hi
 
 
 def rows_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -118,7 +129,7 @@ def rows_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def pack(batches: Iterator[pa.RecordBatch], n_buckets: int, window: int, flush_bytes: int) -> Iterator[pa.RecordBatch]:
     """Documents (id, key, body) to packed rows: super-k-mers for their buckets, and spans that are known to repeat."""
-    codec = zstandard.ZstdCompressor(level=1)
+    codec = zstandard.ZstdCompressor(level=LEVEL)
     seen: dict[bytes, tuple[int, int, int, int]] = {}
     spans: list[tuple[int, int, int, int]] = []
     held = 0
@@ -128,7 +139,7 @@ def pack(batches: Iterator[pa.RecordBatch], n_buckets: int, window: int, flush_b
         if spans:
             s = merge_spans(*(np.array(x, np.int64) for x in zip(*spans)))
             cuts = np.array_split(np.arange(len(s[0])), min(16, len(s[0])))
-            yield rows_batch([packed_row(SPAN - int(s[0][c[0]]) % 4096, *(x[c] for x in s)) for c in cuts])
+            yield rows_batch([packed_row(SPAN - int(s[0][c[0]]) % 4096, *(x[c] for x in s), codec) for c in cuts])
         by: dict[int, list[tuple[bytes, tuple[int, int, int, int]]]] = {}
         for item in seen.items():
             by.setdefault(item[1][3], []).append(item)
@@ -136,7 +147,7 @@ def pack(batches: Iterator[pa.RecordBatch], n_buckets: int, window: int, flush_b
         for bucket, items in by.items():
             texts, places = zip(*items)
             ids, keys, lo, _ = zip(*places)
-            rows.append(packed_row(bucket, ids, keys, lo, [], codec.compress(b"\n".join(texts))))
+            rows.append(packed_row(bucket, ids, keys, lo, [], codec, b"\n".join(texts)))
             size += len(rows[-1][5])
             if len(rows) >= 512 or size > 4 << 20:
                 yield rows_batch(rows)
@@ -230,17 +241,14 @@ def unpack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
 
     def done(rows: list[tuple]) -> pa.RecordBatch:
         texts = [t for r in rows for t in codec.decompress(r[5]).split(b"\n")]
-        ids, keys = (np.frombuffer(b"".join(r[k] for r in rows), np.int64) for k in (1, 2))
-        lo = np.frombuffer(b"".join(r[3] for r in rows), np.int32).astype(np.int64)
+        ids, keys, lo, _ = (np.concatenate(x) for x in zip(*(unpacked_row(r, codec) for r in rows)))
         return out(*merge_spans(*bucket_repeats(texts, ids, keys, lo, window)))
 
     now, rows = None, []
     for b in batches:
         for r in zip(*(b.column(k).to_pylist() for k in NAMES)):
             if r[0] <= SPAN:
-                ids, keys = (np.frombuffer(r[k], np.int64) for k in (1, 2))
-                lo, hi = (np.frombuffer(r[k], np.int32) for k in (3, 4))
-                yield out(ids, keys, lo, hi)
+                yield out(*unpacked_row(r, codec))
                 continue
             if r[0] != now and rows:
                 yield done(rows)
