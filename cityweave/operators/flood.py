@@ -103,3 +103,35 @@ def soft_flooded(cells: DataFrame, res: float, weight: str, threshold: float = 0
     """Smooth count of flooded street area: sum of sigmoid((d - threshold) / width) * weight * cell area."""
     s = 1 / (1 + F.exp(-F.least(F.greatest((F.col("depth") - threshold) / width, F.lit(-50.0)), F.lit(50.0))))
     return cells.agg(F.sum(s * F.col(weight) * (res * res)).alias("soft_m2"))
+
+
+def run_quality(cells: DataFrame, closure: float, by: list[str] | None = None, fill: str = "fill_depth", steep: Column | None = None) -> DataFrame:
+    """Checks of a run: depth percentiles of wet cells, cells over their fill bound, speeds off cliffs, and a verdict with its reasons."""
+    d, wet = F.col("depth"), F.when(F.col("depth") > 0.10, F.col("depth"))
+    off = F.when(~steep, F.col("speed")) if steep is not None else F.col("speed")
+    q = cells.groupBy(*(by or [])).agg(
+        *(F.coalesce(F.percentile(wet, F.lit(p)), F.lit(0.0)).alias(f"p{round(p * 100)}_depth") for p in (0.5, 0.9, 0.99)),
+        F.count_if(d > F.col(fill) + 0.01).alias("over_fill"), F.count_if(d > 3.0).alias("very_deep"), F.coalesce(F.percentile(off, F.lit(0.999)), F.lit(0.0)).alias("p999_speed"), F.count("*").alias("n"),
+    )
+    why = F.array_compact(F.array(F.when(F.lit(abs(closure) > 1e-3), "closure"), F.when(F.col("over_fill") > 0.01 * F.col("n"), "fill"), F.when(F.col("p999_speed") > 5.0, "speed")))
+    return q.withColumn("reasons", F.concat_ws(",", why)).withColumn("verdict", F.when(F.size(why) == 0, "PASS").otherwise("WARN"))
+
+
+def section_check(section: DataFrame, band: DataFrame, slack: float = 0.02, wet: float = 0.15) -> DataFrame:
+    """One row: points of a cross-section (x, depth) within a published band (x, low, high), and the last wet x."""
+    j = section.join(band, "x", "left")
+    inside = F.col("depth").between(F.col("low") - slack, F.col("high") + slack)
+    return j.agg(F.count_if(inside).alias("inside"), F.count_if(F.col("low").isNotNull()).alias("points"), F.max(F.when(F.col("depth") >= wet, F.col("x"))).alias("front_x"))
+
+
+def resolution_table(runs: DataFrame, by: str) -> DataFrame:
+    """Per resolution: flooded area before and after, the reduction, and the 99th percentile of speed before."""
+    area = lambda s: F.sum(F.when((F.col("state") == s) & (F.col("depth") > 0.05), F.col(by) * F.col(by)).otherwise(0.0))
+    t = runs.groupBy(by).agg(area("before").alias("before_m2"), area("after").alias("after_m2"), F.percentile(F.when(F.col("state") == "before", F.col("speed")), F.lit(0.99)).alias("p99_speed"))
+    return t.withColumn("reduction_pct", F.coalesce(-percent_change(F.col("before_m2"), F.col("after_m2")), F.lit(0.0)))
+
+
+def preset_table(runs: DataFrame, preset: str, position: str, value: str) -> DataFrame:
+    """Rows with the difference of a value from the first preset's."""
+    first = runs.agg(F.min_by(value, position).alias("_first"))
+    return runs.crossJoin(F.broadcast(first)).withColumn("delta", F.col(value) - F.col("_first")).drop("_first")

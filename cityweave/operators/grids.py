@@ -203,3 +203,39 @@ def covered_share(cells: DataFrame, by: list[str], points: str) -> DataFrame:
     """Share of cells with a point or more, in percent, and whether it is short of 95."""
     g = cells.groupBy(*by).agg((F.avg((F.coalesce(points, F.lit(0)) > 0).cast("double")) * 100).alias("covered_pct"))
     return g.withColumn("short", F.col("covered_pct") < 95)
+
+
+def upstream(flow: DataFrame, seeds: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """Cells that drain through a seed cell (row, col), the seeds included: pointer doubling over the receivers, log2(depth) rounds."""
+    mark = seeds.select("row", "col", F.lit(True).alias("hit")).distinct()
+    state = flow.join(mark, ["row", "col"], "left").select("row", "col", F.col("to_row").alias("tr"), F.col("to_col").alias("tc"), F.coalesce("hit", F.lit(False)).alias("hit")).checkpoint()
+    for _ in range(most_rounds):
+        if state.where("tr is not null AND NOT hit").isEmpty():
+            return state.where("hit").select("row", "col")
+        hop = state.select(F.col("row").alias("tr"), F.col("col").alias("tc"), F.col("tr").alias("ttr"), F.col("tc").alias("ttc"), F.col("hit").alias("hit2"))
+        state = state.join(hop, ["tr", "tc"], "left").select("row", "col", F.col("ttr").alias("tr"), F.col("ttc").alias("tc"), (F.col("hit") | F.coalesce("hit2", F.lit(False))).alias("hit")).checkpoint()
+    raise RuntimeError("the receivers hold a cycle")
+
+
+def main_stem(flow: DataFrame, accumulation: DataFrame, least: float = 100.0, share: float = 0.005, most: int = 100_000) -> list[tuple[int, int]]:
+    """Cells from the outlet of largest accumulation up its largest tributary, until that is under max(least, share of the outlet).
+
+    The tributary of every cell is found in one aggregation; only the cells that can be on a stem come to the driver.
+    """
+    top = accumulation.orderBy(F.desc("accumulation"), "row", "col").first()
+    if top is None:
+        return []
+    bound = max(least, share * top.accumulation)
+    big = flow.join(accumulation, ["row", "col"]).where((F.col("accumulation") >= bound) & F.col("to_row").isNotNull())
+    best = big.groupBy("to_row", "to_col").agg(F.max(F.struct("accumulation", (-F.col("row")).alias("r"), (-F.col("col")).alias("c"))).alias("x"))
+    up = {(r.to_row, r.to_col): (-r.x.r, -r.x.c) for r in best.limit(most).collect()}
+    out = [(top.row, top.col)]
+    while out[-1] in up:
+        out.append(up[out[-1]])
+    return out
+
+
+def land_cover(cells: DataFrame, vegetation: float, rough: float, bright: float) -> DataFrame:
+    """cover: the last rule that holds of ground, soil, vegetation, rough ground, paved, water, building (cells: exg, relief, std, brightness, flags)."""
+    c = F.when(F.col("building"), "building").when(F.col("water"), "water").when((F.col("brightness") > bright) & (F.col("std") < rough), "paved").when(F.col("std") >= rough, "rough")
+    return cells.withColumn("cover", c.when(F.col("exg") > vegetation, "vegetation").when(F.col("relief") < 0.5, "soil").otherwise("ground"))

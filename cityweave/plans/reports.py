@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cityweave.functions import motion, raster, solar
-from cityweave.operators import designs, grids, network, spatial, traffic
+from cityweave.operators import designs, flood, grids, network, spatial, traffic
 from cityweave.plans.catalogue import rounded
 from cityweave.plans.registry import Views, query
 
@@ -169,3 +169,43 @@ def display_scale(v: Views) -> DataFrame:
 @query("SELECT node_id, x, row_number() OVER (ORDER BY x DESC, node_id) AS k FROM nodes", "nodes")
 def ordered_nodes(v: Views) -> DataFrame:
     return v.nodes.select("node_id", "x", F.row_number().over(Window.orderBy(F.desc("x"), "node_id")).cast("long").alias("k"))
+
+
+_FLOW = """n AS (SELECT a."row", a.col, b."row" AS tr, b.col AS tc, (a.dem - b.dem) / sqrt(power(a."row" - b."row", 2) + power(a.col - b.col, 2)) AS s FROM cells a JOIN cells b ON abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1 AND (a."row" <> b."row" OR a.col <> b.col) WHERE a.dem > b.dem),
+best AS (SELECT *, row_number() OVER (PARTITION BY "row", col ORDER BY s DESC, tr, tc) AS k FROM n)"""
+
+
+@query(f"""WITH RECURSIVE {_FLOW}, u(r, c) AS (SELECT "row", col FROM cells WHERE water UNION SELECT b."row", b.col FROM u JOIN best b ON b.k = 1 AND b.tr = u.r AND b.tc = u.c) SELECT r AS "row", c AS col FROM u""", "cells")
+def upstream_cells(v: Views) -> DataFrame:
+    return grids.upstream(grids.receivers(v.cells), v.cells.where("water"))
+
+
+@query("""WITH q AS (SELECT band, quantile_cont(depth, 0.5) FILTER (depth > 0.1) AS p50, quantile_cont(depth, 0.9) FILTER (depth > 0.1) AS p90, quantile_cont(depth, 0.99) FILTER (depth > 0.1) AS p99, count(*) FILTER (depth > 1.8 + 0.01) AS over_fill, count(*) FILTER (depth > 3) AS very_deep, quantile_cont(speed, 0.999) AS s, count(*) AS n FROM cells GROUP BY band)
+SELECT band, round(coalesce(p50, 0), 6) AS p50_depth, round(coalesce(p90, 0), 6) AS p90_depth, round(coalesce(p99, 0), 6) AS p99_depth, over_fill, very_deep, round(coalesce(s, 0), 6) AS p999_speed, n, CASE WHEN over_fill > 0.01 * n THEN 'fill' ELSE '' END AS reasons, CASE WHEN over_fill > 0.01 * n THEN 'WARN' ELSE 'PASS' END AS verdict FROM q""", "cells")
+def run_quality(v: Views) -> DataFrame:
+    return rounded(flood.run_quality(v.cells.withColumn("fill_depth", F.lit(1.8)), 1e-12, ["band"]))
+
+
+@query("""WITH s AS (SELECT col AS x, avg(depth) AS depth FROM cells GROUP BY col), b AS (SELECT x, 0.9 AS low, 1.0 AS high FROM s WHERE x % 3 = 0) SELECT count(*) FILTER (depth BETWEEN low - 0.02 AND high + 0.02) AS inside, count(low) AS points, max(s.x) FILTER (depth >= 0.15) AS front_x FROM s LEFT JOIN b ON b.x = s.x""", "cells")
+def section_check(v: Views) -> DataFrame:
+    s = v.cells.groupBy(F.col("col").alias("x")).agg(F.avg("depth").alias("depth"))
+    return flood.section_check(s, s.where("x % 3 = 0").select("x", F.lit(0.9).alias("low"), F.lit(1.0).alias("high")))
+
+
+@query("""WITH r AS (SELECT 1.0 + band AS res, CASE WHEN water THEN 'after' ELSE 'before' END AS state, depth, speed FROM cells), t AS (SELECT res, sum(CASE WHEN state = 'before' AND depth > 0.05 THEN res * res ELSE 0 END) AS b, sum(CASE WHEN state = 'after' AND depth > 0.05 THEN res * res ELSE 0 END) AS a, quantile_cont(speed, 0.99) FILTER (state = 'before') AS p FROM r GROUP BY res)
+SELECT CAST(res AS DOUBLE) AS res, CAST(b AS DOUBLE) AS before_m2, CAST(a AS DOUBLE) AS after_m2, round(p, 6) AS p99_speed, round(-100 * (a - b) / b, 6) AS reduction_pct FROM t""", "cells")
+def resolution_table(v: Views) -> DataFrame:
+    r_ = v.cells.select((1.0 + F.col("band")).alias("res"), F.when(F.col("water"), "after").otherwise("before").alias("state"), "depth", "speed")
+    return rounded(flood.resolution_table(r_, "res"))
+
+
+@query("WITH p AS (SELECT band, sum(depth) AS injuries FROM cells GROUP BY band) SELECT band, round(injuries, 6) AS injuries, round(injuries - (SELECT arg_min(injuries, band) FROM p), 6) AS delta FROM p", "cells")
+def preset_table(v: Views) -> DataFrame:
+    p = v.cells.groupBy("band").agg(F.sum("depth").alias("injuries"))
+    return rounded(flood.preset_table(p, "band", "band", "injuries"))
+
+
+@query("""SELECT "row", col, CASE WHEN building THEN 'building' WHEN water THEN 'water' WHEN dem > 25 AND speed < 0.75 THEN 'paved' WHEN speed >= 0.75 THEN 'rough' WHEN infil > 0.2 THEN 'vegetation' WHEN depth < 0.5 THEN 'soil' ELSE 'ground' END AS cover FROM cells""", "cells")
+def land_cover(v: Views) -> DataFrame:
+    c = v.cells.withColumns({"exg": F.col("infil"), "relief": F.col("depth"), "std": F.col("speed"), "brightness": F.col("dem")})
+    return grids.land_cover(c, 0.2, 0.75, 25.0).select("row", "col", "cover")

@@ -87,3 +87,27 @@ def test_shadows_and_lights(spark):
     cover = sightlines.light_coverage(pts, lights, walls, 12.0)
     assert {r.point_id: r.lights for r in cover.collect()} == {1: 0, 2: 2}
     assert abs(sightlines.coverage_cost(cover, pts).first().cost - (2.0 + 0.2)) < 1e-9
+
+
+def test_upstream_and_main_stem(spark):
+    from cityweave.operators import grids
+
+    rows = [(r, c, 10.0 - c - (0.5 if r == 2 else 0.0) + abs(r - 2) * 0.1) for r in range(5) for c in range(8)]
+    cells = spark.createDataFrame(rows, "row long, col long, dem double")
+    flow = grids.receivers(cells).checkpoint()
+    acc = grids.flow_accumulation(flow)
+    top = acc.orderBy(F.desc("accumulation")).first()
+    assert (top.row, top.col) == (2, 7)
+    stem = grids.main_stem(flow, acc, least=3)
+    assert stem[0] == (2, 7) and all(c == 7 - k for k, (_, c) in enumerate(stem))
+    to = {(r.row, r.col): (r.to_row, r.to_col) for r in flow.collect()}
+    reach = set()
+    for cell in to:
+        at, seen = cell, [cell]
+        while to[at][0] is not None:
+            at = to[at]
+            seen.append(at)
+        if (2, 5) in seen:
+            reach.add(cell)
+    got = {(r.row, r.col) for r in grids.upstream(flow, spark.createDataFrame([(2, 5)], "row long, col long")).collect()}
+    assert got == reach
