@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cityweave.functions.parse import clip
+from cityweave.session import checkpointed
 
 
 def coarsen(cells: DataFrame, factor: int, mean: tuple = (), any_: tuple = (), all_: tuple = (), total: tuple = (), low: tuple = (), whole_blocks: bool = True) -> DataFrame:
@@ -70,7 +71,7 @@ def flow_accumulation(flow: DataFrame, most_rounds: int = 64) -> DataFrame:
             return state.select("row", "col", F.col("acc").alias("accumulation"))
         gain = live.groupBy(F.col("tr").alias("row"), F.col("tc").alias("col")).agg(F.sum("acc").alias("g"))
         hop = state.select(F.col("row").alias("tr"), F.col("col").alias("tc"), F.col("tr").alias("ttr"), F.col("tc").alias("ttc"))
-        state = state.join(gain, ["row", "col"], "left").join(hop, ["tr", "tc"], "left").select("row", "col", F.col("ttr").alias("tr"), F.col("ttc").alias("tc"), (F.col("acc") + F.coalesce("g", F.lit(0))).alias("acc")).checkpoint()
+        state = checkpointed(state.join(gain, ["row", "col"], "left").join(hop, ["tr", "tc"], "left").select("row", "col", F.col("ttr").alias("tr"), F.col("ttc").alias("tc"), (F.col("acc") + F.coalesce("g", F.lit(0))).alias("acc")))
     raise RuntimeError("the receivers hold a cycle")
 
 
@@ -208,12 +209,12 @@ def covered_share(cells: DataFrame, by: list[str], points: str) -> DataFrame:
 def upstream(flow: DataFrame, seeds: DataFrame, most_rounds: int = 64) -> DataFrame:
     """Cells that drain through a seed cell (row, col), the seeds included: pointer doubling over the receivers, log2(depth) rounds."""
     mark = seeds.select("row", "col", F.lit(True).alias("hit")).distinct()
-    state = flow.join(mark, ["row", "col"], "left").select("row", "col", F.col("to_row").alias("tr"), F.col("to_col").alias("tc"), F.coalesce("hit", F.lit(False)).alias("hit")).checkpoint()
+    state = checkpointed(flow.join(mark, ["row", "col"], "left").select("row", "col", F.col("to_row").alias("tr"), F.col("to_col").alias("tc"), F.coalesce("hit", F.lit(False)).alias("hit")))
     for _ in range(most_rounds):
         if state.where("tr is not null AND NOT hit").isEmpty():
             return state.where("hit").select("row", "col")
         hop = state.select(F.col("row").alias("tr"), F.col("col").alias("tc"), F.col("tr").alias("ttr"), F.col("tc").alias("ttc"), F.col("hit").alias("hit2"))
-        state = state.join(hop, ["tr", "tc"], "left").select("row", "col", F.col("ttr").alias("tr"), F.col("ttc").alias("tc"), (F.col("hit") | F.coalesce("hit2", F.lit(False))).alias("hit")).checkpoint()
+        state = checkpointed(state.join(hop, ["tr", "tc"], "left").select("row", "col", F.col("ttr").alias("tr"), F.col("ttc").alias("tc"), (F.col("hit") | F.coalesce("hit2", F.lit(False))).alias("hit")))
     raise RuntimeError("the receivers hold a cycle")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cityweave.session import checkpointed
+
 #: Tags of ways for walking.
 WALK = ["footway", "pedestrian", "path", "cycleway", "steps", "bridleway", "track"]
 
@@ -113,12 +115,12 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str, most_round
         step = front.join(e, front.node_id == e.u).select("source", F.col("v").alias("node_id"), (F.col("cost") + F.col("_w")).alias("cost")).groupBy("source", "node_id").agg(F.min("cost").alias("cost"))
         old = best.withColumnRenamed("cost", "_old")
         front = step.join(old, ["source", "node_id"], "left").where(F.col("_old").isNull() | (F.col("cost") < F.col("_old") - 1e-9)).drop("_old")
-        front = front.checkpoint()
+        front = checkpointed(front)
         if front.isEmpty():
             return best
         best = best.union(front).groupBy("source", "node_id").agg(F.min("cost").alias("cost"))
         if k % checkpoint_every == checkpoint_every - 1:
-            best = best.checkpoint()
+            best = checkpointed(best)
     raise RuntimeError(f"labels still improve after {most_rounds} rounds")
 
 
@@ -130,7 +132,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         near = both.join(label, both.v == label.node_id).groupBy(F.col("u").alias("node_id")).agg(F.min("c").alias("m"))
         hop = label.join(near, "node_id").select("node_id", F.least("c", "m").alias("c"), F.col("c").alias("was"))
         jump = label.select(F.col("node_id").alias("c"), F.col("c").alias("cc"))
-        new = hop.join(jump, "c", "left").select("node_id", F.least("c", F.coalesce("cc", "c")).alias("c"), "was").checkpoint()
+        new = checkpointed(hop.join(jump, "c", "left").select("node_id", F.least("c", F.coalesce("cc", "c")).alias("c"), "was"))
         if new.where("c <> was").isEmpty():
             return new.select("node_id", F.col("c").alias("component"))
         label = new.select("node_id", "c")
