@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cityweave.session import shared_folder
+
 #: Rows of one Arrow batch handed to Python; whole texts are long, so batches are short.
 BATCH_ROWS = 256
 #: Bytes at which a batch is closed early.
@@ -31,17 +32,8 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS, n_bytes: int = BA
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="cityweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
