@@ -134,7 +134,8 @@ def betweenness(edges: DataFrame, weight: str, normalized: bool = True) -> DataF
 
     n = nodes.count()
     scale = 1.0 / (n * (n - 1)) if normalized and n > 1 else 1.0
-    one = nodes.mapInPandas(each, "u long, v long, c double").groupBy("u", "v").agg((F.sum("c") * scale).alias("c"))
+    load = nodes.mapInPandas(each, "u long, v long, c double").groupBy("u", "v").agg((F.sum("c") * scale).alias("c"))
+    one = edges.select("u", "v").distinct().join(load, ["u", "v"], "left").fillna(0.0, ["c"])  # edges on no shortest path have 0
     pair = one.withColumn("_a", F.least("u", "v")).withColumn("_b", F.greatest("u", "v"))
     top = pair.groupBy("_a", "_b").agg(F.max("c").alias("centrality"))
     return pair.join(top, ["_a", "_b"]).select("u", "v", "centrality")

@@ -312,11 +312,10 @@ def sssp_lengths(v: Views) -> DataFrame:
     return rounded(network.shortest_paths(v.edges, v.spark.range(1).select(F.col("id").alias("node_id")), "length"))
 
 
-# the sample streets form one component; those of one class and line are sparser
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT u, v FROM edges WHERE (u + v) % 11 = 0 UNION SELECT v, u FROM edges WHERE (u + v) % 11 = 0), r(a, b) AS (SELECT u, u FROM e UNION SELECT r.a, e.v FROM r JOIN e ON r.b = e.u)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT u, v FROM edges UNION SELECT v, u FROM edges), r(a, b) AS (SELECT u, u FROM e UNION SELECT r.a, e.v FROM r JOIN e ON r.b = e.u)
 SELECT a AS node_id, min(b) AS component FROM r GROUP BY a""", "edges")
 def connected_components(v: Views) -> DataFrame:
-    return network.components(v.edges.where("(u + v) % 11 = 0"))
+    return network.components(v.edges)
 
 
 # space
@@ -346,13 +345,13 @@ def pedestrian_collisions(v: Views) -> DataFrame:
     return rounded(hit.groupBy("row_id").agg(F.max("car_speed").alias("impact")))
 
 
-_SEG = "seg AS (SELECT DISTINCT a.node_id * 100 + b.node_id AS sid, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM edges e JOIN nodes a ON a.node_id = e.u JOIN nodes b ON b.node_id = e.v WHERE (e.u + e.v) % 7 = 0 AND e.u < e.v)"
+_SEG = "seg AS (SELECT DISTINCT a.node_id * 100 + b.node_id AS sid, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM edges e JOIN nodes a ON a.node_id = e.u JOIN nodes b ON b.node_id = e.v WHERE e.u < e.v)"
 
 
 def segments(v: Views) -> DataFrame:
     n = v.nodes
     a, b = n.select(F.col("node_id").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay")), n.select(F.col("node_id").alias("v"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    e = v.edges.where("(u + v) % 7 = 0 AND u < v").select("u", "v").distinct()
+    e = v.edges.where("u < v").select("u", "v").distinct()
     return e.join(a, "u").join(b, "v").select((F.col("u") * 100 + F.col("v")).alias("sid"), "ax", "ay", "bx", "by")
 
 
@@ -557,7 +556,7 @@ def clear_sky_day(v: Views) -> DataFrame:
 def flood_run_kernel(v: Views) -> DataFrame:
     from cityweave.operators.floodsim import run_all
 
-    c = v.cells.where("row < 40").select(F.concat(F.lit("b"), F.floor(F.col("row") / 20)).alias("run_id"), (F.col("row") % 20).cast("int").alias("row"), F.col("col").cast("int").alias("col"), "dem", F.lit(0.03).alias("manning"), (F.col("infil") * 10).alias("infil_mmh"), F.lit("s").alias("storm"))
+    c = v.cells.select(F.concat(F.lit("b"), F.floor(F.col("row") / 20)).alias("run_id"), (F.col("row") % 20).cast("int").alias("row"), F.col("col").cast("int").alias("col"), "dem", F.lit(0.03).alias("manning"), (F.col("infil") * 10).alias("infil_mmh"), F.lit("s").alias("storm"))
     return run_all(c, {"s": [(0.0, 300.0, 60.0)]}, 600.0, 2.0)
 
 
@@ -565,12 +564,12 @@ def flood_run_kernel(v: Views) -> DataFrame:
 def edge_betweenness(v: Views) -> DataFrame:
     from cityweave.operators.routing import betweenness
 
-    return betweenness(v.edges.where("(u + v) % 5 < 2"), "length")
+    return betweenness(v.edges, "length")
 
 
 @query()
 def pareto_routes(v: Views) -> DataFrame:
     from cityweave.operators.routing import routes
 
-    pairs = v.spark.range(20).select(F.col("id").alias("pair_id"), F.col("id").alias("origin"), (99 - F.col("id")).alias("destination"))
+    pairs = v.spark.range(100).select(F.col("id").alias("pair_id"), F.col("id").alias("origin"), (99 - F.col("id")).alias("destination"))
     return routes(v.edges.where("highway <> 'footway'"), pairs, "length", 3)

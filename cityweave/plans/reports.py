@@ -74,11 +74,11 @@ def bridge_edges(v: Views) -> DataFrame:
     return b.agg(F.count("*").alias("n"), F.max("seq").alias("top"), F.round(F.sum("length"), 4).alias("total"))
 
 
-@query("""WITH q AS (SELECT a.node_id * 100 + b.node_id AS query_id, a.node_id AS a, b.node_id AS b FROM nodes a, nodes b WHERE a.node_id < b.node_id AND b.node_id < 40), e AS (SELECT DISTINCT u, v FROM edges WHERE (u * 7 + v) % 3 = 0)
+@query("""WITH q AS (SELECT a.node_id * 100 + b.node_id AS query_id, a.node_id AS a, b.node_id AS b FROM nodes a, nodes b WHERE a.node_id < b.node_id), e AS (SELECT DISTINCT u, v FROM edges WHERE highway = 'primary')
 SELECT query_id, CASE WHEN f.u IS NOT NULL OR r.u IS NOT NULL THEN f.u IS NULL OR r.u IS NULL END AS one_way, CASE WHEN f.u IS NOT NULL OR r.u IS NOT NULL THEN f.u IS NOT NULL END AS forward FROM q LEFT JOIN e f ON f.u = q.a AND f.v = q.b LEFT JOIN e r ON r.u = q.b AND r.v = q.a""", "edges nodes")
 def road_directions(v: Views) -> DataFrame:
-    q = v.spark.range(1600).select(F.floor(F.col("id") / 40).alias("a"), (F.col("id") % 40).alias("b")).where("a < b").withColumn("query_id", F.col("a") * 100 + F.col("b"))
-    return network.resolve_direction(q, v.edges.where("(u * 7 + v) % 3 = 0"))
+    q = v.spark.range(10_000).select(F.floor(F.col("id") / 100).alias("a"), (F.col("id") % 100).alias("b")).where("a < b").withColumn("query_id", F.col("a") * 100 + F.col("b"))
+    return network.resolve_direction(q, v.edges.where("highway = 'primary'"))
 
 
 @query("""WITH e AS (SELECT *, key % 3 + 1 AS n FROM edges WHERE highway <> 'footway'), l AS (SELECT *, unnest(range(n)) AS i FROM e) SELECT u, CAST(count(*) AS BIGINT) AS lanes, round(sum((i - (n - 1) / 2.0) * 3.2 * length), 3) AS moment FROM l GROUP BY u""", "edges")

@@ -90,12 +90,12 @@ def points_along_roads(v: Views) -> DataFrame:
 
 
 # junctions
-_BEAR = "b AS (SELECT DISTINCT e.v AS node, e.u AS edge, CASE WHEN degrees(atan2(a.x - n.x, a.y - n.y)) < 0 THEN degrees(atan2(a.x - n.x, a.y - n.y)) + 360 ELSE degrees(atan2(a.x - n.x, a.y - n.y)) END AS bearing FROM edges e JOIN nodes a ON a.node_id = e.u JOIN nodes n ON n.node_id = e.v WHERE (e.u * 3 + e.v) % 20 = 0)"
+_BEAR = "b AS (SELECT DISTINCT e.v AS node, e.u AS edge, CASE WHEN degrees(atan2(a.x - n.x, a.y - n.y)) < 0 THEN degrees(atan2(a.x - n.x, a.y - n.y)) + 360 ELSE degrees(atan2(a.x - n.x, a.y - n.y)) END AS bearing FROM edges e JOIN nodes a ON a.node_id = e.u JOIN nodes n ON n.node_id = e.v)"
 
 
 def approaches(v: Views) -> DataFrame:
     a, n = (v.nodes.select(F.col("node_id").alias(k), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y")) for k in "uv")
-    e = v.edges.where("(u * 3 + v) % 20 = 0").select("u", "v").distinct().join(a, "u").join(n, "v")
+    e = v.edges.select("u", "v").distinct().join(a, "u").join(n, "v")
     return e.select(F.col("v").alias("node"), F.col("u").alias("edge"), motion.bearing(F.col("vx"), F.col("vy"), F.col("ux"), F.col("uy")).alias("bearing"))
 
 
@@ -151,10 +151,10 @@ def direction_arrows(v: Views) -> DataFrame:
     return network.systematic_sample(v.edges.select("seq").distinct(), "seq", 180)
 
 
-@query("""WITH l AS (SELECT DISTINCT u, v, 0 AS key, key AS lane_index, u * 1000000 + v * 100 + key AS path_id FROM edges WHERE u < 20)
+@query("""WITH l AS (SELECT DISTINCT u, v, 0 AS key, key AS lane_index, u * 1000000 + v * 100 + key AS path_id FROM edges)
 SELECT path_id, coalesce(lag(path_id) OVER w, -1) AS left_id, coalesce(lead(path_id) OVER w, -1) AS right_id FROM l WINDOW w AS (PARTITION BY u, v ORDER BY lane_index)""", "edges")
 def lane_neighbours(v: Views) -> DataFrame:
-    l = v.edges.where("u < 20").select("u", "v", F.lit(0).alias("key0"), F.col("key").alias("lane_index"), (F.col("u") * 1000000 + F.col("v") * 100 + F.col("key")).alias("path_id")).distinct()  # noqa: E741
+    l = v.edges.select("u", "v", F.lit(0).alias("key0"), F.col("key").alias("lane_index"), (F.col("u") * 1000000 + F.col("v") * 100 + F.col("key")).alias("path_id")).distinct()  # noqa: E741
     return network.lane_links(l.withColumnRenamed("key0", "key")).select("path_id", "left_id", "right_id")
 
 

@@ -63,7 +63,7 @@ def test_betweenness(spark):
     got = {(r.u, r.v): r.centrality for r in routing.betweenness(bow_tie(spark), "length").collect()}
     # by hand, per source-target pair: the two triangles meet in node 2
     assert abs(got[(2, 3)] - 3 / 20) < 1e-12 and abs(got[(0, 1)] - 1 / 20) < 1e-12
-    assert got[(2, 3)] == got[(3, 2)] > got[(0, 1)] > 0
+    assert got[(2, 3)] == got[(3, 2)] > got[(0, 1)] > 0 and len(got) == 12
 
 
 def test_routes(spark):
