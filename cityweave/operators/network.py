@@ -143,7 +143,7 @@ def axis_groups(approaches: DataFrame, node: str, bearing: str, phases: int = 2)
     """phase of each approach: bearings mod 180 in circular order, cut at the phases - 1 largest gaps (ties: the first)."""
     a = approaches.withColumn("axis", F.pmod(F.col(bearing), F.lit(180.0)))
     w = Window.partitionBy(node).orderBy("axis", "edge")
-    gap = F.lead("axis").over(w) - F.col("axis")
+    gap = F.round(F.lead("axis").over(w) - F.col("axis"), 5)  # equal gaps stay equal whatever the last digits say
     a = a.withColumn("_gap", gap)
     cut = F.row_number().over(Window.partitionBy(node).orderBy(F.desc_nulls_last("_gap"), "axis", "edge")) <= phases - 1
     a = a.withColumn("_cut", (cut & F.col("_gap").isNotNull() & (F.col("_gap") > 0)).cast("int"))

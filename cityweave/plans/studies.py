@@ -90,16 +90,16 @@ def points_along_roads(v: Views) -> DataFrame:
 
 
 # junctions
-_BEAR = "b AS (SELECT DISTINCT e.v AS node, e.u AS edge, CASE WHEN degrees(atan2(a.x - n.x, a.y - n.y)) < 0 THEN degrees(atan2(a.x - n.x, a.y - n.y)) + 360 ELSE degrees(atan2(a.x - n.x, a.y - n.y)) END AS bearing FROM edges e JOIN nodes a ON a.node_id = e.u JOIN nodes n ON n.node_id = e.v)"
+_BEAR = "b AS (SELECT DISTINCT e.v AS node, e.u AS edge, round(CASE WHEN degrees(atan2(a.x - n.x, a.y - n.y)) < 0 THEN degrees(atan2(a.x - n.x, a.y - n.y)) + 360 ELSE degrees(atan2(a.x - n.x, a.y - n.y)) END, 6) AS bearing FROM edges e JOIN nodes a ON a.node_id = e.u JOIN nodes n ON n.node_id = e.v)"
 
 
 def approaches(v: Views) -> DataFrame:
     a, n = (v.nodes.select(F.col("node_id").alias(k), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y")) for k in "uv")
     e = v.edges.select("u", "v").distinct().join(a, "u").join(n, "v")
-    return e.select(F.col("v").alias("node"), F.col("u").alias("edge"), motion.bearing(F.col("vx"), F.col("vy"), F.col("ux"), F.col("uy")).alias("bearing"))
+    return e.select(F.col("v").alias("node"), F.col("u").alias("edge"), F.round(motion.bearing(F.col("vx"), F.col("vy"), F.col("ux"), F.col("uy")), 6).alias("bearing"))
 
 
-@query(f"""WITH {_BEAR}, a AS (SELECT *, bearing % 180 AS axis FROM b), g AS (SELECT *, lead(axis) OVER (PARTITION BY node ORDER BY axis, edge) - axis AS gap FROM a),
+@query(f"""WITH {_BEAR}, a AS (SELECT *, bearing % 180 AS axis FROM b), g AS (SELECT *, round(lead(axis) OVER (PARTITION BY node ORDER BY axis, edge) - axis, 5) AS gap FROM a),
 c AS (SELECT *, CASE WHEN gap > 0 AND row_number() OVER (PARTITION BY node ORDER BY gap DESC NULLS LAST, axis, edge) <= 1 THEN 1 ELSE 0 END AS cut FROM g)
 SELECT node, edge, CAST(coalesce(sum(cut) OVER (PARTITION BY node ORDER BY axis, edge ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS phase FROM c""", "edges nodes")
 def axis_phases(v: Views) -> DataFrame:
