@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cityweave.llm.base import map_batches, materialize, partitions_for
@@ -201,15 +201,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select("doc_id", "fingerprint", "component_id", "component_key", "text_key")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
-    """docs with one row of each component: that of the smallest id (of equal ids, the smallest text hash; of equal rows, one)."""
+def row_rank() -> Column:
+    """Orders the rows (doc_id, text_key) of one component: the least of them stays."""
+    return F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("i"), F.col("text_key").alias("k"), F.col("doc_id").alias("d"))
+
+
+def keep_first(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose row_rank() is column x of kept; of equal rows, one."""
     from pyspark.sql import Window
 
     from cityweave.llm.base import text_hash
 
-    marked = near_duplicates(docs, id_col, text_col, budget)
-    rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("i"), F.col("text_key").alias("k"), F.col("doc_id").alias("d"))
-    kept = marked.groupBy("component_key").agg(F.min(rank).alias("x")).select(F.col("x.i").alias("_i"), F.col("x.k").alias("_k"))
+    kept = kept.select(F.col("x.i").alias("_i"), F.col("x.k").alias("_k"))
     rows = docs.withColumn("_i", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))).withColumn("_k", text_hash(F.col(text_col)))
     first = F.row_number().over(Window.partitionBy("_i", "_k").orderBy(F.lit(1)))
     return rows.join(kept, ["_i", "_k"], "left_semi").withColumn("_n", first).where("_n = 1").drop("_i", "_k", "_n")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+    """docs with one row of each component: that of the smallest id (of equal ids, the smallest text hash; of equal rows, one)."""
+    marked = near_duplicates(docs, id_col, text_col, budget)
+    return keep_first(docs, marked.groupBy("component_key").agg(F.min(row_rank()).alias("x")), id_col, text_col)
