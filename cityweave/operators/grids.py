@@ -229,7 +229,10 @@ def main_stem(flow: DataFrame, accumulation: DataFrame, least: float = 100.0, sh
     bound = max(least, share * top.accumulation)
     big = flow.join(accumulation, ["row", "col"]).where((F.col("accumulation") >= bound) & F.col("to_row").isNotNull())
     best = big.groupBy("to_row", "to_col").agg(F.max(F.struct("accumulation", (-F.col("row")).alias("r"), (-F.col("col")).alias("c"))).alias("x"))
-    up = {(r.to_row, r.to_col): (-r.x.r, -r.x.c) for r in best.limit(most).collect()}
+    rows = best.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} cells over the bound")
+    up = {(r.to_row, r.to_col): (-r.x.r, -r.x.c) for r in rows}
     out = [(top.row, top.col)]
     while out[-1] in up:
         out.append(up[out[-1]])
