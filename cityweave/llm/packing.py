@@ -8,9 +8,10 @@ A document longer than a sequence is cut so that all pieces but the first are wh
 first, shorter piece is packed. Pieces are dealt by hash into groups of about `GROUP` pieces; each group is packed
 online by a task of its own, so its memory is bounded and the number of groups follows the input.
 
-Token ids come from the tokenizer's own model. Byte-level pre-tokens never reach across a space that follows
-a non-space, so the text is cut there and every distinct cut piece is encoded once; the memo is bounded, and pieces
-beyond it are encoded again when they recur.
+Token ids are those of the tokenizer as its file sets it up, special tokens in a text included. Byte-level pre-tokens
+never reach across a space that follows a non-space, so the text is cut there, and words of Latin letters, digits and marks
+are cut into their pre-tokens. Words and pre-tokens are remembered; the memo is bounded, and what is beyond it is encoded
+again when it recurs. A text with one of the tokenizer's added tokens is encoded whole.
 
 Defined cases: null text is empty, and an empty document is its end token alone; repeated rows are packed as often as
 they occur; null ids are kept.
@@ -20,9 +21,7 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,56 +36,86 @@ CAPACITY = 1024
 END_ID = 2
 OPEN_BINS = 1024
 GROUP = 12_000
-#: Distinct cut pieces whose ids a worker remembers, and the longest of them.
+#: Words, and parts of words, whose ids a worker remembers, and the longest of them.
 MEMO = 600_000
 MEMO_CHARS = 64
 LOOSE = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
+#: ASCII marks without the apostrophe, which begins pre-tokens such as 's.
+MARKS = "".join(chr(k) for k in range(33, 127) if not chr(k).isalnum() and chr(k) != "'")
+LAST_LETTER = "\u00ff"
+_LETTER, _MARK = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", re.escape(MARKS)
+#: Words whose pre-tokens are plain to see: runs of Latin letters, of digits, of marks, single line ends within.
+SIMPLE = re.compile(rf"[{_LETTER}0-9{_MARK}]+(?:\n[{_LETTER}0-9{_MARK}]+)*").fullmatch
+PARTS = re.compile(rf"[{_LETTER}]+|[0-9]+|[{_MARK}]+|\n").findall
 
 
-class Memo:
-    """Ids of texts as bytes (little-endian unsigned 32-bit), the same as the tokenizer gives for the whole text."""
+def byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write the 256 bytes: printable Latin-1 by itself, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+BYTES = byte_letters()
+SPACE = BYTES[32]
+TO_BYTES = int.to_bytes
+
+
+class Memo(dict):
+    """Ids, as bytes (little-endian unsigned 32-bit), of a space and the word that is the key; bounded, filled by look-ups."""
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, pieces: list[str]) -> list[bytes]:
-        found = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for a in found:
-                a.byteswap()
-        return [a.tobytes() for a in found]
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
+        self.model = self.tokenizer.model
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: A text with one of these is encoded whole: the tokenizer cuts it there before it looks at spaces.
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda _: None
+        self.parts: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def part(self, text: str) -> bytes:
+        """Ids of one pre-token, by the tokenizer's model alone."""
+        written = SPACE + text[1:] if text.isascii() and text[0] == " " else text.encode().decode("latin-1").translate(BYTES)
+        return b"".join([TO_BYTES(t.id, 4, "little") for t in self.model.tokenize(written)])
+
+    def inner(self, text: str) -> bytes:
+        """part(), remembered."""
+        ids = self.parts.get(text)
+        if ids is None:
+            ids = self.part(text)
+            if len(self.parts) < MEMO and len(text) <= MEMO_CHARS:
+                self.parts[text] = ids
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(MARKS)
+        if stem and stem.isalpha() and (stem.isascii() or max(stem) <= LAST_LETTER):
+            ids = self.part(" " + word) if len(stem) == len(word) else self[stem] + self.inner(word[len(stem) :])
+        elif SIMPLE(word):
+            first, *rest = PARTS(word)
+            ids = b"".join([self[first] if first != word else self.part(" " + word), *map(self.inner, rest)])
+        else:
+            ids = self.encode(" " + word)
+        if len(self) < MEMO and len(word) <= MEMO_CHARS:
+            self[word] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        """The ids that the tokenizer gives for the whole text."""
+        if self.added(text):
+            return self.encode(text)
+        of = self.__getitem__
         if text[:1] == " " or LOOSE.search(text):
-            return CUT.split(text)
+            return b"".join([of(x[1:]) if x[:1] == " " else self.encode(x) for x in CUT.split(text)])
         head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        cuts = [self.cut(t) for t in texts]
-        wanted = set().union(*cuts)
-        wanted.discard("")
-        missing = [w for w in wanted if w not in self.known]
-        fresh: dict[str, bytes] = {"": b""}
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
-            fresh.update(zip(part, self.encode(part)))
-        room = MEMO - len(self.known)
-        if room > 0:
-            self.known.update([(w, i) for w, i in fresh.items() if len(w) <= MEMO_CHARS][:room])
-        if all(w in self.known for w in fresh):
-            get = self.known.__getitem__
-        else:
-            known = self.known
-            get = lambda w: fresh[w] if w in fresh else known[w]
-        return [b"".join(map(get, c)) for c in cuts]
+        return self.encode(head) + b"".join(map(of, rest))
 
 
 _memos: dict[str, Memo] = {}
@@ -123,8 +152,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         memo, row = memo_of(tokenizer), TaskContext.get().partitionId() << 40
         for b in batches:
             out = []
-            for i, ids in zip(b.column("doc_id").to_pylist(), memo.ids([t or "" for t in b.column("text").to_pylist()])):
-                ids += end
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                ids = memo.ids(t or "") + end
                 for k, (s, n) in enumerate(cut_pieces(len(ids) // 4, capacity)):
                     out.append((i, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), row))
                     row += 1
