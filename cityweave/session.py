@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, one machine), one of our own, kept for the session."""
+    """The folder of spark.checkpoint.dir. Where that is unset, one of our own, kept for the session: in the warehouse on a
+    cluster, whose executors share no local folders, and a temporary one where driver and executors are one process."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="cityweave-")
+        if context.master.startswith("local"):
+            folder = "file://" + tempfile.mkdtemp(prefix="cityweave-")
+        else:
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_cityweave-{context.applicationId}"
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
