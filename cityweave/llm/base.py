@@ -24,16 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS, n_bytes: int = BATCH_BYTES) -> None:
-    """Arrow batches of whole texts must stay small; lower settings of the session are kept."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
+    """Arrow batches of whole texts must stay small: larger settings of the session are lowered, lower ones are kept."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", n_bytes)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are; clear_scratch() deletes it."""
+    return f"{shared_folder(spark)}/cityweave-{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -41,13 +45,46 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that materialize() returned and that no plan reads any more."""
+    drop_path(df.sparkSession, df.scratch_path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results must have been read or written before."""
+    drop_path(spark, scratch_folder(spark))
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder by the file system that owns it."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    p, system = _hadoop_path(spark, path)
+    system.delete(p, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p, system = _hadoop_path(spark, path)
+    return system.exists(p)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, lengthened where df has a column of that name already (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def partitions_for(spark: SparkSession, n_bytes: int, each: int) -> int:

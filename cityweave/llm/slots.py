@@ -7,8 +7,11 @@ the others stay. Versions of a map are kept side by side in one table, so an old
 The law that holds is `bytes`: shards are near equal in size. (The map depends on the bytes of the slots, so doc_id and
 shard count alone don't decide, and grown_shard is null.)
 
-Defined cases: null text has no bytes and size 1; repeated rows are told apart by a copy number that enters the hash, so
-one record repeated millions of times spreads over the slots; null ids hash like any other value.
+A run goes on from the last version at the map's path: it edits that version for the bytes of its rows and saves the next
+one, or none where nothing moves. A version is a folder of its own that a repeated run overwrites.
+
+Defined cases: null text has no bytes and size 1; null ids hash like any other value; rows of one id and text share a slot
+unless they are more than `REPEATS`, which spread over the slots; an empty table leaves the map as it is.
 """
 
 from __future__ import annotations
@@ -17,12 +20,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cityweave.llm.base import fresh_path, materialize
+from cityweave.llm.base import free_names, fresh_path, materialize, path_exists
 
 SLOTS = 8192
 SHARDS = 16
 #: Shards may differ from the mean by this share before slots move ...
 TOLERANCE = 0.0005
+#: Rows of one id and text beyond which they are spread over the slots.
+REPEATS = 1000
 
 
 def first_map(slots: int, shards: int) -> np.ndarray:
@@ -76,8 +81,9 @@ def rebalance(where: np.ndarray, weight: np.ndarray, shards: int, tolerance: flo
 
 
 def save_map(spark: SparkSession, path: str, version: int, where: np.ndarray) -> None:
-    rows = [(version, int(s), int(k)) for s, k in enumerate(where)]
-    spark.createDataFrame(rows, "version int, virtual_slot int, shard int").coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Write one version; its folder is overwritten, so a repeated run changes nothing."""
+    rows = [(int(s), int(k)) for s, k in enumerate(where)]
+    spark.createDataFrame(rows, "virtual_slot int, shard int").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -86,6 +92,19 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return t.where(F.col("version") == (version if version is not None else t.agg(F.max("version")).first()[0])).select("version", "virtual_slot", "shard")
 
 
+def last_map(spark: SparkSession, path: str, slots: int) -> tuple[int, np.ndarray] | None:
+    """(version, shard of each slot) of the last version; None where there is none yet."""
+    rows = load_map(spark, path).collect() if path_exists(spark, path) else []
+    if not rows:
+        return None
+    if sorted(r.virtual_slot for r in rows) != list(range(slots)):
+        raise ValueError(f"the map at {path} has {len(rows)} slots, not {slots}; their number is fixed for good")
+    where = np.zeros(slots, np.int64)
+    for r in rows:
+        where[r.virtual_slot] = r.shard
+    return rows[0].version, where
+
+
 def virtual_slot(slots: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(slots)).cast("int")
 
@@ -95,24 +114,33 @@ def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: st
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    copies = rows.groupBy("doc_id", "size", "text_crc32").count()
-    spread = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "count"))).drop("count")
-    narrow = materialize(spread.withColumn("virtual_slot", virtual_slot(slots, F.col("doc_id"), F.col("text_crc32"), F.col("copy"))), "records")
+    key = ["doc_id", "size", "text_crc32"]
+    numbered = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "records")
+    # more rows of one record than this are told apart by their numbers, so that no slot holds them all
+    many = numbered.groupBy(*key).count().where(F.col("count") > REPEATS).select(*(F.col(k).alias(f"{k}_") for k in key), F.lit(True).alias("many"))
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_crc32") == F.col("text_crc32_")) & (F.col("size") == F.col("size_"))
+    salt = F.when(F.col("many"), F.col("row")).otherwise(F.lit(0).cast("long"))
+    narrow = materialize(numbered.join(many, same, "left").select(*key, "row", virtual_slot(slots, F.col("doc_id"), F.col("text_crc32"), salt).alias("virtual_slot")), "records")
     sums = narrow.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # `slots` rows at most
     weight, count = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
     for r in sums:
         weight[r.virtual_slot], count[r.virtual_slot] = r.bytes, r.n
     path = map_path or fresh_path(spark, "slot-map")
-    save_map(spark, path, 1, first_map(slots, shards))
-    where = rebalance(first_map(slots, shards), weight, shards)
-    save_map(spark, path, 2, where)
+    last = last_map(spark, path, slots)
+    if last is None:
+        last = 1, first_map(slots, shards)
+        save_map(spark, path, *last)
+    version, where = last[0], rebalance(last[1], weight, shards)
+    if (where != last[1]).any():
+        version += 1
+        save_map(spark, path, version, where)
     before = np.zeros(slots, np.int64)
     for s in range(shards):
         own = np.flatnonzero(where == s)
         before[own] = np.cumsum(count[own]) - count[own]
     base = spark.createDataFrame([(k, int(before[k])) for k in range(slots)], "virtual_slot int, base long")
-    layout = load_map(spark, path, 2).join(F.broadcast(base), "virtual_slot")
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "copy"))
+    layout = load_map(spark, path, version).join(F.broadcast(base), "virtual_slot")
+    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "row"))
     return (
         narrow.withColumn("place", place)
         .join(F.broadcast(layout), "virtual_slot")
@@ -121,6 +149,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: st
 
 
 def write_shards(docs: DataFrame, layout: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write docs under path/shard=N by a layout that assign() returned. Ids must be unique."""
-    placed = docs.join(layout.select(F.col("doc_id").alias("_id"), "shard", "slot"), F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
+    """Write docs under path/shard=N by a layout that assign() returned. Ids must be unique; docs has no columns shard or slot."""
+    (own,) = free_names(docs, "layout_id")
+    placed = docs.join(layout.select(F.col("doc_id").alias(own), "shard", "slot"), F.col(id_col).eqNullSafe(F.col(own))).drop(own)
     placed.repartition("shard", F.pmod("slot", F.lit(64))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -40,3 +40,45 @@ def test_rebalance_moves_little_and_versions_stay(spark, tmp_path):
         slots.save_map(spark, path, v, m)
     assert {x.version for x in slots.load_map(spark, path).collect()} == {2}
     assert [x.shard for x in slots.load_map(spark, path, 1).orderBy("virtual_slot").collect()] == one.tolist()
+
+
+def test_successive_runs_go_on_from_the_last_version(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(k, "x" * r.randint(1, 900)) for k in range(400)]
+    path = f"file://{tmp_path}/map"
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    maps = lambda v: {x.virtual_slot: x.shard for x in slots.load_map(spark, path, v).collect()}
+    first = slots.assign(frame(rows), shards=4, slots=512, map_path=path).collect()
+    check(rows, first, 4, 200)
+    again = slots.assign(frame(rows), shards=4, slots=512, map_path=path).collect()
+    assert sorted(first) == sorted(again) and {x.map_version for x in again} == {2}
+    grown = rows + [(1000 + k, "y" * r.randint(1, 900)) for k in range(300)]
+    more = slots.assign(frame(grown), shards=4, slots=512, map_path=path).collect()
+    check(grown, more, 4, 200)
+    assert {x.map_version for x in more} == {3}
+    before, after = maps(2), maps(3)
+    assert 0 < sum(before[k] != after[k] for k in before) < 100
+    fifth = slots.assign(frame(grown), shards=5, slots=512, map_path=path).collect()
+    check(grown, fifth, 5, 200)
+    assert all(s == after[k] or s == 4 for k, s in maps(4).items() if after[k] != s) or sum(after[k] != s for k, s in maps(4).items()) < 200
+    slots.save_map(spark, path, 4, np.array([maps(4)[k] for k in range(512)]))  # a repeated write
+    assert len(maps(4)) == 512
+    assert slots.assign(frame(rows).limit(0), shards=5, slots=512, map_path=path).count() == 0
+    assert maps(None) == maps(4)
+
+
+def test_ties_and_long_texts(spark):
+    rows = [(k, "same") for k in range(64)] + [(100, "z" * 3_000_000), (101, "")]
+    got = slots.assign(spark.createDataFrame(rows, "doc_id long, text string"), shards=3).collect()
+    check(rows, got, 3, 3_000_001)
+    many = [(1, "hot")] * (slots.REPEATS * 3)
+    got = slots.assign(spark.createDataFrame(many, "doc_id long, text string"), shards=4).collect()
+    check(many, got, 4, 40)
+
+
+def test_write_shards(spark, tmp_path):
+    rows = [(k, "t" * k, "x") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, layout_id string")
+    slots.write_shards(docs, slots.assign(docs, shards=3), f"file://{tmp_path}/shards")
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert sorted(tuple(x)[:3] for x in back.select("doc_id", "text", "layout_id").collect()) == sorted(rows)
