@@ -6,10 +6,12 @@ exceed the budget. The trie is held implicitly: a node is a range of a sorted ar
 numpy steps over all node pairs of one depth.
 
 Distribution: with a budget of d, two linked fingerprints agree on at least one of d + 1 blocks of bits. Every distinct
-fingerprint goes once to each block's value; rotated so that this block comes first, the walk starts below it. A value
-that very many fingerprints share is cut into chunks by hash and every pair of chunks becomes a task of its own, so no
-task holds an unbounded group and no link is lost. Each task returns a spanning forest of its links, never all pairs;
-the forests are merged by alternating large-star and small-star rounds over written tables.
+fingerprint goes once to each block's value, its bits turned so that this block comes first, and the walk starts below it.
+A value that more than `GROUP` fingerprints share is taken apart by the same rule: the bits that are left make d + 1 blocks
+again, and linked fingerprints agree on one of those too. This goes on until no value is too large, which must be so when
+fewer bits are left than `GROUP` has, so no task holds an unbounded group, no link is lost, and the rows made grow with the
+fingerprints, not with pairs of them. Each task returns a spanning forest of its links; the forests are merged by
+alternating large-star and small-star rounds over written tables.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero and links like any other; repeated
 rows each get a row; null ids are returned, never chosen as a component's id unless it has no other (then null).
@@ -22,17 +24,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cityweave.llm.base import map_batches, materialize, partitions_for
+from cityweave.llm.base import discard, free_names, map_batches, materialize, partitions_for, text_hash
 
 SEED = 42
 BITS = 64
 SHINGLE_WORDS = 3
 BUDGET = 2
-#: Fingerprints of one block value that a task walks at once; larger values are cut into chunk pairs.
-CHUNK = 2048
+#: Fingerprints of one block value that are walked at once; larger values are taken apart by further bits.
+GROUP = 256
+#: Rows that a task walks, about.
+TASK_ROWS = 100_000
 #: Node pairs of one depth that are expanded at once.
 FRONTIER = 1 << 20
 
@@ -57,8 +61,6 @@ def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> bytes
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a long), fingerprint (16 hex digits), text_key (xxhash64 of the text)."""
-    from cityweave.llm.base import text_hash
-
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_key"), F.col(text_col).cast("binary").alias("body"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,57 +122,57 @@ def forest(n: int, links: np.ndarray) -> np.ndarray:
     return label
 
 
-def blocks(budget: int = BUDGET) -> list[tuple[int, int]]:
-    """(first bit, width) of budget + 1 blocks that cover all bits."""
-    cuts = [BITS * k // (budget + 1) for k in range(budget + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def taken_apart(keyed: DataFrame, budget: int) -> DataFrame:
+    """keyed (fp, turned: its bits, of which the first `depth` are agreed on, path) once for each of budget + 1 blocks of the bits left.
+
+    Each row's block comes next in turned; depth grows by its width, value holds the bits agreed on, path the blocks taken."""
+    each = keyed.select("*", F.explode(F.array(*(F.lit(k) for k in range(budget + 1)))).alias("k"))
+    each = each.selectExpr("fp", "turned", "depth", f"path * {budget + 2} + k + 1 AS path", "64 - depth AS left", f"CAST((64 - depth) * k DIV {budget + 1} AS INT) AS a", f"CAST((64 - depth) * (k + 1) DIV {budget + 1} AS INT) AS b")
+    # a shift by 64 places is none in the JVM, so the first step has no mask
+    each = each.selectExpr("fp", "turned", "depth", "path", "left", "a", "b", "IF(left = 64, -1L, shiftleft(1L, left) - 1L) AS mask")
+    moved = "(shiftleft(turned & mask, a) | IF(a = 0, 0L, shiftrightunsigned(turned & mask, left - a))) & mask"
+    each = each.selectExpr("fp", f"(turned & ~mask) | ({moved}) AS turned", "depth + b - a AS depth", "path")
+    return each.selectExpr("fp", "turned", "depth", "path", "shiftrightunsigned(turned, 64 - depth) AS value")
+
 
+def groups(distinct: DataFrame, budget: int, most: int) -> DataFrame:
+    """path, depth, value, fp, turned: groups of `most` fingerprints at most, in one of which every linked pair meets."""
+    level, ready = distinct.selectExpr("fp", "fp AS turned", "0 AS depth", "0L AS path"), None
+    while True:
+        keyed = taken_apart(level, budget)
+        sizes = keyed.groupBy("path", "value").agg(F.count("*").alias("n")).where("n > 1")
+        met = materialize(keyed.join(sizes, ["path", "value"]), "groups")
+        small = met.where(F.col("n") <= most).drop("n")
+        ready = small if ready is None else ready.union(small)
+        level = met.where(F.col("n") > most).select("fp", "turned", "depth", "path")
+        if level.isEmpty():
+            return ready
 
-def links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK) -> DataFrame:
+
+def links(distinct: DataFrame, budget: int = BUDGET, most: int = GROUP) -> DataFrame:
     """u, v: a forest, per task, of the links among the distinct longs in column fp."""
-    spark, cut = distinct.sparkSession, blocks(budget)
-    fp = F.col("fp")
-    rotated = [fp if s == 0 else F.shiftleft(fp, s).bitwiseOR(F.shiftrightunsigned(fp, BITS - s)) for s, _ in cut]
-    keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), r.alias("rotated"), F.shiftrightunsigned(r, BITS - w).alias("value")) for k, (r, (_, w)) in enumerate(zip(rotated, cut))))).alias("x")).select("fp", "x.*")
-    shared = keyed.groupBy("block", "value").count().where("count > 1")
-    parts = F.ceil(F.col("count") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    grouped = (
-        keyed.join(shared, ["block", "value"])
-        .select("block", "value", "rotated", own.alias("own"), parts.alias("parts"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("block", "value", "rotated", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
-    )
-    n = partitions_for(spark, 0, 1)
-    widths = np.array([w for _, w in cut])
-    shifts = np.array([s for s, _ in cut])
+    grouped = groups(distinct, budget, max(most, 1 << budget))
+    n = partitions_for(distinct.sparkSession, grouped.count(), TASK_ROWS)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        c = {k: t.column(k).to_numpy() for k in t.column_names}
-        key = c["rotated"].astype(np.int64).view(np.uint64)
-        order = np.lexsort((key, c["own"], c["second"], c["first"], c["value"], c["block"]))
-        c, key = {k: v[order] for k, v in c.items()}, key[order]
-        group = np.flatnonzero(np.concatenate(([True], np.any([c[k][1:] != c[k][:-1] for k in ("block", "value", "first", "second", "own")], axis=0))))
-        end = np.append(group[1:], len(key))
-        alone = c["first"][group] == c["second"][group]
-        pairs, depth = [np.stack([group, end, group, end], 1)[alone]], [widths[c["block"][group[alone]]]]
-        left = np.flatnonzero(~alone[:-1] & ~alone[1:] & (c["own"][group[:-1]] == c["first"][group[:-1]]) & (c["own"][group[1:]] == c["second"][group[1:]]) & np.all([c[k][group[:-1]] == c[k][group[1:]] for k in ("block", "value", "first", "second")], axis=0)) if len(group) > 1 else np.zeros(0, np.int64)
-        pairs.append(np.stack([group[left], end[left], group[left + 1], end[left + 1]], 1))
-        depth.append(widths[c["block"][group[left]]])
-        pairs, depth = np.concatenate(pairs), np.concatenate(depth)
-        met = np.concatenate([trie_join(key, pairs[depth == d], int(d), budget) for d in np.unique(depth)] or [np.zeros((0, 2), np.int64)])
-        shift = shifts[c["block"]].astype(np.uint64)
-        plain = np.where(shift == 0, key, (key >> shift) | (key << ((np.uint64(BITS) - shift) % np.uint64(BITS)))).view(np.int64)
-        values, at = np.unique(plain, return_inverse=True)
+        fp, value, depth = (t.column(k).to_numpy() for k in ("fp", "value", "depth"))
+        path, key = t.column("path").to_numpy(), t.column("turned").to_numpy().view(np.uint64)
+        order = np.lexsort((key, value, path))
+        fp, value, depth, path, key = (x[order] for x in (fp, value, depth, path, key))
+        first = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (path[1:] != path[:-1]))))
+        end = np.append(first[1:], len(key))
+        pairs = np.stack([first, end, first, end], 1)
+        met = np.concatenate([trie_join(key, pairs[depth[first] == d], int(d), budget) for d in np.unique(depth)])
+        values, at = np.unique(fp, return_inverse=True)
         label = forest(len(values), at[met])
         moved = np.flatnonzero(label != np.arange(len(values)))
         yield pa.RecordBatch.from_arrays([pa.array(values[moved]), pa.array(values[label[moved]])], ["u", "v"])
 
-    return grouped.repartition(n, "block", "value", "first", "second").mapInArrow(walk, "u long, v long")
+    return grouped.repartition(n, "path", "value").mapInArrow(walk, "u long, v long")
 
 
 def stars(edges: DataFrame, tag: str = "stars", most: int = 60) -> DataFrame:
@@ -183,7 +185,8 @@ def stars(edges: DataFrame, tag: str = "stars", most: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        e = materialize(small, tag)
+        before, e = e, materialize(small, tag)
+        discard(before)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -191,11 +194,11 @@ def stars(edges: DataFrame, tag: str = "stars", most: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixed point after {most} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, most: int = GROUP) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint, component_id (smallest id reachable), component_key, text_key."""
     marked = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    root = stars(links(distinct.select("fp"), budget, chunk))
+    root = stars(links(distinct.select("fp"), budget, most))
     of = distinct.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = of.join(of.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id", F.col("root").alias("component_key"))
     return marked.join(named, "fp").select("doc_id", "fingerprint", "component_id", "component_key", "text_key")
@@ -207,15 +210,12 @@ def row_rank() -> Column:
 
 
 def keep_first(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of docs whose row_rank() is column x of kept; of equal rows, one."""
-    from pyspark.sql import Window
-
-    from cityweave.llm.base import text_hash
-
-    kept = kept.select(F.col("x.i").alias("_i"), F.col("x.k").alias("_k"))
-    rows = docs.withColumn("_i", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))).withColumn("_k", text_hash(F.col(text_col)))
-    first = F.row_number().over(Window.partitionBy("_i", "_k").orderBy(F.lit(1)))
-    return rows.join(kept, ["_i", "_k"], "left_semi").withColumn("_n", first).where("_n = 1").drop("_i", "_k", "_n")
+    """The rows of docs whose row_rank() is column x of kept; of equal rows, one. Columns of docs may have any names."""
+    i, k, n = free_names(docs, "rank_id", "rank_key", "rank_number")
+    kept = kept.select(F.col("x.i").alias(i), F.col("x.k").alias(k))
+    rows = docs.withColumn(i, F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))).withColumn(k, text_hash(F.col(text_col)))
+    first = F.row_number().over(Window.partitionBy(i, k).orderBy(F.lit(1)))
+    return rows.join(kept, [i, k], "left_semi").withColumn(n, first).where(F.col(n) == 1).select(*docs.columns)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
