@@ -5,8 +5,9 @@ shorter pattern). For each pattern length, a table of the blocks of two words th
 the search may move on; a word of no pattern lets it skip a whole pattern. Where a block ends a pattern, its bucket names
 the patterns that end so, told apart by their first block, and word-by-word comparison confirms an occurrence.
 
-The patterns are broadcast in blocks of items of a checked size: a larger benchmark is searched block by block over all
-documents and the findings are merged, so its size is not bounded.
+The patterns are broadcast in blocks of items of a checked size. A larger benchmark is searched block by block over all
+documents: one block at a time is held by the driver and broadcast, its findings are written, and at the end they are joined
+to the documents, so the benchmark's size is not bounded.
 
 Defined cases: null text has no words; empty benchmark: nothing is hit; items with null id or without words give no
 pattern; repeated items are one; repeated documents each get a row.
@@ -19,10 +20,11 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityweave.llm.base import map_batches, text_hash
+from cityweave.llm.base import discard, map_batches, materialize, text_hash
 
 WINDOW = 10
 BLOCK = 2
@@ -109,9 +111,8 @@ def count_hit(spans: Iterable[tuple[int, int]]) -> int:
 SCHEMA = "doc_id long, text_key long, n_words long, spans array<long>, items array<string>"
 
 
-def scan(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int) -> DataFrame:
+def scan(docs: DataFrame, held: Broadcast, window: int) -> DataFrame:
     """One row per row of docs (doc_id, text_key, body): its words, hit spans (start << 32 | end) and items."""
-    held = docs.sparkSession.sparkContext.broadcast(items)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = Benchmark(held.value, window)
@@ -127,26 +128,43 @@ def scan(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int) ->
     return map_batches(docs, each, SCHEMA)
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int) -> Iterator[list[tuple[str, bytes | None]]]:
-    """The benchmark's (item, text) rows in blocks of about most_bytes at most."""
-    rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).distinct()
-    size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = -(-int(size) // most_bytes) or 1
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield sorted((r.item, bytes(r.text)) for r in part.toLocalIterator())
+class ItemBlocks:
+    """The benchmark's (item, text) rows in blocks of about most_bytes at most, fetched one at a time."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int):
+        self.rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).distinct()
+        size = self.rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+        self.n = -(-int(size) // most_bytes) or 1
+
+    def broadcast(self, k: int) -> Broadcast:
+        part = self.rows if self.n == 1 else self.rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(self.n)) == k)
+        return self.rows.sparkSession.sparkContext.broadcast(sorted((r.item, bytes(r.text)) for r in part.toLocalIterator()))
+
+
+def findings(narrow: DataFrame, blocks: ItemBlocks, window: int) -> DataFrame:
+    """scan() of all blocks. Rows of one id and text have the same findings, so those are kept once and joined by them."""
+    if blocks.n == 1:
+        return scan(narrow, blocks.broadcast(0), window)
+    hits = None
+    for k in range(blocks.n):
+        held = blocks.broadcast(k)
+        found = scan(narrow, held, window)
+        once = found.where(F.size("spans") > 0).groupBy("doc_id", "text_key").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+        once = materialize(once, "hits")
+        held.destroy()
+        hits = once if hits is None else hits.union(once)
+    # as many lists for a key as there are blocks
+    merged = hits.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    merged = merged.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "spans", "items")
+    rows = scan(narrow, narrow.sparkSession.sparkContext.broadcast([]), window).select("doc_id", "text_key", "n_words")
+    joined = rows.join(merged, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
+    return joined.select("doc_id", "text_key", "n_words", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per row of docs: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated, and hit_spans (start << 32 | end, in words)."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_key"), F.col(text_col).cast("binary").alias("body"))
-    parts = [scan(narrow, items, window) for items in item_blocks(benchmark, item_col, item_text_col, broadcast_bytes)]
-    found = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            found = found.union(p)
-        merged = found.groupBy("doc_id", "text_key", "n_words").agg((F.count("*") / len(parts)).cast("int").alias("copies"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        found = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "text_key", "n_words", "spans", "items")
+    found = findings(narrow, ItemBlocks(benchmark, item_col, item_text_col, broadcast_bytes), window)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,10 +180,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs without the rows in which a benchmark window occurs; each block of the benchmark filters what the last one left."""
-    out, columns, context = docs, docs.columns, docs.sparkSession.sparkContext
-    for items in item_blocks(benchmark, item_col, item_text_col, broadcast_bytes):
-        held = context.broadcast(items)
+    """docs without the rows in which a benchmark window occurs; each block of the benchmark filters what the last one left.
+
+    Null and empty texts stay, repeated rows stay as often as they occur, an empty benchmark takes nothing out; columns of
+    docs may have any names."""
+    out, columns, blocks = docs, docs.columns, ItemBlocks(benchmark, item_col, item_text_col, broadcast_bytes)
+    for k in range(blocks.n):
+        held = blocks.broadcast(k)
 
         def each(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(held.value, window)
@@ -173,5 +194,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 ok = [not bench.hits(words_of(None if t is None else t.encode()))[0] for t in b.column(text_col).to_pylist()]
                 yield b.filter(pa.array(ok, pa.bool_())).select(columns)
 
-        out = map_batches(out, each, docs.schema)
+        left = map_batches(out, each, docs.schema)
+        if k + 1 < blocks.n:
+            previous, left = out, materialize(left, "clean")
+            held.destroy()
+            if k:
+                discard(previous)
+        out = left
     return out

@@ -51,3 +51,21 @@ def test_empty_tables(spark):
     row = wumanber.contamination(d, b).first()
     assert (row.n_words, row.n_hit, row.n_items, row.contaminated) == (2, 0, 0, False)
     assert wumanber.contamination(d.limit(0), b).count() == 0
+
+
+def test_long_texts_names_and_repeats(spark):
+    import random
+
+    r = random.Random(7)
+    long = " ".join(r.choice("abcdef") + str(r.randint(0, 50)) for _ in range(30_000))
+    item = " ".join(long.split()[20_000:20_012])
+    names = ["spans", "items", "hit_id", "hit_key", "n_words", "text_key", "body"]
+    docs = [(1, long), (2, "a b"), (2, "a b"), (2, "a c"), (None, item)]
+    d = spark.createDataFrame([(*x, *range(7)) for x in docs], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    items = [(k, f"{item} {k}") for k in range(30)] + [(k, f"{item} {k}") for k in range(3)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for bound in (4 << 20, 500):
+        got = wumanber.contamination(d, b, broadcast_bytes=bound).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+        assert sorted(map(tuple, got), key=str) == brute(docs, items)
+        kept = wumanber.clean(d, b, broadcast_bytes=bound)
+        assert kept.columns == d.columns and sorted(tuple(x) for x in kept.collect()) == sorted((*x, *range(7)) for x in docs[1:4])
