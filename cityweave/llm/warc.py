@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cityweave.llm.base import fresh_path, map_batches, partitions_for
+from cityweave.llm.base import fresh_path, map_batches, materialize, partitions_for
 
 REVISIT_BYTES = 1000
 #: Payload bytes of an archive, about.
@@ -49,29 +49,30 @@ def one_line(c: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", compression: str = "gzip") -> None:
-    """One record per row of pages, under path/responses and path/revisits."""
+    """One record per row of pages, under path/responses and path/revisits.
+
+    Files hold about `ARCHIVE_BYTES` of large payloads, or so many records that those of small ones and revisits stay below it."""
     spark = pages.sparkSession
     body = F.coalesce(F.col(html_col), F.lit(""))
     p = pages.select(F.col(id_col).cast("long").alias("id"), one_line(F.col(url_col)).alias("url"), body.alias("html"), F.octet_length(body).alias("n"), F.sha1(body.cast("binary")).alias("digest"))
-    heads = p.groupBy("id", "url", "n", "digest").agg(F.count("*").alias("copies"))
-    order = F.struct(F.coalesce("id", F.lit(-(2**63))).alias("o"), "id", "url")
-    best = heads.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.max(order).alias("best"), F.sum("copies").alias("all"))
+    heads = materialize(p.drop("html").withColumn("row", F.monotonically_increasing_id()), "heads")
+    order = F.struct(F.coalesce("id", F.lit(-(2**63))).alias("o"), "id", "url", "row")
+    best = heads.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.max(order).alias("best"), F.count("*").alias("all"))
     marked = heads.join(best.where("all > 1"), "digest", "left")
     chosen = F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.url") == F.col("url"))
-    revisits = marked.where("best is not null").withColumn("left", F.col("copies") - F.when(chosen, 1).otherwise(0)).where("left > 0")
-    revisits = revisits.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "left")))
+    revisits = marked.where("best.row <> row")
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
     target = urn(F.lit("response"), F.col("best.id"), F.col("best.url"), F.col("digest"))
     more = [("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", target), ("WARC-Refers-To-Target-URI", F.col("best.url"))]
-    record = urn(F.lit("revisit"), F.col("id"), F.col("url"), F.col("digest"), F.col("copy"))
+    record = urn(F.lit("revisit"), F.col("id"), F.col("url"), F.col("digest"), F.col("row"))
     lines = revisits.select(F.concat(header("revisit", F.col("id"), record, F.col("url"), F.col("digest"), F.octet_length(http), more), http).alias("value"))
-    writer = {"lineSep": END, "compression": compression}
+    writer = {"lineSep": END, "compression": compression, "maxRecordsPerFile": ARCHIVE_BYTES // 1000}
     lines.write.options(**writer).text(f"{path}/revisits")
 
     n_bytes = pages.agg(F.sum(F.octet_length(html_col) + 500)).first()[0] or 0
     key = urn(F.lit("response"), F.col("id"), F.col("url"), F.col("digest"))
     p = p.withColumn("record", key)
-    dropped = marked.where("best is not null").where(~chosen).select(key.alias("record"), F.lit(True).alias("dropped"))
+    dropped = marked.where("best is not null").where(~chosen).select(key.alias("record")).distinct().withColumn("dropped", F.lit(True))
     # The one shuffle of payloads. (An anti join would be moved below it and bring a second one.)
     large = p.where(F.col("n") >= REVISIT_BYTES).repartition(partitions_for(spark, n_bytes, ARCHIVE_BYTES), "record").join(dropped, "record", "left").where("dropped is null").drop("dropped")
     # Rows of a chosen key that occur more than once: one of them keeps its payload.

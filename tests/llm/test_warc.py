@@ -32,3 +32,11 @@ def test_round_trip(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e").count() == 0
+
+
+def test_repeated_rows_ties_and_long_payloads(spark, tmp_path):
+    long = "<p>é\r\n\r\n</p>" * 150_000
+    rows = [(5, "u", "y" * 1200)] * 300 + [(5, "v", "y" * 1200)] * 2 + [(1, "u", long), (2, None, long), (None, "u", long)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, row string").repartition(5)
+    got = warc.round_trip(pages, f"file://{tmp_path}/t").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
