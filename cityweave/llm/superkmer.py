@@ -11,7 +11,8 @@ hashes decide nothing by themselves.
 Skew: a task sends each distinct super-k-mer once, with its earliest place; the later places it saw are repeats already
 and travel as finished spans, dealt out by document. A bucket therefore gets a hot passage at most once from each task
 flush, however many documents hold it. Packed strings of one bucket are compressed together. Buckets are processed one
-at a time within a partition, and their number follows the size of the input.
+at a time within a partition, and their number follows the size of the input. Windows of a minimiser so frequent that its
+bucket would be too large take a second one among their longer pieces, which spreads them over many buckets.
 
 Defined cases: null text has no words; texts shorter than a window lose nothing; rows with equal doc_id and equal text
 are one document that is returned as often as it occurs; rows with equal doc_id and other text are ordered by a hash of
@@ -31,15 +32,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityweave.llm.base import NULL_ID, map_batches, partitions_for, text_hash
+from cityweave.llm.base import NULL_ID, free_names, map_batches, partitions_for, text_hash
 
 WINDOW = 20
-SEED_WORDS = 4
+SEED_WORDS, LONG_SEED_WORDS = 4, 12
 #: Bytes of packed strings that a task holds before it sends them.
 FLUSH_BYTES = 48 << 20
 #: Bytes of text whose super-k-mers make up about one bucket, and of those a shuffle partition holds.
 BUCKET_TEXT = 4 << 20
 PARTITION_TEXT = 8 << 20
+#: Bytes of text in which frequent minimisers are looked for, and how often one must be there to be dealt out further.
+SAMPLE_TEXT, SAMPLE_LEAST, MOST_HOT = 32 << 20, 64, 100_000
 SPAN = -1
 
 
@@ -73,14 +76,22 @@ def window_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def super_kmers(words: list[bytes], starts: np.ndarray, window: int = WINDOW, seed: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, windows, minimiser) of each super-k-mer of the documents that begin at `starts` in words."""
+def super_kmers(words: list[bytes], starts: np.ndarray, window: int = WINDOW, seed: int = SEED_WORDS, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, windows, minimiser) of each super-k-mer of the documents that begin at `starts` in words.
+
+    Windows whose minimiser is one of `hot` (sorted) take another, among their pieces of `LONG_SEED_WORDS` words."""
     n = len(words)
     none = np.zeros(0, np.int64)
     if n < window:
         return none, none, np.zeros(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     low = window_min(window_hash(h, seed), window - seed + 1)
+    if hot is not None and len(hot):
+        dealt = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
+        if dealt.any():
+            long = min(LONG_SEED_WORDS, window)
+            with np.errstate(over="ignore"):
+                low = np.where(dealt, mix(low ^ window_min(window_hash(h, long), window - long + 1)), low)
     doc = np.searchsorted(starts, np.arange(len(low)), "right")
     whole = doc == np.searchsorted(starts, np.arange(window - 1, n), "right")
     cut = np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | (whole[1:] != whole[:-1])))
@@ -127,7 +138,7 @@ def rows_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], NAMES)
 
 
-def pack(batches: Iterator[pa.RecordBatch], n_buckets: int, window: int, flush_bytes: int) -> Iterator[pa.RecordBatch]:
+def pack(batches: Iterator[pa.RecordBatch], n_buckets: int, window: int, flush_bytes: int, hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Documents (id, key, body) to packed rows: super-k-mers for their buckets, and spans that are known to repeat."""
     codec = zstandard.ZstdCompressor(level=LEVEL)
     seen: dict[bytes, tuple[int, int, int, int]] = {}
@@ -168,7 +179,7 @@ def pack(batches: Iterator[pa.RecordBatch], n_buckets: int, window: int, flush_b
         if not words:
             continue
         starts = np.array(starts)
-        first, count, low = super_kmers(words, starts, window)
+        first, count, low = super_kmers(words, starts, window, hot=hot)
         doc = np.searchsorted(starts, first, "right") - 1
         bucket = (mix(low) % np.uint64(n_buckets)).astype(np.int64)
         for at, n, d, to, s in zip(first.tolist(), count.tolist(), doc.tolist(), bucket.tolist(), (first - starts[doc]).tolist()):
@@ -259,12 +270,34 @@ def unpack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
         yield done(rows)
 
 
-def repeat_spans(docs: DataFrame, window: int = WINDOW, n_buckets: int | None = None, flush_bytes: int = FLUSH_BYTES) -> DataFrame:
+def hot_minimisers(docs: DataFrame, n_bytes: int, window: int, bucket_text: int = BUCKET_TEXT) -> np.ndarray:
+    """Minimisers whose windows hold more text than a bucket should, sorted. Found in a sample of whole documents, as range
+    partitioning finds its bounds: they only decide how windows are dealt out, whatever they are the result is the same."""
+    share = min(1.0, SAMPLE_TEXT / max(n_bytes, 1))
+    rows = docs if share == 1 else docs.sample(share, 7)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            split = [w for t in b.column("body").to_pylist() if len(w := (t or b"").split()) >= window]
+            if split:
+                starts = np.cumsum([0, *map(len, split[:-1])])
+                first, count, low = super_kmers([w for x in split for w in x], starts, window)
+                value, at = np.unique(low, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.bincount(at, count).astype(np.int64))], ["low", "n"])
+
+    words = max(1, bucket_text // 6)  # a word takes about six bytes
+    least = max(SAMPLE_LEAST, int(words * share))
+    t = map_batches(rows, each, "low long, n long").groupBy("low").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "low").limit(MOST_HOT).toArrow()
+    return np.sort(t.column("low").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def repeat_spans(docs: DataFrame, window: int = WINDOW, n_buckets: int | None = None, flush_bytes: int = FLUSH_BYTES, bucket_text: int = BUCKET_TEXT) -> DataFrame:
     """id, key, span of repeated passages; docs has id, key, body."""
     spark = docs.sparkSession
     n_bytes = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    n_buckets = n_buckets or partitions_for(spark, n_bytes, BUCKET_TEXT)
-    packed = map_batches(docs, lambda it: pack(it, n_buckets, window, flush_bytes), SCHEMA)
+    n_buckets = n_buckets or partitions_for(spark, n_bytes, bucket_text)
+    hot = spark.sparkContext.broadcast(hot_minimisers(docs, n_bytes, window, bucket_text))
+    packed = map_batches(docs, lambda it: pack(it, n_buckets, window, flush_bytes, hot.value), SCHEMA)
     dealt = packed.repartition(partitions_for(spark, n_bytes, PARTITION_TEXT), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(lambda it: unpack(it, window), "id long, key long, span long")
 
@@ -277,12 +310,13 @@ def covered_words(n: int, spans: np.ndarray) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
-def with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, **options) -> DataFrame:
-    """docs with columns _id, _key and _spans (array of longs, null where nothing repeats)."""
-    marked = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("_key", text_hash(F.col(text_col)))
-    spans = repeat_spans(marked.select(F.col("_id").alias("id"), F.col("_key").alias("key"), F.col(text_col).cast("binary").alias("body")), window, **options)
-    by_doc = spans.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("span").alias("_spans"))
-    return marked.join(by_doc, ["_id", "_key"], "left")
+def with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, **options) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: the repeated passages (array of longs, null where nothing repeats)."""
+    id_, key, spans = free_names(docs, "span_id", "span_key", "spans")
+    marked = docs.withColumn(id_, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn(key, text_hash(F.col(text_col)))
+    found = repeat_spans(marked.select(F.col(id_).alias("id"), F.col(key).alias("key"), F.col(text_col).cast("binary").alias("body")), window, **options)
+    by_doc = found.groupBy(F.col("id").alias(id_), F.col("key").alias(key)).agg(F.collect_list("span").alias(spans))
+    return marked.join(by_doc, [id_, key], "left").select(*docs.columns, spans), spans
 
 
 def kept_text(text: bytes | None, spans: list[int] | None) -> tuple[bytes, int, int]:
@@ -296,11 +330,13 @@ def kept_text(text: bytes | None, spans: list[int] | None) -> tuple[bytes, int,
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256."""
-    marked = with_spans(docs, id_col, text_col, window, **options).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"), "_spans")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    marked, spans = with_spans(source, "doc_id", "text", window, **options)
+    marked = marked.withColumn("text", F.col("text").cast("binary"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [kept_text(t, s) for t, s in zip(b.column("body").to_pylist(), b.column("_spans").to_pylist())]
+            got = [kept_text(t, s) for t, s in zip(b.column("text").to_pylist(), b.column(spans).to_pylist())]
             arrays = [b.column("doc_id"), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in got], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -309,13 +345,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:
     """docs with repeated passages taken out of the text; a text that loses nothing stays byte for byte."""
-    marked, columns = with_spans(docs, id_col, text_col, window, **options), docs.columns
+    (marked, spans), columns = with_spans(docs, id_col, text_col, window, **options), docs.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(text_col)
             texts = b.column(at).to_pylist()
-            new = [t if t is None or not s else kept_text(t.encode(), s)[0].decode() for t, s in zip(texts, b.column("_spans").to_pylist())]
+            new = [t if t is None or not s else kept_text(t.encode(), s)[0].decode() for t, s in zip(texts, b.column(spans).to_pylist())]
             yield b.set_column(at, text_col, pa.array(new, b.schema.field(at).type)).select(columns)
 
     return map_batches(marked, each, docs.schema)

@@ -40,7 +40,7 @@ def corpus(seed=1, n=60):
     return rows + [(1000, "x " * 300), (1001, None), (1002, ""), (rows[4]), (None, rows[7][1])]
 
 
-@pytest.mark.parametrize("window,options", [(20, {}), (20, {"flush_bytes": 300, "n_buckets": 7}), (8, {"n_buckets": 3})])
+@pytest.mark.parametrize("window,options", [(20, {}), (20, {"flush_bytes": 300, "n_buckets": 7}), (8, {"n_buckets": 3}), (20, {"bucket_text": 60, "n_buckets": 11})])
 def test_equals_brute_force(spark, window, options):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, key int").repartition(3)
@@ -62,3 +62,32 @@ def test_empty_and_rewritten_texts(spark):
     docs = spark.createDataFrame([(1, long, "s"), (2, "before  it\n" + long, "s"), (3, "as  it\nwas ", "s"), (4, None, "s")], "doc_id long, text string, _spans_ string")
     got = {r.doc_id: r.text for r in superkmer.without_repeats(docs).collect()}
     assert got == {1: long, 2: "before it", 3: "as  it\nwas ", 4: None}
+
+
+def test_hot_minimisers_are_dealt_further(spark, monkeypatch):
+    """A piece that very many different windows share: its windows spread over many buckets, the result stays."""
+    r = random.Random(9)
+    hot_piece = "low a hash piece"
+    rows = [(k, " ".join(f"{r.choice('abcdefg')}{r.randint(0, 40)}" for _ in range(22)) + f" {hot_piece} " + " ".join(f"{r.choice('hijk')}{r.randint(0, 40)}" for _ in range(22))) for k in range(150)]
+    rows += [(500 + k, rows[k][1]) for k in range(40)]
+    monkeypatch.setattr(superkmer, "SAMPLE_LEAST", 100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    body = docs.select(superkmer.F.col("doc_id").alias("id"), superkmer.F.lit(0).cast("long").alias("key"), superkmer.F.col("text").cast("binary").alias("body"))
+    hot = superkmer.hot_minimisers(body, 10_000, 20, 600)
+    assert len(hot)
+    words = [w.encode() for _, t in rows for w in t.split()]
+    starts = np.cumsum([0] + [len(t.split()) for _, t in rows[:-1]])
+    plain, dealt = superkmer.super_kmers(words, starts), superkmer.super_kmers(words, starts, hot=hot)
+    most = lambda x: max(np.bincount(np.unique(x[2], return_inverse=True)[1], x[1]))
+    assert plain[1].sum() == dealt[1].sum() and most(dealt) <= most(plain)
+    assert sorted(map(tuple, superkmer.removals(docs, bucket_text=600).collect()), key=str) == brute(rows, 20)
+
+
+def test_long_text_and_clashing_names(spark):
+    r = random.Random(10)
+    long = " ".join(r.choice("abcdefghij") + str(r.randint(0, 3000)) for _ in range(25_000))
+    names = ["span_id", "span_key", "spans", "_id", "_key", "_spans"]
+    docs = spark.createDataFrame([(1, long, *range(6)), (2, "x " + long, *range(6))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = superkmer.without_repeats(docs).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [long, "x"] and all(list(r)[2:] == list(range(6)) for r in got)
+    assert superkmer.removals(docs).where("n_removed > 0").count() == 1
