@@ -6,11 +6,12 @@ a probability from a logistic model over its words and word beginnings; a docume
 sentences that make a document toxic. Words that are harmless once and toxic when they recur make the noisy-or too
 cautious, so a logistic curve fitted on the same labels maps its log-odds to the score; the order of scores stays.
 
-Bounds: training reads at most `TRAIN_ROWS` labelled documents (those of the smallest hash of their id), keeps at most
-`FEATURES` features, and broadcasts these. Scoring is one pass over all documents without a shuffle.
+Bounds: training reads at most `TRAIN_ROWS` labelled documents (those of the smallest hash of their id) of at most
+`TRAIN_BYTES` together, keeps at most `FEATURES` features, and broadcasts these. Scoring is one pass over all documents without a shuffle.
 
 Defined cases: null and empty texts have one empty sentence; without labels of both kinds every document scores the
-labels' mean (0.5 without labels); repeated labels of one id count once, the largest; repeated documents each get a row.
+labels' mean (0.5 without labels); repeated labels of one id count once, the largest; of documents of one labelled id one
+trains, that of the smallest text hash; repeated documents each get a row.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityweave.llm.base import held_out, map_batches
+from cityweave.llm.base import held_out, map_batches, training_rows
 
-TRAIN_ROWS = 20_000
+TRAIN_ROWS, TRAIN_BYTES = 20_000, 256 << 20
 FEATURES = 512
 MIN_DOCS = 4
 #: Log-likelihood ratio from which a feature tells labels apart.
@@ -79,14 +80,6 @@ class SentenceModel:
         return float(1 / (1 + np.exp(-np.clip(doc, -40, 40)))), [(a, b, q) for (a, b, _), q in zip(z, p.tolist())]
 
 
-def train_rows(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """text, y of at most `most` labelled documents outside the held-out fold."""
-    y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col), 0))
-    y = y.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
-    y = y.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(y), "_id").select("text", "y")
-
-
 def select_features(rows: DataFrame, n: int, n_toxic: int, most: int) -> list[str]:
     """The features whose presence depends most on the label, by log-likelihood ratio."""
 
@@ -114,7 +107,7 @@ def select_features(rows: DataFrame, n: int, n_toxic: int, most: int) -> list[st
     return [r.feature for r in c.withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "feature").limit(most).collect()]
 
 
-def bags(rows: DataFrame, names: list[str], most: int) -> pa.Table:
+def bags(rows: DataFrame, names: list[str]) -> pa.Table:
     """Per training row: y, its number of sentences, and the features of those that have some (-1 ends a sentence)."""
     at = {f: k for k, f in enumerate(names)}
 
@@ -131,7 +124,7 @@ def bags(rows: DataFrame, names: list[str], most: int) -> pa.Table:
                 out.append((max(n, 1), flat))
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.list_(pa.int16()))], ["y", "n", "flat"])
 
-    return map_batches(rows, each, "y int, n int, flat array<smallint>").limit(2 * most).toArrow()
+    return map_batches(rows, each, "y int, n int, flat array<smallint>").toArrow()
 
 
 def train(y: np.ndarray, n: np.ndarray, flat: list[list[int]], n_features: int, steps: int = STEPS) -> tuple[np.ndarray, float, tuple[float, float]]:
@@ -173,13 +166,13 @@ def curve(x: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = TRAIN_ROWS, most_features: int = FEATURES) -> SentenceModel:
-    rows = train_rows(docs, labels, most_rows, id_col, text_col, label_col)
+    rows = training_rows(docs, labels.where(~held_out(F.col(id_col), 0)), most_rows, TRAIN_BYTES, id_col, text_col, label_col, "toxicity-train")
     n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n_toxic or n_toxic == n:
         rate = float(np.clip(n_toxic / n, 1e-6, 1 - 1e-6)) if n else 0.5
         return SentenceModel({}, float(np.log(rate / (1 - rate))))
     names = select_features(rows, n, n_toxic, most_features)
-    t = bags(rows, names, most_rows)
+    t = bags(rows, names)
     w, b, fitted = train(t.column("y").to_numpy(), t.column("n").to_numpy(), t.column("flat").to_pylist(), len(names))
     return SentenceModel(dict(zip(names, w.tolist())), b, fitted)
 
