@@ -5,10 +5,11 @@ on quality labels, judges the others. The forest may not reward symbols, repetit
 features are constrained to lower the score or leave it.
 
 Bounds: training reads the statistics of at most `TRAIN_ROWS` labelled documents (those of the smallest hash of their
-id). Scoring is one pass over all documents without a shuffle.
+id) of at most `TRAIN_BYTES` together. Scoring is one pass over all documents without a shuffle.
 
 Defined cases: null and empty texts have no words and fail the rules; without labels of both kinds all that pass the
-rules are kept; repeated labels of one id count once, the largest; repeated documents each get a row.
+rules are kept; repeated labels of one id count once, the largest; of documents of one labelled id one trains, that of the
+smallest text hash; repeated documents each get a row.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityweave.llm.base import map_batches
+from cityweave.llm.base import map_batches, training_rows
 from cityweave.llm.boosting import Forest, train
 
-TRAIN_ROWS = 20_000
+TRAIN_ROWS, TRAIN_BYTES = 20_000, 256 << 20
 MIN_WORDS = 50
 SYMBOL = re.compile(r"[#*$%&|<>]")
 SPACES = " \t\n\x0b\x0c\r"
@@ -81,9 +82,7 @@ NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = TRAIN_ROWS) -> Forest:
-    y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
-    y = y.orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(y), "_id").select("text", "y")
+    rows = training_rows(docs, labels, most_rows, TRAIN_BYTES, id_col, text_col, label_col, "rules-train")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             keep = pa.array([not fails(c[0], c[4]) for c, _ in got], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([f for _, f in got], pa.list_(pa.float64()))], ["y", "x"]).filter(keep)
 
-    t = map_batches(rows, each, "y int, x array<double>").limit(2 * most_rows).toArrow()
+    t = map_batches(rows, each, "y int, x array<double>").toArrow()
     x = np.array(t.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return train(x, t.column("y").to_numpy().astype(float), [d for _, d in FEATURES])
 
