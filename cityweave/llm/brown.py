@@ -5,8 +5,9 @@ of adjacent classes most, until few move. A text's probability is the product of
 of each word by its class, both smoothed; an end token closes each text and is the context of the next one's first word.
 
 Counts cover all training texts. Words are counted per task, summed per word, and kept in a table that grows with the
-corpus. Clustering works on a bounded set of items: the most frequent words, and the endings of all others; a word
-outside the frequent ones takes the class of its ending. Counts of the frequent words (at most `COMMON` of them) are
+corpus. Clustering works on a bounded set of items: the `WORD_ITEMS` most frequent words, and the `ENDING_ITEMS` most
+frequent endings of all others (their last `ENDING_BYTES` bytes); a word outside the frequent ones takes the class of its
+ending, other endings are one item. The pairs of items that the driver clusters are at most their number squared. Counts of the frequent words (at most `COMMON` of them) are
 broadcast; the rarer words of a text are joined with the table of counts, so no vocabulary is held whole anywhere.
 
 Defined cases: null text is empty and scores its end token; without training texts every word is unknown and classes
@@ -18,6 +19,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,11 @@ from cityweave.llm.base import held_out, map_batches, materialize
 END = b""
 CLASSES = 48
 #: Clustered words and word endings.
-WORD_ITEMS, ENDING_ITEMS = 900, 300
+WORD_ITEMS, ENDING_ITEMS = 3000, 1000
 ENDING_BYTES = 3
 ROUNDS = 6
+#: Tokens whose pairs a task adds up before it hands them on, at most (its counts have 32 bits).
+MOST_TOKENS = 1 << 30
 #: Words whose counts are broadcast, at most.
 COMMON = 100_000
 #: Distinct words that a task counts before it hands them on.
@@ -97,46 +101,78 @@ class Items:
         return np.fromiter((k if (k := get(w)) is not None else ending(w[-ENDING_BYTES:], 1) for w in words), np.int64, len(words))
 
 
-def item_pairs(train: DataFrame, items: Items) -> np.ndarray:
-    """How often item i is followed by item j, over all rows of train (column body); at most items.n squared rows come back."""
+class Pairs(NamedTuple):
+    """How often item row[k] is followed by item col[k]: count[k]; n items."""
+
+    n: int
+    row: np.ndarray
+    col: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def dense(cls, matrix: np.ndarray) -> Pairs:
+        row, col = np.nonzero(matrix)
+        return cls(len(matrix), row, col, matrix[row, col].astype(np.int64))
+
+    def by_class(self, of: np.ndarray, classes: int) -> np.ndarray:
+        """Class by class counts."""
+        return np.bincount(of[self.row] * classes + of[self.col], self.count, classes * classes).reshape(classes, classes)
+
+
+def item_pairs(train: DataFrame, items: Items) -> Pairs:
+    """Pairs over all rows of train (column body); at most items.n squared of them come back."""
     held = train.sparkSession.sparkContext.broadcast(items)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = held.value
-        total = np.zeros(it.n * it.n, np.int64)
+        total = np.zeros(it.n * it.n, np.int32)
+
+        def flush() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            out = pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["pair", "n"])
+            total[at] = 0
+            return out
+
+        seen = 0
         for b in batches:
             for t in b.column("body").to_pylist():
                 k = it.numbers(tokens(t))
-                pair = np.concatenate(([0], k[:-1])) * it.n + k
-                if len(pair) > 50_000:
-                    total += np.bincount(pair, minlength=len(total))
-                else:
-                    np.add.at(total, pair, 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+                for c in range(0, len(k), MOST_TOKENS):
+                    if seen >= MOST_TOKENS:
+                        yield flush()
+                        seen = 0
+                    part = k[c : c + MOST_TOKENS]
+                    np.add.at(total, np.concatenate((k[c - 1 : c] if c else [0], part[:-1])) * it.n + part, 1)
+                    seen += len(part)
+        yield flush()
 
     t = map_batches(train, each, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(items.n * items.n, np.int64)
-    out[t.column("pair").to_numpy()] = t.column("n").to_numpy()
-    return out.reshape(items.n, items.n)
+    row, col = np.divmod(t.column("pair").to_numpy(), items.n)
+    return Pairs(items.n, row, col, t.column("n").to_numpy())
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+def exchange(pairs: Pairs, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """Class of each item; item 0 (the end token) has class 0 to itself."""
-    n = len(pairs)
+    n = pairs.n
     f = lambda x: x * np.log(np.maximum(x, 1))
-    total = pairs.sum(1) + pairs.sum(0)
+    total = np.bincount(pairs.row, pairs.count, n) + np.bincount(pairs.col, pairs.count, n)
     order = np.argsort(-total[1:], kind="stable") + 1
     of = np.zeros(n, np.int64)
     of[order] = 1 + np.arange(n - 1) % (classes - 1)
-    hot = np.zeros((n, classes))
-    hot[np.arange(n), of] = 1
-    right, left = pairs @ hot, pairs.T @ hot  # item x class: what follows, what precedes
-    grid = hot.T @ right
+    right = np.bincount(pairs.row * classes + of[pairs.col], pairs.count, n * classes).reshape(n, classes)  # what follows an item
+    left = np.bincount(pairs.col * classes + of[pairs.row], pairs.count, n * classes).reshape(n, classes)  # what precedes it
+    grid = pairs.by_class(of, classes)
+    self_count = np.zeros(n)
+    same = pairs.row == pairs.col
+    self_count[pairs.row[same]] = pairs.count[same]
+    by_row, by_col = np.argsort(pairs.row, kind="stable"), np.argsort(pairs.col, kind="stable")
+    row_at, col_at = (np.searchsorted(x, np.arange(n + 1)) for x in (pairs.row[by_row], pairs.col[by_col]))
+    after, after_n = pairs.col[by_row], pairs.count[by_row]
+    before, before_n = pairs.row[by_col], pairs.count[by_col]
     for _ in range(rounds):
         moved = 0
         for x in order:
-            own, self_n = of[x], float(pairs[x, x])
+            own, self_n = of[x], float(self_count[x])
             r, l = right[x].copy(), left[x].copy()  # noqa: E741
             r[own] -= self_n
             l[own] -= self_n
@@ -144,8 +180,9 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
             grid[:, own] -= l
             grid[own, own] -= self_n
             # gain of adding x to each class: rows, columns, the corner that both touch, and the class totals
-            row = (f(grid + r[None, :]) - f(grid)).sum(1)
-            col = (f(grid + l[:, None]) - f(grid)).sum(0)
+            base = f(grid)
+            row = (f(grid + r[None, :]) - base).sum(1)
+            col = (f(grid + l[:, None]) - base).sum(0)
             d = np.diagonal(grid)
             corner = f(d + r + l + self_n) - f(d) - (f(d + r) - f(d)) - (f(d + l) - f(d))
             row_sum, col_sum = grid.sum(1) + l, grid.sum(0) + r  # of all classes, x in no class but next to its neighbours
@@ -161,10 +198,12 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
             if new != own:
                 of[x] = new
                 moved += 1
-                right[:, own] -= pairs[:, x]
-                right[:, new] += pairs[:, x]
-                left[:, own] -= pairs[x, :]
-                left[:, new] += pairs[x, :]
+                i, k = before[col_at[x] : col_at[x + 1]], before_n[col_at[x] : col_at[x + 1]]
+                right[i, own] -= k
+                right[i, new] += k
+                i, k = after[row_at[x] : row_at[x + 1]], after_n[row_at[x] : row_at[x + 1]]
+                left[i, own] -= k
+                left[i, new] += k
         if moved <= n // 100:
             break
     return of
@@ -173,11 +212,9 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
 class Model:
     """What scoring needs, of bounded size."""
 
-    def __init__(self, items: Items, of: np.ndarray, pairs: np.ndarray, class_tokens: np.ndarray, class_types: np.ndarray, n: int, v: int, common: dict[bytes, int]):
+    def __init__(self, items: Items, of: np.ndarray, pairs: Pairs, class_tokens: np.ndarray, class_types: np.ndarray, n: int, v: int, common: dict[bytes, int]):
         c = len(class_tokens)
-        hot = np.zeros((len(of), c))
-        hot[np.arange(len(of)), of] = 1
-        grid = hot.T @ pairs @ hot
+        grid = pairs.by_class(of, c)
         unigram = (grid.sum(0) + 1) / (grid.sum() + c)
         seen = (grid > 0).sum(1)
         row = grid.sum(1)
@@ -192,12 +229,10 @@ def fit(train: DataFrame, counts: DataFrame, classes: int = CLASSES, word_items:
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     common = [(w, c) for w, c in common_words(counts, most_common)]
     words = [w for w, _ in common if w != END][:word_items]
-    frequent = set(words)
-    end_of: Counter[bytes] = Counter()
-    for w, c in common:
-        if w != END and w not in frequent:
-            end_of[w[-ENDING_BYTES:]] += c
-    items = Items(words, [e for e, _ in sorted(end_of.items(), key=lambda x: (-x[1], x[0]))[:ending_items]])
+    frequent = spark.createDataFrame([(w,) for w in [END, *words]], "word binary")  # `word_items` rows
+    others = counts.join(F.broadcast(frequent), "word", "left_anti")
+    endings = others.groupBy(F.expr(f"substring(word, -{ENDING_BYTES}, {ENDING_BYTES})").alias("ending")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "ending").limit(ending_items)
+    items = Items(words, [bytes(r.ending) for r in endings.collect()])
     pairs = item_pairs(train, items)
     of = exchange(pairs, classes)
     held = spark.sparkContext.broadcast((items, of))

@@ -66,9 +66,9 @@ def test_exchange_gain_equals_the_objective():
     start = np.zeros(30, np.int64)
     total = pairs.sum(1) + pairs.sum(0)
     start[np.argsort(-total[1:], kind="stable") + 1] = 1 + np.arange(29) % 4
-    values = [value(start)] + [value(brown.exchange(pairs, 5, k)) for k in (1, 2, 5)]
+    values = [value(start)] + [value(brown.exchange(brown.Pairs.dense(pairs), 5, k)) for k in (1, 2, 5)]
     assert values == sorted(values) and values[1] > values[0]
-    best = brown.exchange(pairs, 5, 50)
+    best = brown.exchange(brown.Pairs.dense(pairs), 5, 50)
     for x in range(1, 30):
         for c in range(1, 5):
             other = best.copy()
@@ -80,3 +80,58 @@ def test_empty(spark):
     assert brown.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = spark.createDataFrame([(2, "a b")], "doc_id long, text string")
     assert brown.score(one, remainder=zlib.crc32(b"2") % 5).first().n_known == 0
+
+
+def test_score_equals_brute_force(spark):
+    """The model's log-probabilities from its classes by the definition, over a small corpus; ties at the broadcast cut included."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    train = [words(t) for i, t in rows if not held(i)]
+    body = spark.createDataFrame([(" ".join(t[:-1]),) for t in train], "body string").selectExpr("cast(body as binary) as body")
+    counts = brown.word_counts(body)
+    for common in (100_000, 9):
+        opts = {"classes": 5, "word_items": 7, "ending_items": 6, "most_common": common}
+        m = brown.fit(body, counts, **opts)
+        cls = lambda w: int(m.of[m.items.numbers([w.encode()])][0])
+        c = Counter(w for t in train for w in t)
+        top = [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode())) if w]
+        assert set(m.items.word) - {b""} <= {w.encode() for w in top[:7]}
+        ends = Counter()
+        for w, k in c.items():
+            if w and w.encode() not in m.items.word:
+                ends[w.encode()[-3:]] += k
+        assert set(m.items.ending) == {e for e, _ in sorted(ends.items(), key=lambda x: (-x[1], x[0]))[:6]}
+        pair, first, then = Counter(), Counter(), Counter()
+        for t in train:
+            for a, b in zip(["", *t], t):
+                pair[cls(a), cls(b)] += 1
+                first[cls(a)] += 1
+                then[cls(b)] += 1
+        tokens, types = Counter(), Counter()
+        for w, k in c.items():
+            tokens[cls(w)] += k
+            types[cls(w)] += 1
+        kinds = Counter(a for a, _ in pair)
+
+        def log(t):
+            out = 0.0
+            for a, b in zip(["", *t], t):
+                weight = first[cls(a)] / (first[cls(a)] + kinds[cls(a)] + 1)
+                uni = (then[cls(b)] + 1) / (sum(then.values()) + 5)
+                p = weight * pair[cls(a), cls(b)] / max(first[cls(a)], 1) + (1 - weight) * uni
+                out += math.log10(p) + math.log10((c[b] + 0.5) / (tokens[cls(b)] + 0.5 * (types[cls(b)] + 1)))
+            return out
+
+        got = sorted(((str(r.doc_id), r.score) for r in brown.score(docs, **opts).collect()))
+        assert np.allclose([x[1] for x in got], [x[1] for x in sorted((str(i), log(words(t))) for i, t in rows)])
+
+
+def test_long_text(spark, monkeypatch):
+    r = random.Random(3)
+    long = " ".join(r.choice("abcdefgh") + str(r.randint(0, 9)) for _ in range(40_000))
+    docs = spark.createDataFrame([(2, long), (3, "a1 b2")], "doc_id long, text string")
+    one = {x.doc_id: x.score for x in brown.score(docs).collect()}
+    monkeypatch.setattr(brown, "MOST_TOKENS", 1000)
+    pieces = {x.doc_id: x.score for x in brown.score(docs).collect()}
+    assert one.keys() == pieces.keys() and np.allclose([one[2], one[3]], [pieces[2], pieces[3]])
