@@ -7,11 +7,12 @@ numpy steps over all node pairs of one depth.
 
 Distribution: with a budget of d, two linked fingerprints agree on at least one of d + 1 blocks of bits. Every distinct
 fingerprint goes once to each block's value, its bits turned so that this block comes first, and the walk starts below it.
-A value that more than `GROUP` fingerprints share is taken apart by the same rule: the bits that are left make d + 1 blocks
-again, and linked fingerprints agree on one of those too. This goes on until no value is too large, which must be so when
-fewer bits are left than `GROUP` has, so no task holds an unbounded group, no link is lost, and the rows made grow with the
-fingerprints, not with pairs of them. Each task returns a spanning forest of its links; the forests are merged by
-alternating large-star and small-star rounds over written tables.
+A value that more than `REFINE` fingerprints share is taken apart by the same rule: the bits that are left make d + 1 blocks
+again, and linked fingerprints agree on one of those too. What that doesn't make much smaller (fingerprints that are all
+near each other) and other large groups are cut into chunks by hash, `PARTS` at most, and every pair of chunks is walked by
+itself. So rows grow with the fingerprints and not with their pairs, no task holds all of a large group, and no link is lost.
+Each task returns a spanning forest of its links; the forests are merged by alternating large-star and small-star rounds
+over written tables.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero and links like any other; repeated
 rows each get a row; null ids are returned, never chosen as a component's id unless it has no other (then null).
@@ -33,8 +34,12 @@ SEED = 42
 BITS = 64
 SHINGLE_WORDS = 3
 BUDGET = 2
-#: Fingerprints of one block value that are walked at once; larger values are taken apart by further bits.
-GROUP = 256
+#: Fingerprints of one block value from which it is taken apart by further bits.
+REFINE = 4096
+#: Fingerprints of a chunk, about, and chunks of a group at most.
+CHUNK, PARTS = 128, 32
+#: Links that a walk holds before it reduces them to a forest.
+LINKS = 1 << 22
 #: Rows that a task walks, about.
 TASK_ROWS = 100_000
 #: Node pairs of one depth that are expanded at once.
@@ -73,12 +78,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def trie_join(keys: np.ndarray, pairs: np.ndarray, depth: int, budget: int = BUDGET) -> np.ndarray:
-    """Index pairs of `keys` (uint64) within `budget` differing bits, for the given pairs of trie nodes.
+    """Index pairs of `keys` (uint64) within `budget` differing bits, for the given pairs of trie nodes; of more than `LINKS`
+    pairs a forest.
 
     keys is sorted within each node; pairs has rows (lo_a, hi_a, lo_b, hi_b), a node joined with itself where both
     ranges are equal. Keys of a pair's two nodes agree on their first `depth` bits and are distinct.
     """
     found: list[np.ndarray] = []
+    held = 0
     stack = [(depth, pairs.astype(np.int64), np.zeros(len(pairs), np.int64))]
     while stack:
         d, p, err = stack.pop()
@@ -88,6 +95,11 @@ def trie_join(keys: np.ndarray, pairs: np.ndarray, depth: int, budget: int = BUD
             leaf = leaf[leaf[:, 0] != leaf[:, 2]]
             near = np.bitwise_count(keys[leaf[:, 0]] ^ keys[leaf[:, 2]]) <= budget
             found.append(leaf[near][:, [0, 2]])
+            held += len(found[-1])
+            if held > LINKS:
+                label = forest(len(keys), np.concatenate(found))
+                found = [np.stack([moved := np.flatnonzero(label != np.arange(len(keys))), label[moved]], 1)]
+                held = len(moved)
             p, err = p[~single], err[~single]
         if not len(p) or d == BITS:
             continue
@@ -127,52 +139,64 @@ def taken_apart(keyed: DataFrame, budget: int) -> DataFrame:
 
     Each row's block comes next in turned; depth grows by its width, value holds the bits agreed on, path the blocks taken."""
     each = keyed.select("*", F.explode(F.array(*(F.lit(k) for k in range(budget + 1)))).alias("k"))
-    each = each.selectExpr("fp", "turned", "depth", f"path * {budget + 2} + k + 1 AS path", "64 - depth AS left", f"CAST((64 - depth) * k DIV {budget + 1} AS INT) AS a", f"CAST((64 - depth) * (k + 1) DIV {budget + 1} AS INT) AS b")
+    each = each.selectExpr("fp", "turned", "depth", "above", f"path * {budget + 2} + k + 1 AS path", "64 - depth AS left", f"CAST((64 - depth) * k DIV {budget + 1} AS INT) AS a", f"CAST((64 - depth) * (k + 1) DIV {budget + 1} AS INT) AS b")
     # a shift by 64 places is none in the JVM, so the first step has no mask
-    each = each.selectExpr("fp", "turned", "depth", "path", "left", "a", "b", "IF(left = 64, -1L, shiftleft(1L, left) - 1L) AS mask")
+    each = each.selectExpr("fp", "turned", "depth", "above", "path", "left", "a", "b", "IF(left = 64, -1L, shiftleft(1L, left) - 1L) AS mask")
     moved = "(shiftleft(turned & mask, a) | IF(a = 0, 0L, shiftrightunsigned(turned & mask, left - a))) & mask"
-    each = each.selectExpr("fp", f"(turned & ~mask) | ({moved}) AS turned", "depth + b - a AS depth", "path")
-    return each.selectExpr("fp", "turned", "depth", "path", "shiftrightunsigned(turned, 64 - depth) AS value")
+    each = each.selectExpr("fp", f"(turned & ~mask) | ({moved}) AS turned", "depth + b - a AS depth", "above", "path")
+    return each.selectExpr("fp", "turned", "depth", "above", "path", "shiftrightunsigned(turned, 64 - depth) AS value")
 
 
-def groups(distinct: DataFrame, budget: int, most: int) -> DataFrame:
-    """path, depth, value, fp, turned: groups of `most` fingerprints at most, in one of which every linked pair meets."""
-    level, ready = distinct.selectExpr("fp", "fp AS turned", "0 AS depth", "0L AS path"), None
+def groups(distinct: DataFrame, budget: int, refine: int = REFINE) -> DataFrame:
+    """path, depth, value, n, fp, turned: groups of n fingerprints, in one of which every linked pair meets."""
+    level, ready = distinct.selectExpr("fp", "fp AS turned", "0 AS depth", "0L AS path", "0L AS above"), None
     while True:
         keyed = taken_apart(level, budget)
         sizes = keyed.groupBy("path", "value").agg(F.count("*").alias("n")).where("n > 1")
         met = materialize(keyed.join(sizes, ["path", "value"]), "groups")
-        small = met.where(F.col("n") <= most).drop("n")
-        ready = small if ready is None else ready.union(small)
-        level = met.where(F.col("n") > most).select("fp", "turned", "depth", "path")
+        done = (F.col("n") <= max(refine, 1 << budget)) | ((F.col("above") > 0) & (F.col("n") > F.col("above") / 4))
+        part = met.where(done).drop("above")
+        ready = part if ready is None else ready.union(part)
+        level = met.where(~done).select("fp", "turned", "depth", "path", F.col("n").alias("above"))
         if level.isEmpty():
             return ready
 
 
-def links(distinct: DataFrame, budget: int = BUDGET, most: int = GROUP) -> DataFrame:
+def links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK, refine: int = REFINE) -> DataFrame:
     """u, v: a forest, per task, of the links among the distinct longs in column fp."""
-    grouped = groups(distinct, budget, max(most, 1 << budget))
-    n = partitions_for(distinct.sparkSession, grouped.count(), TASK_ROWS)
+    parts = F.least(F.ceil(F.col("n") / chunk), F.lit(PARTS)).cast("int")
+    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    dealt = groups(distinct, budget, refine).withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("path", "depth", "value", "fp", "turned", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+    n = partitions_for(distinct.sparkSession, dealt.count(), TASK_ROWS)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        fp, value, depth = (t.column(k).to_numpy() for k in ("fp", "value", "depth"))
-        path, key = t.column("path").to_numpy(), t.column("turned").to_numpy().view(np.uint64)
-        order = np.lexsort((key, value, path))
-        fp, value, depth, path, key = (x[order] for x in (fp, value, depth, path, key))
-        first = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (path[1:] != path[:-1]))))
-        end = np.append(first[1:], len(key))
-        pairs = np.stack([first, end, first, end], 1)
-        met = np.concatenate([trie_join(key, pairs[depth[first] == d], int(d), budget) for d in np.unique(depth)])
-        values, at = np.unique(fp, return_inverse=True)
-        label = forest(len(values), at[met])
+        c = {k: t.column(k).to_numpy() for k in t.column_names}
+        key = c.pop("turned").view(np.uint64)
+        order = np.lexsort((key, c["own"], c["second"], c["first"], c["value"], c["path"]))
+        c, key = {k: v[order] for k, v in c.items()}, key[order]
+        differ = lambda *names: np.any([c[k][1:] != c[k][:-1] for k in names], axis=0)
+        node = np.flatnonzero(np.concatenate(([True], differ("path", "value", "first", "second", "own"))))
+        end = np.append(node[1:], len(key))
+        alone = c["first"][node] == c["second"][node]
+        pair = np.stack([node, end, node, end], 1)[alone]
+        # two chunks of one pair are next to each other
+        left = np.flatnonzero(~alone[:-1] & ~alone[1:] & ~np.concatenate(([True], differ("path", "value", "first", "second")))[node[1:]])
+        pair = np.concatenate([pair, np.stack([node[left], end[left], node[left + 1], end[left + 1]], 1)])
+        depth = c["depth"][pair[:, 0]]
+        values, at = np.unique(c["fp"], return_inverse=True)
+        label = np.arange(len(values))
+        for d in np.unique(depth):
+            met = at[trie_join(key, pair[depth == d], int(d), budget)]
+            label = forest(len(values), np.concatenate([met, np.stack([np.arange(len(values)), label], 1)]))
         moved = np.flatnonzero(label != np.arange(len(values)))
         yield pa.RecordBatch.from_arrays([pa.array(values[moved]), pa.array(values[label[moved]])], ["u", "v"])
 
-    return grouped.repartition(n, "path", "value").mapInArrow(walk, "u long, v long")
+    return dealt.repartition(n, "path", "value", "first", "second").mapInArrow(walk, "u long, v long")
 
 
 def stars(edges: DataFrame, tag: str = "stars", most: int = 60) -> DataFrame:
@@ -194,11 +218,11 @@ def stars(edges: DataFrame, tag: str = "stars", most: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixed point after {most} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, most: int = GROUP) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, chunk: int = CHUNK, refine: int = REFINE) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint, component_id (smallest id reachable), component_key, text_key."""
     marked = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    root = stars(links(distinct.select("fp"), budget, most))
+    root = stars(links(distinct.select("fp"), budget, chunk, refine))
     of = distinct.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = of.join(of.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id", F.col("root").alias("component_key"))
     return marked.join(named, "fp").select("doc_id", "fingerprint", "component_id", "component_key", "text_key")

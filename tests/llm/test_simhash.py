@@ -49,8 +49,8 @@ def corpus():
 def test_components_equal_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fingerprint string")
-    for most in (2048, 2):
-        got = simhash.near_duplicates(docs, most=most).select("doc_id", "fingerprint", "component_id").collect()
+    for chunk, refine in ((128, 4096), (2, 4096), (128, 4), (2, 5)):
+        got = simhash.near_duplicates(docs, chunk=chunk, refine=refine).select("doc_id", "fingerprint", "component_id").collect()
         assert sorted(map(tuple, got), key=str) == brute_components(rows)
 
 
@@ -69,8 +69,8 @@ def test_blocks_leave_no_pair_out(spark):
     fps = list({b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for b in base for _ in range(8)} | set(base))
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
     label = simhash.forest(len(fps), np.array([(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2]))
-    for most in (2048, 3):
-        found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), most=most).collect()
+    for chunk, refine in ((2048, 4096), (3, 4096), (3, 6)):
+        found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), chunk=chunk, refine=refine).collect()
         at = {x: k for k, x in enumerate(signed)}
         assert (simhash.forest(len(fps), np.array([(at[a], at[b]) for a, b in found])) == label).all()
 
@@ -85,22 +85,23 @@ def test_empty_and_keep_one(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, None]
 
 
-def test_hot_block_values_are_taken_apart(spark):
+def test_hot_block_values_are_taken_apart(spark, monkeypatch):
     """Fingerprints that share 40 bits: groups stay small, rows made grow linearly, every link is found."""
     r = np.random.default_rng(3)
     low = np.unique(r.integers(0, 1 << 24, 1500, np.uint64))
     low = np.unique(np.concatenate([low, low[:300] ^ np.uint64(1 << 5), low[300:500] ^ np.uint64((1 << 23) | 1)]))
     keys = np.uint64(0xABCDEF1234 << 24) | low
     df = spark.createDataFrame([(int(x),) for x in keys.view(np.int64)], "fp long")
-    rows = simhash.groups(df, 2, 32).groupBy("path", "value").count().collect()
-    assert max(x["count"] for x in rows) <= 32
-    assert sum(x["count"] for x in rows) < 60 * len(keys)
+    rows = simhash.groups(df, 2, 32).groupBy("path", "value").agg({"n": "max", "fp": "count"}).collect()
+    assert all(x["max(n)"] == x["count(fp)"] for x in rows)
+    assert sum(x["count(fp)"] for x in rows) < 60 * len(keys)
     near = [(a, b) for a in range(len(keys)) for b in np.flatnonzero(np.bitwise_count(keys[:a] ^ keys[a]) <= 2)]
     want = simhash.forest(len(keys), np.array(near))
-    found = simhash.links(df, most=32).collect()
     at = {int(x): k for k, x in enumerate(keys.view(np.int64))}
-    got = simhash.forest(len(keys), np.array([(at[x.u], at[x.v]) for x in found]))
-    assert (got == want).all()
+    for chunk, refine, most in ((16, 32, simhash.LINKS), (128, 4096, 100)):
+        monkeypatch.setattr(simhash, "LINKS", most)
+        found = simhash.links(df, chunk=chunk, refine=refine).collect()
+        assert (simhash.forest(len(keys), np.array([(at[x.u], at[x.v]) for x in found])) == want).all()
 
 
 def test_long_text():
