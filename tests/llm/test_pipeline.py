@@ -74,3 +74,33 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     docs.write.parquet(f"{folder}/documents.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+CLASHING = ["_id", "_key", "_spans", "_i", "_k", "_n", "_row_key", "span_id", "span_key", "spans", "rank_id", "rank_key", "rank_number", "fence", "fence_lang", "judged", "loss", "node", "root", "body", "id", "key", "value", "row"]
+
+
+def test_each_stage_with_odd_rows(spark, tmp_path):
+    """Clashing names, null texts and ids, repeated rows, no n_chars: the stages keep columns and rows as they state."""
+    good, junk, items = corpus()
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(i, 1, 0) for i, _ in good], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([*items, (None, good[0][1]), (3, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    extra = tuple(range(len(CLASHING)))
+    rows = good + [(900, None), (901, ""), (None, good[1][1] + " stone"), (None, None), good[2], good[2], (2, "river of sand.")]
+    docs = spark.createDataFrame([(i, t, None if k % 3 else "en", *extra) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, " + ", ".join(f"{c} int" for c in CLASHING))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {}
+    for name in ("quality_classifier", "near_dedup", "substring_dedup", "decontamination"):
+        out = stages[name](spark, docs, folder)
+        assert out.columns == docs.columns, name
+        kept[name] = [tuple(r) for r in out.collect()]
+        assert all(r[3:] == extra for r in kept[name]), name
+    texts = lambda name: sorted(((r[0], r[1]) for r in kept[name]), key=str)
+    assert texts("quality_classifier") == sorted(((i, t) for i, t in rows if t), key=str)
+    assert len([x for x in texts("near_dedup") if x[0] in (900, 901)]) == 1
+    assert sum(x == good[2] for x in texts("near_dedup")) <= 1
+    assert sorted((str(i) for i, _ in texts("substring_dedup"))) == sorted(str(i) for i, _ in rows)
+    hit = {i for i, _, n, *_ in test_wumanber.brute(rows, items) if n}
+    assert texts("decontamination") == sorted(((i, t) for i, t in rows if i not in hit), key=str)
+    packed = stages["best_fit_packing"](spark, docs, folder).where("piece = 0").groupBy("doc_id").count().collect()
+    assert sum(r["count"] for r in packed) == len(rows)
