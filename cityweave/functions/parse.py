@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Metres a second and kilometres an hour of a mile an hour, metres of a storey.
 MPH_MS, MPH_KMH, LEVEL_M = 0.44704, 1.60934, 3.5
 #: Free-flow speed (m/s) by road class.
 CLASS_SPEED = {

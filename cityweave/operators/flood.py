@@ -74,8 +74,9 @@ def rates(series: DataFrame, by: list[str], t: str, volume: str) -> DataFrame:
 
 def settled(series: DataFrame, by: list[str], t: str, value: str, back: int = 5, share: float = 0.01) -> DataFrame:
     """Whether the last value is within a share of that `back` steps earlier; with fewer steps it isn't."""
-    s = series.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(t, value))).alias("s"))
-    last, old = F.try_element_at("s", F.lit(-1))[value], F.try_element_at("s", F.lit(-1 - back))[value]
+    k = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(t), F.desc(value)))
+    s = series.withColumn("_k", k).where(F.col("_k") <= back + 1).groupBy(*by).agg(F.max(F.when(F.col("_k") == 1, F.col(value))).alias("_last"), F.max(F.when(F.col("_k") == back + 1, F.col(value))).alias("_old"))
+    last, old = F.col("_last"), F.col("_old")
     return s.select(*by, F.coalesce(F.try_divide(old - last, last) < share, F.lit(False)).alias("settled"))
 
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 GRAVITY, DRY = 9.81, 1e-4
+#: Depth from which a cell has a speed, and the least open share.
+MOVING, TIGHTEST = 0.01, 0.05
 COURANT, LONGEST_STEP = 0.7, 10.0
 
 
@@ -27,6 +29,8 @@ class Ground:
     rain_weight: np.ndarray | float = 1.0
     valid: np.ndarray | None = None
     drains: list[tuple[int, int, float]] = field(default_factory=list)
+    #: Share of a cell that water can stand on; a face is as open as the tighter of its cells.
+    open_share: np.ndarray | float = 1.0
 
     def full(self, layer) -> np.ndarray:
         return np.broadcast_to(np.asarray(layer, float), self.dem.shape).copy()
@@ -63,6 +67,20 @@ def face_flow(q: np.ndarray, surface: np.ndarray, bed: np.ndarray, rough: np.nda
     return np.where(wet, new, 0.0), np.where(wet, h, 0.0)
 
 
+def cell_speed(qx: np.ndarray, hx: np.ndarray, qy: np.ndarray, hy: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Length of the velocity in each cell: along each axis the mean of its two faces, of which dry ones count as still."""
+    v = []
+    for q, h, axis in ((qx, hx, 1), (qy, hy, 0)):
+        face = np.divide(q, h, out=np.zeros_like(q), where=h > 0)
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (1, 1)
+        face = np.pad(face, pad)
+        lo, hi = [slice(None)] * 2, [slice(None)] * 2
+        lo[axis], hi[axis] = slice(None, -1), slice(1, None)
+        v.append((face[tuple(lo)] + face[tuple(hi)]) / 2)
+    return np.where(depth > MOVING, np.hypot(*v), 0.0)
+
+
 def simulate(g: Ground, steps: list[tuple[float, float, float]], duration: float, initial: np.ndarray | float = 0.0, save_every: float | None = None, closed: bool = False) -> Run:
     """Run a storm over a ground. Water leaves over the rim (unless closed) and into cells that aren't valid."""
     shape = g.dem.shape
@@ -73,10 +91,12 @@ def simulate(g: Ground, steps: list[tuple[float, float, float]], duration: float
         sink[[0, -1], :] = True
         sink[:, [0, -1]] = True
     depth[~keep] = 0.0
+    phi = np.maximum(g.full(g.open_share), TIGHTEST)
+    wide_x, wide_y = np.minimum(phi[:, :-1], phi[:, 1:]), np.minimum(phi[:-1], phi[1:])
     qx, qy = np.zeros((shape[0], shape[1] - 1)), np.zeros((shape[0] - 1, shape[1]))
     area = g.res * g.res
     vol = dict.fromkeys(("rain", "infiltrated", "drained", "outflow"), 0.0)
-    start = depth.sum() * area
+    start = (depth * phi).sum() * area
     top_d, top_v, top_h = depth.copy(), np.zeros(shape), np.zeros(shape)
     breaks = sorted({x for a, b, _ in steps for x in (a, b)} | {duration} | (set(np.arange(save_every, duration, save_every)) if save_every else set()))
     frames, t, count = [], 0.0, 0
@@ -87,42 +107,38 @@ def simulate(g: Ground, steps: list[tuple[float, float, float]], duration: float
         qx, hx = face_flow(qx, surface, g.dem, rough, dt, g.res, 1)
         qy, hy = face_flow(qy, surface, g.dem, rough, dt, g.res, 0)
         out = np.zeros(shape)  # no cell gives more than it holds
-        out[:, :-1] += np.maximum(qx, 0)
-        out[:, 1:] -= np.minimum(qx, 0)
-        out[:-1] += np.maximum(qy, 0)
-        out[1:] -= np.minimum(qy, 0)
-        share = np.minimum(1.0, depth * g.res / (out * dt + 1e-12))
+        out[:, :-1] += np.maximum(qx, 0) * wide_x
+        out[:, 1:] -= np.minimum(qx, 0) * wide_x
+        out[:-1] += np.maximum(qy, 0) * wide_y
+        out[1:] -= np.minimum(qy, 0) * wide_y
+        share = np.minimum(1.0, depth * phi * g.res / (out * dt + 1e-12))
         qx *= np.where(qx > 0, share[:, :-1], share[:, 1:])
         qy *= np.where(qy > 0, share[:-1], share[1:])
+        fx, fy = qx * wide_x, qy * wide_y
         gain = np.zeros(shape)
-        gain[:, :-1] -= qx
-        gain[:, 1:] += qx
-        gain[:-1] -= qy
-        gain[1:] += qy
-        depth = np.maximum(depth + gain * dt / g.res, 0.0)
+        gain[:, :-1] -= fx
+        gain[:, 1:] += fx
+        gain[:-1] -= fy
+        gain[1:] += fy
+        depth = np.maximum(depth + gain * dt / (g.res * phi), 0.0)
         fall = rain_rate(steps, t) / 3.6e6 * dt * weight
-        depth += fall
+        depth += fall / phi
         vol["rain"] += fall.sum() * area
         soak = np.minimum(infil * dt, depth)
         depth -= soak
-        vol["infiltrated"] += soak.sum() * area
+        vol["infiltrated"] += (soak * phi).sum() * area
         for r, c, cap in g.drains:
-            take = min(cap * dt / area, depth[r, c])
+            take = min(cap * dt / (area * phi[r, c]), depth[r, c])
             depth[r, c] -= take
-            vol["drained"] += take * area
-        vol["outflow"] += depth[sink].sum() * area
+            vol["drained"] += take * phi[r, c] * area
+        vol["outflow"] += (depth * phi)[sink].sum() * area
         depth[sink] = 0.0
         t, count = t + dt, count + 1
-        speed = np.zeros(shape)
-        vx, vy = (np.divide(np.abs(q), h, out=np.zeros_like(q), where=h > 0.02) for q, h in ((qx, hx), (qy, hy)))
-        np.maximum(speed[:, :-1], vx, out=speed[:, :-1])
-        np.maximum(speed[:, 1:], vx, out=speed[:, 1:])
-        np.maximum(speed[:-1], vy, out=speed[:-1])
-        np.maximum(speed[1:], vy, out=speed[1:])
-        top_d, top_v, top_h = np.maximum(top_d, depth), np.maximum(top_v, speed), np.maximum(top_h, depth * (speed + 0.5))
+        speed = cell_speed(qx, hx, qy, hy, depth)
+        top_d, top_v, top_h = np.maximum(top_d, depth), np.maximum(top_v, speed), np.maximum(top_h, np.where(depth > MOVING, depth * (speed + 0.5), 0.0))
         if save_every and (abs(t / save_every - round(t / save_every)) < 1e-9 or t >= duration - 1e-9):
             frames.append((t, depth.copy()))
-    vol["stored"] = depth.sum() * area
+    vol["stored"] = (depth * phi).sum() * area
     lost = start + vol["rain"] - vol["infiltrated"] - vol["drained"] - vol["outflow"] - vol["stored"]
     vol["closure_rel"] = lost / max(vol["rain"] + start, 1e-9)
     return Run(depth, top_d, top_v, top_h, frames, vol, count)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cityweave.operators.numbering import numbered
 from cityweave.session import checkpointed
 
 #: Tags of ways for walking.
@@ -103,32 +104,34 @@ def route_edges(route: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
     return found.groupBy("route_id").agg(F.sum(weight).alias("total"), F.count("*").alias("hops"), (F.count(weight) == F.count("*")).alias("complete"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str, most_rounds: int = 200, checkpoint_every: int = 4) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str, most_hops: int = 4) -> DataFrame:
     """source, node_id, cost of all nodes reachable from each source; weights are not negative.
 
-    Frontier relaxation: each round extends only the labels that improved in the last one.
+    Frontier relaxation: each round extends only the labels that improved in the last one, and the rounds end when none
+    does, however many hops the network is deep. A round goes one edge far at first, later up to `most_hops` in one job.
     """
-    e = collapse(edges.where(F.col(weight).isNotNull()), "min", weight).select("u", "v", F.col(weight).alias("_w"))
-    best = sources.select(F.col("node_id").alias("source"), "node_id", F.lit(0.0).alias("cost"))
-    front = best
-    for k in range(most_rounds):
-        step = front.join(e, front.node_id == e.u).select("source", F.col("v").alias("node_id"), (F.col("cost") + F.col("_w")).alias("cost")).groupBy("source", "node_id").agg(F.min("cost").alias("cost"))
+    e = checkpointed(collapse(edges.where(F.col(weight).isNotNull()), "min", weight).select("u", "v", F.col(weight).alias("_w")))
+    best = checkpointed(sources.select(F.col("node_id").alias("source"), "node_id", F.lit(0.0).alias("cost")).distinct())
+    front, hops = best, 1
+    while True:
+        step, reached = front, None
+        for _ in range(hops):
+            step = step.join(e, step.node_id == e.u).select("source", F.col("v").alias("node_id"), (F.col("cost") + F.col("_w")).alias("cost")).groupBy("source", "node_id").agg(F.min("cost").alias("cost"))
+            reached = step if reached is None else reached.union(step)
         old = best.withColumnRenamed("cost", "_old")
-        front = step.join(old, ["source", "node_id"], "left").where(F.col("_old").isNull() | (F.col("cost") < F.col("_old") - 1e-9)).drop("_old")
+        front = reached.groupBy("source", "node_id").agg(F.min("cost").alias("cost")).join(old, ["source", "node_id"], "left").where(F.col("_old").isNull() | (F.col("cost") < F.col("_old") - 1e-9)).drop("_old")
         front = checkpointed(front)
         if front.isEmpty():
             return best
-        best = best.union(front).groupBy("source", "node_id").agg(F.min("cost").alias("cost"))
-        if k % checkpoint_every == checkpoint_every - 1:
-            best = checkpointed(best)
-    raise RuntimeError(f"labels still improve after {most_rounds} rounds")
+        best = checkpointed(best.union(front).groupBy("source", "node_id").agg(F.min("cost").alias("cost")))
+        hops = min(2 * hops, most_hops)
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """node_id, component: the smallest node id that each node reaches, directions aside."""
+def components(edges: DataFrame) -> DataFrame:
+    """node_id, component: the smallest node id that each node reaches, directions aside. Labels only fall, so rounds end."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")).withColumnRenamed("u", "node_id")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(label, both.v == label.node_id).groupBy(F.col("u").alias("node_id")).agg(F.min("c").alias("m"))
         hop = label.join(near, "node_id").select("node_id", F.least("c", "m").alias("c"), F.col("c").alias("was"))
         jump = label.select(F.col("node_id").alias("c"), F.col("c").alias("cc"))
@@ -136,7 +139,6 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if new.where("c <> was").isEmpty():
             return new.select("node_id", F.col("c").alias("component"))
         label = new.select("node_id", "c")
-    raise RuntimeError(f"labels still change after {most_rounds} rounds")
 
 
 def axis_groups(approaches: DataFrame, node: str, bearing: str, phases: int = 2) -> DataFrame:
@@ -185,7 +187,7 @@ def systematic_sample(rows: DataFrame, order: str, most: int) -> DataFrame:
     """Every ceil(n / most)-th row in order: at most `most` of them."""
     n = rows.count()
     each = max(1, -(-n // most))
-    return rows.withColumn("_k", F.row_number().over(Window.orderBy(order)) - 1).where(F.pmod("_k", F.lit(each)) == 0).drop("_k")
+    return numbered(rows, order, name="_k").where(F.pmod("_k", F.lit(each)) == 0).drop("_k")
 
 
 def lane_links(lanes: DataFrame) -> DataFrame:

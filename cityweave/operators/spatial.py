@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cityweave.functions.parse import clip
+from cityweave.operators.numbering import numbered
 
 
 def grid_cell(x: Column, y: Column, size: float) -> Column:
@@ -42,8 +45,10 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radi
 
 def neighbour_count(points: DataFrame, point_id: str, radius: float) -> DataFrame:
     """How many points, itself included, lie within `radius` of each point."""
-    other = points.select(F.col("x").alias("px"), F.col("y").alias("py"))
-    return within(points.select(point_id, "x", "y"), other, radius).groupBy(point_id).agg(F.count("*").alias("neighbours"))
+    places = points.groupBy("x", "y").agg(F.count("*").alias("_n"))  # points of one place count together
+    other = places.select(F.col("x").alias("px"), F.col("y").alias("py"), "_n")
+    near = within(places.select("x", "y"), other, radius).groupBy("x", "y").agg(F.sum("_n").alias("neighbours"))
+    return points.select(point_id, "x", "y").join(near, ["x", "y"]).select(point_id, "neighbours")
 
 
 def nearest_small(left: DataFrame, right: DataFrame, left_id: str, right_id: str, most: int = 100_000) -> DataFrame:
@@ -83,9 +88,14 @@ def segment_cells(ax: Column, ay: Column, bx: Column, by: Column, size: float, m
 
 
 def points_near_segments(points: DataFrame, segments: DataFrame, point_id: str, segment_id: str, radius: float, size: float = 100.0) -> DataFrame:
-    """The nearest segment (ax, ay, bx, by) within radius of each point (x, y); exact for segments of any length."""
-    s = segments.withColumn("_c", F.explode(segment_cells(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size, radius)))
-    j = points.withColumn("_c", grid_cell(F.col("x"), F.col("y"), size)).join(s, "_c")
+    """The nearest segment (ax, ay, bx, by) within radius of each point (x, y); exact for segments of any length.
+
+    A segment goes to the cells along its way and those within the radius of them, so its copies grow with its length."""
+    from cityweave.operators.rasterize import walk_near
+
+    near = walk_near(*(F.col(c) / size for c in ("ax", "ay", "bx", "by")), math.ceil(radius / size))
+    s = segments.withColumn("_w", F.explode(near)).withColumn("_cx", F.col("_w.col")).withColumn("_cy", F.col("_w.row")).drop("_w")
+    j = points.withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size)).join(s, ["_cx", "_cy"])
     j = j.withColumn("distance", point_segment(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))).where(F.col("distance") <= radius)
     return j.groupBy(point_id).agg(F.min(F.struct("distance", segment_id)).alias("_x")).select(point_id, F.col(f"_x.{segment_id}").alias(segment_id), F.col("_x.distance").alias("distance"))
 
@@ -128,4 +138,4 @@ def in_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
 def dedup_nodes(points: DataFrame, order: str) -> DataFrame:
     """node_id by first appearance of coordinates rounded to 2 places: node_id, rx, ry, first."""
     k = points.groupBy(F.round("x", 2).alias("rx"), F.round("y", 2).alias("ry")).agg(F.min(order).alias("first"))
-    return k.withColumn("node_id", F.row_number().over(Window.orderBy("first")) - 1)
+    return numbered(k, "first", name="node_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,10 +85,13 @@ def rolling_count(ticks: DataFrame, by: list[str], tick: str, n: str, width: int
 
 
 def ema(series: DataFrame, by: list[str], order: str, value: str, alpha: float = 0.3) -> DataFrame:
-    """Exponential moving average from 0 at each step of each group, as rows."""
-    steps = F.array_sort(F.collect_list(F.struct(order, value)))
-    fold = F.aggregate("s", F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(alpha * x[value] + (1 - alpha) * F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)))))
-    return series.groupBy(*by).agg(steps.alias("s")).withColumn("e", fold).select(*by, F.posexplode(F.arrays_zip("s", "e")).alias("pos", "x")).select(*by, F.col(f"x.s.{order}").alias(order), F.col(f"x.s.{value}").alias(value), F.col("x.e").alias("ema"))
+    """Exponential moving average from 0 at each step of each group.
+
+    A step weighs (1 - alpha) to the power of its age; beyond the frame that is under 1e-17, less than a double holds."""
+    frame = math.ceil(math.log(1e-17) / math.log(1 - alpha)) if alpha < 1 else 0
+    w = Window.partitionBy(*by).orderBy(order, value).rowsBetween(-frame, 0)
+    fold = F.aggregate(F.collect_list(F.col(value).cast("double")).over(w), F.lit(0.0), lambda acc, x: alpha * x + (1 - alpha) * acc)
+    return series.select(*by, order, value, fold.alias("ema"))
 
 
 def noise_grid(vehicles: DataFrame, cells: DataFrame, reference_db: float) -> DataFrame:

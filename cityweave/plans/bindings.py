@@ -68,7 +68,36 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(sim, o.o_orderkey == sim.l_orderkey).select(F.col("o_orderkey").cast("long").alias("pair_id"), "sim_s", (F.col("o_orderkey") % 300 + 10).cast("double").alias("ref_s"), lookup(F.col("o_orderpriority"), HIGHWAY, "other").alias("class"))
 
 
+#: Corners of the sample polygons, in units of their radius.
+CORNERS = [(1.0, 0.125), (0.375, 0.9375), (-0.8125, 0.5625), (-0.75, -0.625), (0.3125, -0.875)]
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of one polygon per supplier, in cells: it grows with the table, polygons overlap."""
+    s, k = read(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(x).alias("ox"), F.lit(y).alias("oy")) for i, (x, y) in enumerate(CORNERS)))).alias("c")
+    r = 2 + k % 5
+    return s.select(k.cast("long").alias("poly"), F.col("s_nationkey").cast("long").alias("zone"), (k % 4).cast("long").alias("cls"), ((k * 37) % 200 + 10.25).cast("double").alias("cx"), ((k * 91) % 160 + 10.125).cast("double").alias("cy"), r.cast("double").alias("r"), corner).select(
+        "poly", "zone", "cls", "cx", "cy", "r", "c.pos", (F.col("cx") + F.col("r") * F.col("c.ox")).alias("x"), (F.col("cy") + F.col("r") * F.col("c.oy")).alias("y")
+    )
+
+
+def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A street network that grows with the customers: chains of `CHAIN` nodes, both directions, next to each other but apart."""
+    c, k = read(spark, sf_dir, "customer"), F.col("c_custkey")
+    on = c.where(k % CHAIN != CHAIN - 1)
+    forth = on.select(k.cast("long").alias("u"), (k + 1).cast("long").alias("v"), (10 + (k * 7) % 13).cast("double").alias("length"), F.lit(1).alias("dir"))
+    back = on.select((k + 1).cast("long").alias("u"), k.cast("long").alias("v"), (12 + (k * 5) % 11).cast("double").alias("length"), F.lit(-1).alias("dir"))
+    known = c.select(k.cast("long").alias("v"))
+    return forth.join(known, "v", "left_semi").union(back.join(known.withColumnRenamed("v", "u"), "u", "left_semi").select("v", "u", "length", "dir")).select("u", "v", "length", "dir")
+
+
+#: Nodes of a chain of `streets`.
+CHAIN = 16
+
 SQL = {
+    "shapes": "SELECT CAST(s_suppkey AS BIGINT) AS poly, CAST(s_nationkey AS BIGINT) AS zone, CAST(s_suppkey % 4 AS BIGINT) AS cls, CAST((s_suppkey * 37) % 200 + 10.25 AS DOUBLE) AS cx, CAST((s_suppkey * 91) % 160 + 10.125 AS DOUBLE) AS cy, CAST(2 + s_suppkey % 5 AS DOUBLE) AS r, pos, CAST((s_suppkey * 37) % 200 + 10.25 AS DOUBLE) + CAST(2 + s_suppkey % 5 AS DOUBLE) * ox AS x, CAST((s_suppkey * 91) % 160 + 10.125 AS DOUBLE) + CAST(2 + s_suppkey % 5 AS DOUBLE) * oy AS y FROM supplier, (VALUES " + ", ".join(f"({i}, CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))" for i, (x, y) in enumerate(CORNERS)) + ") o(pos, ox, oy)",
+    "streets": f"SELECT CAST(a.c_custkey AS BIGINT) AS u, CAST(b.c_custkey AS BIGINT) AS v, CAST(10 + (a.c_custkey * 7) % 13 AS DOUBLE) AS length, 1 AS dir FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey % {CHAIN} <> {CHAIN - 1} UNION ALL SELECT CAST(b.c_custkey AS BIGINT) AS u, CAST(a.c_custkey AS BIGINT) AS v, CAST(12 + (a.c_custkey * 5) % 11 AS DOUBLE) AS length, -1 AS dir FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey % {CHAIN} <> {CHAIN - 1}",
     "veh": f"SELECT event_id AS row_id, user_id AS vehicle_id, CAST(floor(epoch(ts)) AS BIGINT) AS t_s, CAST(floor(floor(epoch(ts)) / 300) AS BIGINT) AS tick, least(value, 120.0) / 4 AS speed_ms, {case('event_type', VCLASS, 'other')} AS vclass, CAST((event_id * 37) % 1000 AS DOUBLE) AS x, CAST((event_id * 91) % 1000 AS DOUBLE) AS y, event_id % 20 AS path_id, event_id % 2 AS run FROM events",
     "nodes": f"SELECT range AS node_id, CAST((range * 53) % 2000 AS DOUBLE) AS x, CAST((range * 97) % 2000 AS DOUBLE) AS y, range % 7 = 0 AS signal FROM range({NODES})",
     "edges": f"SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS seq, CAST(l_suppkey % {NODES} AS BIGINT) AS u, CAST(o_custkey % {NODES} AS BIGINT) AS v, CAST(l_linenumber AS BIGINT) AS key, CAST(l_quantity * 20 AS DOUBLE) AS length, CAST((30 + 10 * l_linenumber) / 3.6 AS DOUBLE) AS speed_ms, {case('o_orderpriority', HIGHWAY, 'other')} AS highway, l_linenumber = 3 AS oneway FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey % {NODES} <> o_custkey % {NODES}",

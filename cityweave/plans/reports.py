@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cityweave.functions import motion, raster, solar
 from cityweave.operators import designs, flood, grids, network, spatial, traffic
+from cityweave.operators.numbering import numbered
 from cityweave.plans.catalogue import rounded
 from cityweave.plans.registry import Views, query
 
@@ -168,7 +169,7 @@ def display_scale(v: Views) -> DataFrame:
 
 @query("SELECT node_id, x, row_number() OVER (ORDER BY x DESC, node_id) AS k FROM nodes", "nodes")
 def ordered_nodes(v: Views) -> DataFrame:
-    return v.nodes.select("node_id", "x", F.row_number().over(Window.orderBy(F.desc("x"), "node_id")).cast("long").alias("k"))
+    return numbered(v.nodes.select("node_id", "x"), F.desc("x"), F.col("node_id"), name="k", start=1)
 
 
 _FLOW = """n AS (SELECT a."row", a.col, b."row" AS tr, b.col AS tc, (a.dem - b.dem) / sqrt(power(a."row" - b."row", 2) + power(a.col - b.col, 2)) AS s FROM cells a JOIN cells b ON abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1 AND (a."row" <> b."row" OR a.col <> b.col) WHERE a.dem > b.dem),

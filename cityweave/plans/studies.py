@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from cityweave.functions import motion, parse, raster, solar
 from cityweave.operators import designs, flood, grids, metrics, network, spatial, traffic, transit
+from cityweave.operators.numbering import numbered
 from cityweave.plans.catalogue import rounded
 from cityweave.plans.registry import Views, query
 
 # demand and transit
 
 
-@query("""WITH z AS (SELECT node_id AS zone, x AS px, y AS py, CAST(1 + node_id % 5 AS DOUBLE) AS attraction FROM nodes WHERE node_id % 4 = 1), o AS (SELECT node_id AS origin, x, y FROM nodes WHERE node_id % 4 = 0),
+@query("""WITH z AS (SELECT node_id AS zone, x AS px, y AS py, CAST(1 + node_id % 5 AS DOUBLE) AS attraction FROM nodes WHERE signal), o AS (SELECT node_id AS origin, x, y FROM nodes),
 w AS (SELECT origin, zone, attraction * exp(-(1.0 / 900) * sqrt(power(x - px, 2) + power(y - py, 2))) AS w FROM o, z) SELECT origin, zone, round(w / sum(w) OVER (PARTITION BY origin), 9) AS p FROM w""", "nodes")
 def gravity_shares(v: Views) -> DataFrame:
     n = v.nodes
-    o = n.where("node_id % 4 = 0").select(F.col("node_id").alias("origin"), "x", "y")
-    z = n.where("node_id % 4 = 1").select(F.col("node_id").alias("zone"), F.col("x").alias("px"), F.col("y").alias("py"), (1 + F.col("node_id") % 5).cast("double").alias("attraction"))
+    o = n.select(F.col("node_id").alias("origin"), "x", "y")
+    z = n.where("signal").select(F.col("node_id").alias("zone"), F.col("x").alias("px"), F.col("y").alias("py"), (1 + F.col("node_id") % 5).cast("double").alias("attraction"))
     return rounded(transit.gravity(o, z, 1 / 900), 9)
 
 
@@ -114,12 +115,13 @@ def axis_means(v: Views) -> DataFrame:
 _PATHS = "p AS (SELECT DISTINCT u * 100 + v AS path_id, u, v FROM edges)"
 
 
-@query(f"""WITH {_PATHS} SELECT DISTINCT a.path_id AS from_path, b.path_id AS to_path FROM p a JOIN p b ON a.v = b.u WHERE a.path_id % 7 = 3 AND b.path_id % 5 = 2""", "edges")
+@query(f"""WITH {_PATHS}, m AS (SELECT DISTINCT u * 100 + v AS path_id, u, v FROM edges WHERE highway = 'motorway'), f AS (SELECT DISTINCT u * 100 + v AS path_id, u, v FROM edges WHERE highway = 'footway') SELECT DISTINCT a.path_id AS from_path, b.path_id AS to_path FROM m a JOIN f b ON a.v = b.u""", "edges")
 def forbidden_turn_pairs(v: Views) -> DataFrame:
     p = v.edges.select((F.col("u") * 100 + F.col("v")).alias("path_id"), "u", "v").distinct().withColumn("segment_id", F.col("path_id"))
-    # the source names segment pairs; one per junction and residue is enough to meet every path of the segment
-    a = p.where("path_id % 7 = 3").select(F.col("segment_id").alias("from_segment_id"), F.col("v").alias("n"))
-    b = p.where("path_id % 5 = 2").select(F.col("segment_id").alias("to_segment_id"), F.col("u").alias("n"))
+    # motorways may not turn into footways
+    of = lambda kind: v.edges.where(F.col("highway") == kind).select((F.col("u") * 100 + F.col("v")).alias("s"), "u", "v").distinct()
+    a = of("motorway").select(F.col("s").alias("from_segment_id"), F.col("v").alias("n"))
+    b = of("footway").select(F.col("s").alias("to_segment_id"), F.col("u").alias("n"))
     return network.forbidden_turns(a.join(b, "n").drop("n"), p)
 
 
@@ -162,7 +164,7 @@ def lane_neighbours(v: Views) -> DataFrame:
 m AS (SELECT u, v, min(length) AS l FROM edges GROUP BY u, v) SELECT h.route_id, round(coalesce(x.l, 0) + coalesce(y.l, 0), 6) AS total, CAST(2 AS BIGINT) AS hops, y.l IS NOT NULL AS complete FROM h LEFT JOIN m x ON x.u = h.u AND x.v = h.v LEFT JOIN m y ON y.u = h.v AND y.v = h.w""", "edges")
 def route_totals(v: Views) -> DataFrame:
     d = v.edges.select((F.col("u") * 100 + F.col("v")).alias("key"), "u", "v").distinct()
-    r_ = d.withColumn("route_id", F.row_number().over(Window.orderBy("key")))
+    r_ = numbered(d, "key", name="route_id", start=1)
     stops = r_.select("route_id", F.posexplode(F.array("u", "v", (F.col("v") + 1) % 100)).alias("pos", "node_id"))
     return rounded(network.route_edges(stops, v.edges, "length"))
 
@@ -320,9 +322,9 @@ def overlapping_boxes(v: Views) -> DataFrame:
     return rounded(j.where(spatial.box_overlap(box("a"), box("b"))).withColumn("share", spatial.box_overlap_share(box("a"), box("b"))).where("share >= 0.05").select("a", "b", "share"))
 
 
-@query("SELECT class, CAST(sum(CASE WHEN ref_s >= 150 THEN 1 ELSE 0 END) AS BIGINT) AS long_pairs, CAST(count(*) AS BIGINT) AS n FROM pairs GROUP BY class ORDER BY n DESC LIMIT 3", "pairs")
+@query("SELECT class, CAST(sum(CASE WHEN ref_s >= 150 THEN 1 ELSE 0 END) AS BIGINT) AS long_pairs, CAST(count(*) AS BIGINT) AS n FROM pairs GROUP BY class ORDER BY n DESC, class LIMIT 3", "pairs")
 def top_classes(v: Views) -> DataFrame:
-    return v.pairs.groupBy("class").agg(F.count_if(F.col("ref_s") >= 150).alias("long_pairs"), F.count("*").alias("n")).orderBy(F.desc("n")).limit(3)
+    return v.pairs.groupBy("class").agg(F.count_if(F.col("ref_s") >= 150).alias("long_pairs"), F.count("*").alias("n")).orderBy(F.desc("n"), "class").limit(3)
 
 
 @query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY run, path_id ORDER BY x DESC, row_id DESC) AS k, row_number() OVER (PARTITION BY run, path_id ORDER BY x, row_id) AS b FROM veh),
