@@ -35,9 +35,9 @@ BITS = 64
 SHINGLE_WORDS = 3
 BUDGET = 2
 #: Fingerprints of one block value from which it is taken apart by further bits.
-REFINE = 4096
+REFINE = 256
 #: Fingerprints of a chunk, about, and chunks of a group at most.
-CHUNK, PARTS = 128, 32
+CHUNK, PARTS = 64, 32
 #: Links that a walk holds before it reduces them to a forest.
 LINKS = 1 << 22
 #: Rows that a task walks, about.
