@@ -205,3 +205,53 @@ def grid_stats(cells: DataFrame, by: list[str], layer: str) -> DataFrame:
 def inundation_crop(points: DataFrame, box: tuple[float, float, float, float], inside: Column) -> DataFrame:
     """Points in a box (a filter that reaches the scan) and then in a shape."""
     return points.where(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3])).where(inside)
+
+
+def found_files(spark: SparkSession, folder: str, patterns: dict[str, str]) -> DataFrame:
+    """role, file: the first file (by name) of a folder that fits each role's pattern; names alone are read."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"))
+    roles = F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.lit(p).alias("pattern")) for r, p in patterns.items()))).alias("r")
+    hit = names.select("file", roles).where(F.expr("file RLIKE r.pattern"))
+    return hit.groupBy(F.col("r.role").alias("role")).agg(F.min("file").alias("file"))
+
+
+def with_settings(document: Column, values: dict[str, str]) -> Column:
+    """An XML configuration with the value attribute of the named elements replaced."""
+    for name, value in values.items():
+        document = F.regexp_replace(document, f'(<{name}\\s[^>]*value=")[^"]*(")', f"$1{value}$2")
+    return document
+
+
+def shaded(value: Column, most: float, stops: list[tuple[int, int, int]], least: float = 0.01) -> tuple[Column, Column, Column, Column]:
+    """Red, green, blue, alpha of a value between colour stops; clear below `least`."""
+    at = F.least(F.greatest(value / most, F.lit(0.0)), F.lit(1.0)) * (len(stops) - 1)
+    k = F.least(F.floor(at), F.lit(len(stops) - 2))
+    table = lambda c: F.array(*(F.lit(float(s[c])) for s in stops))
+    part = lambda c: F.round(F.get(table(c), k.cast("int")) + (at - k) * (F.get(table(c), (k + 1).cast("int")) - F.get(table(c), k.cast("int")))).cast("int")
+    return part(0), part(1), part(2), F.when(value < least, 0).otherwise(255)
+
+
+def retried(call, places: list, errors: tuple = (OSError,)):
+    """What the first of several places gives whose call doesn't fail with one of the errors; the last error else."""
+    last = None
+    for place in places:
+        try:
+            return call(place)
+        except errors as e:
+            last = e
+    raise last if last else ValueError("no place to try")
+
+
+def observed(df: DataFrame, sink, **metrics: Column) -> dict:
+    """Run sink(df) and return metrics of the rows that went by, gathered while it ran."""
+    from pyspark.sql import Observation
+
+    o = Observation(uuid.uuid4().hex)
+    sink(df.observe(o, *(c.alias(k) for k, c in metrics.items())))
+    return o.get
+
+
+def flattened(regions: DataFrame, region: str, mark: Column, keep: DataFrame, least_share: float = 0.5) -> DataFrame:
+    """region, share of the regions of which at least a share of cells is marked, less those to keep."""
+    s = regions.groupBy(region).agg(F.avg(mark.cast("int")).alias("share")).where(F.col("share") >= least_share)
+    return s.join(keep, region, "left_anti")

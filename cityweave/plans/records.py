@@ -262,3 +262,50 @@ def engine_positions(v: Views) -> DataFrame:
     own = v.veh.where("run = 0").select("row_id", F.lit("own").alias("engine"), "x", "y", F.col("speed_ms").alias("speed"))
     other = v.veh.where("run <> 0").select("row_id", F.lit("external").alias("engine"), "x", "y", F.coalesce(F.when(F.col("row_id") % 4 != 0, F.col("speed_ms")), F.lit(0.0)).alias("speed"))
     return own.unionByName(other)
+
+
+@query("""SELECT * FROM (VALUES ('elevation', 'a_dem.tif'), ('image', 'ortho_1.tif')) t(role, file)""")
+def survey_files(v: Views) -> DataFrame:
+    """Files of a survey by their names; roles without a file are missing."""
+    from cityweave.sources.sinks import write_text
+
+    root = records.own_folder(v.spark, "survey")
+    for name in ("z_dem.tif", "a_dem.tif", "ortho_1.tif", "notes.txt"):
+        write_text(v.spark, f"{root}/{name}", "x")
+    return records.found_files(v.spark, root, {"elevation": "dem\\.tif$", "image": "^ortho", "cloud": "\\.las$"})
+
+
+@query("""SELECT n_nationkey AS id, '<c><net-file value="n' || CAST(n_nationkey AS VARCHAR) || '"/><route-files value="new.rou"/><end value="9"/></c>' AS document FROM nation""")
+def rewritten_settings(v: Views) -> DataFrame:
+    k = F.col("n_nationkey")
+    old = F.concat(F.lit('<c><net-file value="n'), k.cast("string"), F.lit('"/><route-files value="old.rou"/><end value="7"/></c>'))
+    return v.nation.select(k.alias("id"), records.with_settings(old, {"route-files": "new.rou", "end": "9"}).alias("document"))
+
+
+@query("""WITH a AS (SELECT "row", col, depth, least(greatest(depth / 2.0, 0), 1) * 2 AS t FROM cells), k AS (SELECT *, least(floor(t), 1) AS k FROM a)
+SELECT "row", col, CAST(round(CASE k WHEN 0 THEN 250 + (t - k) * (60 - 250) ELSE 60 + (t - k) * (10 - 60) END) AS INT) AS red, CAST(round(CASE k WHEN 0 THEN 250 + (t - k) * (120 - 250) ELSE 120 + (t - k) * (20 - 120) END) AS INT) AS green, CAST(round(CASE k WHEN 0 THEN 255 + (t - k) * (220 - 255) ELSE 220 + (t - k) * (90 - 220) END) AS INT) AS blue, CASE WHEN depth < 0.01 THEN 0 ELSE 255 END AS alpha FROM k""", "cells")
+def coloured_depths(v: Views) -> DataFrame:
+    r, g, b, a = records.shaded(F.col("depth"), 2.0, [(250, 250, 255), (60, 120, 220), (10, 20, 90)])
+    return v.cells.select("row", "col", r.alias("red"), g.alias("green"), b.alias("blue"), a.alias("alpha"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, max(o_orderkey) AS top FROM orders")
+def watched_write(v: Views) -> DataFrame:
+    """What a job reports of the rows that pass while it writes them; a first place that can't be written is passed over."""
+    path = records.own_folder(v.spark, "watched")
+
+    def write(place: str) -> dict:
+        if not place:
+            raise OSError("no place")
+        return records.observed(v.orders, lambda df: df.write.parquet(place), n=F.count("*"), top=F.max("o_orderkey"))
+
+    got = records.retried(write, ["", path])
+    return v.spark.createDataFrame([(got["n"], got["top"])], "n long, top long")
+
+
+@query("""WITH f AS (SELECT "row" // 4 * 100 + col // 5 AS region, avg(CASE WHEN band >= 2 THEN 1 ELSE 0 END) AS share FROM cells WHERE building GROUP BY 1) SELECT region, round(share, 6) AS share FROM f WHERE share >= 0.5 AND region % 7 <> 0""", "cells")
+def lots_to_flatten(v: Views) -> DataFrame:
+    """Buildings of which half lies in the corridor, less those under protection."""
+    b = v.cells.where("building").withColumn("region", F.floor(F.col("row") / 4) * 100 + F.floor(F.col("col") / 5))
+    keep = b.where("region % 7 = 0").select("region").distinct()
+    return records.flattened(b, "region", F.col("band") >= 2, keep).select("region", F.round("share", 6).alias("share"))

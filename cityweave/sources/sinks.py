@@ -11,13 +11,17 @@ from cityweave.operators.network import has_reverse
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """A small file of the driver, written beside its place and renamed, by the file system that owns the path."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     to, tmp = hadoop(path), hadoop(path + ".tmp")
     fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = fs.create(tmp, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(data))
     finally:
         out.close()
     fs.delete(to, False)
