@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,13 +107,37 @@ def route_edges(route: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
     return found.groupBy("route_id").agg(F.sum(weight).alias("total"), F.count("*").alias("hops"), (F.count(weight) == F.count("*")).alias("complete"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str, most_hops: int = 4) -> DataFrame:
+def _from_each_source(e: DataFrame, sources: DataFrame, small: int) -> DataFrame:
+    """shortest_paths() over a small graph (u, v, _w), by one search for each source."""
+    from cityweave.operators.routing import adjacency, broadcast_graph, dijkstra
+
+    held = broadcast_graph(e, "_w", small)
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = adjacency(held.value)
+        for pdf in frames:
+            for s in pdf["source"].tolist():
+                cost = dijkstra(g, s)[0]
+                yield pd.DataFrame({"source": s, "node_id": list(cost), "cost": list(cost.values())})
+
+    distinct = sources.select(F.col("node_id").cast("long").alias("source")).distinct()
+    return distinct.mapInPandas(each, "source long, node_id long, cost double")
+
+
+#: Edges up to which a graph is sent whole to every task that looks for shortest paths (tens of megabytes).
+SMALL_GRAPH = 200_000
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str, most_hops: int = 4, small: int = SMALL_GRAPH) -> DataFrame:
     """source, node_id, cost of all nodes reachable from each source; weights are not negative.
 
-    Frontier relaxation: each round extends only the labels that improved in the last one, and the rounds end when none
-    does, however many hops the network is deep. A round goes one edge far at first, later up to `most_hops` in one job.
+    A graph of at most `small` edges is broadcast, and tasks share the sources. Over a larger one a frontier moves: each round
+    extends only the labels that improved in the last one, and the rounds end when none does, however many hops the network
+    is deep. A round goes one edge far at first, later up to `most_hops` in one job.
     """
-    e = checkpointed(collapse(edges.where(F.col(weight).isNotNull()), "min", weight).select("u", "v", F.col(weight).alias("_w")))
+    e = checkpointed(collapse(edges.where(F.col(weight).isNotNull()), "min", weight).select("u", "v", F.col(weight).cast("double").alias("_w")))
+    if e.limit(small + 1).count() <= small:
+        return _from_each_source(e, sources, small)
     best = checkpointed(sources.select(F.col("node_id").alias("source"), "node_id", F.lit(0.0).alias("cost")).distinct())
     front, hops = best, 1
     while True:
