@@ -148,7 +148,7 @@ def item_pairs(train: DataFrame, items: Items) -> Pairs:
 
     t = map_batches(train, each, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     row, col = np.divmod(t.column("pair").to_numpy(), items.n)
-    return Pairs(items.n, row, col, t.column("n").to_numpy())
+    return Pairs(items.n, row.astype(np.int32), col.astype(np.int32), t.column("n").to_numpy())
 
 
 def exchange(pairs: Pairs, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
@@ -159,8 +159,8 @@ def exchange(pairs: Pairs, classes: int = CLASSES, rounds: int = ROUNDS) -> np.n
     order = np.argsort(-total[1:], kind="stable") + 1
     of = np.zeros(n, np.int64)
     of[order] = 1 + np.arange(n - 1) % (classes - 1)
-    right = np.bincount(pairs.row * classes + of[pairs.col], pairs.count, n * classes).reshape(n, classes)  # what follows an item
-    left = np.bincount(pairs.col * classes + of[pairs.row], pairs.count, n * classes).reshape(n, classes)  # what precedes it
+    right = np.bincount(pairs.row.astype(np.int64) * classes + of[pairs.col], pairs.count, n * classes).reshape(n, classes)  # what follows an item
+    left = np.bincount(pairs.col.astype(np.int64) * classes + of[pairs.row], pairs.count, n * classes).reshape(n, classes)  # what precedes it
     grid = pairs.by_class(of, classes)
     self_count = np.zeros(n)
     same = pairs.row == pairs.col
