@@ -127,6 +127,26 @@ def bags(rows: DataFrame, names: list[str]) -> pa.Table:
     return map_batches(rows, each, "y int, n int, flat array<smallint>").toArrow()
 
 
+def document_sums(w: np.ndarray, n_docs: int, ids: np.ndarray, sentence: np.ndarray, owner: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(logits of the sentences with features, sum of -log(1 - p) over each document's sentences)."""
+    z = w[-1] + np.bincount(sentence, w[ids], len(owner))
+    return z, np.bincount(owner, np.logaddexp(0, z), n_docs) + bare * np.logaddexp(0, w[-1])
+
+
+def objective(w: np.ndarray, y: np.ndarray, ids: np.ndarray, sentence: np.ndarray, owner: np.ndarray, bare: np.ndarray) -> tuple[float, np.ndarray]:
+    """(mean loss of the noisy-or over the documents, with decay of the weights; its gradient). The last of w is the bias.
+
+    ids and sentence list the features of the sentences that have some, owner their documents; bare counts each document's others."""
+    z, s = document_sums(w, len(y), ids, sentence, owner, bare)
+    loss = np.where(y > 0, -np.log(-np.expm1(-np.maximum(s, 1e-12))), s).mean() + DECAY / 2 * (w[:-1] ** 2).sum()
+    down = np.where(y > 0, -1 / np.maximum(np.expm1(s), 1e-2), 1.0)
+    g_z = down[owner] / (1 + np.exp(-z))
+    g = np.empty_like(w)
+    g[:-1] = np.bincount(ids, g_z[sentence], len(w) - 1) / len(y) + DECAY * w[:-1]
+    g[-1] = (g_z.sum() + (down * bare).sum() / (1 + np.exp(-w[-1]))) / len(y)
+    return float(loss), g
+
+
 def train(y: np.ndarray, n: np.ndarray, flat: list[list[int]], n_features: int, steps: int = STEPS) -> tuple[np.ndarray, float, tuple[float, float]]:
     """Weights and bias of the sentence model, by Adam on the likelihood of the document labels, and the curve of the scores."""
     size = np.array([len(f) for f in flat])
@@ -140,17 +160,10 @@ def train(y: np.ndarray, n: np.ndarray, flat: list[list[int]], n_features: int,
     w[-1] = np.log(max(y.mean(), 1e-3) / max(n.mean(), 1))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        z = w[-1] + np.bincount(sentence, w[ids], len(owner))
-        s = np.bincount(owner, np.logaddexp(0, z), len(y)) + bare * np.logaddexp(0, w[-1])
-        down = np.where(y > 0, -1 / np.maximum(np.expm1(s), 1e-2), 1.0)
-        g_z = down[owner] / (1 + np.exp(-z))
-        g = np.empty_like(w)
-        g[:-1] = np.bincount(ids, g_z[sentence], n_features) / len(y) + DECAY * w[:-1]
-        g[-1] = (g_z.sum() + (down * bare).sum() / (1 + np.exp(-w[-1]))) / len(y)
+        _, g = objective(w, y, ids, sentence, owner, bare)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    z = w[-1] + np.bincount(sentence, w[ids], len(owner))
-    s = np.bincount(owner, np.logaddexp(0, z), len(y)) + bare * np.logaddexp(0, w[-1])
+    s = document_sums(w, len(y), ids, sentence, owner, bare)[1]
     return w[:-1], float(w[-1]), curve(log_odds(s), y)
 
 

@@ -63,3 +63,38 @@ def test_query(spark):
             assert x.kept == bool(truth[x.doc_id])
     assert rules.judge(docs.limit(0), rules.fit(docs, labels.limit(0))).count() == 0
     assert all(x.kept != x.base_failed for x in rules.judge(docs, rules.fit(docs, labels.limit(0))).collect())
+
+
+def walked(forest, x):
+    """One row down every tree, node by node."""
+    out = forest.base
+    for node in forest.roots.tolist():
+        while forest.feature[node] >= 0:
+            node = int(forest.left[node] if x[forest.feature[node]] <= forest.threshold[node] else forest.right[node])
+        out += forest.value[node]
+    return 1 / (1 + np.exp(-out))
+
+
+def test_kept_equals_brute_force(spark):
+    """Held-out rows: kept is the rules and the forest walked one row at a time; long texts and repeated labels included."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8)))
+    rows = []
+    for k in range(400):
+        junk = k % 3 == 0
+        rows.append((k, " ".join(word() + ("###" if junk and r.random() < 0.7 else "") for _ in range(r.randint(45, 120))), int(not junk)))
+    rows.append((1000, " ".join(word() for _ in range(25_000)), 1))
+    docs = spark.createDataFrame([x[:2] for x in rows] + [(1, rows[1][1]), (1, "another text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows if k % 4] + [(1, 0)], "doc_id long, quality int")
+    f = rules.fit(docs, labels)
+    right = []
+    texts = {k: t for k, t, _ in rows}
+    for x in rules.judge(docs.where("text <> 'another text'"), f).collect():
+        counts, features = rules.statistics(texts[x.doc_id])
+        assert x.quality == walked(f, features) or abs(x.quality - walked(f, features)) < 1e-12
+        assert x.kept == (not rules.fails(counts[0], counts[4]) and walked(f, features) >= 0.5)
+        if x.doc_id % 4 == 0 and not x.base_failed and x.doc_id < 1000:
+            right.append(x.kept == (x.doc_id % 3 != 0))
+    assert len(right) > 80 and np.mean(right) > 0.97
+    again = rules.fit(docs.union(docs).repartition(6), labels)
+    assert np.array_equal(again.threshold, f.threshold) and np.allclose(again.value, f.value)
