@@ -92,9 +92,32 @@ def partitions_for(spark: SparkSession, n_bytes: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // each), 1)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+#: What operators remember in a Python worker from task to task, by operator.
+_remembered: dict[str, dict] = {}
+
+
+def remembered(operator: str) -> dict:
+    """A dictionary of this worker that lasts until a task of another operator begins."""
+    return _remembered.setdefault(operator, {})
+
+
+def let_go(but: str) -> list[str]:
+    """Forget what all other operators remembered in this worker; returns whose it was."""
+    others = [k for k in _remembered if k != but]
+    for k in others:
+        del _remembered[k]
+    return others
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, operator: str = "") -> DataFrame:
+    """mapInArrow over short batches. Workers outlive stages, so a task first lets go of what other operators remembered."""
     short_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(operator)  # by name: a global of this closure would be a copy in the worker
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def text_hash(text: Column) -> Column:

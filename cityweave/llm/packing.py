@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityweave.llm.base import map_batches, materialize
+from cityweave.llm.base import map_batches, materialize, remembered
 
 CAPACITY = 1024
 END_ID = 2
 OPEN_BINS = 1024
 GROUP = 12_000
 #: Words, and parts of words, whose ids a worker remembers, and the longest of them.
-MEMO = 600_000
+MEMO = 400_000
 MEMO_CHARS = 64
 LOOSE = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
@@ -118,14 +118,12 @@ class Memo(dict):
         return self.encode(head) + b"".join(map(of, rest))
 
 
-_memos: dict[str, Memo] = {}
-
-
 def memo_of(path: str) -> Memo:
-    """One memo per Python worker and tokenizer."""
-    if path not in _memos:
-        _memos[path] = Memo(path)
-    return _memos[path]
+    """One memo per Python worker and tokenizer, for as long as the worker packs."""
+    memos = remembered("packing")
+    if path not in memos:
+        memos[path] = Memo(path)
+    return memos[path]
 
 
 def default_tokenizer() -> str:
@@ -160,7 +158,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
-    return map_batches(docs, each, "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
+    return map_batches(docs, each, "doc_id long, piece int, start long, length long, ids_crc32 long, row long", "packing")
 
 
 class Packer:

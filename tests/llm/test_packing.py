@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from cityweave.llm import packing
 
@@ -124,3 +125,22 @@ def test_placement_equals_brute_force(spark):
     # replayed in the order in which sequences and offsets came, best-fit puts every piece where it is
     assert sum(map(sum, bins.values())) == sum(x.length for x in part) and all(sum(b) <= 1024 for b in bins.values())
     assert len(bins) <= len(brute_best_fit(sorted((x.length for x in part), reverse=True), 1024, 10**6)) + 4
+
+
+def test_workers_let_go_of_the_memo(spark):
+    from cityweave.llm import base
+
+    docs = spark.createDataFrame([(k, "the of zebra") for k in range(40)], "doc_id long, text string").repartition(4)
+
+    def asked(keeps):
+        def each(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([len(base.remembered("packing"))] * len(b))], ["n"])
+
+        return {r.n for r in base.map_batches(docs, each, "n long", keeps).collect()}
+
+    for _ in range(3):
+        packing.pieces(docs, packing.default_tokenizer()).count()
+    assert 1 in asked("packing")
+    assert asked("") == {0}
+    assert asked("packing") == {0}
