@@ -90,14 +90,18 @@ def segment_cells(ax: Column, ay: Column, bx: Column, by: Column, size: float, m
 def points_near_segments(points: DataFrame, segments: DataFrame, point_id: str, segment_id: str, radius: float, size: float = 100.0) -> DataFrame:
     """The nearest segment (ax, ay, bx, by) within radius of each point (x, y); exact for segments of any length.
 
-    A segment goes to the cells along its way and those within the radius of them, so its copies grow with its length."""
+    A segment goes to the cells along its way and those within the radius of them, so its copies grow with its length.
+    Segments and points that lie on each other are taken once: of equal segments the smallest id counts."""
     from cityweave.operators.rasterize import walk_near
 
-    near = walk_near(*(F.col(c) / size for c in ("ax", "ay", "bx", "by")), math.ceil(radius / size))
-    s = segments.withColumn("_w", F.explode(near)).withColumn("_cx", F.col("_w.col")).withColumn("_cy", F.col("_w.row")).drop("_w")
-    j = points.withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size)).join(s, ["_cx", "_cy"])
-    j = j.withColumn("distance", point_segment(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))).where(F.col("distance") <= radius)
-    return j.groupBy(point_id).agg(F.min(F.struct("distance", segment_id)).alias("_x")).select(point_id, F.col(f"_x.{segment_id}").alias(segment_id), F.col("_x.distance").alias("distance"))
+    ends = ["ax", "ay", "bx", "by"]
+    near = walk_near(*(F.col(c) / size for c in ends), math.ceil(radius / size))
+    s = segments.groupBy(*ends).agg(F.min(segment_id).alias(segment_id)).withColumn("_w", F.explode(near)).withColumn("_cx", F.col("_w.col")).withColumn("_cy", F.col("_w.row")).drop("_w")
+    places = points.select("x", "y").distinct()
+    j = places.withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size)).join(s, ["_cx", "_cy"])
+    j = j.withColumn("distance", point_segment(*(F.col(c) for c in ("x", "y", *ends)))).where(F.col("distance") <= radius)
+    best = j.groupBy("x", "y").agg(F.min(F.struct("distance", segment_id)).alias("_x"))
+    return points.select(point_id, "x", "y").join(best, ["x", "y"]).select(point_id, F.col(f"_x.{segment_id}").alias(segment_id), F.col("_x.distance").alias("distance"))
 
 
 def in_disc(x: Column, y: Column, radius: float, margin: float = 0.0) -> Column:
