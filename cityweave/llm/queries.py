@@ -73,7 +73,15 @@ def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_noisy_or_toxicity, op2_simhash_trie, op3_boosted_rules, op4_virtual_slots, op5_warc_revisits, op6_best_fit_packing, op7_wu_manber, op8_super_kmers, op9_kneser_ney_quality, op10_brown_classes)}
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed are the URLs of the pages whose id is divisible by 20, so other forms and repeats of them are found."""
+    from cityweave.llm.urlfilter import judge
+
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, pages.where(F.col("page_id") % 20 == 0).select("url"))
+
+
+QUERIES = {f.__name__: f for f in (op1_noisy_or_toxicity, op2_simhash_trie, op3_boosted_rules, op4_virtual_slots, op5_warc_revisits, op6_best_fit_packing, op7_wu_manber, op8_super_kmers, op9_kneser_ney_quality, op10_brown_classes, op13_url_filters)}
 _SPACE = r"'[^\x20\x09-\x0D]+'"
 _LOW = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -92,4 +100,13 @@ SELECT dw.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit
 r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS again FROM g), x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM r WHERE again),
 u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d), kept AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.k) AS t, count(*) AS n FROM u LEFT JOIN x ON x.doc_id = u.doc_id AND x.k = u.k WHERE x.k IS NULL GROUP BY u.doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""",
+    "op13_url_filters": r"""WITH p AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '(?s)^.*?://[^?#]*\?([^#]*)', 1) AS q FROM p),
+k AS (SELECT page_id, host, path, regexp_replace(regexp_replace(host, ':(80|443)?$', ''), '^www\.', '') AS bare, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))) AS kept FROM h),
+c AS (SELECT page_id, host, path, CASE WHEN bare <> '' THEN bare || regexp_replace(path, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS form FROM k),
+r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) v(rh, rp, rv)),
+f AS (SELECT page_id, host, path, form, (SELECT arg_max(rh || rp || ' ' || rv, length(rh || rp)) FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS best FROM c),
+l AS (SELECT DISTINCT form FROM c WHERE page_id % 20 = 0 AND form IS NOT NULL)
+SELECT page_id, host, path, split_part(best, ' ', 1) AS rule, CASE WHEN best IS NOT NULL THEN split_part(best, ' ', 2) WHEN l.form IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, CASE WHEN best IS NULL THEN l.form IS NOT NULL END AS listed
+FROM f LEFT JOIN l ON l.form = f.form""",
 }
