@@ -73,6 +73,12 @@ def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op12_range_finder_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityweave.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed are the URLs of the pages whose id is divisible by 20, so other forms and repeats of them are found."""
     from cityweave.llm.urlfilter import judge
@@ -81,7 +87,7 @@ def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, pages.where(F.col("page_id") % 20 == 0).select("url"))
 
 
-QUERIES = {f.__name__: f for f in (op1_noisy_or_toxicity, op2_simhash_trie, op3_boosted_rules, op4_virtual_slots, op5_warc_revisits, op6_best_fit_packing, op7_wu_manber, op8_super_kmers, op9_kneser_ney_quality, op10_brown_classes, op13_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_noisy_or_toxicity, op2_simhash_trie, op3_boosted_rules, op4_virtual_slots, op5_warc_revisits, op6_best_fit_packing, op7_wu_manber, op8_super_kmers, op9_kneser_ney_quality, op10_brown_classes, op12_range_finder_whitening, op13_url_filters)}
 _SPACE = r"'[^\x20\x09-\x0D]+'"
 _LOW = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
