@@ -73,6 +73,12 @@ def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op11_earley_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityweave.llm.repair import damaged_and_repaired
+
+    return damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def op12_range_finder_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cityweave.llm.whitening import whitened
 
@@ -87,7 +93,7 @@ def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, pages.where(F.col("page_id") % 20 == 0).select("url"))
 
 
-QUERIES = {f.__name__: f for f in (op1_noisy_or_toxicity, op2_simhash_trie, op3_boosted_rules, op4_virtual_slots, op5_warc_revisits, op6_best_fit_packing, op7_wu_manber, op8_super_kmers, op9_kneser_ney_quality, op10_brown_classes, op12_range_finder_whitening, op13_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_noisy_or_toxicity, op2_simhash_trie, op3_boosted_rules, op4_virtual_slots, op5_warc_revisits, op6_best_fit_packing, op7_wu_manber, op8_super_kmers, op9_kneser_ney_quality, op10_brown_classes, op11_earley_repair, op12_range_finder_whitening, op13_url_filters)}
 _SPACE = r"'[^\x20\x09-\x0D]+'"
 _LOW = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
