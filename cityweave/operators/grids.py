@@ -40,6 +40,50 @@ def box_sum(cells: DataFrame, layer: str, radius: int) -> DataFrame:
     return here.join(out, ["row", "col"]).withColumnRenamed("_s", f"{layer}_box")
 
 
+def gaussian(cells: DataFrame, layer: str, sigma: float, mirrored: bool = True) -> DataFrame:
+    """The cells with layer_smooth: a normalised Gaussian cut at 4 sigma, along rows and then along columns.
+
+    Missing cells count as 0. Beyond the least and the largest row and column the grid is mirrored, edge included, or 0."""
+    k = int(4 * sigma + 0.5)
+    w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-k, k + 1)]
+    weights = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(x / sum(w)).alias("w")) for i, x in zip(range(-k, k + 1), w)))
+    ends = cells.agg(*(f(c).alias(f"{n}_{c}") for c in ("row", "col") for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    out = cells.select("row", "col", F.coalesce(F.col(layer).cast("double"), F.lit(0.0)).alias("_s"))
+    if ends.lo_row is None:
+        return cells.withColumn(f"{layer}_smooth", F.lit(None).cast("double"))
+    for axis in ("row", "col"):
+        lo, hi = ends[f"lo_{axis}"], ends[f"hi_{axis}"]
+        n, at = hi - lo + 1, F.col(axis)
+        turns = range(-(k // (2 * n)) - 1, k // (2 * n) + 2) if mirrored else [0]
+        copies = [at + 2 * n * m for m in turns] + ([F.lit(2 * lo - 1 + 2 * n * m) - at for m in turns] if mirrored else [])
+        x = out.select("row", "col", "_s", F.explode(F.filter(F.array(*copies), lambda e: (e >= lo - k) & (e <= hi + k))).alias("_e"))  # noqa: B023
+        x = x.select("row", "col", "_s", "_e", F.explode(weights).alias("_w")).withColumn(axis, F.col("_e") - F.col("_w.i")).where(F.col(axis).between(lo, hi))
+        out = x.groupBy("row", "col").agg(F.sum(F.col("_s") * F.col("_w.w")).alias("_s"))
+    return cells.join(out.withColumnRenamed("_s", f"{layer}_smooth"), ["row", "col"])
+
+
+def gaps_filled(cells: DataFrame, layer: str, fillable: Column | None = None, most_rounds: int = 50) -> DataFrame:
+    """row, col, layer: nulls take the mean of the values around them, round by round.
+
+    A hole beside a value is filled at once, so after the first round only the newly filled cells can reach a hole."""
+    may = F.lit(True) if fillable is None else F.coalesce(fillable, F.lit(False))
+    x = checkpointed(cells.select("row", "col", F.col(layer).cast("double").alias("v"), may.alias("may")))
+    holes, fresh = x.where("v IS NULL AND may").select("row", "col"), x.where("v IS NOT NULL").select("row", "col", "v")
+    done = [x.where("NOT (v IS NULL AND may)").select("row", "col", "v")]
+    near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in RING))).alias("n")
+    for _ in range(most_rounds):
+        sent = fresh.select("v", (F.col("row")).alias("r"), F.col("col").alias("c"), near).select("v", (F.col("r") + F.col("n.i")).alias("row"), (F.col("c") + F.col("n.j")).alias("col"))
+        fresh = checkpointed(sent.join(holes, ["row", "col"], "left_semi").groupBy("row", "col").agg(F.avg("v").alias("v")))
+        if fresh.isEmpty():
+            break
+        done.append(fresh)
+        holes = checkpointed(holes.join(fresh, ["row", "col"], "left_anti"))
+    out = holes.withColumn("v", F.lit(None).cast("double"))
+    for part in done:
+        out = out.unionByName(part)
+    return out.withColumnRenamed("v", layer)
+
+
 def local_std(cells: DataFrame, layer: str, radius: int) -> DataFrame:
     """Standard deviation in the window round each cell, of the cells that exist."""
     sq = cells.select("row", "col", F.lit(1.0).alias("one"), F.col(layer).alias("v"), (F.col(layer) * F.col(layer)).alias("vv"))
