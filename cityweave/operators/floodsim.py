@@ -170,89 +170,3 @@ def _place(values: np.ndarray, at: tuple, shape: tuple[int, int], fill: float) -
     out = np.full(shape, fill)
     out[at] = values
     return out
-
-
-def fill_depressions(dem: np.ndarray, slope: float = 1e-4) -> np.ndarray:
-    """Priority flood: no cell is lower than its way to the rim, which falls by `slope` per cell."""
-    import heapq
-
-    out, done = dem.copy(), np.zeros(dem.shape, bool)
-    heap: list[tuple[float, int, int]] = []
-    rows, cols = dem.shape
-    for r, c in {(r, c) for r in range(rows) for c in (0, cols - 1)} | {(r, c) for c in range(cols) for r in (0, rows - 1)}:
-        heapq.heappush(heap, (float(dem[r, c]), r, c))
-        done[r, c] = True
-    while heap:
-        z, r, c = heapq.heappop(heap)
-        for dr in (-1, 0, 1):
-            for dc in (-1, 0, 1):
-                i, j = r + dr, c + dc
-                if 0 <= i < rows and 0 <= j < cols and not done[i, j]:
-                    done[i, j] = True
-                    out[i, j] = max(dem[i, j], z + slope)
-                    heapq.heappush(heap, (float(out[i, j]), i, j))
-    return out
-
-
-def gaussian(a: np.ndarray, sigma: float, mode: str = "reflect") -> np.ndarray:
-    """Separable normalised kernel cut at 4 sigma; mode 'reflect' mirrors at the rim (edge included), 'constant' pads zeros."""
-    k = int(4 * sigma + 0.5)
-    w = np.exp(-0.5 * (np.arange(-k, k + 1) / sigma) ** 2)
-    w /= w.sum()
-    out = a.astype(float)
-    for axis in (0, 1):
-        pad = [(0, 0), (0, 0)]
-        pad[axis] = (k, k)
-        p = np.pad(out, pad, "symmetric") if mode == "reflect" else np.pad(out, pad)
-        view = np.lib.stride_tricks.sliding_window_view(p, 2 * k + 1, axis)
-        out = view @ w
-    return out
-
-
-def distance_transform(mask: np.ndarray) -> np.ndarray:
-    """Exact Euclidean distance of every cell to the nearest true cell (two passes of lower envelopes)."""
-    big = 1e15
-    f = np.where(mask, 0.0, big)
-    for axis in (0, 1):
-        f = np.apply_along_axis(_envelope, axis, f)
-    return np.sqrt(f)
-
-
-def _envelope(f: np.ndarray) -> np.ndarray:
-    n = len(f)
-    x = np.arange(n, dtype=float)
-    # every cell takes the least parabola; blocks bound the memory of long lines
-    return np.concatenate([((x[k : k + 256, None] - x[None, :]) ** 2 + f[None, :]).min(1) for k in range(0, n, 256)])
-
-
-def labels(mask: np.ndarray) -> np.ndarray:
-    """Numbers of the 4-connected regions of a mask, 0 outside; a region's number is 1 + its first cell in reading order."""
-    idx = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        new = idx.copy()
-        for axis in (0, 1):
-            for step in (1, -1):
-                near = np.roll(new, step, axis)
-                edge = [slice(None)] * 2
-                edge[axis] = 0 if step == 1 else -1
-                near[tuple(edge)] = 0
-                new = np.where(mask & (near > 0), np.minimum(new, near), new)
-        if (new == idx).all():
-            return idx
-        idx = new
-
-
-def fill_gaps(a: np.ndarray, rounds: int = 50, fillable: np.ndarray | None = None) -> np.ndarray:
-    """NaN cells take the mean of their valid 3 x 3 neighbours, round by round."""
-    out = a.copy()
-    for _ in range(rounds):
-        hole = np.isnan(out) if fillable is None else np.isnan(out) & fillable
-        if not hole.any():
-            break
-        p = np.pad(out, 1, constant_values=np.nan)
-        view = np.lib.stride_tricks.sliding_window_view(p, (3, 3))
-        ok = ~np.isnan(view)
-        n = ok.sum((2, 3))
-        mean = np.where(ok, view, 0).sum((2, 3)) / np.maximum(n, 1)
-        out = np.where(hole & (n > 0), mean, out)
-    return out

@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,87 +18,12 @@ from cityweave.plans.trips import _TIMES
 from cityweave.sources import pointcloud, sinks, tables
 from cityweave.streaming import live
 
-# grids in blocks of 20 rows, each one task's array
+# flood runs on blocks of 20 rows, each one task's array
 _ROWS, _COLS = 20, 50
 _BLOCK = f"""blocks AS (SELECT DISTINCT "row" // {_ROWS} AS block FROM cells), dense AS (SELECT block, r, c FROM blocks, (SELECT unnest(range({_ROWS})) AS r), (SELECT unnest(range({_COLS})) AS c)),
 g AS (SELECT f.block, r, c, x.* EXCLUDE ("row", col) FROM dense f LEFT JOIN cells x ON x."row" = f.block * {_ROWS} + r AND x.col = c)"""
 
 
-def per_block(v: Views, columns: list[str], kernel: Callable[[dict[str, np.ndarray]], np.ndarray], name: str) -> DataFrame:
-    """block, r, c, name: a kernel over each block's layers; cells that the table lacks are NaN."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        layers = {}
-        for k in columns:
-            layers[k] = np.full((_ROWS, _COLS), np.nan)
-            layers[k][pdf["r"].to_numpy(), pdf["c"].to_numpy()] = pdf[k].to_numpy(float)
-        r, c = np.indices((_ROWS, _COLS)).reshape(2, -1)
-        return pd.DataFrame({"block": int(pdf["block"].iloc[0]), "r": r, "c": c, name: np.asarray(kernel(layers), float).reshape(-1)})
-
-    x = v.cells.select(F.floor(F.col("row") / _ROWS).alias("block"), (F.col("row") % _ROWS).alias("r"), F.col("col").alias("c"), *(F.col(k).cast("double").alias(k) for k in columns))
-    return x.groupBy("block").applyInPandas(one, f"block long, r long, c long, {name} double")
-
-
-def _weights(sigma: float) -> str:
-    k = int(4 * sigma + 0.5)
-    w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-k, k + 1)]
-    return "(VALUES " + ", ".join(f"({i}, CAST({x / sum(w)!r} AS DOUBLE))" for i, x in zip(range(-k, k + 1), w)) + ")"
-
-
-def _reflect(at: str, n: int) -> str:
-    return f"CASE WHEN {at} < 0 THEN -({at}) - 1 WHEN {at} >= {n} THEN {2 * n - 1} - ({at}) ELSE {at} END"
-
-
-@query(f"""WITH {_BLOCK}, d AS (SELECT block, r, c, coalesce(depth, 0) AS z FROM g), a AS (SELECT d.block, d.r, d.c, sum(w * o.z) AS z FROM d CROSS JOIN {_weights(1.0)} k(i, w) JOIN d o ON o.block = d.block AND o.c = d.c AND o.r = {_reflect('d.r + i', _ROWS)} GROUP BY ALL)
-SELECT a.block, a.r, a.c, round(sum(w * o.z), 6) AS z FROM a CROSS JOIN {_weights(1.0)} k(i, w) JOIN a o ON o.block = a.block AND o.r = a.r AND o.c = {_reflect('a.c + i', _COLS)} GROUP BY ALL""", "cells")
-def gaussian_mirrored(v: Views) -> DataFrame:
-    return per_block(v, ["depth"], lambda x: floodsim.gaussian(np.nan_to_num(x["depth"]), 1.0), "z").withColumn("z", F.round("z", 6))
-
-
-@query(f"""WITH {_BLOCK}, d AS (SELECT block, r, c, coalesce(depth, 0) AS z FROM g), a AS (SELECT d.block, d.r, d.c, sum(w * o.z) AS z FROM d CROSS JOIN {_weights(1.3)} k(i, w) JOIN d o ON o.block = d.block AND o.c = d.c AND o.r = d.r + i GROUP BY ALL)
-SELECT a.block, a.r, a.c, round(sum(w * o.z), 6) AS z FROM a CROSS JOIN {_weights(1.3)} k(i, w) JOIN a o ON o.block = a.block AND o.r = a.r AND o.c = a.c + i GROUP BY ALL""", "cells")
-def gaussian_zero_padded(v: Views) -> DataFrame:
-    return per_block(v, ["depth"], lambda x: floodsim.gaussian(np.nan_to_num(x["depth"]), 1.3, "constant"), "z").withColumn("z", F.round("z", 6))
-
-
-def _fill(name: str, source: str, may: str) -> str:
-    return f"{name} AS (SELECT a.block, a.r, a.c, a.ok, CASE WHEN a.z IS NULL AND {may} THEN avg(b.z) ELSE a.z END AS z FROM {source} a JOIN {source} b ON b.block = a.block AND abs(b.r - a.r) <= 1 AND abs(b.c - a.c) <= 1 GROUP BY a.block, a.r, a.c, a.ok, a.z)"
-
-
-@query(f"""WITH {_BLOCK}, f0 AS (SELECT block, r, c, true AS ok, CASE WHEN NOT water AND NOT building THEN dem END AS z FROM g), {_fill('f1', 'f0', 'true')}, {_fill('f2', 'f1', 'true')} SELECT block, r, c, round(z, 6) AS z FROM f2""", "cells")
-def gaps_filled(v: Views) -> DataFrame:
-    x = per_block(v, ["dem", "water", "building"], lambda x: floodsim.fill_gaps(np.where((x["water"] == 0) & (x["building"] == 0), x["dem"], np.nan), 2), "z")
-    return x.select("block", "r", "c", F.round(F.nanvl("z", F.lit(None)), 6).alias("z"))
-
-
-@query(f"""WITH {_BLOCK}, f0 AS (SELECT block, r, c, coalesce(building, false) AS ok, CASE WHEN NOT water AND NOT building THEN dem END AS z FROM g), {_fill('f1', 'f0', 'a.ok')}, {_fill('f2', 'f1', 'a.ok')} SELECT block, r, c, round(z, 6) AS z FROM f2""", "cells")
-def gaps_filled_where_allowed(v: Views) -> DataFrame:
-    x = per_block(v, ["dem", "water", "building"], lambda x: floodsim.fill_gaps(np.where((x["water"] == 0) & (x["building"] == 0), x["dem"], np.nan), 2, x["building"] == 1), "z")
-    return x.select("block", "r", "c", F.round(F.nanvl("z", F.lit(None)), 6).alias("z"))
-
-
-@query(f"""WITH RECURSIVE {_BLOCK}, d AS (SELECT block, r, c, round(coalesce(dem, 20), 1) AS z FROM g), w(block, r, c, z) AS (SELECT block, r, c, z FROM d WHERE r IN (0, {_ROWS - 1}) OR c IN (0, {_COLS - 1})
-UNION SELECT d.block, d.r, d.c, greatest(d.z, w.z) FROM w JOIN d ON d.block = w.block AND abs(d.r - w.r) <= 1 AND abs(d.c - w.c) <= 1 AND (d.r <> w.r OR d.c <> w.c) AND d.r BETWEEN 1 AND {_ROWS - 2} AND d.c BETWEEN 1 AND {_COLS - 2}) SELECT block, r, c, min(z) AS z FROM w GROUP BY ALL""", "cells")
-def filled_depressions(v: Views) -> DataFrame:
-    """Every cell at least as high as the lowest way to the rim."""
-    return per_block(v, ["dem"], lambda x: floodsim.fill_depressions(np.round(np.where(np.isnan(x["dem"]), 20, x["dem"]), 1), 0.0), "z")
-
-
-@query(f"""WITH {_BLOCK}, s AS (SELECT block, r, c FROM g WHERE water) SELECT g.block, g.r, g.c, round(min(sqrt(pow(g.r - s.r, 2) + pow(g.c - s.c, 2))), 6) AS distance, min(sqrt(pow(g.r - s.r, 2) + pow(g.c - s.c, 2))) <= 2.0 AS buffered FROM g JOIN s ON s.block = g.block GROUP BY ALL""", "cells")
-def distance_bands(v: Views) -> DataFrame:
-    """Distance of every cell to the nearest water, and whether it lies in a buffer of two cells."""
-    x = per_block(v, ["water"], lambda x: floodsim.distance_transform(x["water"] == 1), "distance")
-    return x.where("distance < 1e6").select("block", "r", "c", F.round("distance", 6).alias("distance"), (F.col("distance") <= 2).alias("buffered"))
-
-
-@query(f"""WITH RECURSIVE {_BLOCK}, s AS (SELECT block, r, c, r * {_COLS} + c + 1 AS id FROM g WHERE depth > 0.9), w(block, r, c, id) AS (SELECT block, r, c, id FROM s UNION SELECT s.block, s.r, s.c, w.id FROM w JOIN s ON s.block = w.block AND abs(s.r - w.r) + abs(s.c - w.c) = 1), l AS (SELECT block, r, c, min(id) AS region FROM w GROUP BY ALL)
-SELECT block, region, CAST(count(*) AS BIGINT) AS size FROM l GROUP BY ALL""", "cells")
-def wet_regions(v: Views) -> DataFrame:
-    """Connected wet cells and their number; the first cell in reading order names a region."""
-    x = per_block(v, ["depth"], lambda x: floodsim.labels(np.nan_to_num(x["depth"]) > 0.9), "region").where("region > 0")
-    return x.groupBy("block", F.col("region").cast("long").alias("region")).agg(F.count("*").alias("size"))
-
-
 # the flood engine, step by step: ten seconds each while the water is shallow
 def _flood_steps(n: int, dt: float, res: float, rain_ms: float) -> str:
     out = [f"""{_BLOCK}, high AS (SELECT block, max(dem) AS top, max(r) FILTER (dem IS NOT NULL) AS rr, max(c) FILTER (dem IS NOT NULL) AS cc FROM g GROUP BY block),

@@ -35,25 +35,6 @@ def test_runs_in_parallel(spark):
     assert got.count() == 192 and got.where("abs(closure_rel) > 1e-9").count() == 0 and got.agg(F.max("max_depth")).first()[0] > 0
 
 
-def test_grid_kernels():
-    dem = np.full((7, 7), 5.0)
-    dem[3, 3] = 1.0
-    assert floodsim.fill_depressions(dem).min() >= 5.0
-    a = np.zeros((21, 21))
-    a[10, 10] = 1
-    for mode in ("reflect", "constant"):
-        assert abs(floodsim.gaussian(a, 1.3, mode).sum() - 1) < 1e-9
-    mask = np.random.default_rng(2).random((15, 12)) < 0.1
-    mask[0, 0] = True
-    pts = np.argwhere(mask)
-    want = np.array([[np.sqrt(((pts - (r, c)) ** 2).sum(1)).min() for c in range(12)] for r in range(15)])
-    assert np.allclose(floodsim.distance_transform(mask), want)
-    lab = floodsim.labels(np.array([[1, 1, 0], [0, 1, 0], [1, 0, 1]], bool))
-    assert lab.tolist() == [[1, 1, 0], [0, 1, 0], [7, 0, 9]]
-    hole = np.array([[1.0, np.nan], [3.0, np.nan]])
-    assert floodsim.fill_gaps(hole)[0, 1] == 2.0
-
-
 def bow_tie(spark):
     pairs = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 2)]
     return spark.createDataFrame([x for u, v in pairs for x in ((u, v, 10.0), (v, u, 10.0))], "u long, v long, length double")
