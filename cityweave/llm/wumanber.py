@@ -5,7 +5,8 @@ shorter pattern). For each pattern length, a table of the blocks of two words th
 the search may move on; a word of no pattern lets it skip a whole pattern. Where a block ends a pattern, its bucket names
 the patterns that end so, told apart by their first block, and word-by-word comparison confirms an occurrence.
 
-The patterns are broadcast in blocks of items of a checked size. A larger benchmark is searched block by block over all
+Words are numbers and the tables flat arrays, built once on the driver; what a block of 4 MB of benchmark costs a worker is in
+the README. The tables are broadcast in blocks of items of a checked size. A larger benchmark is searched block by block over all
 documents: one block at a time is held by the driver and broadcast, its findings are written, and at the end they are joined
 to the documents, so the benchmark's size is not bounded.
 
@@ -17,8 +18,9 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -39,65 +41,96 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Searcher:
-    """Finds all occurrences of word sequences of one length m."""
-
-    def __init__(self, patterns: Iterable[Sequence[bytes]]):
-        self.patterns = [list(p) for p in patterns]
-        self.m = m = len(self.patterns[0])
-        self.block = block = min(BLOCK, m)
-        self.known = {w for p in self.patterns for w in p}
-        self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for k, p in enumerate(self.patterns):
-            for end in range(block, m + 1):
-                b = tuple(p[end - block : end])
-                self.shift[b] = min(self.shift.get(b, m), m - end)
-            self.bucket[tuple(p[m - block :])][tuple(p[:block])].append(k)
-        self.bucket = {k: dict(v) for k, v in self.bucket.items()}
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        """(start, number of the pattern)."""
-        m, block, known, shift, bucket, patterns = self.m, self.block, self.known, self.shift, self.bucket, self.patterns
-        at, n, far = m - 1, len(words), m - block + 1
+    """Finds all occurrences of windows of m words, in flat arrays: words are numbers, a block of two words is one long."""
+
+    def __init__(self, texts: list[np.ndarray], owners: list[int], m: int, n_words: int):
+        self.m, self.block, self.n_words = m, min(BLOCK, m), n_words
+        sizes = np.array([len(t) for t in texts])
+        self.flat = np.concatenate(texts)
+        first = np.repeat(np.cumsum(sizes) - sizes, sizes)  # where each word's item begins
+        place = np.arange(len(self.flat)) - first
+        left = np.repeat(sizes, sizes) - place  # words from here to the item's end
+        inside = left >= self.block
+        key, end = self._keys(self.flat)[inside[: len(self.flat) - self.block + 1]], place[inside] + self.block
+        # a block may end a window unless it lies in the first words of its item
+        shift = np.maximum(m - end, 0)
+        order = np.lexsort((shift, key))
+        self.keys, at = np.unique(key[order], return_index=True)
+        self.shift = shift[order][at].astype(np.int32)
+        starts = np.flatnonzero(left >= m)
+        every = self._keys(self.flat)
+        pair = np.searchsorted(self.keys, every[starts + m - self.block]) * len(self.keys) + np.searchsorted(self.keys, every[starts])
+        order = np.argsort(pair, kind="stable")
+        self.pairs, self.starts, self.owner = pair[order], starts[order].astype(np.int32), np.repeat(owners, sizes)[starts][order].astype(np.int32)
+
+    def _keys(self, ids: np.ndarray) -> np.ndarray:
+        """A long for the block that begins at each word."""
+        ids = ids.astype(np.int64)
+        return ids if self.block == 1 else ids[:-1] * self.n_words + ids[1:]
+
+    def find(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(start, number of the item) of each occurrence in a text of word numbers, -1 for words of no item."""
+        m, block = self.m, self.block
+        if len(ids) < m:
+            return
+        key = self._keys(ids)
+        known = ids[block - 1 :] >= 0
+        if block > 1:
+            known &= ids[:-1] >= 0
+        rank = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        there = known & (self.keys[rank] == key)
+        # by how many words the search may move on where a block ends
+        steps = np.where(there, self.shift[rank], np.where(ids[block - 1 :] < 0, m, m - block + 1)).tolist()
+        at, n, ends = m - block, len(steps), []
         while at < n:
-            if words[at] not in known:
-                at += m
-                continue
-            b = tuple(words[at - block + 1 : at + 1])
-            step = shift.get(b, far)
+            step = steps[at]
             if step:
                 at += step
-                continue
-            start = at - m + 1
-            for k in bucket[b].get(tuple(words[start : start + block]), ()):
-                if patterns[k] == words[start : at + 1]:
-                    yield start, k
-            at += 1
+            else:
+                ends.append(at)
+                at += 1
+        end = np.array(ends, dtype=np.int64)
+        start = end - (m - block)
+        end, start = end[there[start]], start[there[start]]  # the bucket's windows are told apart by their first block
+        pair = rank[end] * len(self.keys) + rank[start]
+        lo, hi = np.searchsorted(self.pairs, pair, "left"), np.searchsorted(self.pairs, pair, "right")
+        for k in np.flatnonzero(hi > lo):
+            here = ids[start[k] : start[k] + m]
+            for w in range(lo[k], hi[k]):
+                s = self.starts[w]
+                if np.array_equal(self.flat[s : s + m], here):
+                    yield int(start[k]), int(self.owner[w])
 
 
 class Benchmark:
-    """Searchers for the windows of (item_id, text) rows."""
+    """Searchers for the windows of (item_id, text) rows, one for each length. Built once, on the driver, and broadcast."""
 
-    def __init__(self, items: Iterable[tuple[str, bytes | None]], window: int = WINDOW):
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item, text in items:
+    def __init__(self, rows: Iterable[tuple[str, bytes | None]], window: int = WINDOW):
+        self.number: dict[bytes, int] = {}
+        self.items: list[str] = []
+        by_length: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+        for item, text in rows:
             w = words_of(text)
             if item is not None and w:
-                for s in range(max(1, len(w) - window + 1)):
-                    owners[tuple(w[s : s + window])].add(item)
-        lengths: dict[int, list[tuple[bytes, ...]]] = defaultdict(list)
-        for p in owners:
-            lengths[len(p)].append(p)
-        self.parts = [(Searcher(ps), [sorted(owners[p]) for p in ps]) for _, ps in sorted(lengths.items())]
+                texts, owners = by_length[min(len(w), window)]
+                texts.append(np.array([self.number.setdefault(x, len(self.number)) for x in w], dtype=np.int32))
+                owners.append(len(self.items))
+                self.items.append(item)
+        self.parts = [Searcher(texts, owners, m, len(self.number)) for m, (texts, owners) in sorted(by_length.items())]
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        get = self.number.get
+        return np.array([get(w, -1) for w in words], dtype=np.int64)
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """(spans of hit words, items with an occurring window)."""
-        spans, items = [], set()
-        for searcher, owner in self.parts:
-            for start, k in searcher.find(words):
-                spans.append((start, start + searcher.m))
-                items.update(owner[k])
-        return spans, items
+        spans, items = set(), set()
+        ids = self.numbers(words) if self.parts else None
+        for searcher in self.parts:
+            for start, item in searcher.find(ids):
+                spans.add((start, start + searcher.m))
+                items.add(self.items[item])
+        return sorted(spans), items
 
 
 def count_hit(spans: Iterable[tuple[int, int]]) -> int:
@@ -111,11 +144,11 @@ def count_hit(spans: Iterable[tuple[int, int]]) -> int:
 SCHEMA = "doc_id long, text_key long, n_words long, spans array<long>, items array<string>"
 
 
-def scan(docs: DataFrame, held: Broadcast, window: int) -> DataFrame:
+def scan(docs: DataFrame, held: Broadcast) -> DataFrame:
     """One row per row of docs (doc_id, text_key, body): its words, hit spans (start << 32 | end) and items."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(held.value, window)
+        bench = held.value
         for b in batches:
             out = []
             for t in b.column("body").to_pylist():
@@ -136,19 +169,20 @@ class ItemBlocks:
         size = self.rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
         self.n = -(-int(size) // most_bytes) or 1
 
-    def broadcast(self, k: int) -> Broadcast:
+    def broadcast(self, k: int, window: int) -> Broadcast:
+        """The tables of a block. A worker reads them once and keeps them from task to task."""
         part = self.rows if self.n == 1 else self.rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(self.n)) == k)
-        return self.rows.sparkSession.sparkContext.broadcast(sorted((r.item, bytes(r.text)) for r in part.toLocalIterator()))
+        return self.rows.sparkSession.sparkContext.broadcast(Benchmark(sorted((r.item, bytes(r.text)) for r in part.toLocalIterator()), window))
 
 
 def findings(narrow: DataFrame, blocks: ItemBlocks, window: int) -> DataFrame:
     """scan() of all blocks. Rows of one id and text have the same findings, so those are kept once and joined by them."""
     if blocks.n == 1:
-        return scan(narrow, blocks.broadcast(0), window)
+        return scan(narrow, blocks.broadcast(0, window))
     hits = None
     for k in range(blocks.n):
-        held = blocks.broadcast(k)
-        found = scan(narrow, held, window)
+        held = blocks.broadcast(k, window)
+        found = scan(narrow, held)
         once = found.where(F.size("spans") > 0).groupBy("doc_id", "text_key").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
         once = materialize(once, "hits")
         held.destroy()
@@ -156,7 +190,7 @@ def findings(narrow: DataFrame, blocks: ItemBlocks, window: int) -> DataFrame:
     # as many lists for a key as there are blocks
     merged = hits.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     merged = merged.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "spans", "items")
-    rows = scan(narrow, narrow.sparkSession.sparkContext.broadcast([]), window).select("doc_id", "text_key", "n_words")
+    rows = scan(narrow, narrow.sparkSession.sparkContext.broadcast(Benchmark([], window))).select("doc_id", "text_key", "n_words")
     joined = rows.join(merged, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
     return joined.select("doc_id", "text_key", "n_words", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -186,10 +220,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     docs may have any names."""
     out, columns, blocks = docs, docs.columns, ItemBlocks(benchmark, item_col, item_text_col, broadcast_bytes)
     for k in range(blocks.n):
-        held = blocks.broadcast(k)
+        held = blocks.broadcast(k, window)
 
         def each(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(held.value, window)
+            bench = held.value
             for b in batches:
                 ok = [not bench.hits(words_of(None if t is None else t.encode()))[0] for t in b.column(text_col).to_pylist()]
                 yield b.filter(pa.array(ok, pa.bool_())).select(columns)

@@ -69,3 +69,19 @@ def test_long_texts_names_and_repeats(spark):
         assert sorted(map(tuple, got), key=str) == brute(docs, items)
         kept = wumanber.clean(d, b, broadcast_bytes=bound)
         assert kept.columns == d.columns and sorted(tuple(x) for x in kept.collect()) == sorted((*x, *range(7)) for x in docs[1:4])
+
+
+def test_tables_are_flat_and_built_once_a_block(spark, monkeypatch):
+    import pickle
+
+    r = random.Random(9)
+    items = [(k, " ".join(f"w{r.randint(0, 4000)}" for _ in range(100))) for k in range(800)]
+    tables = wumanber.Benchmark([(str(k), t.encode()) for k, t in items])
+    assert len(pickle.dumps(tables)) < 8 * sum(len(t) for _, t in items)  # what a worker reads, once
+    builds = []
+    plain = wumanber.Benchmark.__init__
+    monkeypatch.setattr(wumanber.Benchmark, "__init__", lambda self, rows, window=wumanber.WINDOW: (builds.append(1), plain(self, rows, window))[1])
+    docs = spark.createDataFrame([(k, items[k][1]) for k in range(40)], "doc_id long, text string").repartition(20)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert wumanber.contamination(docs, b).where("n_hit = 100").count() == 40
+    assert len(builds) == 1  # on the driver, whatever the number of tasks
