@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ from cityweave.operators import floodsim, records, routing, sightlines
 from cityweave.plans.bindings import CHAIN
 from cityweave.plans.registry import Views, query
 from cityweave.plans.trips import _TIMES
-from cityweave.sources import pointcloud, sinks, tables
+from cityweave.sources import feeds, pointcloud, sinks, tables
 from cityweave.streaming import live
 
 # flood runs on blocks of 20 rows, each one task's array
@@ -253,12 +253,21 @@ def report_documents(v: Views) -> DataFrame:
 
 # streams: the stream's answer to what the batch SQL says
 def streamed(v: Views, rows: DataFrame, run: Callable[[DataFrame], DataFrame], mode: str, order: str | None = None) -> DataFrame:
-    """rows written, streamed through run() until all are read, and what the sink then holds."""
-    path, name = records.own_folder(v.spark, "stream"), f"s{uuid.uuid4().hex}"
-    (rows.repartitionByRange(4, order).sortWithinPartitions(order) if order else rows.repartition(4)).write.parquet(path)
-    q = run(v.spark.readStream.schema(rows.schema).parquet(path)).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return v.spark.table(name)
+    """rows written, streamed through run() until all are read, and the table that the stream has written.
+
+    In complete mode each batch replaces the table, in append mode it adds to it."""
+    path = records.own_folder(v.spark, "stream")
+    (rows.repartitionByRange(4, order).sortWithinPartitions(order) if order else rows.repartition(4)).write.parquet(f"{path}/in")
+    out = run(v.spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+    writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/states").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{path}/out")
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out"))
+    with live.rocksdb_states(v.spark):
+        q = writer.start()
+        q.awaitTermination()
+    return v.spark.read.schema(out.schema).parquet(f"{path}/out")
 
 
 def feed(v: Views) -> DataFrame:
@@ -288,18 +297,19 @@ def streamed_snapshots(v: Views) -> DataFrame:
     return live.with_status(out, now).select("vehicle_id", "lat", "age_s", "live")
 
 
-_REPORTS = "reports AS (SELECT user_id % 40 AS id, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS k, CAST(event_id AS DOUBLE) AS t, CAST(event_id * 37 % 1000 AS DOUBLE) AS x, CAST(event_id * 91 % 1000 AS DOUBLE) AS y, CAST(event_id * 29 % 360 AS DOUBLE) AS a, CASE WHEN event_id // 200 % 3 = 0 THEN 0.0 ELSE 5.0 END AS v FROM events WHERE event_id < 900)"
+_REPORTS = "reports AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CAST(event_id + 1000 AS DOUBLE) AS t, CAST(event_id * 37 % 1000 AS DOUBLE) AS x, CAST(event_id * 91 % 1000 AS DOUBLE) AS y, CAST(event_id * 29 % 360 AS DOUBLE) AS a, CASE WHEN event_id // 200 % 3 = 0 THEN 0.0 ELSE 5.0 END AS v FROM events)"
 
 
 def reports(v: Views) -> DataFrame:
     k = F.col("event_id")
-    return v.events.where("event_id < 900").select((F.col("user_id") % 40).cast("string").alias("vehicle_id"), k.cast("double").alias("t"), (k * 37 % 1000).cast("double").alias("x"), (k * 91 % 1000).cast("double").alias("y"), (k * 29 % 360).cast("double").alias("angle"), F.when(F.floor(k / 200) % 3 == 0, 0.0).otherwise(5.0).alias("speed_ms"))
+    return v.events.select(F.col("user_id").cast("string").alias("vehicle_id"), (k + 1000).cast("double").alias("t"), (k * 37 % 1000).cast("double").alias("x"), (k * 91 % 1000).cast("double").alias("y"), (k * 29 % 360).cast("double").alias("angle"), F.when(F.floor(k / 200) % 3 == 0, 0.0).otherwise(5.0).alias("speed_ms"))
 
 
 @query(f"""WITH RECURSIVE {_REPORTS}, s(id, k, t, x, y, a) AS (SELECT id, k, t, x, y, a FROM reports WHERE k = 1 UNION ALL SELECT r.id, r.k, r.t, s.x + 0.18 * (r.x - s.x), s.y + 0.18 * (r.y - s.y), fmod(s.a + 0.18 * (fmod(fmod(r.a - s.a + 180.0, 360.0) + 360.0, 360.0) - 180.0) + 360.0, 360.0) FROM s JOIN reports r ON r.id = s.id AND r.k = s.k + 1)
 SELECT CAST(id AS VARCHAR) AS vehicle_id, t, round(x, 4) AS x, round(y, 4) AS y, round(a, 4) AS angle FROM s""")
 def streamed_eased_positions(v: Views) -> DataFrame:
-    out = streamed(v, reports(v), live.eased_positions, "append", "t")
+    """Positions eased report by report; the state of a vehicle outlives the table's longest silence."""
+    out = streamed(v, reports(v), lambda s: live.tracked_positions(s, ttl_s=10.0**9), "append", "t").where("NOT retired")
     return out.select("vehicle_id", "t", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("angle", 4).alias("angle"))
 
 
@@ -309,6 +319,33 @@ def streamed_stuck_resets(v: Views) -> DataFrame:
     return streamed(v, reports(v), live.stuck_resets, "append", "t")
 
 
+@query(f"""WITH {_REPORTS}, l AS (SELECT id, t, lead(t) OVER (PARTITION BY id ORDER BY t) AS n FROM reports) SELECT CAST(id AS VARCHAR) AS vehicle_id, t + 90 AS t FROM l WHERE t + 90 <= coalesce(n, (SELECT max(t) - 30 FROM l))""")
+def streamed_retirements(v: Views) -> DataFrame:
+    """Vehicles unseen for 90 s of event time: their state is dropped and a last row says so."""
+    return streamed(v, reports(v), live.tracked_positions, "append", "t").where("retired").select("vehicle_id", "t")
+
+
+_PLACE = "(event_id * 7 % 720) / 8.0 - 45"
+
+
+@query(f"""SELECT event_id // 100 AS poll, CASE WHEN event_id % 11 = 0 THEN 'e' || event_id ELSE 'v' || user_id END AS vehicle_id, CASE WHEN event_id % 6 <> 0 THEN 't' || event_id % 50 END AS trip_id, event_type AS route_id, {_PLACE} AS lat, CAST((event_id * 11 % 1440) / 8.0 - 90 AS DOUBLE) AS lon, CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 360 AS DOUBLE) END AS bearing, (event_id % 97) / 4.0 AS speed, CAST(epoch(ts) AS BIGINT) AS timestamp FROM events WHERE event_id % 13 <> 0 AND ({_PLACE} <> 0 OR (event_id * 11 % 1440) / 8.0 - 90 <> 0)""")
+def decoded_positions(v: Views) -> DataFrame:
+    """Vehicle positions written as feed messages, a hundred entities each, and decoded again; entities without a place go."""
+    k, ts = F.col("event_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 + 0.5)
+    rows = v.events.select(
+        F.floor(k / 100).alias("poll"), F.concat(F.lit("e"), k).alias("entity"), F.when(k % 11 != 0, F.concat(F.lit("v"), "user_id")).alias("who"), F.when(k % 6 != 0, F.concat(F.lit("t"), k % 50)).alias("trip"), F.col("event_type").alias("route"),
+        F.when(k % 13 != 0, k * 7 % 720 / 8.0 - 45).alias("lat"), F.when(k % 13 != 0, k * 11 % 1440 / 8.0 - 90).alias("lon"), F.when((k % 5 != 0) & (k % 13 != 0), (k % 360).cast("double")).alias("bearing"), F.when(k % 13 != 0, k % 97 / 4.0).alias("speed"), ts.alias("at"),
+    )
+
+    def message(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf.drop(columns="poll").astype(object).where(pdf.drop(columns="poll").notna(), None).itertuples(index=False, name=None)
+        return pd.DataFrame({"poll": [key[0]], "payload": [feeds.encode([(*r[:-1], int(r[-1])) for r in values])]})
+
+    return feeds.decoded(rows.groupBy("poll").applyInPandas(message, "poll long, payload binary"))
+
+
+
+
 @query("""SELECT CAST(user_id AS BIGINT) AS user_id FROM events WHERE event_id // 100 = (SELECT max(event_id // 100) FROM events WHERE event_id // 100 % 4 <> 3)""")
 def unseen_retired(v: Views) -> DataFrame:
     """Of polls, some of them empty, the rows of the last one that has any."""

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SNAPSHOT = "vehicle_id string, trip_id string, route_id string, lat double, lon double, bearing double, speed double, timestamp bigint"
 FRESH_S = 90
@@ -54,38 +55,117 @@ def ease(old: tuple[float, float, float], x: float, y: float, angle: float, alph
     return old[0] + alpha * (x - old[0]), old[1] + alpha * (y - old[1]), (old[2] + alpha * turn) % 360.0
 
 
-EASED = "vehicle_id string, t double, x double, y double, angle double"
+TRACKED = "vehicle_id string, t double, x double, y double, angle double, retired boolean"
 
 
-def eased_positions(stream: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """Eased positions of a stream of (vehicle_id, t, x, y, angle), one row per report; state is one position per vehicle."""
+class Tracker(StatefulProcessor):
+    """One eased position a vehicle, kept until the vehicle hasn't been seen for ttl_s of event time."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("t")
-        now, out = state.get if state.exists else None, []
-        for t, x, y, a in rows[["t", "x", "y", "angle"]].itertuples(index=False):
-            now = (x, y, a) if now is None else ease(now, x, y, a, alpha)
-            out.append((key[0], t, *now))
-        state.update(tuple(float(v) for v in now))
-        yield pd.DataFrame(out, columns=["vehicle_id", "t", "x", "y", "angle"])
+    def __init__(self, alpha: float, ttl_s: float):
+        self.alpha, self.ttl_s = alpha, ttl_s
 
-    return stream.select("vehicle_id", "t", "x", "y", "angle").groupBy("vehicle_id").applyInPandasWithState(step, EASED, "x double, y double, angle double", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "t double, x double, y double, angle double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known, out = self.at.get(), []
+        seen, now = (known[0], tuple(known[1:])) if known else (None, None)
+        frame = pd.concat(list(rows)).sort_values(["t", "x", "y", "angle"], kind="stable")
+        for t, x, y, a in frame[["t", "x", "y", "angle"]].itertuples(index=False):
+            if seen is not None and t < seen:
+                continue
+            if seen is not None and t >= seen + self.ttl_s:  # as its timer would, had the watermark come first
+                out.append((key[0], seen + self.ttl_s, *now, True))
+                now = None
+            now = (x, y, a) if now is None else ease(now, x, y, a, self.alpha)
+            seen = t
+            out.append((key[0], t, *now, False))
+        self.at.update((float(seen), *(float(v) for v in now)))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(int((seen + self.ttl_s) * 1000))
+        yield pd.DataFrame(out, columns=["vehicle_id", "t", "x", "y", "angle", "retired"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        t, x, y, a = self.at.get()
+        self.at.clear()
+        yield pd.DataFrame([(key[0], t + self.ttl_s, x, y, a, True)], columns=["vehicle_id", "t", "x", "y", "angle", "retired"])
+
+    def close(self) -> None:
+        pass
+
+
+def tracked_positions(stream: DataFrame, alpha: float = ALPHA, ttl_s: float = FRESH_S, late_s: float = 30) -> DataFrame:
+    """Eased positions of a stream of (vehicle_id, t seconds, x, y, angle), one row per report, and a last row (retired) for a
+    vehicle that no report has come from for ttl_s of event time; its state is then gone, and a later report begins anew.
+
+    Reports more than late_s behind the stream are dropped, and so are those older than the vehicle's last one; of one time
+    they are taken by x, y and angle. The store of states must be RocksDB (rocksdb_states)."""
+    s = stream.select("vehicle_id", "t", "x", "y", "angle", F.timestamp_seconds("t").alias("_ts")).withWatermark("_ts", f"{late_s} seconds")
+    return s.groupBy("vehicle_id").transformWithStateInPandas(Tracker(alpha, ttl_s), TRACKED, "append", "eventTime")
+
+
+STUCK = "vehicle_id string, t double, stood_s double"
 
 
-def stuck_resets(stream: DataFrame, slow: float = 0.12, after_s: float = 8.0) -> DataFrame:
-    """An event each time a vehicle has stood for after_s seconds: vehicle_id, t, stood_s; the timer then begins anew."""
+class Standing(StatefulProcessor):
+    """Since when each vehicle has stood; nothing is kept of one that moves."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, out = (state.get[0] if state.exists else None), []
-        for t, v in pd.concat(list(frames)).sort_values("t")[["t", "speed_ms"]].itertuples(index=False):
-            if v >= slow:
+    def __init__(self, slow: float, after_s: float, ttl_s: float):
+        self.slow, self.after_s, self.ttl_s = slow, after_s, ttl_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.since = handle.getValueState("since", "t double, last double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known, out = self.since.get(), []
+        since, last = known if known else (None, None)
+        frame = pd.concat(list(rows)).sort_values(["t", "speed_ms"], kind="stable")
+        for t, v in frame[["t", "speed_ms"]].itertuples(index=False):
+            if last is not None and t >= last + self.ttl_s:
+                since = None
+            last = t
+            if v >= self.slow:
                 since = None
                 continue
             since = t if since is None else since
-            if t - since >= after_s:
+            if t - since >= self.after_s:
                 out.append((key[0], float(t), float(t - since)))
                 since = t
-        state.update((since,))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if since is None:
+            self.since.clear()
+        else:
+            self.since.update((float(since), float(last)))
+            self.handle.registerTimer(int((last + self.ttl_s) * 1000))
         yield pd.DataFrame(out, columns=["vehicle_id", "t", "stood_s"])
 
-    return stream.select("vehicle_id", "t", "speed_ms").groupBy("vehicle_id").applyInPandasWithState(step, "vehicle_id string, t double, stood_s double", "since double", "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.since.clear()
+        yield pd.DataFrame([], columns=["vehicle_id", "t", "stood_s"]).astype({"vehicle_id": str, "t": float, "stood_s": float})
+
+    def close(self) -> None:
+        pass
+
+
+def stuck_resets(stream: DataFrame, slow: float = 0.12, after_s: float = 8.0, ttl_s: float = 3600, late_s: float = 30) -> DataFrame:
+    """An event each time a vehicle has stood for after_s seconds: vehicle_id, t, stood_s; the timer then begins anew.
+
+    A vehicle that stands but isn't reported for ttl_s is forgotten. Reports more than late_s behind the stream are dropped."""
+    s = stream.select("vehicle_id", "t", "speed_ms", F.timestamp_seconds("t").alias("_ts")).withWatermark("_ts", f"{late_s} seconds")
+    return s.groupBy("vehicle_id").transformWithStateInPandas(Standing(slow, after_s, ttl_s), STUCK, "append", "eventTime")
+
+
+@contextmanager
+def rocksdb_states(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their states in RocksDB, which states with timers need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

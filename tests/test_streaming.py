@@ -1,4 +1,3 @@
-import pandas as pd
 from pyspark.sql import functions as F
 
 from cityweave.streaming import live
@@ -41,17 +40,44 @@ def test_latest_status_retire(spark):
     assert [r.vehicle_id for r in live.retire_unseen(snap, polls).collect()] == ["b"]
 
 
-def test_stateful_operators(spark, tmp_path):
-    rows = pd.DataFrame([("v", float(t), 10.0 * t, 0.0, 350.0 if t == 0 else 10.0, 0.0 if t > 1 else 5.0) for t in range(0, 22, 2)], columns=["vehicle_id", "t", "x", "y", "angle", "speed_ms"])
-    schema = "vehicle_id string, t double, x double, y double, angle double, speed_ms double"
-    for k in range(0, len(rows), 4):
-        spark.createDataFrame(rows.iloc[k : k + 4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "s"))
-    got = run(live.eased_positions(stream), "eased").orderBy("t").collect()
+def through(stream, path):
+    with live.rocksdb_states(stream.sparkSession):
+        q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/states").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def reports(spark, folder, rows):
+    """Each list of rows a file of its own, in this order."""
+    for part in rows:
+        spark.createDataFrame(part, "vehicle_id string, t double, x double, y double, angle double, speed_ms double").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema("vehicle_id string, t double, x double, y double, angle double, speed_ms double").option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_tracked_positions_across_batches(spark, tmp_path):
+    rows = [("v", 1000.0 + t, 10.0 * t, 0.0, 350.0 if t == 0 else 10.0, 5.0) for t in range(0, 22, 2)]
+    got = through(live.tracked_positions(reports(spark, str(tmp_path / "in"), [rows[:4], rows[4:8], rows[8:]])), str(tmp_path)).orderBy("t").collect()
     pos, want = (0.0, 0.0, 350.0), [(0.0, 0.0, 350.0)]
     for t in range(2, 22, 2):
         pos = live.ease(pos, 10.0 * t, 0.0, 10.0)
         want.append(pos)
     assert [(r.x, r.y, r.angle) for r in got] == want and abs(want[1][2] - 353.6) < 1e-9
-    stuck = run(live.stuck_resets(stream), "stuck").orderBy("t").collect()
-    assert [(r.t, r.stood_s) for r in stuck] == [(10.0, 8.0), (18.0, 8.0)]
+
+
+def test_unseen_vehicles_lose_their_state_and_late_rows_go(spark, tmp_path):
+    r = lambda v, t, x=0.0: (v, 1000.0 + t, x, 0.0, 0.0, 0.0)
+    parts = [[r("a", 0, 5.0), r("b", 0)], [r("b", 200)], [r("b", 400)], [r("a", 401, 9.0), r("b", 300), r("c", 10), r("a", 402, 9.0)]]
+    got = through(live.tracked_positions(reports(spark, str(tmp_path / "in"), parts), ttl_s=90, late_s=30), str(tmp_path))
+    rows = sorted((x.vehicle_id, x.t - 1000, x.x, x.retired) for x in got.collect())
+    # a is retired at 90 and begins anew at 401, not eased from 5; b's row of 300 and c's of 10 are late; b is retired between
+    assert [x for x in rows if x[0] == "a"] == [("a", 0.0, 5.0, False), ("a", 90.0, 5.0, True), ("a", 401.0, 9.0, False), ("a", 402.0, 9.0, False)]
+    assert [x[1:] for x in rows if x[0] == "b"] == [(0.0, 0.0, False), (90.0, 0.0, True), (200.0, 0.0, False), (290.0, 0.0, True), (400.0, 0.0, False)]
+    assert not [x for x in rows if x[0] == "c"]
+
+
+def test_stuck_resets_across_batches(spark, tmp_path):
+    rows = [("v", 1000.0 + t, 0.0, 0.0, 0.0, 0.0 if t > 1 else 5.0) for t in range(0, 22, 2)]
+    got = through(live.stuck_resets(reports(spark, str(tmp_path / "in"), [rows[:4], rows[4:8], rows[8:]])), str(tmp_path)).orderBy("t").collect()
+    assert [(r.t - 1000, r.stood_s) for r in got] == [(10.0, 8.0), (18.0, 8.0)]
+    gone = [[("v", 1000.0, 0.0, 0.0, 0.0, 0.0)], [("w", 9000.0, 0.0, 0.0, 0.0, 0.0)], [("w", 9500.0, 0.0, 0.0, 0.0, 5.0), ("v", 9501.0, 0.0, 0.0, 0.0, 0.0)]]
+    assert through(live.stuck_resets(reports(spark, str(tmp_path / "in2"), gone), ttl_s=60), str(tmp_path / "2")).count() == 0  # v was forgotten
