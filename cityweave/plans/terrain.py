@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cityweave.operators import grids, spacing, spatial, survey, tiles
 from cityweave.plans.catalogue import rounded
 from cityweave.plans.registry import Views, query
+from cityweave.sources import rasters
 
 #: Small enough that the small tables, too, have many tiles.
 _TILE = 16
@@ -244,3 +247,36 @@ SELECT a, b, round(distance, 6) AS distance FROM ok WHERE rn IN (SELECT rn FROM
 def crossing_links(v: Views) -> DataFrame:
     """The nearest such links first, two a node at most."""
     return rounded(spacing.linked(_crossings(v), 2))
+
+
+# elevation rasters: each band of 64 rows of cells a file of its own, written and read again
+_BAND = 64
+
+
+def _raster_files(v: Views, sample: str, predictor: int) -> DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = np.full((_BAND, 50), np.nan)
+        grid[_BAND - 1 - (pdf["row"].to_numpy() - int(key[0]) * _BAND), pdf["col"].to_numpy()] = pdf["z"].to_numpy()
+        data = rasters.encode(grid, 16, sample, True, predictor, (0.0, 2.0 * (int(key[0]) + 1) * _BAND), (2.0, 2.0), -9999)
+        return pd.DataFrame({"path": [f"band-{int(key[0])}.tif"], "content": [data]})
+
+    c = v.cells.select(F.floor(F.col("row") / _BAND).alias("band"), "row", "col", F.floor(F.col("dem") * 8).alias("z"))
+    return c.groupBy("band").applyInPandas(one, "path string, content binary")
+
+
+@query("""SELECT "row", col, floor(dem * 8) AS value FROM cells""", "cells")
+def raster_cells(v: Views) -> DataFrame:
+    """Rasters of whole numbers with horizontal differences, tile by tile, merged into one grid."""
+    found = rasters.cells(rasters.tiles(_raster_files(v, "<i4", 2)))
+    return rasters.merged(found.where("value IS NOT NULL"), 2.0, 2.0, least=-500.0)
+
+
+@query("""WITH p AS (SELECT CAST(c_custkey AS BIGINT) AS point, CAST(c_custkey * 37 % 1600 AS DOUBLE) / 16 AS x, CAST(c_custkey * 91 % ((SELECT max("row") FROM cells) * 32) AS DOUBLE) / 16 AS y FROM customer), q AS (SELECT point, x / 2 - 0.5 AS u, y / 2 - 0.5 AS v FROM p),
+n AS (SELECT point, floor(v) + i AS r, floor(u) + j AS c, abs(1 - i - (v - floor(v))) * abs(1 - j - (u - floor(u))) AS w FROM q, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))
+SELECT point, CASE WHEN count(g."row") = 4 THEN round(sum(w * floor(dem * 8)), 6) END AS z FROM n LEFT JOIN cells g ON g."row" = n.r AND g.col = n.c GROUP BY point""", "cells")
+def raster_heights(v: Views) -> DataFrame:
+    """Heights of points between the centres of a float raster's cells."""
+    k, top = F.col("c_custkey"), v.cells.agg(F.max("row").alias("top"))
+    points = v.customer.join(F.broadcast(top)).select(k.cast("long").alias("point"), ((k * 37 % 1600).cast("double") / 16).alias("x"), ((k * 91 % (F.col("top") * 32)).cast("double") / 16).alias("y"))
+    grid = rasters.merged(rasters.cells(rasters.tiles(_raster_files(v, ">f4", 3))).where("value IS NOT NULL"), 2.0, 2.0)
+    return rounded(rasters.heights(grid, points, 2.0, 2.0, "point"))
