@@ -62,7 +62,7 @@ def design_storm(spark, years: int, minutes: int = 60, block: int = 5) -> DataFr
             order.append(right)
             right += 1
     at = F.get(F.array(*(F.lit(p) for p in order)), F.col("rank"))
-    return inc.withColumn("position", at).select("position", (F.col("position") * block * 60).alias("t0"), ((F.col("position") + 1) * block * 60).alias("t1"), F.round(F.col("inc") / (block / 60.0), 2).alias("mmh"))
+    return inc.withColumn("position", at).select("position", (F.col("position") * block * 60).alias("t0"), ((F.col("position") + 1) * block * 60).alias("t1"), F.round(F.col("inc") / (block / 60.0), 2).alias("mmh"), F.col("inc").alias("depth_mm"))
 
 
 def rates(series: DataFrame, by: list[str], t: str, volume: str) -> DataFrame:

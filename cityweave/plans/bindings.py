@@ -34,8 +34,8 @@ def veh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id")
-    return spark.range(NODES).select(i.alias("node_id"), ((i * 53) % 2000).cast("double").alias("x"), ((i * 97) % 2000).cast("double").alias("y"), (i % 7 == 0).alias("signal"))
+    i = F.col("s_suppkey").cast("long")
+    return read(spark, sf_dir, "supplier").select(i.alias("node_id"), ((i * 53) % 2000).cast("double").alias("x"), ((i * 97) % 2000).cast("double").alias("y"), (i % 7 == 0).alias("signal"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ SQL = {
     "shapes": "SELECT CAST(s_suppkey AS BIGINT) AS poly, CAST(s_nationkey AS BIGINT) AS zone, CAST(s_suppkey % 4 AS BIGINT) AS cls, CAST((s_suppkey * 37) % 200 + 10.25 AS DOUBLE) AS cx, CAST((s_suppkey * 91) % 160 + 10.125 AS DOUBLE) AS cy, CAST(2 + s_suppkey % 5 AS DOUBLE) AS r, pos, CAST((s_suppkey * 37) % 200 + 10.25 AS DOUBLE) + CAST(2 + s_suppkey % 5 AS DOUBLE) * ox AS x, CAST((s_suppkey * 91) % 160 + 10.125 AS DOUBLE) + CAST(2 + s_suppkey % 5 AS DOUBLE) * oy AS y FROM supplier, (VALUES " + ", ".join(f"({i}, CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))" for i, (x, y) in enumerate(CORNERS)) + ") o(pos, ox, oy)",
     "streets": f"SELECT CAST(a.c_custkey AS BIGINT) AS u, CAST(b.c_custkey AS BIGINT) AS v, CAST(10 + (a.c_custkey * 7) % 13 AS DOUBLE) AS length, 1 AS dir FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey % {CHAIN} <> {CHAIN - 1} UNION ALL SELECT CAST(b.c_custkey AS BIGINT) AS u, CAST(a.c_custkey AS BIGINT) AS v, CAST(12 + (a.c_custkey * 5) % 11 AS DOUBLE) AS length, -1 AS dir FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey % {CHAIN} <> {CHAIN - 1}",
     "veh": f"SELECT event_id AS row_id, user_id AS vehicle_id, CAST(floor(epoch(ts)) AS BIGINT) AS t_s, CAST(floor(floor(epoch(ts)) / 300) AS BIGINT) AS tick, least(value, 120.0) / 4 AS speed_ms, {case('event_type', VCLASS, 'other')} AS vclass, CAST((event_id * 37) % 1000 AS DOUBLE) AS x, CAST((event_id * 91) % 1000 AS DOUBLE) AS y, event_id % 20 AS path_id, event_id % 2 AS run FROM events",
-    "nodes": f"SELECT range AS node_id, CAST((range * 53) % 2000 AS DOUBLE) AS x, CAST((range * 97) % 2000 AS DOUBLE) AS y, range % 7 = 0 AS signal FROM range({NODES})",
+    "nodes": f"SELECT CAST(s_suppkey AS BIGINT) AS node_id, CAST((s_suppkey * 53) % 2000 AS DOUBLE) AS x, CAST((s_suppkey * 97) % 2000 AS DOUBLE) AS y, s_suppkey % 7 = 0 AS signal FROM supplier",
     "edges": f"SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS seq, CAST(l_suppkey % {NODES} AS BIGINT) AS u, CAST(o_custkey % {NODES} AS BIGINT) AS v, CAST(l_linenumber AS BIGINT) AS key, CAST(l_quantity * 20 AS DOUBLE) AS length, CAST((30 + 10 * l_linenumber) / 3.6 AS DOUBLE) AS speed_ms, {case('o_orderpriority', HIGHWAY, 'other')} AS highway, l_linenumber = 3 AS oneway FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey % {NODES} <> o_custkey % {NODES}",
     "runs": "SELECT CASE WHEN l_returnflag = 'R' THEN 'A' ELSE 'B' END AS run, CAST(l_partkey AS BIGINT) AS edge_id, CAST(l_extendedprice / l_quantity / 10 AS DOUBLE) AS tt FROM lineitem",
     "cells": "SELECT CAST(floor(p_partkey / 50.0) AS BIGINT) AS row, CAST(p_partkey % 50 AS BIGINT) AS col, (p_partkey * 7919) % 97 / 50.0 AS depth, (p_partkey * 104729) % 61 / 40.0 AS speed, 20 + (p_partkey * 31) % 83 / 10.0 AS dem, p_size % 5 = 0 AS building, p_size % 9 = 0 AS water, CAST(p_size % 4 AS BIGINT) AS band, CAST(p_size / 100.0 AS DOUBLE) AS infil FROM part",

@@ -482,15 +482,19 @@ def _idf_sql(x: str) -> str:
     return f"CASE WHEN {x} <= {t[0]} THEN {y[0]} {parts} ELSE {y[-1]} END"
 
 
-@query(f"SELECT CAST(range AS BIGINT) AS minutes, round({_idf_sql('range')}, 6) AS mmh FROM range(1, 151)")
+@query(f"WITH m AS (SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderkey % 1500 / 10.0 + 1 AS minutes FROM orders) SELECT id, minutes, round({_idf_sql('minutes')}, 6) AS mmh FROM m")
 def idf_table(v: Views) -> DataFrame:
-    return v.spark.range(1, 151).select(F.col("id").alias("minutes"), F.round(raster.intensity(F.col("id"), 10), 6).alias("mmh"))
+    m = v.orders.select(F.col("o_orderkey").cast("long").alias("id"), (F.col("o_orderkey") % 1500 / 10.0 + 1).alias("minutes"))
+    return m.select("id", "minutes", F.round(raster.intensity(F.col("minutes"), 10), 6).alias("mmh"))
 
 
 @query(f"""WITH b AS (SELECT range AS k, {_idf_sql('(range * 5)')} * range * 5 / 60 AS depth FROM range(1, 13)), i AS (SELECT k, depth - lag(depth, 1, 0) OVER (ORDER BY k) AS inc FROM b),
-p AS (SELECT inc, list_extract([6, 5, 7, 4, 8, 3, 9, 2, 10, 1, 11, 0], CAST(k AS INTEGER)) AS position FROM i) SELECT CAST(position AS INTEGER) AS position, CAST(position * 300 AS INTEGER) AS t0, CAST((position + 1) * 300 AS INTEGER) AS t1, round(inc * 12, 2) AS mmh FROM p""")
+p AS (SELECT inc, list_extract([6, 5, 7, 4, 8, 3, 9, 2, 10, 1, 11, 0], CAST(k AS INTEGER)) AS position FROM i) SELECT CAST(s_suppkey AS BIGINT) AS catchment, CAST(position AS INTEGER) AS position, round(inc / 60 * (s_suppkey % 9 + 1) * 1000, 4) AS volume_m3 FROM p, supplier""")
 def design_storm_10y(v: Views) -> DataFrame:
-    return flood.design_storm(v.spark, 10)
+    """Rain on each catchment, block by block of the ten-year storm; the storm is a dozen rows."""
+    storm = flood.design_storm(v.spark, 10).select("position", (F.col("depth_mm") * (1000 / 60)).alias("per_km2"))
+    area = v.supplier.select(F.col("s_suppkey").cast("long").alias("catchment"), (F.col("s_suppkey") % 9 + 1).alias("km2"))
+    return area.join(F.broadcast(storm)).select("catchment", "position", F.round(F.col("per_km2") * F.col("km2"), 4).alias("volume_m3"))
 
 
 # scalar functions over rows
@@ -508,11 +512,11 @@ def _bell(h: str, c: float, w: float) -> str:
     return f"exp(-0.5 * power(({h} - {c}) / {w}, 2))"
 
 
-@query(f"""WITH h AS (SELECT CAST(range AS DOUBLE) / 4 AS hour FROM range(96)) SELECT hour, round(least(greatest(0.7 + 0.7 * greatest({_bell('hour', 8, 1.2)}, {_bell('hour', 18, 1.2)}) - CASE WHEN hour < 10 THEN 0.4 * {_bell('hour', 3, 2.0)} ELSE 0 END, 0.6), 1.4), 6) AS rush,
-round(least(greatest(0.5 + 0.4 * {_bell('hour', 8, 2.5)} - 0.4 * {_bell('hour', 18, 2.5)}, 0.1), 0.9), 6) AS outbound FROM h""")
+@query(f"""WITH h AS (SELECT row_id, (t_s % 86400) / 3600.0 AS hour FROM veh) SELECT row_id, round(least(greatest(0.7 + 0.7 * greatest({_bell('hour', 8, 1.2)}, {_bell('hour', 18, 1.2)}) - CASE WHEN hour < 10 THEN 0.4 * {_bell('hour', 3, 2.0)} ELSE 0 END, 0.6), 1.4), 6) AS rush,
+round(least(greatest(0.5 + 0.4 * {_bell('hour', 8, 2.5)} - 0.4 * {_bell('hour', 18, 2.5)}, 0.1), 0.9), 6) AS outbound FROM h""", "veh")
 def demand_curves(v: Views) -> DataFrame:
-    h = v.spark.range(96).select((F.col("id") / 4.0).alias("hour"))
-    return h.select("hour", F.round(motion.rush_factor(F.col("hour")), 6).alias("rush"), F.round(motion.outbound_share(F.col("hour")), 6).alias("outbound"))
+    h = v.veh.select("row_id", (F.col("t_s") % 86400 / 3600.0).alias("hour"))
+    return h.select("row_id", F.round(motion.rush_factor(F.col("hour")), 6).alias("rush"), F.round(motion.outbound_share(F.col("hour")), 6).alias("outbound"))
 
 
 @query("""WITH s AS (SELECT u AS node, highway, max(speed_ms) AS speed FROM edges GROUP BY u, highway), t AS (SELECT *, sum(speed) OVER (PARTITION BY node) AS total FROM s)
@@ -540,15 +544,15 @@ def clock_times(v: Views) -> DataFrame:
     return v.veh.select("row_id", parse.clock_seconds(F.format_string("%02d:%02d:%02d", k % 30, k % 60, k % 47)).alias("seconds"))
 
 
-_EL = "e AS (SELECT range AS hour, sin(pi() * (range - 6) / 12) AS el FROM range(24))"
+_EL = "e AS (SELECT row_id, sin(pi() * ((t_s % 86400) / 3600.0 - 6) / 12) AS el FROM veh WHERE t_s % 43200 <> 21600)"
 
 
-@query(f"""WITH {_EL}, p AS (SELECT hour, el, CASE WHEN asin(el) <= 0 THEN 0 ELSE 1361.0 * power(0.7, power(greatest(1, 1 / greatest(sin(asin(el)), 1e-6)), 0.678)) END AS dni FROM e)
-SELECT CAST(hour AS BIGINT) AS hour, round(dni, 4) AS dni, round(CASE WHEN asin(el) <= 0 THEN 0 ELSE dni * sin(asin(el)) / (1 - 0.0721) END, 4) AS ghi FROM p WHERE hour NOT IN (6, 18)""")
+@query(f"""WITH {_EL}, p AS (SELECT row_id, el, CASE WHEN asin(el) <= 0 THEN 0 ELSE 1361.0 * power(0.7, power(greatest(1, 1 / greatest(sin(asin(el)), 1e-6)), 0.678)) END AS dni FROM e)
+SELECT row_id, round(dni, 4) AS dni, round(CASE WHEN asin(el) <= 0 THEN 0 ELSE dni * sin(asin(el)) / (1 - 0.0721) END, 4) AS ghi FROM p""", "veh")
 def clear_sky_day(v: Views) -> DataFrame:
-    e = v.spark.range(24).where("id NOT IN (6, 18)").select(F.col("id").alias("hour"), F.asin(F.sin(3.141592653589793 * (F.col("id") - 6) / 12)).alias("el"))
+    e = v.veh.where("t_s % 43200 <> 21600").select("row_id", F.asin(F.sin(3.141592653589793 * (F.col("t_s") % 86400 / 3600.0 - 6) / 12)).alias("el"))
     s = solar.clear_sky(F.col("el"))
-    return e.select("hour", F.round(s["dni"], 4).alias("dni"), F.round(s["ghi"], 4).alias("ghi"))
+    return e.select("row_id", F.round(s["dni"], 4).alias("dni"), F.round(s["ghi"], 4).alias("ghi"))
 
 
 # kernels: no SQL says the same, tests hold them against invariants and brute force

@@ -5,9 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cityweave.functions import projection
@@ -196,15 +195,14 @@ def timetable_stops(v: Views) -> DataFrame:
     return t.select("route_id", "trip_id", "seq", "arrival_s", "dwell_s", "lat")
 
 
-@query("""SELECT round(0.5 + 0.01 * (i * 37 % 5000), 6) AS x, round(1.0 + 0.01 * (i * 91 % 5000), 6) AS y, round(0.001 * (i * 13 % 9000) - 1, 6) AS z, CAST(i % 65536 AS INT) AS red FROM (SELECT unnest(range(3000)) AS i)""")
+@query("""SELECT round(0.5 + 0.01 * (p_partkey * 37 % 5000), 6) AS x, round(1.0 + 0.01 * (p_partkey * 91 % 5000), 6) AS y, round(0.001 * (p_partkey * 13 % 9000) - 1, 6) AS z, CAST(p_partkey % 65536 AS INT) AS red FROM part""")
 def point_cloud_records(v: Views) -> DataFrame:
-    """A point cloud written record by record, and read again in ranges of 700."""
-    i = np.arange(3000)
-    pts = np.column_stack([0.5 + 0.01 * (i * 37 % 5000), 1.0 + 0.01 * (i * 91 % 5000), 0.001 * (i * 13 % 9000) - 1, i % 65536, i % 7, i % 5])
-    h = pointcloud.Header(227, len(i), (0.01, 0.01, 0.001), (0.5, 1.0, -1.0), tuple(pts[:, :3].min(0)), tuple(pts[:, :3].max(0)), len(i))
+    """A point cloud written record by record, part by part, and read again in ranges of 700."""
+    k = F.col("p_partkey")
+    pts = v.part.select((0.5 + 0.01 * (k * 37 % 5000)).alias("x"), (1.0 + 0.01 * (k * 91 % 5000)).alias("y"), (0.001 * (k * 13 % 9000) - 1).alias("z"), (k % 65536).alias("red"), (k % 7).alias("green"), (k % 5).alias("blue"))
     path = f"{records.own_folder(v.spark, 'cloud')}.las"
-    sinks.write_bytes(v.spark, path, pointcloud.write_header(h) + pointcloud.points_bytes(pts, h))
-    back = pointcloud.read_points(v.spark, path.removeprefix("file://"), 700)
+    pointcloud.write_points(pts, path, (0.01, 0.01, 0.001), (0.5, 1.0, -1.0))
+    back = pointcloud.read_points(v.spark, path, 700)
     return back.select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("z", 6).alias("z"), "red")
 
 
@@ -217,15 +215,22 @@ def text_grids(v: Views) -> DataFrame:
     return tables.ascii_grid(v.spark, path)[1].where("value IS NOT NULL").select("row", "col", "value")
 
 
-@query("""SELECT 'rain' AS kind, i * 60.0 AS t, CAST(i * 7 % 13 AS DOUBLE) AS value FROM (SELECT unnest(range(40)) AS i) UNION ALL SELECT 'stage', CAST(i AS DOUBLE), i + 0.5 FROM (SELECT unnest(range(20)) AS i) UNION ALL SELECT 'storm', i * 450.0, i * 2.5 FROM (SELECT unnest(range(6)) AS i)""")
+@query("""SELECT 'rain' AS kind, s_suppkey * 60.0 AS t, CAST(s_suppkey * 7 % 13 AS DOUBLE) AS value FROM supplier UNION ALL SELECT 'stage', CAST(c_custkey AS DOUBLE), c_custkey + 0.5 FROM customer UNION ALL SELECT 'storm', s_suppkey * 900.0 + i * 450, s_suppkey % 90 * 2.5 + i FROM supplier, (SELECT unnest([0, 1]) AS i)""")
 def text_series(v: Views) -> DataFrame:
     """Rain series in minutes, stage rows of two numbers, and storm documents, from their files."""
     root = records.own_folder(v.spark, "series")
-    sinks.write_text(v.spark, f"{root}/a.rain", "# rain\n40 minutes\n" + "".join(f"{i * 7 % 13}.0 {i}\n" for i in range(40)))
-    sinks.write_text(v.spark, f"{root}/a.stage", "a b\nx\n" + "".join(f"{i}.0 {i}.5\n" for i in range(20)) + "1 2 3\n")
-    sinks.write_document(v.spark, f"{root}/storms/s1.json", {"steps": [[i * 450, i * 450 + 450, i * 2.5] for i in range(6)]})
-    rain = tables.series(v.spark, f"{root}/a.rain").select(F.lit("rain").alias("kind"), "t", "value")
-    stage = tables.number_rows(v.spark, f"{root}/a.stage", 2).select(F.lit("stage"), F.col("values")[0], F.col("values")[1])
+    k, c = F.col("s_suppkey"), F.col("c_custkey")
+
+    def one_file(name: str, head: list[str], order: Column, line: Column, rows: DataFrame) -> None:  # a series is a single file
+        first = v.spark.createDataFrame([(-len(head) + i, h) for i, h in enumerate(head)], "at long, value string")
+        rows.select(order.cast("long").alias("at"), line.alias("value")).unionByName(first).repartition(1).sortWithinPartitions("at").select("value").write.text(f"{root}/{name}")
+
+    one_file("rain", ["# rain", f"{v.supplier.count()} minutes"], k, F.concat(k * 7 % 13, F.lit(".0 "), k), v.supplier)
+    one_file("stage", ["a b", "x"], c, F.concat(c, F.lit(".0 "), c, F.lit(".5")), v.customer)
+    step = lambda i: F.array(k * 900.0 + 450 * i, k * 900.0 + 450 * (i + 1), k % 90 * 2.5 + i)
+    v.supplier.select(k.alias("file"), F.array(step(0), step(1)).alias("steps")).write.partitionBy("file").json(f"{root}/storms")
+    rain = tables.series(v.spark, f"{root}/rain").select(F.lit("rain").alias("kind"), "t", "value")
+    stage = tables.number_rows(v.spark, f"{root}/stage", 2).select(F.lit("stage"), F.col("values")[0], F.col("values")[1])
     storm = tables.storm_steps(v.spark, f"{root}/storms").select(F.lit("storm"), "t0", "mmh")
     return rain.union(stage).union(storm)
 
@@ -355,12 +360,12 @@ def unseen_retired(v: Views) -> DataFrame:
     return live.retire_unseen(snaps, polls).select("user_id")
 
 
-@query("""WITH s AS (SELECT seq, CAST(u * 53 % 2000 AS DOUBLE) AS ax, CAST(u * 97 % 2000 AS DOUBLE) AS ay, CAST(v * 53 % 2000 AS DOUBLE) AS bx, CAST(v * 97 % 2000 AS DOUBLE) AS ey FROM edges WHERE key = 1), c AS (SELECT 1000.0 AS cx, 0.0 AS cy, 1000.5 AS dx, 2000.0 AS dy) SELECT seq FROM s, c WHERE ((bx - ax) * (cy - ay) - (ey - ay) * (cx - ax)) * ((bx - ax) * (dy - ay) - (ey - ay) * (dx - ax)) < 0 AND ((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) * ((dx - cx) * (ey - cy) - (dy - cy) * (bx - cx)) < 0""", "edges")
+@query("""WITH s AS (SELECT seq, CAST(u * 53 % 2000 AS DOUBLE) AS ax, CAST(u * 97 % 2000 AS DOUBLE) AS ay, CAST(v * 53 % 2000 AS DOUBLE) AS bx, CAST(v * 97 % 2000 AS DOUBLE) AS ey FROM edges), c AS (SELECT 1000.0 AS cx, 0.0 AS cy, 1000.5 AS dx, 2000.0 AS dy) SELECT seq FROM s, c WHERE ((bx - ax) * (cy - ay) - (ey - ay) * (cx - ax)) * ((bx - ax) * (dy - ay) - (ey - ay) * (dx - ax)) < 0 AND ((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) * ((dx - cx) * (ey - cy) - (dy - cy) * (bx - cx)) < 0""", "edges")
 def edges_over_line(v: Views) -> DataFrame:
     """Edges that cross a street across the town; none of them touches it."""
     from cityweave.operators.spatial import segments_cross
 
     at = lambda c, m: (F.col(c) * m % 2000).cast("double")
-    e = v.edges.where("key = 1")
+    e = v.edges
     line = tuple(F.lit(x) for x in (1000.0, 0.0, 1000.5, 2000.0))
     return e.where(segments_cross((at("u", 53), at("u", 97), at("v", 53), at("v", 97)), line)).select("seq")

@@ -264,13 +264,14 @@ def engine_positions(v: Views) -> DataFrame:
     return own.unionByName(other)
 
 
-@query("""SELECT * FROM (VALUES ('elevation', 'a_dem.tif'), ('image', 'ortho_1.tif')) t(role, file)""")
+@query("""SELECT 'elevation' AS role, min(lower(replace(n_name, ' ', '-')) || '_dem.tif') AS file FROM nation UNION ALL SELECT 'image', min('ortho_' || n_nationkey || '.tif') FROM nation""")
 def survey_files(v: Views) -> DataFrame:
     """Files of a survey by their names; roles without a file are missing."""
     from cityweave.sources.sinks import write_text
 
     root = records.own_folder(v.spark, "survey")
-    for name in ("z_dem.tif", "a_dem.tif", "ortho_1.tif", "notes.txt"):
+    names = v.nation.select(F.concat(F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))), F.lit("_dem.tif")).alias("dem"), F.concat(F.lit("ortho_"), "n_nationkey", F.lit(".tif")).alias("image")).collect()
+    for name in [*(f for r in names for f in r), "notes.txt"]:  # 25 nations
         write_text(v.spark, f"{root}/{name}", "x")
     return records.found_files(v.spark, root, {"elevation": "dem\\.tif$", "image": "^ortho", "cloud": "\\.las$"})
 

@@ -75,10 +75,10 @@ def bridge_edges(v: Views) -> DataFrame:
     return b.agg(F.count("*").alias("n"), F.max("seq").alias("top"), F.round(F.sum("length"), 4).alias("total"))
 
 
-@query("""WITH q AS (SELECT a.node_id * 100 + b.node_id AS query_id, a.node_id AS a, b.node_id AS b FROM nodes a, nodes b WHERE a.node_id < b.node_id), e AS (SELECT DISTINCT u, v FROM edges WHERE highway = 'primary')
-SELECT query_id, CASE WHEN f.u IS NOT NULL OR r.u IS NOT NULL THEN f.u IS NULL OR r.u IS NULL END AS one_way, CASE WHEN f.u IS NOT NULL OR r.u IS NOT NULL THEN f.u IS NOT NULL END AS forward FROM q LEFT JOIN e f ON f.u = q.a AND f.v = q.b LEFT JOIN e r ON r.u = q.b AND r.v = q.a""", "edges nodes")
+@query("""WITH q AS (SELECT CAST(o_orderkey AS BIGINT) AS query_id, CAST(o_custkey % 100 AS BIGINT) AS a, CAST(o_orderkey * 7 % 100 AS BIGINT) AS b FROM orders), e AS (SELECT DISTINCT u, v FROM edges WHERE highway = 'primary')
+SELECT query_id, CASE WHEN f.u IS NOT NULL OR r.u IS NOT NULL THEN f.u IS NULL OR r.u IS NULL END AS one_way, CASE WHEN f.u IS NOT NULL OR r.u IS NOT NULL THEN f.u IS NOT NULL END AS forward FROM q LEFT JOIN e f ON f.u = q.a AND f.v = q.b LEFT JOIN e r ON r.u = q.b AND r.v = q.a""", "edges")
 def road_directions(v: Views) -> DataFrame:
-    q = v.spark.range(10_000).select(F.floor(F.col("id") / 100).alias("a"), (F.col("id") % 100).alias("b")).where("a < b").withColumn("query_id", F.col("a") * 100 + F.col("b"))
+    q = v.orders.select(F.col("o_orderkey").cast("long").alias("query_id"), (F.col("o_custkey") % 100).cast("long").alias("a"), (F.col("o_orderkey") * 7 % 100).cast("long").alias("b"))
     return network.resolve_direction(q, v.edges.where("highway = 'primary'"))
 
 
@@ -138,11 +138,11 @@ def turn_angles(v: Views) -> DataFrame:
     return rounded(v.veh.select("row_id", motion.turn_angle(F.lit(1.0), F.lit(0.0), F.col("x") - 500.5, F.col("y") - 500.5).alias("angle")))
 
 
-@query("""WITH h AS (SELECT CAST(range AS DOUBLE) / 2 AS hour, sin(pi() * (range / 2.0 - 6) / 12) AS e, 2 * pi() * (range / 2.0 - 6) / 24 AS a FROM range(48) WHERE range NOT IN (12, 36)) SELECT hour, round(CASE WHEN e <= 0 THEN 0 ELSE cos(a) * sqrt(1 - e * e) END, 6) AS x, round(CASE WHEN e <= 0 THEN -1 ELSE e END, 6) AS z FROM h""")
+@query("""WITH t AS (SELECT row_id, (t_s % 86400) / 3600.0 AS hour FROM veh WHERE t_s % 43200 <> 21600), h AS (SELECT row_id, sin(pi() * (hour - 6) / 12) AS e, 2 * pi() * (hour - 6) / 24 AS a FROM t) SELECT row_id, round(CASE WHEN e <= 0 THEN 0 ELSE cos(a) * sqrt(1 - e * e) END, 6) AS x, round(CASE WHEN e <= 0 THEN -1 ELSE e END, 6) AS z FROM h""", "veh")
 def simple_sun(v: Views) -> DataFrame:
-    h = v.spark.range(48).where("id NOT IN (12, 36)").select((F.col("id") / 2.0).alias("hour"))
+    h = v.veh.where("t_s % 43200 <> 21600").select("row_id", (F.col("t_s") % 86400 / 3600.0).alias("hour"))
     s = solar.simple_sun(F.col("hour"))
-    return rounded(h.select("hour", s["x"].alias("x"), s["z"].alias("z")))
+    return rounded(h.select("row_id", s["x"].alias("x"), s["z"].alias("z")))
 
 
 @query("""SELECT "row", col, CAST(least(greatest(round_even((dem - 20) / 0.01, 0), 0), 65535) AS INTEGER) AS q FROM cells""", "cells")

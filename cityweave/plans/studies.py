@@ -254,10 +254,11 @@ def run_catalogue(v: Views) -> DataFrame:
     return designs.run_catalogue(r_, meta, "run", "edge_id").select("run", "edge_id", "tt", F.col("position").cast("long").alias("position"), "finished")
 
 
-@query("SELECT CAST(range AS BIGINT) AS storm, round((range + 1) * 600 * 30.0 / 3600 + 300 * 10.0 / 3600, 6) AS total_mm, CAST((range + 1) * 600 + 300 + 1800 AS DOUBLE) AS duration FROM range(10)")
+@query("SELECT CAST(l_orderkey AS BIGINT) AS storm, round(sum(600 * l_quantity / 3600.0), 6) AS total_mm, CAST(max(l_linenumber) * 600 + 1800 AS DOUBLE) AS duration FROM lineitem GROUP BY 1")
 def storm_totals(v: Views) -> DataFrame:
-    end = (F.col("id") + 1) * 600.0
-    s = v.spark.range(10).select(F.col("id").alias("storm"), F.array(F.array(F.lit(0.0), end, F.lit(30.0)), F.array(end, end + 300, F.lit(10.0))).alias("steps"))
+    """An order is a storm, its lines are steps of ten minutes."""
+    end = F.col("l_linenumber") * 600.0
+    s = v.lineitem.groupBy(F.col("l_orderkey").cast("long").alias("storm")).agg(F.collect_list(F.array(end - 600, end, F.col("l_quantity").cast("double"))).alias("steps"))
     return rounded(designs.storm_totals(s))
 
 
@@ -305,11 +306,11 @@ def turn_speeds(v: Views) -> DataFrame:
     return v.veh.select("row_id", motion.turn_speed(F.col("row_id") % 180).alias("speed"))
 
 
-@query("""SELECT CAST(t AS BIGINT) AS t, round(12.8 * greatest(least(450, t), 0) / 3600 + 88.8 * greatest(least(1350, t) - 450, 0) / 3600 + 12.8 * greatest(least(1800, t) - 1350, 0) / 3600, 6) AS mm, CASE WHEN t < 450 THEN 12.8 WHEN t < 1350 THEN 88.8 WHEN t < 1800 THEN 12.8 ELSE 0 END AS mmh FROM (SELECT range * 30 AS t FROM range(80))""")
+@query("""SELECT row_id, round(12.8 * greatest(least(450, t), 0) / 3600 + 88.8 * greatest(least(1350, t) - 450, 0) / 3600 + 12.8 * greatest(least(1800, t) - 1350, 0) / 3600, 6) AS mm, CASE WHEN t < 450 THEN 12.8 WHEN t < 1350 THEN 88.8 WHEN t < 1800 THEN 12.8 ELSE 0 END AS mmh FROM (SELECT row_id, t_s % 2400 AS t FROM veh)""", "veh")
 def rain_curve(v: Views) -> DataFrame:
     steps = F.array(*(F.struct(F.lit(a).alias("t0"), F.lit(b).alias("t1"), F.lit(i).alias("mmh")) for a, b, i in ((0, 450, 12.8), (450, 1350, 88.8), (1350, 1800, 12.8))))
-    t = v.spark.range(80).select((F.col("id") * 30).alias("t"))
-    return t.select("t", F.round(raster.rain_until(steps, F.col("t")), 6).alias("mm"), raster.rain_at(steps, F.col("t")).alias("mmh"))
+    t = v.veh.select("row_id", (F.col("t_s") % 2400).alias("t"))
+    return t.select("row_id", F.round(raster.rain_until(steps, F.col("t")), 6).alias("mm"), raster.rain_at(steps, F.col("t")).alias("mmh"))
 
 
 @query("""WITH b AS (SELECT node_id AS id, x AS x0, y AS y0, x + 100 AS x1, y + 80 AS y1 FROM nodes) SELECT a.id AS a, b.id AS b, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / 8000.0, 6) AS share

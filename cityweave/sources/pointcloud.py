@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -58,13 +59,17 @@ class Span(InputPartition):
     stop: int
 
 
+def _opened(path: str) -> pa.NativeFile:
+    """A file by its URI, in any file system that Arrow knows; a bare path is a local one."""
+    system, place = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    return system.open_input_file(place)
+
+
 class PointReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        import os
-
         self.path, self.each = options["path"], int(options.get("chunkpoints", 2_000_000))
-        with open(self.path, "rb") as f:
-            self.header = read_header(f.read(HEADER), os.path.getsize(self.path))
+        with _opened(self.path) as f:
+            self.header = read_header(f.read(HEADER), f.size())
 
     def partitions(self) -> list[Span]:
         n = min(self.header.count, self.header.present)
@@ -72,7 +77,7 @@ class PointReader(DataSourceReader):
 
     def read(self, span: Span) -> Iterator[pa.RecordBatch]:
         h = self.header
-        with open(span.path, "rb") as f:
+        with _opened(span.path) as f:
             f.seek(h.offset + span.start * RECORD)
             left = span.stop - span.start
             while left > 0:
@@ -86,7 +91,7 @@ class PointReader(DataSourceReader):
 
 
 class PointCloud(DataSource):
-    """spark.read.format("pointcloud").load(path); the path is one that all executors can open."""
+    """spark.read.format("pointcloud").load(path); the path is a URI that driver and executors can open."""
 
     @classmethod
     def name(cls) -> str:
@@ -114,6 +119,25 @@ def points_bytes(points: np.ndarray, header: Header) -> bytes:
     return p.tobytes()
 
 
+def write_points(points: DataFrame, path: str, scale: tuple[float, float, float], shift: tuple[float, float, float]) -> None:
+    """One file of points (x, y, z, red, green, blue): tasks make the records, the driver hands them on, a partition at a time."""
+    from pyspark.sql import functions as F
+
+    from cityweave.sources.sinks import write_parts
+
+    names = ["x", "y", "z", "red", "green", "blue"]
+    ends = points.agg(F.count("*").alias("n"), *(f(c).alias(f"{k}{c}") for c in "xyz" for k, f in (("lo", F.min), ("hi", F.max)))).first()
+    h = Header(HEADER, ends.n, scale, shift, *(tuple(float(ends[f"{k}{c}"] or 0.0) for c in "xyz") for k in ("lo", "hi")), ends.n)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.column_stack([b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in names])
+            yield pa.RecordBatch.from_arrays([pa.array([points_bytes(rows, h)], pa.binary())], ["data"])
+
+    parts = points.select(*names).mapInArrow(each, "data binary")
+    write_parts(points.sparkSession, path, [write_header(h)], parts)
+
+
 def cell_floor(points: DataFrame, minx: float, maxy: float, res: float, above: float = 0.30) -> DataFrame:
     """Per cell the least and greatest height, points, mean colour (8 bits), and the points within `above` of the floor."""
     from pyspark.sql import functions as F

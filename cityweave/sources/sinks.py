@@ -29,6 +29,24 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         raise OSError(f"can't rename to {path}")
 
 
+def write_parts(spark: SparkSession, path: str, head: list[bytes], parts: DataFrame) -> None:
+    """One file of a head and the parts' bytes (one column), of which the driver holds one partition at a time."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    to, tmp = hadoop(path), hadoop(path + ".tmp")
+    system = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = system.create(tmp, True)
+    try:
+        for data in head:
+            out.write(bytearray(data))
+        for row in parts.toLocalIterator():
+            out.write(bytearray(row[0]))
+    finally:
+        out.close()
+    system.delete(to, False)
+    if not system.rename(tmp, to):
+        raise OSError(f"can't rename to {path}")
+
+
 def write_document(spark: SparkSession, path: str, document: dict) -> None:
     write_text(spark, path, json.dumps(document, indent=1, sort_keys=True, default=float))
 
