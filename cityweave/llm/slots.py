@@ -11,7 +11,8 @@ A run goes on from the last version at the map's path: it edits that version for
 one, or none where nothing moves. A version is a folder of its own that a repeated run overwrites.
 
 Defined cases: null text has no bytes and size 1; null ids hash like any other value; rows of one id and text share a slot
-unless they are more than `REPEATS`, which spread over the slots; an empty table leaves the map as it is.
+unless they are more than `REPEATS`, which spread over the slots by their place among each other, however the table is
+partitioned; groups of equal texts aren't kept together, as one may hold a third of all bytes; an empty table leaves the map as it is.
 """
 
 from __future__ import annotations
@@ -116,11 +117,18 @@ def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     key = ["doc_id", "size", "text_crc32"]
     numbered = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "records")
-    # more rows of one record than this are told apart by their numbers, so that no slot holds them all
+    # more rows of one record than this are told apart by their place among each other, so that no slot holds them all
     many = numbered.groupBy(*key).count().where(F.col("count") > REPEATS).select(*(F.col(k).alias(f"{k}_") for k in key), F.lit(True).alias("many"))
     same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_crc32") == F.col("text_crc32_")) & (F.col("size") == F.col("size_"))
-    salt = F.when(F.col("many"), F.col("row")).otherwise(F.lit(0).cast("long"))
-    narrow = materialize(numbered.join(many, same, "left").select(*key, "row", virtual_slot(slots, F.col("doc_id"), F.col("text_crc32"), salt).alias("virtual_slot")), "records")
+    marked = numbered.join(many, same, "left").select(*key, "row", "many", F.shiftright("row", 33).alias("part"))
+    # places by input partition: numbers within it, and how many came in the partitions before
+    repeats = marked.where("many").withColumn("here", F.row_number().over(Window.partitionBy(*key, "part").orderBy("row")) - 1)
+    each = marked.where("many").groupBy(*key, "part").agg(F.count("*").alias("n"))  # a row a partition
+    each = each.select(*(F.col(k).alias(f"{k}_") for k in key), F.col("part").alias("part_"), (F.sum("n").over(Window.partitionBy(*key).orderBy("part")) - F.col("n")).alias("before"))
+    placed = repeats.join(each, same & (F.col("part") == F.col("part_"))).select(*key, "row", (F.col("before") + F.col("here")).alias("salt"))
+    salted = marked.where("many IS NULL").select(*key, "row", F.lit(0).cast("long").alias("salt")).unionByName(placed)
+    salt = F.col("salt")
+    narrow = materialize(salted.select(*key, "row", virtual_slot(slots, F.col("doc_id"), F.col("text_crc32"), salt).alias("virtual_slot")), "records")
     sums = narrow.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # `slots` rows at most
     weight, count = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
     for r in sums:

@@ -82,3 +82,17 @@ def test_write_shards(spark, tmp_path):
     slots.write_shards(docs, slots.assign(docs, shards=3), f"file://{tmp_path}/shards")
     back = spark.read.parquet(f"file://{tmp_path}/shards")
     assert sorted(tuple(x)[:3] for x in back.select("doc_id", "text", "layout_id").collect()) == sorted(rows)
+
+
+def test_repeats_spread_alike_under_any_partitioning(spark, monkeypatch):
+    from cityweave.llm import slots
+
+    monkeypatch.setattr(slots, "REPEATS", 20)
+    rows = [(1, "same")] * 300 + [(None, None)] * 90 + [(k, f"text {k}") for k in range(40)]
+    layouts = []
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = slots.assign(df, shards=4, slots=64).collect()
+        layouts.append(sorted((str(r.doc_id), r.virtual_slot, r.shard, r.slot) for r in got))
+        assert len({r.virtual_slot for r in got if r.doc_id == 1}) > 20
+    assert layouts[0] == layouts[1] == layouts[2]
