@@ -199,23 +199,38 @@ def links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK, refine:
     return dealt.repartition(n, "path", "value", "first", "second").mapInArrow(walk, "u long, v long")
 
 
-def stars(edges: DataFrame, tag: str = "stars", most: int = 60) -> DataFrame:
-    """node, root: for every node of the edges u, v the smallest node that it reaches (alternating large and small stars)."""
+#: Rows of a node beyond which its value is broadcast instead of shuffling its rows to one task, and how many such there may be.
+HUB_ROWS, HUBS = 1000, 10_000
+
+
+def with_least(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
+    """rows joined with least (u, m, n rows of u) by u. Nodes of very many rows are broadcast, 2 * `HUBS` of them at most."""
+    many = F.col("n") > max(HUB_ROWS, n_rows // HUBS)
+    hubs = F.broadcast(least.where(many).select("u", "m"))
+    return rows.join(hubs, "u").unionByName(rows.join(hubs, "u", "left_anti").join(least.where(~many).select("u", "m"), "u"))
+
+
+def stars(edges: DataFrame, tag: str = "stars") -> DataFrame:
+    """node, root: for every node of the edges u, v the smallest node that it reaches (alternating large and small stars).
+
+    Rounds go on until one changes nothing."""
     state = None
     e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
-    for _ in range(most):
+    n_rows = e.count()
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = with_least(both, low, n_rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, tag)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_least(large, least, n_rows).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         before, e = e, materialize(small, tag)
         discard(before)
+        discard(large)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
-    raise RuntimeError(f"no fixed point after {most} rounds")
+        state, n_rows = now, now[0]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, chunk: int = CHUNK, refine: int = REFINE) -> DataFrame:
