@@ -73,28 +73,39 @@ class Searcher:
         m, block = self.m, self.block
         if len(ids) < m:
             return
-        key = self._keys(ids)
         known = ids[block - 1 :] >= 0
+        # by how many words the search may move on where a block ends: all, or all but one, if no item has it
+        step = np.where(known, m - block + 1, m)
         if block > 1:
-            known &= ids[:-1] >= 0
-        rank = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        there = known & (self.keys[rank] == key)
-        # by how many words the search may move on where a block ends
-        steps = np.where(there, self.shift[rank], np.where(ids[block - 1 :] < 0, m, m - block + 1)).tolist()
-        at, n, ends = m - block, len(steps), []
+            known = known & (ids[:-1] >= 0)
+        at = np.flatnonzero(known)
+        if not len(at):
+            return
+        key = self._keys(ids)[at]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        there = self.keys[found] == key
+        rank = np.full(len(known), -1)
+        rank[at[there]] = found[there]
+        step[at[there]] = self.shift[found[there]]
+        steps, at, n, ends = step.tolist(), m - block, len(step), []
         while at < n:
-            step = steps[at]
-            if step:
-                at += step
+            move = steps[at]
+            if move:
+                at += move
             else:
                 ends.append(at)
                 at += 1
         end = np.array(ends, dtype=np.int64)
         start = end - (m - block)
-        end, start = end[there[start]], start[there[start]]  # the bucket's windows are told apart by their first block
+        here = rank[start] >= 0  # the bucket's windows are told apart by their first block
+        end, start = end[here], start[here]
         pair = rank[end] * len(self.keys) + rank[start]
-        lo, hi = np.searchsorted(self.pairs, pair, "left"), np.searchsorted(self.pairs, pair, "right")
-        for k in np.flatnonzero(hi > lo):
+        lo = np.searchsorted(self.pairs, pair)
+        last = np.minimum(lo, len(self.pairs) - 1)
+        hit = self.pairs[last] == pair if len(self.pairs) else np.zeros(len(pair), bool)
+        start, lo, pair = start[hit], lo[hit], pair[hit]
+        hi = np.searchsorted(self.pairs, pair, "right")
+        for k in range(len(start)):
             here = ids[start[k] : start[k] + m]
             for w in range(lo[k], hi[k]):
                 s = self.starts[w]
