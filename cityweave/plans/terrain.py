@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cityweave.operators import grids, spacing, spatial, survey, tiles
+from cityweave.operators import grids, outlines, spacing, spatial, survey, tiles
 from cityweave.plans.catalogue import rounded
 from cityweave.plans.registry import Views, query
 from cityweave.sources import rasters
@@ -280,3 +280,12 @@ def raster_heights(v: Views) -> DataFrame:
     points = v.customer.join(F.broadcast(top)).select(k.cast("long").alias("point"), ((k * 37 % 1600).cast("double") / 16).alias("x"), ((k * 91 % (F.col("top") * 32)).cast("double") / 16).alias("y"))
     grid = rasters.merged(rasters.cells(rasters.tiles(_raster_files(v, ">f4", 3))).where("value IS NOT NULL"), 2.0, 2.0)
     return rounded(rasters.heights(grid, points, 2.0, 2.0, "point"))
+
+
+@query(f"""WITH RECURSIVE {_regions('depth > 0.9', _FOUR)}, rim AS (SELECT l.id, count(*) AS n FROM l, {_FOUR} LEFT JOIN l m ON m."row" = l."row" + i AND m.col = l.col + j WHERE m."row" IS NULL GROUP BY 1)
+SELECT l.id // 1000 AS region_row, l.id % 1000 AS region_col, CAST(count(*) AS DOUBLE) AS area, CAST(any_value(n) AS BIGINT) AS corners, CAST(1 AS BIGINT) AS outer_rings FROM l JOIN rim ON rim.id = l.id GROUP BY l.id""", "cells")
+def wet_outlines(v: Views) -> DataFrame:
+    """Rings round connected wet cells: together as large as their cells, one outer ring each, as many corners as open sides."""
+    wet = v.cells.where("depth > 0.9").select("row", "col")
+    found = outlines.measured(outlines.rings(wet)).join(tiles.components(wet, size=_TILE), ["row", "col"])
+    return found.groupBy("region_row", "region_col").agg(F.sum("area").alias("area"), F.sum("corners").alias("corners"), F.count_if(F.col("area") > 0).alias("outer_rings"))
