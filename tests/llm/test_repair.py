@@ -158,3 +158,13 @@ def test_the_chart_keeps_the_least_audit_of_equal_costs():
     assert repair.earley(fine("au"), "Z")["A"] == (2, "RR")
     assert repair.earley("", "Z") == {"Z": (0, ""), "U": (5, "I"), "A": (10, "II")}
     assert repair.earley(fine("a"), "U") == {"U": (2, "D"), "A": (0, "K")} | {"U": min((2, "D"), (6, "KI"))}
+
+
+def test_the_query_on_its_table(spark):
+    from cityweave.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = sorted(map(tuple, queries.QUERIES["op11_earley_repair"](spark, folder).collect()), key=str)
+    assert got == brute(rows, by_table) and len({x[0] for x in got}) == len({r[0] for r in rows})
+    assert sum(x[3] for x in got) and sum(x[4] for x in got) and {c for x in got for c in x[7]} >= set("DK")

@@ -80,3 +80,11 @@ def test_sums_beyond_a_long():
     off = whitening.offsets(np.array([[2**61, 5]]), 8, [2**61, 40])
     assert off.dtype == object and off.tolist() == [[7 * 2**61, 0]]
     assert whitening.squared(np.array([[3, 4]])) == [25] and whitening.squared(np.array([[2**32, 0]], dtype=np.int64)) == [None]
+
+
+def test_the_query_on_its_table(spark):
+    from cityweave.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    check(collected(queries.QUERIES["op12_range_finder_whitening"](spark, folder)), brute(rows), 8)
