@@ -1,4 +1,4 @@
-"""Choosing places: greedy spacing, farthest points, and a genetic search over coverage."""
+"""Choosing places by a genetic search over coverage. (Greedy choices that keep their distance are in spacing.py.)"""
 
 from __future__ import annotations
 
@@ -7,55 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def spaced(x: np.ndarray, y: np.ndarray, score: np.ndarray, spacing: float, most: int, least: float = -np.inf) -> list[int]:
-    """Numbers of the best places in falling score (ties: the first), none nearer than `spacing` to one taken before."""
-    taken: list[int] = []
-    for k in np.argsort(-score, kind="stable"):
-        if len(taken) >= most or score[k] < least:
-            break
-        if not taken or np.hypot(x[taken] - x[k], y[taken] - y[k]).min() >= spacing:
-            taken.append(int(k))
-    return taken
-
-
-def spaced_by_group(points: DataFrame, by: str, spacing: float, most: int, least: float = -np.inf) -> DataFrame:
-    """Chosen rows of each group of points (x, y, score) with their rank; a group is one task's."""
-    fields = ", ".join(f"`{c}` {t}" for c, t in points.dtypes)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "x", "y"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        at = spaced(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["score"].to_numpy(), spacing, most, least)
-        return pdf.iloc[at].assign(rank=range(len(at)))
-
-    return points.groupBy(by).applyInPandas(one, f"{fields}, rank int")
-
-
-def degree_capped(pairs: pd.DataFrame, cap: int = 2) -> pd.DataFrame:
-    """Links a, b taken nearest first while both ends have fewer than `cap`."""
-    used: dict[int, int] = {}
-    keep = []
-    for a, b, d in pairs.sort_values(["distance", "a", "b"])[["a", "b", "distance"]].itertuples(index=False):
-        if used.get(a, 0) < cap and used.get(b, 0) < cap:
-            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-            keep.append((a, b, d))
-    return pd.DataFrame(keep, columns=["a", "b", "distance"])
-
-
-def spread_out(x: np.ndarray, y: np.ndarray, density: np.ndarray, k: int) -> list[int]:
-    """k places, each far from those taken (0.72) and dense (0.28); the first is dense (0.65) and central (0.35)."""
-    unit = lambda a: (a - a.min()) / max(float(np.ptp(a)), 1e-12)
-    centre = np.hypot(x - x.mean(), y - y.mean())
-    dense = unit(density)
-    taken = [int((0.65 * dense + 0.35 * (1 - unit(centre))).argmax())]
-    far = np.hypot(x - x[taken[0]], y - y[taken[0]])
-    while len(taken) < min(k, len(x)):
-        s = 0.72 * unit(far) + 0.28 * dense
-        s[taken] = -np.inf
-        taken.append(int(s.argmax()))
-        far = np.minimum(far, np.hypot(x - x[taken[-1]], y - y[taken[-1]]))
-    return taken
-
-
 def coverage_cost(cover: np.ndarray, genes: np.ndarray, area: np.ndarray, weight: np.ndarray, w_dark: float = 1.0, w_double: float = 0.2) -> float:
     """Weighted area that no chosen place covers, plus the area covered twice or more; cover is places x ground, boolean."""
     n = cover[genes].sum(0)
