@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cityweave.operators import grids, outlines, spacing, spatial, survey, tiles
+from cityweave.operators import grids, outlines, sharpness, spacing, spatial, survey, tiles
 from cityweave.plans.catalogue import rounded
 from cityweave.plans.registry import Views, query
 from cityweave.sources import rasters
@@ -289,3 +289,49 @@ def wet_outlines(v: Views) -> DataFrame:
     wet = v.cells.where("depth > 0.9").select("row", "col")
     found = outlines.measured(outlines.rings(wet)).join(tiles.components(wet, size=_TILE), ["row", "col"])
     return found.groupBy("region_row", "region_col").agg(F.sum("area").alias("area"), F.sum("corners").alias("corners"), F.count_if(F.col("area") > 0).alias("outer_rings"))
+
+
+# an aerial image: pixels of 1 m, some patches of one tone; its outline is cut obliquely
+_PIXELS = """px AS (SELECT "row", col, CASE WHEN patch = 0 THEN 90 ELSE CAST(round(depth * 50) AS INT) * 2 END AS red, CASE WHEN patch = 0 THEN 91 ELSE CAST(round(speed * 40) AS INT) * 3 END AS green, CASE WHEN patch = 0 THEN 92 WHEN patch = 1 THEN 250 ELSE CAST(round(dem * 10) AS INT) - 200 END AS blue FROM (SELECT *, CAST((floor("row" / 12) + floor(col / 14)) AS INT) % 3 AS patch FROM cells) WHERE col + "row" % 30 >= 7 AND NOT (building AND water))"""
+
+
+def _mirrored_window(name: str, source: str, size: int) -> str:
+    """name(row, col, lap, n): sums of the source over size x size windows, mirrored at the rims of the grid `ends` (n, m)."""
+    turned = lambda at, n: f"((({at}) % (2 * {n})) + 2 * {n}) % (2 * {n})"
+    back = lambda at, n: f"least({turned(at, n)}, 2 * {n} - 1 - {turned(at, n)})"
+    steps = f"(SELECT unnest(range({-(size // 2)}, {size - size // 2})) AS {{}})"
+    return f"""{name} AS (SELECT b."row", b.col, sum(coalesce(s.lap, 0)) AS lap, sum(coalesce(s.n, 0)) AS n FROM (SELECT b."row", b.col, {back('b."row" + i', 'n')} AS r, {back('b.col + j', 'm')} AS c FROM box b, ends, {steps.format('i')}, {steps.format('j')}) b LEFT JOIN {source} s ON s."row" = b.r AND s.col = b.c GROUP BY 1, 2)"""
+
+
+def _linked(name: str, source: str) -> str:
+    """name(row, col, id): the least cell number that each cell of the source reaches in four directions."""
+    return f"""{name}_reach("row", col, id) AS (SELECT "row", col, "row" * 1000 + col FROM {source} UNION SELECT b."row", b.col, w.id FROM (SELECT "row" + i AS "row", col + j AS col, id FROM {name}_reach, {_FOUR}) w JOIN {source} b ON b."row" = w."row" AND b.col = w.col),
+{name} AS (SELECT "row", col, min(id) AS id FROM {name}_reach GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {_PIXELS}, nine AS (SELECT a, b FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)),
+whole AS (SELECT p."row", p.col FROM px p, nine JOIN px q ON q."row" = p."row" + a AND q.col = p.col + b GROUP BY 1, 2 HAVING count(*) = 9),
+lap AS (SELECT w."row", w.col, abs(sum(q.red + q.green + q.blue) - 4 * any_value(p.red + p.green + p.blue)) AS lap FROM whole w JOIN px p ON p."row" = w."row" AND p.col = w.col, {_FOUR} JOIN px q ON q."row" = w."row" + i AND q.col = w.col + j GROUP BY 1, 2),
+fine AS (SELECT "row" // 2 AS "row", col // 2 AS col, sum(lap) AS lap, count(*) AS n FROM lap GROUP BY 1, 2),
+ends AS (SELECT max("row") // 2 + 1 AS n, max(col) // 2 + 1 AS m FROM px), box AS (SELECT "row", col FROM ends, (SELECT unnest(range((SELECT n FROM ends))) AS "row"), (SELECT unnest(range((SELECT m FROM ends))) AS col)),
+{_mirrored_window('mean', 'fine', 4)},
+blk AS (SELECT "row" // 2 AS "row", col // 2 AS col, count(*) AS n, sum(red) / 4 AS r, sum(green) / 4 AS g, sum(blue) / 4 AS b FROM px GROUP BY 1, 2),
+wet AS (SELECT "row", col FROM blk WHERE b > r + 10 AND g > r AND (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b, 1) > 0.3),
+core AS (SELECT w."row", w.col FROM wet w, nine JOIN wet x ON x."row" = w."row" + a AND x.col = w.col + b GROUP BY 1, 2 HAVING count(*) = 9), sea AS (SELECT DISTINCT "row" + a AS "row", col + b AS col FROM core, nine),
+ins AS (SELECT blk."row", blk.col, CASE WHEN mean.n > 0.2 * 64 THEN mean.lap / (3 * mean.n) END AS q FROM blk JOIN mean ON mean."row" = blk."row" AND mean.col = blk.col WHERE blk.n > 2),
+low AS (SELECT "row", col FROM ins WHERE coalesce(q, 0) < 0.35 * (SELECT median(q) FROM ins) AND NOT EXISTS (SELECT 1 FROM sea WHERE sea."row" = ins."row" AND sea.col = ins.col)),
+outside AS (SELECT "row", col FROM box WHERE NOT EXISTS (SELECT 1 FROM ins WHERE ins."row" = box."row" AND ins.col = box.col)), margin AS (SELECT DISTINCT "row" + i AS "row", col + j AS col FROM outside, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j)),
+{_linked('l', 'low')}, hit AS (SELECT DISTINCT id FROM l JOIN margin ON margin."row" = l."row" AND margin.col = l.col),
+bad AS (SELECT DISTINCT ins."row", ins.col FROM l JOIN hit ON hit.id = l.id, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j) JOIN ins ON ins."row" = l."row" + i AND ins.col = l.col + j),
+rest AS (SELECT "row", col FROM ins WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad."row" = ins."row" AND bad.col = ins.col)), {_linked('k', 'rest')},
+gone AS (SELECT "row", col FROM bad UNION SELECT "row", col FROM k WHERE id IN (SELECT id FROM k GROUP BY id HAVING count(*) * 4 < 40) AND EXISTS (SELECT 1 FROM bad))
+SELECT px."row", px.col, g."row" IS NOT NULL AS blurred FROM px LEFT JOIN gone g ON g."row" = px."row" // 2 AND g.col = px.col // 2""", "cells")
+def blurred_margin(v: Views) -> DataFrame:
+    """Pixels of an image, and whether they belong to its blurred margin."""
+    patch = (F.floor(F.col("row") / 12) + F.floor(F.col("col") / 14)) % 3
+    whole = lambda c, by: F.round(F.col(c) * by).cast("int")
+    c = v.cells.where((F.col("col") + F.col("row") % 30 >= 7) & ~(F.col("building") & F.col("water")))
+    red, green = (F.when(patch == 0, k).otherwise(whole(n, by) * m) for k, n, by, m in ((90, "depth", 50, 2), (91, "speed", 40, 3)))
+    blue = F.when(patch == 0, 92).when(patch == 1, 250).otherwise(whole("dem", 10) - 200)
+    px = c.select("row", "col", red.alias("red"), green.alias("green"), blue.alias("blue"))
+    return sharpness.blurred(px, 1.0, 2, 8.0, 40.0, _TILE).select("row", "col", "blurred")
