@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cityweave.operators.spatial import nearest
 from cityweave.session import shared_folder
 
 #: Metres of a storey, and the least height of a building.
@@ -255,3 +256,11 @@ def flattened(regions: DataFrame, region: str, mark: Column, keep: DataFrame, le
     """region, share of the regions of which at least a share of cells is marked, less those to keep."""
     s = regions.groupBy(region).agg(F.avg(mark.cast("int")).alias("share")).where(F.col("share") >= least_share)
     return s.join(keep, region, "left_anti")
+
+
+def borrowed_height(buildings: DataFrame, others: DataFrame, building_id: str, own: Column, default: float, radius: float = 30.0) -> DataFrame:
+    """building_id, height: a building's own, else that of the nearest of the others (px, py, height) closer than the radius
+    (of equally near ones the lowest), else the default. Only buildings without a height are looked up."""
+    without = buildings.where(own.isNull()).select(building_id, "x", "y")
+    near = nearest(without, others.where("height > 0"), building_id, "height", radius, strict=True).select(building_id, F.col("height").alias("_near"))
+    return buildings.join(near, building_id, "left").select(building_id, F.coalesce(own, "_near", F.lit(default)).alias("height"))
