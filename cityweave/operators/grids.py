@@ -262,25 +262,29 @@ def upstream(flow: DataFrame, seeds: DataFrame, most_rounds: int = 64) -> DataFr
     raise RuntimeError("the receivers hold a cycle")
 
 
-def main_stem(flow: DataFrame, accumulation: DataFrame, least: float = 100.0, share: float = 0.005, most: int = 100_000) -> list[tuple[int, int]]:
-    """Cells from the outlet of largest accumulation up its largest tributary, until that is under max(least, share of the outlet).
-
-    The tributary of every cell is found in one aggregation; only the cells that can be on a stem come to the driver.
-    """
-    top = accumulation.orderBy(F.desc("accumulation"), "row", "col").first()
-    if top is None:
-        return []
-    bound = max(least, share * top.accumulation)
-    big = flow.join(accumulation, ["row", "col"]).where((F.col("accumulation") >= bound) & F.col("to_row").isNotNull())
-    best = big.groupBy("to_row", "to_col").agg(F.max(F.struct("accumulation", (-F.col("row")).alias("r"), (-F.col("col")).alias("c"))).alias("x"))
-    rows = best.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} cells over the bound")
-    up = {(r.to_row, r.to_col): (-r.x.r, -r.x.c) for r in rows}
-    out = [(top.row, top.col)]
-    while out[-1] in up:
-        out.append(up[out[-1]])
-    return out
+def main_stem(flow: DataFrame, accumulation: DataFrame, least: float = 100.0, share: float = 0.005, outlets: DataFrame | None = None, most_rounds: int = 64) -> DataFrame:
+    """row, col, pos: the way from the outlet of largest accumulation (pos 0; of equals the first in reading order) up its largest tributary.
+
+    Only tributaries of more than max(least, share of the outlet) count; of equal ones the first in reading order. Outlets
+    (row, col) may say which cells can be one. Every cell points to its largest tributary; the way doubles with each round, as
+    the cells found so far take a step twice as long as before, so rounds are the logarithm of its length."""
+    may = accumulation if outlets is None else accumulation.join(outlets.select("row", "col").distinct(), ["row", "col"], "left_semi")
+    first = may.agg(F.min(F.struct((-F.col("accumulation")).alias("n"), "row", "col")).alias("x")).select("x.*").first()
+    kinds = [accumulation.schema[c].dataType.simpleString() for c in ("row", "col")]
+    if first.n is None:
+        return accumulation.sparkSession.createDataFrame([], f"row {kinds[0]}, col {kinds[1]}, pos long")
+    big = flow.join(accumulation, ["row", "col"]).where((F.col("accumulation") > max(least, share * -first.n)) & F.col("to_row").isNotNull())
+    best = F.min(F.struct((-F.col("accumulation")).alias("n"), "row", "col")).alias("x")
+    step = checkpointed(big.groupBy(F.col("to_row").cast(kinds[0]).alias("row"), F.col("to_col").cast(kinds[1]).alias("col")).agg(best).select("row", "col", F.col("x.row").alias("up_row"), F.col("x.col").alias("up_col")))
+    way = accumulation.sparkSession.createDataFrame([(first.row, first.col, 0)], f"row {kinds[0]}, col {kinds[1]}, pos long")
+    for k in range(most_rounds):
+        ahead = checkpointed(way.join(step, ["row", "col"]).select(F.col("up_row").alias("row"), F.col("up_col").alias("col"), (F.col("pos") + 2**k).alias("pos")))
+        if ahead.isEmpty():
+            return way
+        way = checkpointed(way.unionByName(ahead))
+        onward = step.select(F.col("row").alias("up_row"), F.col("col").alias("up_col"), F.col("up_row").alias("r"), F.col("up_col").alias("c"))
+        step = checkpointed(step.join(onward, ["up_row", "up_col"]).select("row", "col", F.col("r").alias("up_row"), F.col("c").alias("up_col")))
+    raise RuntimeError("the receivers hold a cycle")
 
 
 def land_cover(cells: DataFrame, vegetation: float, rough: float, bright: float) -> DataFrame:

@@ -154,6 +154,24 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str, most_hops:
         hops = min(2 * hops, most_hops)
 
 
+def reachable_targets(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """pair_id, target, distance, moved of (pair_id, origin, destination): the destination, or where the origin does not reach it
+    the nearest node (node_id, x, y) that it does reach, itself aside (of equally near ones the smallest id).
+
+    Pairs with an end that is no node, or whose origin reaches nothing, have a null target. Each origin is searched once."""
+    at = nodes.select("node_id", "x", "y")
+    ends = pairs.join(at.select(F.col("node_id").alias("origin")), "origin", "left_semi").join(at.select(F.col("node_id").alias("destination"), F.col("x").alias("_x"), F.col("y").alias("_y")), "destination")
+    e = edges.select("u", "v", F.lit(1.0).alias("_hop"))
+    reach = checkpointed(shortest_paths(e, ends.select(F.col("origin").alias("node_id")).distinct(), "_hop", small=small).select(F.col("source").alias("origin"), "node_id"))
+    direct = ends.join(reach.select("origin", F.col("node_id").alias("destination")), ["origin", "destination"], "left_semi")
+    lost = ends.join(direct.select("pair_id"), "pair_id", "left_anti")
+    far = (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y"))
+    near = lost.join(reach.where("origin <> node_id"), "origin").join(at, "node_id").groupBy("pair_id").agg(F.min(F.struct(far.alias("d2"), "node_id")).alias("n"))
+    found = direct.select("pair_id", F.col("destination").alias("target"), F.lit(0.0).alias("distance")).unionByName(near.select("pair_id", F.col("n.node_id").alias("target"), F.sqrt("n.d2").alias("distance")))
+    out = pairs.select("pair_id", "destination").join(found, "pair_id", "left")
+    return out.select("pair_id", "target", "distance", (F.col("target") != F.col("destination")).alias("moved"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node_id, component: the smallest node id that each node reaches, directions aside. Labels only fall, so rounds end."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cityweave.operators import grids, outlines, sharpness, spacing, spatial, survey, tiles
 from cityweave.plans.catalogue import rounded
 from cityweave.plans.registry import Views, query
+from cityweave.session import checkpointed
 from cityweave.sources import rasters
 
 #: Small enough that the small tables, too, have many tiles.
@@ -335,3 +336,19 @@ def blurred_margin(v: Views) -> DataFrame:
     blue = F.when(patch == 0, 92).when(patch == 1, 250).otherwise(whole("dem", 10) - 200)
     px = c.select("row", "col", red.alias("red"), green.alias("green"), blue.alias("blue"))
     return sharpness.blurred(px, 1.0, 2, 8.0, 40.0, _TILE).select("row", "col", "blurred")
+
+
+@query(f"""WITH RECURSIVE {_ways_out('floor(dem)', '0.25', '29')}, filled AS (SELECT "row", col, min(z) AS z FROM w GROUP BY ALL),
+drop_ AS (SELECT a."row", a.col, b."row" AS tr, b.col AS tc, row_number() OVER (PARTITION BY a."row", a.col ORDER BY (a.z - b.z) / sqrt(abs(i) + abs(j)) DESC, b."row", b.col) AS k FROM filled a, {_NEAR} JOIN filled b ON b."row" = a."row" + i AND b.col = a.col + j WHERE a.z > b.z),
+flow AS (SELECT "row", col, tr, tc FROM drop_ WHERE k = 1), t(r, c, ar, ac) AS (SELECT "row", col, "row", col FROM filled UNION ALL SELECT t.r, t.c, f.tr, f.tc FROM t JOIN flow f ON f."row" = t.ar AND f.col = t.ac),
+acc AS (SELECT ar AS "row", ac AS col, count(*) AS n FROM t GROUP BY 1, 2), inner_ AS (SELECT a."row", a.col FROM filled a JOIN filled b ON abs(a."row" - b."row") <= 2 AND abs(a.col - b.col) <= 2 GROUP BY 1, 2 HAVING count(*) = 25),
+outlet AS (SELECT acc.* FROM acc JOIN inner_ ON inner_."row" = acc."row" AND inner_.col = acc.col ORDER BY n DESC, acc."row", acc.col LIMIT 1),
+up AS (SELECT tr, tc, "row", col FROM (SELECT f.*, row_number() OVER (PARTITION BY tr, tc ORDER BY n DESC, f."row", f.col) AS k FROM flow f JOIN acc ON acc."row" = f."row" AND acc.col = f.col WHERE n > 2 AND n > (SELECT n FROM outlet) * 0.005) WHERE k = 1),
+stem("row", col, pos) AS (SELECT "row", col, CAST(0 AS BIGINT) FROM outlet UNION ALL SELECT up."row", up.col, pos + 1 FROM stem JOIN up ON up.tr = stem."row" AND up.tc = stem.col)
+SELECT "row", col, pos FROM stem""", "cells")
+def main_stem(v: Views) -> DataFrame:
+    """The main channel of the whole grid: filled ground, receivers, accumulation, then up the largest tributary."""
+    ground = tiles.filled_sloping(v.cells.withColumn("dem", F.floor("dem")), slope=0.25, size=_TILE)
+    flow = checkpointed(grids.receivers(ground))
+    inner = grids.box_sum(ground.select("row", "col", F.lit(1).alias("one")), "one", 2).where("one_box = 25")
+    return grids.main_stem(flow, checkpointed(grids.flow_accumulation(flow)), least=2.0, outlets=inner)

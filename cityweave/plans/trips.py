@@ -251,3 +251,19 @@ def path_heights(v: Views) -> DataFrame:
     p = v.supplier.select(k.alias("path"), (k % 40 + 0.5).alias("r0"), (k % 45 + 0.25).alias("c0"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
     p = p.select("path", "i", F.floor(F.col("r0") + F.col("i") * 0.8).alias("row"), F.floor(F.col("c0") + F.col("i") * 0.6).alias("col"))
     return p.join(v.cells.select("row", "col", "dem"), ["row", "col"]).select("path", "i", F.round("dem", 6).alias("z"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT u, v FROM streets WHERE dir = 1 OR u % 3 = 0), n AS (SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_custkey * 37 % 500 AS DOUBLE) AS x, CAST(c_custkey * 91 % 333 AS DOUBLE) AS y FROM customer),
+p AS (SELECT id AS pair_id, id AS origin, id + id % 40 - 20 AS destination FROM n), reach(s, id) AS (SELECT id, id FROM n UNION SELECT s, v FROM reach JOIN e ON e.u = reach.id),
+near AS (SELECT p.pair_id, r.id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM p JOIN reach r ON r.s = p.origin AND r.id <> p.origin JOIN n a ON a.id = r.id JOIN n b ON b.id = p.destination),
+best AS (SELECT pair_id, id, d2 FROM near QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY d2, id) = 1),
+hit AS (SELECT p.pair_id FROM p JOIN reach r ON r.s = p.origin AND r.id = p.destination)
+SELECT p.pair_id, CASE WHEN hit.pair_id IS NOT NULL THEN p.destination ELSE best.id END AS target, round(CASE WHEN hit.pair_id IS NOT NULL THEN 0.0 ELSE sqrt(best.d2) END, 6) AS distance, CASE WHEN hit.pair_id IS NOT NULL THEN false WHEN best.id IS NOT NULL THEN best.id <> p.destination END AS moved
+FROM p LEFT JOIN hit ON hit.pair_id = p.pair_id LEFT JOIN best ON best.pair_id = p.pair_id""", "streets")
+def reachable_targets(v: Views) -> DataFrame:
+    """Trips on streets that are one-way in part: a target out of reach gives way to the nearest node within reach."""
+    k = F.col("c_custkey").cast("long")
+    nodes = v.customer.select(k.alias("node_id"), (k * 37 % 500).cast("double").alias("x"), (k * 91 % 333).cast("double").alias("y"))
+    pairs = v.customer.select(k.alias("pair_id"), k.alias("origin"), (k + k % 40 - 20).alias("destination"))
+    found = network.reachable_targets(v.streets.where("dir = 1 OR u % 3 = 0"), nodes, pairs)
+    return found.withColumn("distance", F.round("distance", 6))

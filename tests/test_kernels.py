@@ -79,7 +79,7 @@ def test_upstream_and_main_stem(spark):
     acc = grids.flow_accumulation(flow)
     top = acc.orderBy(F.desc("accumulation")).first()
     assert (top.row, top.col) == (2, 7)
-    stem = grids.main_stem(flow, acc, least=3)
+    stem = [(r.row, r.col) for r in grids.main_stem(flow, acc, least=3).orderBy("pos").collect()]
     assert stem[0] == (2, 7) and all(c == 7 - k for k, (_, c) in enumerate(stem))
     to = {(r.row, r.col): (r.to_row, r.to_col) for r in flow.collect()}
     reach = set()
