@@ -46,4 +46,4 @@ def query(sql: str | None = None, uses: str = "") -> Callable:
 
 FLAGSHIP = "scenario_comparison"
 
-from cityweave.plans import catalogue, footprints, kernels, records, reports, shapes, studies, terrain, trips  # noqa: E402, F401  they register the queries
+from cityweave.plans import catalogue, edits, footprints, kernels, records, reports, shapes, studies, terrain, trips  # noqa: E402, F401  they register the queries
