@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cityweave.operators import grids, outlines, sharpness, spacing, spatial, survey, tiles
+from cityweave.operators import grids, outlines, profiles, sharpness, spacing, spatial, survey, tiles
 from cityweave.plans.catalogue import rounded
 from cityweave.plans.registry import Views, query
 from cityweave.session import checkpointed
@@ -352,3 +352,17 @@ def main_stem(v: Views) -> DataFrame:
     flow = checkpointed(grids.receivers(ground))
     inner = grids.box_sum(ground.select("row", "col", F.lit(1).alias("one")), "one", 2).where("one_box = 25")
     return grids.main_stem(flow, checkpointed(grids.flow_accumulation(flow)), least=2.0, outlets=inner)
+
+
+@query("""WITH p AS (SELECT CAST(s_suppkey AS BIGINT) AS path_id, CAST(s_suppkey % 40 + 0.5 AS DOUBLE) AS x, CAST(s_suppkey % 45 * 0.5 + s_suppkey // 1000 * 200 + 0.25 AS DOUBLE) AS y, CAST(10 + s_suppkey % 3 * 2.5 AS DOUBLE) AS length FROM supplier), n AS (SELECT *, CAST(floor(length / 3) + 2 AS INT) AS n FROM p),
+s AS (SELECT path_id, length, n, i, x + least(length * i / (n - 1), 10) * 0.8 AS x, y + least(length * i / (n - 1), 10) * 0.6 + greatest(length * i / (n - 1) - 10, 0) AS y FROM (SELECT *, unnest(range(n)) AS i FROM n)),
+h AS (SELECT path_id, length, n, s.i, sum(coalesce(dem, 0) * abs(1 - a - (y - floor(y))) * abs(1 - b - (x - floor(x)))) AS z FROM s, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b) LEFT JOIN cells ON cells."row" = floor(y) + a AND cells.col = floor(x) + b GROUP BY ALL)
+SELECT path_id, length, n AS count, pos AS i, round(coalesce(z, 0), 6) AS z FROM n, (SELECT unnest(range((SELECT max(n) FROM n))) AS pos) LEFT JOIN (SELECT path_id AS k, i, z FROM h) h ON h.k = path_id AND h.i = pos""", "cells")
+def ground_profiles(v: Views) -> DataFrame:
+    """Heights every few metres along paths of two pieces, between the cells' centres, padded to the longest path."""
+    k = F.col("s_suppkey").cast("long")
+    x, y = (k % 40 + 0.5).cast("double"), (k % 45 * 0.5 + F.floor(k / 1000) * 200 + 0.25).cast("double")
+    spots = F.array(F.struct(x.alias("x"), y.alias("y")), F.struct((x + 8).alias("x"), (y + 6).alias("y")), F.struct((x + 8).alias("x"), (y + 6 + k % 3 * 2.5).alias("y")))
+    p = v.supplier.select(k.alias("path_id"), F.posexplode(spots).alias("pos", "p")).select("path_id", "pos", "p.*")
+    found = profiles.heights_along(p, v.cells, "dem", 3.0, padded=True)
+    return found.select("path_id", F.round("length", 6).alias("length"), "count", F.posexplode("profile").alias("i", "z")).withColumn("z", F.round("z", 6))
