@@ -45,5 +45,5 @@ def test_profiles(spark):
         assert got[k].profile == pytest.approx([height(*p) for p in at], abs=1e-6)
     wide = {x.path_id: x.profile for x in profiles.heights_along(v, cells, "z", 5.0, 2.0, padded=True).collect()}
     most = max(x["count"] for x in got.values())
-    assert all(wide[k] == got[k].profile + [0.0] * (most - len(got[k].profile)) for k in got)
+    assert all(wide[k] == pytest.approx(got[k].profile + [0.0] * (most - len(got[k].profile))) for k in got)
     assert profiles.heights_along(v.where("path_id < 0"), cells, "z", padded=True).count() == 0
