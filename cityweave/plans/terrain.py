@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cityweave.operators import grids, outlines, profiles, sharpness, spacing, spatial, survey, tiles
+from cityweave.operators import grids, landcover, outlines, profiles, sharpness, spacing, spatial, survey, tiles
 from cityweave.plans.catalogue import rounded
 from cityweave.plans.registry import Views, query
 from cityweave.session import checkpointed
@@ -366,3 +366,38 @@ def ground_profiles(v: Views) -> DataFrame:
     p = v.supplier.select(k.alias("path_id"), F.posexplode(spots).alias("pos", "p")).select("path_id", "pos", "p.*")
     found = profiles.heights_along(p, v.cells, "dem", 3.0, padded=True)
     return found.select("path_id", F.round("length", 6).alias("length"), "count", F.posexplode("profile").alias("i", "z")).withColumn("z", F.round("z", 6))
+
+
+def _otsu(name: str, source: str, value: str, least: float, most: float) -> str:
+    """name(v): the threshold of largest variance between two classes, over 256 bins, held within bounds."""
+    return f"""{name}_b AS (SELECT min({value}) AS lo, max({value}) AS hi FROM {source}), {name}_h AS (SELECT CAST(least(floor(({value} - lo) / (hi - lo) * 256), 255) AS BIGINT) AS k, count(*) AS n FROM {source}, {name}_b GROUP BY 1),
+{name}_c AS (SELECT k, CAST(sum(n) OVER (ORDER BY k) AS DOUBLE) AS w, CAST(sum(n * k) OVER (ORDER BY k) AS DOUBLE) AS m, CAST(sum(n) OVER () AS DOUBLE) AS t, CAST(sum(n * k) OVER () AS DOUBLE) AS q FROM {name}_h),
+{name} AS (SELECT least(greatest(lo + (k + 0.5) * (hi - lo) / 256, {least}), {most}) AS v FROM {name}_c, {name}_b WHERE w < t ORDER BY power(m * t - q * w, 2) / (w * (t - w)) DESC, k LIMIT 1)"""
+
+
+_BACK = "CASE WHEN {0} < 0 THEN -1 - ({0}) WHEN {0} >= {1} THEN 2 * {1} - 1 - ({0}) ELSE {0} END"
+
+
+@query(f"""WITH p0 AS (SELECT "row", col, CAST(round(depth * 50) AS INT) AS a, CAST(round(speed * 40) AS INT) AS c, CAST(floor("row" / 8) AS INT) % 3 AS zone, round(dem * 10) / 64 AS ground, speed * 2 AS relief, building, water, NOT (building AND water) AS valid FROM cells),
+p1 AS (SELECT *, CASE zone WHEN 0 THEN 60 + a % 30 WHEN 1 THEN 180 + c % 20 ELSE a * 2 END AS r, CASE zone WHEN 0 THEN 110 + c WHEN 1 THEN 130 ELSE a * 2 + c % 5 END AS g, CASE zone WHEN 0 THEN 60 + c % 30 WHEN 1 THEN 70 + a % 9 ELSE a * 2 END AS b FROM p0),
+x AS (SELECT *, r + g + b > 30 AS lit, (2 * g - r - b) / (r + g + b + CAST(1e-6 AS DOUBLE)) AS exg, (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b, 1) > 0.12 AND r > g AND g > b AS earthy, (r + g + b) / 3 / 255 AS bright FROM p1),
+{_otsu('green', '(SELECT exg FROM x WHERE valid AND lit)', 'exg', 0.03, 0.15)},
+ends AS (SELECT max("row") + 1 AS n, max(col) + 1 AS m, (SELECT avg(ground) FROM x WHERE valid) AS mean FROM x), z AS (SELECT "row", col, CASE WHEN valid THEN ground ELSE mean END AS z FROM x, ends),
+wide AS (SELECT x."row", x.col, {_BACK.format('x."row" + i', 'n')} AS r, {_BACK.format('x.col + j', 'm')} AS c FROM x, ends, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)),
+rough AS (SELECT w."row", w.col, sqrt(greatest(0, sum(z * z) / count(*) - (sum(z) / count(*)) * (sum(z) / count(*)))) AS rough FROM wide w JOIN z ON z."row" = w.r AND z.col = w.c GROUP BY 1, 2),
+halo AS (SELECT DISTINCT "row" + i AS "row", col + j AS col FROM x, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j) WHERE building AND abs(i) + abs(j) <= 2),
+y AS (SELECT x.*, rough, valid AND halo."row" IS NULL AS far, valid AND exg > (SELECT v FROM green) AS veg FROM x JOIN rough ON rough."row" = x."row" AND rough.col = x.col LEFT JOIN halo ON halo."row" = x."row" AND halo.col = x.col),
+t AS (SELECT *, valid AND NOT veg AND NOT building AND NOT water AS bare FROM y), {_otsu('light', '(SELECT bright FROM t WHERE bare AND NOT earthy AND lit)', 'bright', 0.25, 0.75)},
+bumpy AS (SELECT least(greatest(quantile_cont(rough, 0.82), 0.02), 1.5) AS v FROM t WHERE far AND lit)
+SELECT "row", col, CASE WHEN NOT valid THEN 'paved' WHEN building THEN 'building' WHEN water THEN 'water' WHEN veg AND relief > 2 THEN 'canopy' WHEN veg AND relief > 0.3 THEN 'shrub' WHEN veg THEN 'grass' WHEN far AND rough > (SELECT v FROM bumpy) THEN 'gravel' WHEN earthy THEN 'soil' WHEN bright > (SELECT v FROM light) THEN 'concrete' ELSE 'paved' END AS cover FROM t""", "cells")
+def learned_land_cover(v: Views) -> DataFrame:
+    """Land cover of the whole grid, by thresholds that the grid itself gives."""
+    whole = lambda c, by: F.round(F.col(c) * by).cast("int")
+    x = v.cells.select("*", whole("depth", 50).alias("a"), whole("speed", 40).alias("c"), (F.floor(F.col("row") / 8) % 3).alias("zone"))
+    a, c, zone = F.col("a"), F.col("c"), F.col("zone")
+    of = lambda green, soil, grey: F.when(zone == 0, green).when(zone == 1, soil).otherwise(grey)
+    px = x.select(
+        "row", "col", of(60 + a % 30, 180 + c % 20, a * 2).alias("red"), of(110 + c, F.lit(130), a * 2 + c % 5).alias("green"), of(60 + c % 30, 70 + a % 9, a * 2).alias("blue"),
+        (whole("dem", 10) / 64).alias("ground"), (F.col("speed") * 2).alias("relief"), "building", "water", (~(F.col("building") & F.col("water"))).alias("valid"),
+    )
+    return landcover.classified(px)
