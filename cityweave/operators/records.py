@@ -264,3 +264,10 @@ def borrowed_height(buildings: DataFrame, others: DataFrame, building_id: str, o
     without = buildings.where(own.isNull()).select(building_id, "x", "y")
     near = nearest(without, others.where("height > 0"), building_id, "height", radius, strict=True).select(building_id, F.col("height").alias("_near"))
     return buildings.join(near, building_id, "left").select(building_id, F.coalesce(own, "_near", F.lit(default)).alias("height"))
+
+
+def with_buildings(places: DataFrame, centroids: DataFrame) -> DataFrame:
+    """Places (name, categories, confidence, x, y) and a residential one at each building's centroid (x, y); empty buildings add none."""
+    own = [F.lit("Residential Building").alias("name"), F.array(F.lit("residential")).alias("categories"), F.lit(1.0).alias("confidence")]
+    homes = centroids.where("x IS NOT NULL AND y IS NOT NULL").select(*own, "x", "y")
+    return places.select("name", "categories", F.col("confidence").cast("double").alias("confidence"), "x", "y").unionByName(homes)

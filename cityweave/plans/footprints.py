@@ -63,3 +63,14 @@ def borrowed_heights(v: Views) -> DataFrame:
     b = v.customer.select(k.cast("long").alias("id"), ((k * 37 % 200).cast("double") + _DX).alias("x"), ((k * 91 % 160 + up).cast("double") + _DY).alias("y"), F.when(k % 3 == 0, (k % 40 + 3.0).cast("double")).alias("own"))
     others = geoparquet.heights(v.spark, [_written(v)], (20.0, 10.0, 180.0, 1e9)).withColumnsRenamed({"x": "px", "y": "py"})
     return records.borrowed_height(b, others, "id", F.col("own"), 9.0)
+
+
+@query(f"""WITH {_RINGS} SELECT c_name AS name, lower(c_mktsegment) AS category, CAST(c_custkey % 100 / 100.0 AS DOUBLE) AS confidence, CAST(c_custkey * 37 % 200 AS DOUBLE) AS x, CAST(c_custkey * 91 % 160 AS DOUBLE) AS y FROM customer WHERE c_custkey % 100 >= 75
+UNION ALL SELECT 'Residential Building', 'residential', 1.0, round(x, 6), round(y, 6) FROM feature""", "shapes")
+def places_and_buildings(v: Views) -> DataFrame:
+    """Places of enough confidence, and every footprint as one more."""
+    k = F.col("c_custkey")
+    places = v.customer.where(k % 100 >= 75).select(F.col("c_name").alias("name"), F.array(F.lower("c_mktsegment")).alias("categories"), (k % 100 / 100.0).alias("confidence"), (k * 37 % 200).cast("double").alias("x"), (k * 91 % 160).cast("double").alias("y"))
+    centroids = v.spark.read.parquet(_written(v)).select(geoparquet.measures(F.col("geometry")).alias("m")).select("m.x", "m.y")
+    all_ = records.with_buildings(places, centroids)
+    return all_.select("name", F.get("categories", F.lit(0)).alias("category"), "confidence", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
