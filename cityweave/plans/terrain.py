@@ -237,7 +237,7 @@ def _crossings(v: Views) -> DataFrame:
     both = v.streets.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     pairs = pairs.join(both, ["a", "b"], "left_anti")
     cells = lambda d, *c: d.withColumn("_c", F.explode(spatial.segment_cells(*(F.col(n) for n in c), 40.0)))
-    hit = spatial.segments_cross(tuple(F.col(n) for n in ("x", "y", "px", "py")), tuple(F.col(n) for n in ("ax", "ay", "bx", "by")))
+    hit = spatial.segments_cross(tuple(F.col(n) for n in ("x", "y", "px", "py")), tuple(F.col(n) for n in ("ax", "ay", "bx", "by")), touch=False)
     return cells(pairs, "x", "y", "px", "py").join(cells(road, "ax", "ay", "bx", "by"), "_c").where(hit).select("a", "b", "distance").distinct()
 
 

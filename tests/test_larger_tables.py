@@ -26,3 +26,9 @@ def held(spark, tmp_path):
 def test_copies_of_nodes_keep_their_rows(held):
     got = held("design_upsert", supplier="SELECT * REPLACE (i AS s_suppkey) FROM range(1200) r(i), (SELECT * FROM base LIMIT 1)")
     assert len(got) == 1320
+
+
+@pytest.mark.parametrize("name", ["crossing_candidates", "crossing_links"])
+def test_lines_that_only_touch_a_road(held, name):
+    some = "SELECT * REPLACE ({} + i AS {}) FROM range({}) r(i), (SELECT * FROM base LIMIT 1)".format
+    assert held(name, customer=some(45250, "c_custkey", 400), supplier=some(2950, "s_suppkey", 150))
