@@ -1,4 +1,5 @@
-"""Routes over street graphs that fit a task: one source, pair or run per row, the graph broadcast after a size check."""
+"""Routes over street graphs: one search for each source, pair or run. Small connected parts of a graph are dealt out with their
+sources, so a task holds only its own; what is connected on a larger scale is broadcast after a size check."""
 
 from __future__ import annotations
 
@@ -10,6 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cityweave.session import checkpointed
+
+#: Edges up to which a graph is broadcast without a look at its components, and a component is searched by a single task.
+PIECE = 2_000
+#: Edges of small components that a task holds at once, about.
+PART = 5_000
 #: Edges (after collapsing parallels) that are broadcast; beyond, use network.shortest_paths, which joins instead.
 MOST_EDGES = 2_000_000
 
@@ -60,8 +67,7 @@ def path_to(before: dict[int, int], source: int, target: int) -> list[int] | Non
 
 def k_shortest(g: Graph, source: int, target: int, k: int) -> list[tuple[float, list[int]]]:
     """Up to k simple paths by cost (Yen's method)."""
-    weight = {(u, v): w for u, out in g.items() for v, w in out}
-    total = lambda p: sum(weight[e] for e in zip(p, p[1:]))
+    total = lambda p: sum(dict(g[a])[b] for a, b in zip(p, p[1:]))
     first = path_to(dijkstra(g, source, target)[1], source, target) if k > 0 else None
     if first is None:
         return []
@@ -83,58 +89,117 @@ def k_shortest(g: Graph, source: int, target: int, k: int) -> list[tuple[float,
     return found
 
 
-def routes(edges: DataFrame, pairs: DataFrame, weight: str, k: int = 1) -> DataFrame:
-    """pair_id, rank, cost, nodes of up to k routes for (pair_id, origin, destination); pairs without a route give no row."""
-    held = broadcast_graph(edges, weight)
+def pieces(edges: DataFrame, weight: str, piece: int = PIECE) -> tuple[DataFrame | None, DataFrame, DataFrame | None]:
+    """(edges u, v, w, part of the components of at most `piece` edges, edges u, v, w of larger ones, node_id, part of all nodes:
+    null for larger ones). A graph of at most `piece` edges isn't divided: it has no parts."""
+    from cityweave.operators.network import components
+
+    e = checkpointed(edges.where(F.col(weight).isNotNull()).groupBy("u", "v").agg(F.min(weight).cast("double").alias("w")))
+    n = e.count()
+    if n <= piece:
+        return None, e, None
+    of = components(e)
+    sizes = e.join(of, e.u == of.node_id).groupBy("component").agg(F.count("*").alias("_n"))
+    part = F.when(F.col("_n") <= piece, F.pmod(F.xxhash64("component"), F.lit(n // PART + 1)))
+    nodes = checkpointed(of.join(sizes, "component").select("node_id", part.alias("part")))
+    e = checkpointed(e.join(nodes.withColumnRenamed("node_id", "u"), "u").select("u", "v", "w", "part"))
+    return e.where("part IS NOT NULL"), e.where("part IS NULL").drop("part"), nodes
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = adjacency(held.value)
-        for pdf in frames:
-            out = [(p, r, c, nodes) for p, o, d in pdf.itertuples(index=False) for r, (c, nodes) in enumerate(k_shortest(g, o, d, k))]
-            yield pd.DataFrame(out, columns=["pair_id", "rank", "cost", "nodes"])
 
-    return pairs.select("pair_id", "origin", "destination").mapInPandas(each, "pair_id long, rank int, cost double, nodes array<long>")
+def _tuples(pdf: pd.DataFrame) -> list[tuple]:
+    return sorted(zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["w"].tolist()))
 
 
-def betweenness(edges: DataFrame, weight: str, normalized: bool = True) -> DataFrame:
+def routes(edges: DataFrame, pairs: DataFrame, weight: str, k: int = 1, piece: int = PIECE) -> DataFrame:
+    """pair_id, rank, cost, nodes of up to k routes for (pair_id, origin, destination); pairs without a route give no row."""
+    names, kind = ["pair_id", "rank", "cost", "nodes"], "pair_id long, rank int, cost double, nodes array<long>"
+    p = pairs.select("pair_id", "origin", "destination")
+
+    def found(g: Graph, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [(p, r, c, nodes) for p, o, d in zip(*(pdf[c].tolist() for c in ("pair_id", "origin", "destination"))) for r, (c, nodes) in enumerate(k_shortest(g, o, d, k))]
+        return pd.DataFrame(out, columns=names)
+
+    def over_all(p: DataFrame, e: DataFrame) -> DataFrame:
+        held = broadcast_graph(e, "w")
+
+        def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            g = adjacency(held.value)
+            for pdf in frames:
+                yield found(g, pdf)
+
+        return p.mapInPandas(each, kind)
+
+    small, large, nodes = pieces(edges, weight, piece)
+    if small is None:
+        return over_all(p, large)
+    at = p.join(nodes.select(F.col("node_id").alias("origin"), "part", F.lit(True).alias("_known")), "origin", "left")
+    mine = at.where("part IS NOT NULL OR _known IS NULL").select("pair_id", "origin", "destination", F.coalesce("part", F.lit(0)).alias("part"))
+    out = small.groupBy("part").cogroup(mine.groupBy("part")).applyInPandas(lambda e, p: found(adjacency(_tuples(e)), p), kind)
+    return out if large.isEmpty() else out.unionByName(over_all(at.where("part IS NULL AND _known").select(*p.columns), large))
+
+
+def _loads(g: Graph, sources: list[int], load: dict[tuple[int, int], float]) -> None:
+    """Adds the shares of the shortest paths from sources to the load of each edge (Brandes' method)."""
+    for s in sources:
+        cost, paths, before, order, done = {s: 0.0}, {s: 1.0}, defaultdict(list), [], set()
+        heap = [(0.0, s)]
+        while heap:
+            d, u = heapq.heappop(heap)
+            if u in done:
+                continue
+            done.add(u)
+            order.append(u)
+            for v, w in g.get(u, ()):
+                n = d + w
+                if v not in cost or n < cost[v] - 1e-9:
+                    cost[v], paths[v], before[v] = n, paths[u], [u]
+                    heapq.heappush(heap, (n, v))
+                elif abs(n - cost[v]) <= 1e-9 and v not in done:
+                    paths[v] += paths[u]
+                    before[v].append(u)
+        carry = defaultdict(float)
+        for v in reversed(order):
+            for u in before[v]:
+                c = paths[u] / paths[v] * (1 + carry[v])
+                load[(u, v)] += c
+                carry[u] += c
+
+
+def betweenness(edges: DataFrame, weight: str, normalized: bool = True, piece: int = PIECE) -> DataFrame:
     """u, v, centrality: share of shortest paths over each edge; both directions get the larger of the two.
 
     Sources are spread over tasks, partial sums are added up; the result has a row for each edge at most.
     """
-    held = broadcast_graph(edges, weight)
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    kind = "u long, v long, c double"
+    frame = lambda load: pd.DataFrame([(u, v, c) for (u, v), c in load.items()], columns=["u", "v", "c"])
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, load = adjacency(held.value), defaultdict(float)
-        for pdf in frames:
-            for s in pdf["node"]:
-                cost, paths, before, order, done = {s: 0.0}, {s: 1.0}, defaultdict(list), [], set()
-                heap = [(0.0, s)]
-                while heap:
-                    d, u = heapq.heappop(heap)
-                    if u in done:
-                        continue
-                    done.add(u)
-                    order.append(u)
-                    for v, w in g.get(u, ()):
-                        n = d + w
-                        if v not in cost or n < cost[v] - 1e-9:
-                            cost[v], paths[v], before[v] = n, paths[u], [u]
-                            heapq.heappush(heap, (n, v))
-                        elif abs(n - cost[v]) <= 1e-9 and v not in done:
-                            paths[v] += paths[u]
-                            before[v].append(u)
-                carry = defaultdict(float)
-                for v in reversed(order):
-                    for u in before[v]:
-                        c = paths[u] / paths[v] * (1 + carry[v])
-                        load[(u, v)] += c
-                        carry[u] += c
-        yield pd.DataFrame([(u, v, c) for (u, v), c in load.items()], columns=["u", "v", "c"])
+    def over_all(nodes: DataFrame, e: DataFrame) -> DataFrame:
+        held = broadcast_graph(e, "w")
 
+        def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            g, load = adjacency(held.value), defaultdict(float)
+            for pdf in frames:
+                _loads(g, pdf["node"].tolist(), load)
+            yield frame(load)
+
+        return nodes.mapInPandas(each, kind)
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        load: dict[tuple[int, int], float] = defaultdict(float)
+        _loads(adjacency(_tuples(pdf)), sorted(set(pdf["u"].tolist())), load)
+        return frame(load)
+
+    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     n = nodes.count()
     scale = 1.0 / (n * (n - 1)) if normalized and n > 1 else 1.0
-    load = nodes.mapInPandas(each, "u long, v long, c double").groupBy("u", "v").agg((F.sum("c") * scale).alias("c"))
+    small, large, parts = pieces(edges, weight, piece)
+    if small is None:
+        load = over_all(nodes, large)
+    else:
+        load = small.select("part", "u", "v", "w").groupBy("part").applyInPandas(within, kind)
+        if not large.isEmpty():
+            load = load.unionByName(over_all(parts.where("part IS NULL").select(F.col("node_id").alias("node")), large))
+    load = load.groupBy("u", "v").agg((F.sum("c") * scale).alias("c"))
     one = edges.select("u", "v").distinct().join(load, ["u", "v"], "left").fillna(0.0, ["c"])  # edges on no shortest path have 0
     pair = one.withColumn("_a", F.least("u", "v")).withColumn("_b", F.greatest("u", "v"))
     top = pair.groupBy("_a", "_b").agg(F.max("c").alias("centrality"))

@@ -91,3 +91,18 @@ def test_registered_betweenness_and_routes(spark):
         assert len(set(nodes)) == len(nodes) and nodes[0] == x.pair_id and nodes[-1] == 99 - x.pair_id
         assert abs(sum(walk[a, b] for a, b in zip(nodes, nodes[1:])) - x.cost) < 1e-6
         assert abs(routing.dijkstra(g, nodes[0])[0][nodes[-1]] - x.cost) < 1e-6
+
+
+def test_routes_and_betweenness_of_many_components(spark, monkeypatch):
+    rows = [(10 * c + i, 10 * c + j, float(1 + (7 * c + 3 * i + j) % 5)) for c in range(30) for i in range(4) for j in range(4) if i != j and (c + i + j) % 3] + [(1000 + i, 1000 + (i + d) % 60, 1.0 + i % 3) for i in range(60) for d in (1, 7)]
+    e = spark.createDataFrame(rows, "u long, v long, length double")
+    pairs = spark.createDataFrame([(k, 10 * k, 10 * k + 3) for k in range(30)] + [(50, 1000, 1031), (51, 0, 1000), (52, 5000, 5000)], "pair_id long, origin long, destination long")
+    whole = lambda f: sorted(map(tuple, f.collect()))
+    want_routes, want = whole(routing.routes(e, pairs, "length", 2, piece=10**6)), {x[:2]: x[2] for x in whole(routing.betweenness(e, "length", piece=10**6))}
+    monkeypatch.setattr(routing, "PART", 40)
+    assert whole(routing.routes(e, pairs, "length", 2, piece=50)) == want_routes
+    got = {x[:2]: x[2] for x in whole(routing.betweenness(e, "length", piece=50))}
+    assert got == pytest.approx(want) and len(got) == len(rows)
+    monkeypatch.setattr(routing, "broadcast_graph", lambda e, w: pytest.fail("small components were broadcast"))
+    only = e.where("u < 1000")
+    assert routing.betweenness(only, "length", piece=50).count() == only.count() and routing.routes(only, pairs.where("pair_id < 30"), "length", 1, piece=50).count() > 20
