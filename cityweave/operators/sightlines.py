@@ -80,7 +80,7 @@ def ray_cells(rays: DataFrame, size: float) -> DataFrame:
 
 def blocked(rays: DataFrame, triangles: DataFrame, keys: list[str], size: float = CELL) -> DataFrame:
     """Keys of the rays that a triangle stands in the way of, before their reach."""
-    met = ray_cells(rays, size).join(triangle_cells(triangles, size), ["cx", "cy", "cz"])
+    met = ray_cells(rays, size).join(triangle_cells(triangles.select("v0", "v1", "v2").distinct(), size), ["cx", "cy", "cz"])
     t = ray_hit(_of("o"), _of("d"), _of("v0"), _of("v1"), _of("v2"))
     return met.where(t < F.col("reach")).select(*keys).distinct()
 
@@ -92,7 +92,8 @@ def _point(x: Column, y: Column, z: Column) -> Column:
 def shadowed(points: DataFrame, triangles: DataFrame, sun: tuple[float, float, float], size: float = CELL) -> DataFrame:
     """point_id, shadowed of points (point_id, x, y, z): does any triangle stand between the point and the sun?
 
-    With the sun below the horizon all points are in the shade. A ray ends where it leaves the box of all triangles."""
+    With the sun below the horizon all points are in the shade. A ray ends where it leaves the box of all triangles. Points of
+    one place share a ray, and triangles that lie on each other are met once."""
     if sun[2] <= 0:
         return points.select("point_id", F.lit(True).alias("shadowed"))
     length = sum(c * c for c in sun) ** 0.5
@@ -105,9 +106,10 @@ def shadowed(points: DataFrame, triangles: DataFrame, sun: tuple[float, float, f
     for axis, step in zip("xy", d):
         if abs(step) > EPS:
             reach = F.least(reach, (F.lit(float(box[f"hi{axis}"] if step > 0 else box[f"lo{axis}"])) - F.col(axis)) / step)
-    rays = points.select("point_id", _point(F.col("x"), F.col("y"), F.col("z")).alias("o"), _point(*(F.lit(c) for c in d)).alias("d"), (reach + 1e-3).alias("reach")).where("reach > 0")
-    dark = blocked(rays, triangles, ["point_id"], size).withColumn("_dark", F.lit(True))
-    return points.select("point_id").join(dark, "point_id", "left").select("point_id", F.coalesce("_dark", F.lit(False)).alias("shadowed"))
+    at = ["x", "y", "z"]
+    rays = points.select(*at).distinct().select(*at, _point(F.col("x"), F.col("y"), F.col("z")).alias("o"), _point(*(F.lit(c) for c in d)).alias("d"), (reach + 1e-3).alias("reach")).where("reach > 0")
+    dark = blocked(rays, triangles, at, size).withColumn("_dark", F.lit(True))
+    return points.select("point_id", *at).join(dark, at, "left").select("point_id", F.coalesce("_dark", F.lit(False)).alias("shadowed"))
 
 
 def lit_share(points: DataFrame, shade: DataFrame, by: str, area: str) -> DataFrame:
@@ -119,15 +121,17 @@ def lit_share(points: DataFrame, shade: DataFrame, by: str, area: str) -> DataFr
 def light_coverage(ground: DataFrame, lights: DataFrame, walls: DataFrame, radius: float, size: float = CELL) -> DataFrame:
     """point_id, lights that reach it: within radius and not blocked.
 
-    Light-point pairs are found by cells; a pair of no length is lit; a hit at the light itself doesn't block."""
-    l = lights.select("light_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))  # noqa: E741
-    pairs = within(ground.select("point_id", "x", "y", "z"), l, radius)
+    Light-point pairs are found by cells; a pair of no length is lit; a hit at the light itself doesn't block. Points of one
+    place, and lights of one place, share their rays."""
+    at, to = ["x", "y", "z"], ["px", "py", "pz"]
+    l = lights.groupBy(*(F.col(c).alias(p) for c, p in zip(at, to))).agg(F.count("*").alias("_lights"))  # noqa: E741
+    pairs = within(ground.select(*at).distinct(), l, radius)
     way = [F.col(f"p{c}") - F.col(c) for c in "xyz"]
     pairs = pairs.withColumn("_n", F.sqrt(way[0] * way[0] + way[1] * way[1] + way[2] * way[2]))
-    rays = pairs.where("_n > 1e-5").select("point_id", "light_id", _point(F.col("x"), F.col("y"), F.col("z")).alias("o"), _point(*(w / F.col("_n") for w in way)).alias("d"), (F.col("_n") - 1e-5).alias("reach"))
-    lit = pairs.join(blocked(rays, walls, ["point_id", "light_id"], size), ["point_id", "light_id"], "left_anti")
-    n = lit.groupBy("point_id").agg(F.count("*").alias("lights"))
-    return ground.select("point_id").join(n, "point_id", "left").fillna(0, ["lights"])
+    rays = pairs.where("_n > 1e-5").select(*at, *to, _point(F.col("x"), F.col("y"), F.col("z")).alias("o"), _point(*(w / F.col("_n") for w in way)).alias("d"), (F.col("_n") - 1e-5).alias("reach"))
+    lit = pairs.join(blocked(rays, walls, [*at, *to], size), [*at, *to], "left_anti")
+    n = lit.groupBy(*at).agg(F.sum("_lights").alias("lights"))
+    return ground.select("point_id", *at).join(n, at, "left").select("point_id", "lights").fillna(0, ["lights"])
 
 
 def coverage_cost(coverage: DataFrame, ground: DataFrame, dark_weight: float = 1.0, double_weight: float = 0.2) -> DataFrame:
