@@ -43,3 +43,9 @@ def test_half_seconds(held):
 def test_standing_through_a_long_silence(held):
     got = held("streamed_stuck_resets", events="SELECT * REPLACE (i * 6000 AS event_id, 7 AS user_id) FROM range(20) r(i), (SELECT * FROM base LIMIT 1)")
     assert len(got) == 19
+
+
+def test_boxes_of_one_place_are_compared_once(spark, held):
+    assert held("overlapping_boxes", supplier="SELECT * REPLACE (i % 40 + 2000 * (i // 40) AS s_suppkey) FROM range(200) r(i), (SELECT * FROM base LIMIT 1)")
+    plan = registry.QUERIES["overlapping_boxes"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [a#" not in plan  # no pairs are gathered to be told apart
