@@ -238,7 +238,7 @@ def _crossings(v: Views) -> DataFrame:
     pairs = pairs.join(both, ["a", "b"], "left_anti")
     cells = lambda d, *c: d.withColumn("_c", F.explode(spatial.segment_cells(*(F.col(n) for n in c), 40.0)))
     hit = spatial.segments_cross(tuple(F.col(n) for n in ("x", "y", "px", "py")), tuple(F.col(n) for n in ("ax", "ay", "bx", "by")), touch=False)
-    return cells(pairs, "x", "y", "px", "py").join(cells(road, "ax", "ay", "bx", "by"), "_c").where(hit).select("a", "b", "distance").distinct()
+    return cells(pairs, "x", "y", "px", "py").join(cells(road, "ax", "ay", "bx", "by").hint("merge"), "_c").where(hit).select("a", "b", "distance").distinct()
 
 
 @query(f"""WITH RECURSIVE {_WALK}, {_ROAD}, pair AS (SELECT a.node AS a, b.node AS b, a.x, a.y, b.x AS px, b.y AS py, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS distance FROM walk a JOIN walk b ON a.node < b.node AND abs(a.x - b.x) <= 30 AND abs(a.y - b.y) <= 30),

@@ -44,3 +44,13 @@ def test_targets(spark, small):
         t = want[x.pair_id]
         assert (x.target, x.distance) == ((t[0], pytest.approx(t[1])) if t else (None, None))
         assert x.moved == (None if t is None else t[0] != dict((p, d) for p, _, d in pairs)[x.pair_id])
+
+
+def test_copies_of_points_are_not_broadcast(spark):
+    """A table of few bytes may hold many points: its copies to cells go through a shuffle, not through the driver."""
+    from cityweave.operators import spatial
+
+    few = spark.createDataFrame([(k, float(k), float(k % 3)) for k in range(9)], "id long, x double, y double")
+    near = spatial.within(few, few.toDF("other", "px", "py"), 1.5)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    assert near.count() == sum((a - b) ** 2 + (a % 3 - b % 3) ** 2 <= 2.25 for a in range(9) for b in range(9))
