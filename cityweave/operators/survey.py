@@ -11,17 +11,21 @@ from cityweave.session import checkpointed
 def nearest_source(cells: DataFrame, target: Column, source: Column) -> DataFrame:
     """row, col, src_row, src_col, d2 of each target cell: its nearest source cell (of equals the first by row, then col).
 
-    Two passes: within its column every cell knows the nearest source above and below, then the columns of a target's row
-    compete. Rows made grow with targets times columns of the grid, not with targets times sources."""
-    up = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
-    own = F.when(source, F.col("row"))
-    x = cells.select("row", "col", target.alias("_t"), F.last(own, True).over(up).alias("_a"), F.first(own, True).over(down).alias("_b"))
+    Two passes: within its column every cell knows the nearest source above and below; then the columns of a target's row
+    compete, but only those no farther than the source of the target's own column, if that has one. So rows made grow with
+    targets times the distance to sources, and both windows run forwards, in time linear in the cells."""
+    known = Window.partitionBy("col").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.last(F.when(source, F.col("row")), True)
+    x = cells.select("row", "col", target.alias("_t"), own.over(known.orderBy("row")).alias("_a"), own.over(known.orderBy(F.desc("row"))).alias("_b"))
     nearer = F.when(F.col("_b").isNull() | (F.col("row") - F.col("_a") <= F.col("_b") - F.col("row")), F.col("_a")).otherwise(F.col("_b"))
     x = x.select("row", "col", "_t", F.coalesce(nearer, "_b").alias("src_row"))
     there = x.where("src_row IS NOT NULL").select("row", F.col("col").alias("src_col"), "src_row")
     d2 = ((F.col("row") - F.col("src_row")) * (F.col("row") - F.col("src_row")) + (F.col("col") - F.col("src_col")) * (F.col("col") - F.col("src_col"))).alias("d2")
-    best = x.where("_t").select("row", "col").join(there, "row").groupBy("row", "col").agg(F.min(F.struct(d2, "src_row", "src_col")).alias("m"))
+    ends = there.agg(F.min("src_col").alias("_lo"), F.max("src_col").alias("_hi"))
+    reach = F.abs(F.col("row") - F.col("src_row"))
+    lo, hi = F.greatest(F.coalesce(F.col("col") - reach, "_lo"), "_lo"), F.least(F.coalesce(F.col("col") + reach, "_hi"), "_hi")
+    seek = x.where("_t").crossJoin(F.broadcast(ends)).where("_lo IS NOT NULL").select("row", "col", F.explode(F.sequence(lo, hi)).alias("src_col"))
+    best = seek.join(there.hint("merge"), ["row", "src_col"]).groupBy("row", "col").agg(F.min(F.struct(d2, "src_row", "src_col")).alias("m"))
     return best.select("row", "col", "m.src_row", "m.src_col", "m.d2")
 
 
