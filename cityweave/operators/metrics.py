@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cityweave.functions.raster import percent_change
+from cityweave.session import checkpointed
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -60,8 +64,35 @@ def skyline(routes: DataFrame, by: list[str], time: str, cost: str) -> DataFrame
     return routes.join(front, [*by, time]).where(F.col(cost) == F.col("_best")).drop("_best")
 
 
+def percentiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
+    """by and a column for each share: exact percentiles between ranks; groups without a value are left out.
+
+    Equal values are counted first; their ranks in a group are running sums over ranges of all values, so no task holds a
+    group."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_k"))
+    ranged = checkpointed(counted.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy(*by, "_part").agg(F.sum("_k").alias("_k"))  # few rows: a range holds few groups or is one's part
+    group = Window.partitionBy(*by)
+    before = parts.select(*by, "_part", (F.sum("_k").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k")).alias("_before"), F.sum("_k").over(group).alias("_n"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by] + [F.col("a._part") == F.col("b._part")]
+    ranked = ranged.alias("a").join(F.broadcast(before.alias("b")), reduce(and_, same)).select(*(F.col(f"a.{c}").alias(c) for c in by), "_v", "_k", "a._part", "_before", "_n")
+    upto = F.sum("_k").over(Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    ranked = ranked.withColumn("_last", upto - 1).withColumn("_first", F.col("_last") - F.col("_k") + 1)
+    held = lambda at: (F.col("_first") <= at) & (at <= F.col("_last"))
+    out = []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("_n") - 1)
+        lo, hi = F.max(F.when(held(F.floor(at)), F.col("_v"))), F.max(F.when(held(F.ceil(at)), F.col("_v")))
+        part = F.max(at - F.floor(at))
+        out.append(F.when(lo == hi, lo).otherwise((1 - part) * lo + part * hi).alias(name))
+    return ranked.groupBy(*by).agg(*out)
+
+
 def distribution(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """count, mean, p50, p95, max and sum; zeros where there is nothing."""
-    v = F.col(value)
-    q = lambda p: F.coalesce(F.percentile(v, F.lit(p)), F.lit(0.0))
-    return df.groupBy(*(by or [])).agg(F.count(v).alias("n"), F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), q(0.5).alias("p50"), q(0.95).alias("p95"), F.coalesce(F.max(v), F.lit(0.0)).alias("max"), F.coalesce(F.sum(v), F.lit(0.0)).alias("total"))
+    v, by = F.col(value), by or []
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    whole = df.groupBy(*by).agg(F.count(v).alias("n"), zero(F.avg(v)).alias("mean"), zero(F.max(v)).alias("max"), zero(F.sum(v)).alias("total"))
+    found = percentiles(df, value, {"p50": 0.5, "p95": 0.95}, by)
+    met = reduce(and_, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by), F.lit(True))
+    return whole.alias("a").join(found.alias("b"), met, "left").select(*(F.col(f"a.{c}").alias(c) for c in by), "n", "mean", zero(F.col("p50")).alias("p50"), zero(F.col("p95")).alias("p95"), "max", "total")

@@ -2,7 +2,9 @@
 
 import random
 
-from cityweave.operators import survey, transit
+import numpy as np
+
+from cityweave.operators import metrics, survey, transit
 
 
 def executed(df):
@@ -31,3 +33,17 @@ def test_nearest_source_looks_back_only(spark):
     want = sorted((i, j, *min(((i - a) ** 2 + (j - b) ** 2, a, b) for a, b in sources)) for i, j, t, _ in cells if t)
     assert sorted((x.row, x.col, x.d2, x.src_row, x.src_col) for x in found.collect()) == want
     assert survey.nearest_source(df, df.t, df.row < 0).count() == 0
+
+
+def test_distribution_holds_no_group_in_a_task(spark):
+    r = random.Random(3)
+    data = [(g, None if r.random() < 0.1 else float(r.randrange(n))) for g, n in (("a", 7), ("b", 1000), (None, 50)) for _ in range(301)] + [("c", None), ("d", 4.0)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(3)
+    for by in (["g"], []):
+        found = metrics.distribution(df, "v", by)
+        assert "percentile(" not in executed(found)
+        got = {x["g"] if by else "all": x for x in found.collect()}
+        for g in {x[0] for x in data} if by else {"all"}:
+            v = [b for a, b in data if b is not None and (not by or a == g)]
+            want = [len(v), *((np.mean(v), np.percentile(v, 50), np.percentile(v, 95), max(v), sum(v)) if v else [0.0] * 5)]
+            assert np.allclose([got[g][c] for c in ("n", "mean", "p50", "p95", "max", "total")], want, atol=1e-12), g
