@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from cityweave.functions.raster import percent_change
 from cityweave.session import checkpointed
 
+#: Keys that prefix_match broadcasts at most, and ids of one of its tasks, about.
+FEW_KEYS, TASK_IDS = 1_000_000, 500_000
+
 
 def correlation(x: Column, y: Column) -> Column:
     """Pearson's r from sums; null for fewer than two rows or a constant column."""
@@ -47,13 +50,20 @@ def compare_totals(table: DataFrame, run: str, metrics: list[str], run_a: str, r
 def prefix_match(results: DataFrame, keys: DataFrame, result_id: str, key: str) -> DataFrame:
     """Each result with the equal key, else the longest key that its id begins with.
 
-    Beginnings are joined by equality: every id is expanded to its own prefixes of the lengths that keys have.
+    Beginnings are joined by equality: every id is expanded to its own prefixes of the lengths that keys have. Up to
+    `FEW_KEYS` keys are broadcast, so the prefixes stay where they are. Ids are dealt into tasks of about `TASK_IDS`, and only
+    the length of an id's longest key is kept, a number, so a task's memory doesn't grow with the table.
     """
-    lengths = sorted(r[0] for r in keys.select(F.length(key)).distinct().collect())
-    cut = results.withColumn("_n", F.explode(F.array(*(F.lit(n) for n in lengths)) if lengths else F.array().cast("array<int>"))).where(F.length(result_id) >= F.col("_n"))
-    cut = cut.withColumn("_p", F.expr(f"left({result_id}, _n)"))
-    hit = cut.join(keys.select(F.col(key).alias("_p")).distinct(), "_p").groupBy(result_id).agg(F.max_by("_p", "_n").alias(key))
-    return results.join(hit, result_id)
+    sizes = {r[0]: r[1] for r in keys.select(F.col(key).alias("_p")).distinct().groupBy(F.length("_p")).count().collect()}
+    lengths, few = sorted(n for n in sizes if n is not None), sum(sizes.values()) <= FEW_KEYS
+    results = checkpointed(results)
+    n = max(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-results.count() // TASK_IDS))
+    dealt = results.repartition(n, result_id)
+    cut = dealt.select(F.col(result_id).alias("_r"), F.explode(F.array(*(F.lit(k) for k in lengths)) if lengths else F.array().cast("array<int>")).alias("_n")).where(F.length("_r") >= F.col("_n"))
+    known = keys.select(F.col(key).alias("_p")).distinct()
+    cut = cut.withColumn("_p", F.expr("left(_r, _n)")).join(F.broadcast(known) if few else known.hint("merge"), "_p")
+    hit = cut.groupBy("_r").agg(F.max("_n").alias("_n")).select(F.col("_r").alias(result_id), F.expr("left(_r, _n)").alias(key))
+    return dealt.join(hit, result_id)
 
 
 def skyline(routes: DataFrame, by: list[str], time: str, cost: str) -> DataFrame:

@@ -47,3 +47,14 @@ def test_distribution_holds_no_group_in_a_task(spark):
             v = [b for a, b in data if b is not None and (not by or a == g)]
             want = [len(v), *((np.mean(v), np.percentile(v, 50), np.percentile(v, 95), max(v), sum(v)) if v else [0.0] * 5)]
             assert np.allclose([got[g][c] for c in ("n", "mean", "p50", "p95", "max", "total")], want, atol=1e-12), g
+
+
+def test_prefixes_keep_numbers_not_texts(spark, monkeypatch):
+    keys = spark.createDataFrame([("1",), ("12",), ("1234",), ("9",), (None,)], "key string")
+    ids = spark.createDataFrame([("12345",), ("129",), ("1",), ("1",), ("77",), ("",), (None,)], "rid string")
+    want = sorted([("12345", "1234"), ("129", "12"), ("1", "1"), ("1", "1")])
+    for few in (10, 0):
+        monkeypatch.setattr(metrics, "FEW_KEYS", few, raising=False)
+        found = metrics.prefix_match(ids, keys, "rid", "key")
+        assert "SortAggregate" not in executed(found)
+        assert sorted((r.rid, r.key) for r in found.collect()) == want
