@@ -81,7 +81,7 @@ def number_rows(spark: SparkSession, path: str, width: int) -> DataFrame:
 
 
 def storm_steps(spark: SparkSession, path: str) -> DataFrame:
-    """storm, t0, t1, mmh of storm documents (one JSON document per file)."""
+    """storm, t0, t1, mmh of storm documents (files of one JSON document, or of an array of them)."""
     s = spark.read.schema("name string, steps array<array<double>>").json(path, multiLine=True).withColumn("file", F.input_file_name())
     name = F.coalesce("name", F.regexp_extract("file", "([^/]+)\\.json$", 1))
     return s.select(name.alias("storm"), F.explode("steps").alias("s")).select("storm", F.col("s")[0].alias("t0"), F.col("s")[1].alias("t1"), F.col("s")[2].alias("mmh"))

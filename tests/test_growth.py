@@ -58,3 +58,15 @@ def test_prefixes_keep_numbers_not_texts(spark, monkeypatch):
         found = metrics.prefix_match(ids, keys, "rid", "key")
         assert "SortAggregate" not in executed(found)
         assert sorted((r.rid, r.key) for r in found.collect()) == want
+
+
+def test_storms_share_files(spark, tmp_path, monkeypatch):
+    from test_catalogue import DATA
+
+    from cityweave.operators import records
+    from cityweave.plans import registry
+
+    suppliers = spark.read.parquet(f"{DATA}/supplier.parquet").count()
+    monkeypatch.setattr(records, "own_folder", lambda *_: str(tmp_path))
+    assert registry.QUERIES["text_series"](spark, DATA).where("kind = 'storm'").count() == 2 * suppliers
+    assert len(list(tmp_path.glob("storms/**/*.txt"))) + len(list(tmp_path.glob("storms/**/*.json"))) <= suppliers // 1000 + 1
