@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from cityweave.llm import neardup
 
@@ -78,3 +80,14 @@ def test_chunks_by_bytes_and_by_number_keep_the_same_rows(spark, monkeypatch):
         monkeypatch.setattr(neardup, "CHUNK_BYTES", size)
         monkeypatch.setattr(neardup.components, "__defaults__", (size,))
         assert sorted(x.doc_id for x in neardup.drop_near_copies(df, chunk=chunk).collect()) == want
+
+
+def test_the_trie_proposes_what_no_band_does(spark, monkeypatch):
+    """Sets of near fingerprints are compared though they share no band, and linked only if they are similar."""
+    base = [f"w{k}" for k in range(400)]
+    near = base[:200] + ["other"] + base[200:]
+    docs = spark.createDataFrame([(2, " ".join(base)), (1, " ".join(near)), (3, " ".join(f"v{k}" for k in range(400)))], "doc_id long, text string")
+    monkeypatch.setattr(neardup, "band_values", lambda h: [int(h[0] >> np.uint64(1)) + len(h)])
+    a, b = (neardup.fingerprint(neardup.shingles(" ".join(x).encode())) for x in (base, near))
+    assert 0 < (a ^ b) % 2**64 and ((a ^ b) % 2**64).bit_count() <= neardup.TRIE_BUDGET
+    assert sorted(r.doc_id for r in neardup.drop_near_copies(docs).collect()) == [1, 3]
