@@ -201,10 +201,16 @@ def links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK, refine:
 
 #: Rows of a node beyond which its value is broadcast instead of shuffling its rows to one task, and how many such there may be.
 HUB_ROWS, HUBS = 1000, 10_000
+#: Rows that one task may join whatever their nodes, and rows of a file of a round.
+FEW_ROWS, FILE_ROWS = 500_000, 100_000
 
 
 def with_least(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
-    """rows joined with least (u, m, n rows of u) by u. Nodes of very many rows are broadcast, 2 * `HUBS` of them at most."""
+    """rows joined with least (u, m, n rows of u) by u. Nodes of very many rows are broadcast, 2 * `HUBS` of them at most.
+
+    Of at most `FEW_ROWS` rows a node's go to one task, which spares the stages that look for such nodes."""
+    if n_rows <= FEW_ROWS:
+        return rows.join(least.select("u", "m"), "u")
     many = F.col("n") > max(HUB_ROWS, n_rows // HUBS)
     hubs = F.broadcast(least.where(many).select("u", "m"))
     return rows.join(hubs, "u").unionByName(rows.join(hubs, "u", "left_anti").join(least.where(~many).select("u", "m"), "u"))
@@ -213,7 +219,8 @@ def with_least(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
 def stars(edges: DataFrame, tag: str = "stars") -> DataFrame:
     """node, root: for every node of the edges u, v the smallest node that it reaches (alternating large and small stars).
 
-    Rounds go on until one changes nothing."""
+    Rounds go on until one changes nothing. Their files hold about `FILE_ROWS` rows, so a round of few rows has few tasks,
+    however many partitions the session's shuffles have: the driver keeps what every task reports."""
     state = None
     e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
     n_rows = e.count()
@@ -221,10 +228,11 @@ def stars(edges: DataFrame, tag: str = "stars") -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = with_least(both, low, n_rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, tag)
+        files = max(1, -(-2 * n_rows // FILE_ROWS))
+        large = materialize(large.coalesce(files), tag)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = with_least(large, least, n_rows).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        before, e = e, materialize(small, tag)
+        before, e = e, materialize(small.coalesce(files), tag)
         discard(before)
         discard(large)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()

@@ -116,3 +116,21 @@ def test_clashing_names(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, *list(r)[2:]) for r in kept.collect()) == [(0, *range(8)), (9, *range(8))]
+
+
+def test_rounds_of_few_rows_have_few_files(spark, monkeypatch):
+    pairs = [(k, k + 1) for k in range(1, 30)] + [(500, k) for k in range(501, 1700)] + [(7, 7)]
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    want = {k: 1 for k in range(2, 31)} | {k: 500 for k in range(501, 1700)}
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 16)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        few = simhash.stars(edges)
+        assert len(few.inputFiles()) == 1
+        assert dict(few.collect()) == want
+        monkeypatch.setattr(simhash, "FEW_ROWS", 0)  # nodes of many rows are broadcast
+        assert dict(simhash.stars(edges).collect()) == want
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
