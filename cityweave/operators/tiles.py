@@ -41,8 +41,8 @@ def with_margin(cells: DataFrame, size: int) -> DataFrame:
     return x.withColumn("own", (F.col("tr") == F.floor(F.col("row") / size)) & (F.col("tc") == F.floor(F.col("col") / size)))
 
 
-def per_tile(cells: DataFrame, size: int, kernel: Callable[[dict[str, np.ndarray], int, int], pd.DataFrame], schema: str) -> DataFrame:
-    """kernel(layers, row0, col0) of each tile; layers are arrays of size + 2, NaN outside, `own` and `here` say which cells are
+def per_tile(cells: DataFrame, size: int, kernel: Callable[[dict[str, np.ndarray], int, int], pd.DataFrame], schema: str, only: DataFrame | None = None) -> DataFrame:
+    """kernel(layers, row0, col0) of each tile (of those in `only`: tr, tc); layers are arrays of size + 2, NaN outside, `own` and `here` say which cells are
     the tile's and which exist at all. row0, col0 is the cell at index 0, 0, a cell before the tile's first."""
     names = [c for c in cells.columns if c not in ("row", "col")]
 
@@ -56,7 +56,10 @@ def per_tile(cells: DataFrame, size: int, kernel: Callable[[dict[str, np.ndarray
             layers[c][at] = pdf[c].to_numpy(float)
         return kernel(layers, row0, col0)
 
-    return with_margin(cells, size).groupBy("tr", "tc").applyInPandas(one, schema)
+    x = with_margin(cells, size)
+    if only is not None:
+        x = x.join(only.hint("shuffle_hash"), ["tr", "tc"], "left_semi")
+    return x.groupBy("tr", "tc").applyInPandas(one, schema)
 
 
 def regions(mask: np.ndarray, value: np.ndarray, diagonal: bool) -> np.ndarray:
@@ -218,8 +221,8 @@ def filled(cells: DataFrame, layer: str = "dem", drain: Column | None = None, si
 def filled_sloping(cells: DataFrame, layer: str = "dem", slope: float = 1e-3, size: int = SIZE) -> DataFrame:
     """row, col, layer: filled so that the way out falls by `slope` a cell.
 
-    Heights come in over the tiles' margins and spread within a tile, lowest first; a tile is worked again only while its
-    margin gets lower. Rounds are as many as borders that the longest way out crosses."""
+    Heights come in over the tiles' margins and spread within a tile, lowest first; only tiles whose margin got lower are
+    worked again. Rounds are as many as borders that the longest way out crosses."""
     x = cells.select("row", "col", F.col(layer).cast("double").alias("z"))
 
     def kernel(layers: dict[str, np.ndarray], row0: int, col0: int) -> pd.DataFrame:
@@ -253,11 +256,15 @@ def filled_sloping(cells: DataFrame, layer: str = "dem", slope: float = 1e-3, si
         at = np.flatnonzero(mine)
         return pd.DataFrame({"row": at // side + row0, "col": at % side + col0, "z": ground[at], "w": best[at], "news": (best[at] < w.ravel()[at]).astype(float)})
 
-    state = x.withColumn("w", F.lit(float("inf"))).withColumn("news", F.lit(0.0))
+    schema = "row long, col long, z double, w double, news double"
+    state = checkpointed(per_tile(x.withColumn("w", F.lit(float("inf"))).withColumn("news", F.lit(0.0)), size, kernel, schema))
     while True:
-        state = checkpointed(per_tile(state, size, kernel, "row long, col long, z double, w double, news double"))
-        if state.where("news = 1").where(_border(size)).isEmpty():
+        told = checkpointed(with_margin(state.where("news = 1").where(_border(size)), size).where(~F.col("own")).select("tr", "tc").distinct())
+        if told.isEmpty():
             return state.select("row", "col", F.col("w").alias(layer))
+        own = state.withColumn("tr", F.floor(F.col("row") / size)).withColumn("tc", F.floor(F.col("col") / size))
+        calm = own.join(told.hint("shuffle_hash"), ["tr", "tc"], "left_anti").select("row", "col", "z", "w", F.lit(0.0).alias("news"))
+        state = checkpointed(calm.unionByName(per_tile(state, size, kernel, schema, told)))
 
 
 def pits_capped(cells: DataFrame, layer: str = "dem", level: float = 0.0, reach: int = 5, least_ring: int = 20, depth: float = 3.0, most_depth: float = 0.0, size: int = SIZE) -> DataFrame:

@@ -105,3 +105,16 @@ def test_pits(spark):
         assert {(r.row, r.col) for r in rows if r.pit} == {(i, j) for i in range(12, 18) for j in range(20, 27)}
         assert {r.dem for r in rows if r.pit} == {max(float(np.median([kept[i, j] for i in range(12, 18) for j in range(20, 27)])), 6.0 - 10.5)}
         assert all(r.dem == kept[r.row, r.col] for r in rows if not r.pit)
+
+
+def test_sloping_fill_works_only_told_tiles_again(spark, monkeypatch):
+    worked, per_tile = [], tiles.per_tile
+
+    def counted(*a):
+        worked.append(a[4].count() if len(a) > 4 else 25)
+        return per_tile(*a)
+
+    monkeypatch.setattr(tiles, "per_tile", counted)
+    cells = rough(2, 18, 15, levels=3)
+    assert got(tiles.filled_sloping(grid(spark, cells), slope=0.125, size=4)) == lowest_way_out(cells, 0.125)
+    assert len(worked) > 2 and worked[-1] < 12
