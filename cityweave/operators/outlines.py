@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityweave.session import checkpointed
+from cityweave.session import checkpointed, rewritten
 
 
 def sides(cells: DataFrame) -> DataFrame:
@@ -32,18 +32,16 @@ def rings(cells: DataFrame) -> DataFrame:
     state = chain.select("id", "next", F.least("id", "next").alias("low"))
     while True:  # the smallest side of the ring: each round looks twice as far ahead
         ahead = state.select(F.col("id").alias("next"), F.col("next").alias("then"), F.col("low").alias("low2"))
-        state = checkpointed(state.join(ahead, "next").select("id", F.col("then").alias("next"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")))
+        state = rewritten(state.join(ahead, "next").select("id", F.col("then").alias("next"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")))
         if state.where("moved").isEmpty():
             break
     named = checkpointed(chain.join(state.select("id", F.col("low").alias("ring")), "id"))
     far = named.select("id", "ring", "next", F.lit(1).cast("long").alias("steps"))
-    while True:  # steps to the ring's first side, where pointers stop
-        open_ = far.where("next <> ring")
-        if open_.isEmpty():
-            break
-        ahead = far.select(F.col("id").alias("next"), F.col("next").alias("then"), F.col("steps").alias("more"))
-        moved = open_.join(ahead, "next").select("id", "ring", F.col("then").alias("next"), (F.col("steps") + F.col("more")).alias("steps"))
-        far = checkpointed(far.where("next = ring").unionByName(moved))
+    go = F.col("next") != F.col("ring")
+    while not far.where(go).isEmpty():  # steps to the ring's first side, where pointers stop; one that stopped meets itself
+        ahead = far.select(F.col("id").alias("at"), F.col("next").alias("then"), F.col("steps").alias("more"))
+        met = far.withColumn("at", F.when(go, F.col("next")).otherwise(F.col("id"))).join(ahead, "at")
+        far = rewritten(met.select("id", "ring", F.when(go, F.col("then")).otherwise(F.col("next")).alias("next"), (F.col("steps") + F.when(go, F.col("more")).otherwise(0)).alias("steps")))
     size = far.groupBy("ring").agg(F.max("steps").alias("n"))
     place = far.join(size, "ring").select("id", "ring", (F.col("n") - F.col("steps")).alias("pos"))
     return place.join(s, "id").select("ring", "pos", "id", "row", "col", F.col("x1").alias("x"), F.col("y1").alias("y"))

@@ -52,3 +52,16 @@ def test_rings_hold_their_regions(spark, seed, share):
 
 def test_no_cells(spark):
     assert outlines.rings(spark.createDataFrame([], "row long, col long")).count() == 0
+
+
+def test_estimates_of_long_rings_stay_small(spark, monkeypatch):
+    sizes = []
+
+    def noted(df, put=outlines.rewritten):
+        out = put(df)
+        sizes.append(int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        return out
+
+    monkeypatch.setattr(outlines, "rewritten", noted)
+    found = outlines.rings(spark.createDataFrame([(0, j) for j in range(40)], "row long, col long"))
+    assert found.count() == 82 and max(sizes) < 10**6
