@@ -81,3 +81,19 @@ def test_stuck_resets_across_batches(spark, tmp_path):
     assert [(r.t - 1000, r.stood_s) for r in got] == [(10.0, 8.0), (18.0, 8.0)]
     gone = [[("v", 1000.0, 0.0, 0.0, 0.0, 0.0)], [("w", 9000.0, 0.0, 0.0, 0.0, 0.0)], [("w", 9500.0, 0.0, 0.0, 0.0, 5.0), ("v", 9501.0, 0.0, 0.0, 0.0, 0.0)]]
     assert through(live.stuck_resets(reports(spark, str(tmp_path / "in2"), gone), ttl_s=60), str(tmp_path / "2")).count() == 0  # v was forgotten
+
+
+def test_many_vehicles_share_groups_and_keep_their_own_states(spark, tmp_path):
+    r = lambda v, t, x=0.0: (f"v{v}", 1000.0 + t, x, 0.0, 0.0, 0.0)
+    n = 3 * live.GROUPS  # odd ones are retired after the third batch, every other even one after the fifth
+    parts = [[r(v, 0) for v in range(n)], [r(v, 10, 100.0) for v in range(0, n, 2)], [r(-1, 125)], [r(v, 97, 100.0) for v in range(0, n, 4)], [r(-1, 131)]]
+    stream = live.tracked_positions(reports(spark, str(tmp_path / "in"), parts))
+    with live.rocksdb_states(spark):
+        q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/states").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").where("vehicle_id <> 'v-1'").collect()
+    want = [(f"v{v}", 0.0, 0.0, False) for v in range(n)] + [(f"v{v}", 90.0, 0.0, True) for v in range(1, n, 2)] + [(f"v{v}", 10.0, 18.0, False) for v in range(0, n, 2)]
+    want += [(f"v{v}", 97.0, 32.76, False) for v in range(0, n, 4)] + [(f"v{v}", 100.0, 18.0, True) for v in range(2, n, 4)]
+    assert sorted((x.vehicle_id, x.t - 1000, round(x.x, 9), x.retired) for x in got) == sorted(want)
+    timers = [int(p.stateOperators[0].customMetrics["numRegisteredTimers"]) for p in q.recentProgress if p.stateOperators]
+    assert 0 < max(timers) <= live.GROUPS  # calls to the store follow the groups, not the vehicles
