@@ -23,6 +23,23 @@ def test_gravity_shuffles_no_pairs(spark):
     assert sorted((r.origin, r.zone, round(r.p, 9)) for r in p.collect()) == sorted((a, b, round(c, 9)) for a, b, c in want)
 
 
+def test_gravity_works_out_shares_by_place(spark):
+    o = spark.createDataFrame([(i, 0.0, 0.0) for i in range(70)] + [(70, 3.0, 4.0), (None, 3.0, 4.0)], "origin long, x double, y double")
+    z = spark.createDataFrame([(i, 0.0, 0.0, 2.0) for i in range(1100)] + [(1100, 0.0, 0.0, 1.0), (None, 3.0, 4.0, 1.0), (1102, None, 0.0, 1.0)], "zone long, px double, py double, attraction double")
+    p = transit.gravity(o, z, 0.1, 6)
+    plan = executed(p)
+    assert plan.index("Generate explode") < plan.index("EXP(")  # the last thing done is to copy shares to pairs
+    assert plan.index("EXP(") < plan.index("Coalesce ") < plan.index("NestedLoopJoin")  # and no task holds an origin's pairs
+    e = 2.718281828459045**-0.5
+    want = []
+    for i in [*range(71), None]:
+        home, far = (e, 1) if i in (70, None) else (1, e)
+        s = 2201 * home + far
+        want += [(i, k, round(2 * home / s, 6)) for k in range(1100)] + [(i, 1100, round(home / s, 6)), (i, None, round(far / s, 6)), (i, 1102, None)]
+    key = lambda r: tuple((v is not None, v or 0) for v in r)
+    assert sorted(map(tuple, p.collect()), key=key) == sorted(want, key=key)
+
+
 def test_nearest_source_looks_back_only(spark):
     r = random.Random(5)
     cells = [(i, j, r.random() < 0.8, j != 4 and j < 9 and r.random() < 0.05) for i in range(40) for j in range(12)]
